@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.llm import chat, langid, mixing, packing, warc
+from tallygrove.llm import chat, langid, mixing, order_minhash, packing, secrets, warc
 
 #: Shares of groups are tempered by these powers in the mixing query and in the pipeline.
 TEMPER = {"source": 0.9, "lang": 0.9, "topic": 0.9}
@@ -21,6 +21,14 @@ def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages"))).drop("warc_date")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), temper=TEMPER)
     return mixed.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), F.round("mix_prob", 6).alias("mix_prob"), "mix_kept")
@@ -42,7 +50,7 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_derivatives, op6_mix_weights, op8_language_id, op9_packing, op10_chat_rotation)}
+    return {f.__name__: f for f in (op2_warc_derivatives, op4_order_minhash, op5_secret_scan, op6_mix_weights, op8_language_id, op9_packing, op10_chat_rotation)}
 
 
 def oracle_sql() -> dict[str, str]:
