@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.llm import chat, langid, mixing, order_minhash, packing, secrets, warc
+from tallygrove.llm import ann, chat, embedding_dedup, langid, mixing, order_minhash, packing, secrets, substring, warc
 
 #: Shares of groups are tempered by these powers in the mixing query and in the pipeline.
 TEMPER = {"source": 0.9, "lang": 0.9, "topic": 0.9}
@@ -17,10 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages"))).drop("warc_date")
 
 
+def op3_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,10 @@ def op6_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), F.round("mix_prob", 6).alias("mix_prob"), "mix_kept")
 
 
+def op7_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -50,7 +62,7 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_derivatives, op4_order_minhash, op5_secret_scan, op6_mix_weights, op8_language_id, op9_packing, op10_chat_rotation)}
+    return {f.__name__: f for f in (op1_embedding_graph, op2_warc_derivatives, op3_fingerprint_index, op4_order_minhash, op5_secret_scan, op6_mix_weights, op7_collision_counting, op8_language_id, op9_packing, op10_chat_rotation)}
 
 
 def oracle_sql() -> dict[str, str]:
