@@ -1,18 +1,641 @@
-"""The registered queries of the engine's own operators over the driver's tables, and their DuckDB counterparts."""
+"""The registered queries of the engine's own operators over the driver's tables, and their DuckDB counterparts.
+
+The driver's tables hold no unknown values, no unmatched keys and no places. Where an operator is about those, the query
+and its SQL make them in the same way: a value is unknown on some line numbers, a table lacks some keys, a place follows
+from a key by fixed arithmetic.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallygrove.functions import values
+from tallygrove.operators import dedup, geo, graph, measures, raster, regression, relate, rules, scan, series, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r(c: Column | str, digits: int = 4) -> Column:
+    return F.round(c, digits)
+
+
+def gappy(c: str) -> Column:
+    """Unknown on every third line number."""
+    return F.when(F.col("l_linenumber") % 3 != 0, F.col(c))
+
+
+GAPPY = "CASE WHEN l_linenumber % 3 <> 0 THEN {} END"
+LON, LAT = "((c_custkey * 37) % 3600) / 10.0 - 180", "((c_custkey * 53) % 1200) / 10.0 - 60"
+S_LON, S_LAT = "((s_suppkey * 71) % 3600) / 10.0 - 180", "((s_suppkey * 29) % 1200) / 10.0 - 60"
+
+
+def places(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr(LON).cast("double").alias("lon"), F.expr(LAT).cast("double").alias("lat"), F.col("c_acctbal").alias("weight"), F.col("c_mktsegment").alias("segment"))
+
+
+# --- the flagship: relate, group, compare ---------------------------------------------------------------------------
+
+
+@query(
+    """WITH x AS (SELECT c_mktsegment AS segment, o_orderpriority = '1-URGENT' AS urgent FROM orders JOIN customer ON o_custkey = c_custkey),
+    g AS (SELECT segment, CAST(count(*) FILTER (WHERE urgent) AS DOUBLE) AS a, CAST(count(*) AS DOUBLE) AS n FROM x GROUP BY 1),
+    ref AS (SELECT a AS ra, n AS rn FROM g WHERE segment = 'MACHINERY')
+    SELECT segment, CAST(a AS BIGINT) AS cases, CAST(n AS BIGINT) AS at_risk, round(1000 * a / n, 4) AS rate, round((a / n) / (ra / rn), 4) AS risk_ratio,
+      round(exp(ln((a / n) / (ra / rn)) - 1.959963984540054 * sqrt((n - a) / (a * n) + (rn - ra) / (ra * rn))), 4) AS rr_lower,
+      round(exp(ln((a / n) / (ra / rn)) + 1.959963984540054 * sqrt((n - a) / (a * n) + (rn - ra) / (ra * rn))), 4) AS rr_upper
+    FROM g, ref"""
+)
+def flagship_relate_group_compare(spark: SparkSession, d: str) -> DataFrame:
+    orders = t(spark, d, "orders").select("o_custkey", (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    related = relate.relate(orders, t(spark, d, "customer"), [("o_custkey", "c_custkey")], "c_mktsegment", name="segment").df
+    counts = related.groupBy("segment").agg(F.count_if("urgent").alias("cases"), F.count(F.lit(1)).alias("at_risk"))
+    reference = F.broadcast(counts.where("segment = 'MACHINERY'").select(F.col("cases").alias("ra"), F.col("at_risk").alias("rn")))  # one row
+    both = counts.crossJoin(reference)
+    m = measures.risk_measures(F.col("cases"), F.col("at_risk") - F.col("cases"), F.col("ra"), F.col("rn") - F.col("ra"))
+    return both.select("segment", "cases", "at_risk", r(F.col("cases") * 1000 / F.col("at_risk")).alias("rate"), *[r(m[k]).alias(k) for k in ("risk_ratio", "rr_lower", "rr_upper")])
+
+
+# --- selecting ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('5-LOW', '1-URGENT')")
+def select_values(spark: SparkSession, d: str) -> DataFrame:
+    return tables.select_values(t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["5-LOW", "1-URGENT"]).df
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority NOT IN ('5-LOW', '1-URGENT')")
+def leave_out(spark: SparkSession, d: str) -> DataFrame:
+    return tables.leave_out(t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["5-LOW", "1-URGENT"])
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-03-01' AND DATE '1995-09-30'")
+def select_range_date(spark: SparkSession, d: str) -> DataFrame:
+    low, high = F.lit("1995-03-01").cast("timestamp_ntz"), F.lit("1995-10-01").cast("timestamp_ntz")
+    pruned = t(spark, d, "orders").where((F.col("o_orderdate") >= low) & (F.col("o_orderdate") < high))  # reaches the reader's statistics
+    return tables.select_range(pruned.select("o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate")), "o_orderdate", "1995-03-01", "1995-09-30", "date")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 12")
+def select_range_number(spark: SparkSession, d: str) -> DataFrame:
+    return tables.select_range(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity", 10.0, 12.0)
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END DESC NULLS LAST, c_custkey LIMIT 50")
+def top_k_blanks_last(spark: SparkSession, d: str) -> DataFrame:
+    c = t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return c.orderBy(F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).desc_nulls_last(), "c_custkey").limit(50)
+
+
+# --- grouping -------------------------------------------------------------------------------------------------------
+
+_AGG = {"sum": "sum", "min": "min", "max": "max", "mean": "avg", "median": "median"}
+
+
+def _group(how: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        g = tables.group(t(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity" if how != "count" else F.lit(1), how)
+        return g.withColumn("value", r("value") if how != "count" else F.col("value"))
+
+    run.__name__ = f"group_{how}"
+    sql = "count(*)" if how == "count" else f"round({_AGG[how]}(l_quantity), 4)"
+    query(f"SELECT l_returnflag, l_linestatus, {sql} AS value FROM lineitem GROUP BY 1, 2")(run)
+
+
+for _how in tables.STATISTICS:
+    _group(_how)
+
+_G = GAPPY.format("l_quantity")
+
+
+@query(f"SELECT l_suppkey, l_returnflag, CASE WHEN count(*) FILTER (WHERE ({_G}) IS NULL) = 0 THEN round(sum({_G}), 4) END AS value FROM lineitem GROUP BY 1, 2")
+def group_null_unknown(spark: SparkSession, d: str) -> DataFrame:
+    g = tables.group(t(spark, d, "lineitem"), ["l_suppkey", "l_returnflag"], gappy("l_quantity"))
+    return g.withColumn("value", r("value"))
+
+
+@query(f"SELECT l_linenumber, round(coalesce(sum({_G}), 0), 4) AS total, round(avg({_G}), 4) AS mean, median({_G}) AS median FROM lineitem GROUP BY 1")
+def group_exclude_missing(spark: SparkSession, d: str) -> DataFrame:
+    v = gappy("l_quantity")
+    return t(spark, d, "lineitem").groupBy("l_linenumber").agg(r(tables.statistic(v, "sum", True)).alias("total"), r(tables.statistic(v, "mean", True)).alias("mean"), tables.statistic(v, "median", True).alias("median"))
+
+
+@query("""WITH g AS (SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1, 2)
+    SELECT *, floor(value / sum(value) OVER (PARTITION BY o_orderstatus) * 1000 + 0.5) / 10 AS share FROM g""")
+def shares_within(spark: SparkSession, d: str) -> DataFrame:
+    return tables.shares(t(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], ["o_orderstatus"], F.lit(1.0))
+
+
+@query("""WITH g AS (SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1, 2)
+    SELECT *, floor(value / sum(value) OVER () * 1000 + 0.5) / 10 AS share FROM g""")
+def shares_all(spark: SparkSession, d: str) -> DataFrame:
+    return tables.shares(t(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], [], F.lit(1.0))
+
+
+@query("""WITH cells AS (SELECT l_returnflag AS rk, l_linenumber AS ck, CASE WHEN l_linenumber <> 3 OR l_returnflag <> 'A' THEN sum(l_quantity) END AS cell FROM lineitem GROUP BY 1, 2),
+    c AS (SELECT rk, ck, sum(cell) AS total, count(cell) AS known, grouping(rk) AS gr, grouping(ck) AS gc FROM cells GROUP BY CUBE (rk, ck)),
+    n AS (SELECT count(DISTINCT rk) AS nr, count(DISTINCT ck) AS nc FROM cells)
+    SELECT rk AS row_key, ck AS column_key, CASE WHEN known = (CASE gr WHEN 1 THEN nr ELSE 1 END) * (CASE gc WHEN 1 THEN nc ELSE 1 END) THEN round(total, 4) END AS total FROM c, n""")
+def crosstab_totals(spark: SparkSession, d: str) -> DataFrame:
+    value = F.when((F.col("l_linenumber") != 3) | (F.col("l_returnflag") != "A"), F.col("l_quantity"))
+    return tables.crosstab(t(spark, d, "lineitem"), "l_returnflag", "l_linenumber", value).withColumn("total", r("total"))
+
+
+# --- shapes ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, 'size' AS measure, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part")
+def melt_wide(spark: SparkSession, d: str) -> DataFrame:
+    return tables.melt(t(spark, d, "part"), ["p_partkey"], {"p_size": "size", "p_retailprice": "price"})
+
+
+@query("""SELECT o_custkey, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 4) AS "F", round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 4) AS "O" FROM orders GROUP BY 1""")
+def pivot_long(spark: SparkSession, d: str) -> DataFrame:
+    long = tables.group(t(spark, d, "orders"), ["o_custkey", "o_orderstatus"], "o_totalprice")
+    return tables.pivot_long(long, ["o_custkey"], "o_orderstatus", "value", ["F", "O"]).withColumns({"F": r("F"), "O": r("O")})
+
+
+@query("SELECT 'l_returnflag' AS \"column\", l_returnflag AS value FROM lineitem GROUP BY ALL UNION ALL SELECT 'l_linestatus', l_linestatus FROM lineitem GROUP BY ALL")
+def distinct_values(spark: SparkSession, d: str) -> DataFrame:
+    return tables.distinct_values(t(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"])
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def repeated_keys(spark: SparkSession, d: str) -> DataFrame:
+    return tables.repeated_keys(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT c_name AS name, c_nationkey AS nation, c_acctbal AS balance, c_mktsegment AS segment, 'customer' AS origin FROM customer UNION ALL SELECT s_name, s_nationkey, s_acctbal, NULL, 'supplier' FROM supplier")
+def append_source_label(spark: SparkSession, d: str) -> DataFrame:
+    c, s = t(spark, d, "customer").drop("c_custkey"), t(spark, d, "supplier").drop("s_suppkey")
+    up = {"customer": {"c_name": "name", "c_nationkey": "nation", "c_acctbal": "balance", "c_mktsegment": "segment"}, "supplier": {"s_name": "name", "s_nationkey": "nation", "s_acctbal": "balance"}}
+    return tables.append({"customer": c, "supplier": s}, "origin", up)
+
+
+# --- relating -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey < 10")
+def relate_drop(spark: SparkSession, d: str) -> DataFrame:
+    return relate.relate(t(spark, d, "customer").select("c_custkey", "c_nationkey"), t(spark, d, "nation").where("n_nationkey < 10"), [("c_nationkey", "n_nationkey")], "n_name", name="nation").df.drop("c_nationkey")
+
+
+@query("SELECT c_custkey, coalesce(n_name, '(unmatched)') AS nation FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 10) ON c_nationkey = n_nationkey")
+def relate_keep_label(spark: SparkSession, d: str) -> DataFrame:
+    return relate.relate(t(spark, d, "customer").select("c_custkey", "c_nationkey"), t(spark, d, "nation").where("n_nationkey < 10"), [("c_nationkey", "n_nationkey")], "n_name", "keep", "(unmatched)", name="nation").df.drop("c_nationkey")
+
+
+@query("SELECT c_custkey, o_orderpriority AS priority FROM customer JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) ON c_custkey = o_custkey")
+def relate_each(spark: SparkSession, d: str) -> DataFrame:
+    return relate.relate(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders"), [("c_custkey", "o_custkey")], "o_orderpriority", several="each", name="priority").df
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, f.flag FROM lineitem l JOIN (SELECT l_suppkey AS s, l_partkey AS p, max(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2) f ON l.l_suppkey = f.s AND l.l_partkey = f.p""")
+def relate_composite_key(spark: SparkSession, d: str) -> DataFrame:
+    lines = t(spark, d, "lineitem")
+    flags = lines.groupBy("l_suppkey", "l_partkey").agg(F.max("l_returnflag").alias("flag"))
+    return relate.relate(lines.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"), flags, [("l_suppkey", "l_suppkey"), ("l_partkey", "l_partkey")], "flag").df.drop("l_suppkey")
+
+
+@query("""WITH l AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), rr AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_nationkey < 10)
+    SELECT count(*) FILTER (WHERE rr.k IS NULL) AS left_only, count(*) FILTER (WHERE rr.k IS NOT NULL AND l.k IS NOT NULL) AS matched, count(*) FILTER (WHERE l.k IS NULL) AS right_only FROM l FULL JOIN rr ON l.k = rr.k""")
+def relate_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return relate.relate(t(spark, d, "orders").where("o_orderstatus = 'F'"), t(spark, d, "customer").where("c_nationkey < 10"), [("o_custkey", "c_custkey")], "c_name").report["overlap"]
+
+
+@query("""WITH j AS (SELECT o_totalprice, c_custkey FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_nationkey < 10) ON o_custkey = c_custkey)
+    SELECT round(sum(o_totalprice) FILTER (WHERE c_custkey IS NOT NULL), 2) AS retained, round(sum(o_totalprice), 2) AS total, round(sum(o_totalprice) FILTER (WHERE c_custkey IS NOT NULL) / sum(o_totalprice), 6) AS share FROM j""")
+def relate_retained_share(spark: SparkSession, d: str) -> DataFrame:
+    s = relate.overlap_share(t(spark, d, "orders"), t(spark, d, "customer").where("c_nationkey < 10"), [("o_custkey", "c_custkey")], F.col("o_totalprice"))
+    return s.select(r("retained", 2).alias("retained"), r("total", 2).alias("total"), r("share", 6).alias("share"))
+
+
+def _periods(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of days from two days before the start of a month's third on, by user."""
+    u = t(spark, d, "events").select("user_id").distinct()
+    return u.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select("user_id", F.date_add(F.lit("2024-01-01").cast("date"), F.col("k") * 10).alias("start"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("k") * 10 + 5 + (F.col("user_id") % 3).cast("int")).alias("end"), F.concat(F.lit("p"), F.col("k").cast("string")).alias("wave"))
+
+
+_PERIODS = "(SELECT user_id AS u, DATE '2024-01-01' + CAST(k * 10 AS INT) AS s, DATE '2024-01-01' + CAST(k * 10 + 5 + user_id % 3 AS INT) AS e, 'p' || k AS wave FROM (SELECT DISTINCT user_id FROM events), range(0, 3) q(k))"
+
+
+@query(f"SELECT event_id, wave FROM events JOIN {_PERIODS} ON user_id = u AND CAST(ts AS DATE) BETWEEN s AND e")
+def interval_join(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("date").alias("day"))
+    return relate.relate_period(e, _periods(spark, d), "day", "start", "end", "wave", [("user_id", "user_id")]).select("event_id", "wave")
+
+
+_WAVES = "(SELECT DATE '2024-01-01' + CAST(k * 10 AS INT) AS s, DATE '2024-01-06' + CAST(k * 10 AS INT) AS e, 'w' || k AS wave FROM range(0, 3) q(k))"
+
+
+@query(f"""SELECT event_id, max(a.wave) AS "wave_-3d", max(b.wave) AS "wave_+7d" FROM events LEFT JOIN {_WAVES} a ON CAST(ts AS DATE) - 3 BETWEEN a.s AND a.e LEFT JOIN {_WAVES} b ON CAST(ts AS DATE) + 7 BETWEEN b.s AND b.e GROUP BY 1""")
+def multi_shift_join(spark: SparkSession, d: str) -> DataFrame:
+    waves = spark.range(3).select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") * 10).cast("int")).alias("start"), F.date_add(F.lit("2024-01-06").cast("date"), (F.col("id") * 10).cast("int")).alias("end"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("wave"))
+    e = t(spark, d, "events").select("event_id", F.col("ts").cast("date").alias("day"))
+    return relate.relate_shifts(e, waves, "event_id", "day", "start", "end", "wave", [-3, 7]).drop("day")
+
+
+@query("SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1")
+def anti_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return relate.unmatched_keys(t(spark, d, "customer"), t(spark, d, "orders").where("o_orderpriority = '1-URGENT'"), "c_custkey", "o_custkey")
+
+
+@query("SELECT s_suppkey, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def folded_name_join(spark: SparkSession, d: str) -> DataFrame:
+    n = t(spark, d, "nation")
+    written = t(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(F.lit("  "), F.lower("n_name"), F.lit("--")).alias("name"))  # nations: 25 rows
+    return relate.relate(written, n, [("name", "n_name")], "n_name", compare="folded", name="nation").df.drop("name")
+
+
+@query()
+def spelling_join(spark: SparkSession, d: str) -> DataFrame:
+    n = t(spark, d, "nation")
+    misspelt = n.select(F.concat(F.substring("n_name", 1, 4), F.lit("e"), F.col("n_name").substr(5, 40)).alias("name")).unionByName(n.select(F.col("n_name").alias("name")))
+    return relate.relate_spelling(misspelt, n, "name", "n_name", "n_nationkey")
+
+
+@query("SELECT n_name, balance FROM nation LEFT JOIN (SELECT s_nationkey, round(sum(s_acctbal), 2) AS balance FROM supplier WHERE s_nationkey < 12 GROUP BY 1) ON n_nationkey = s_nationkey")
+def areas_left_join(spark: SparkSession, d: str) -> DataFrame:
+    n = t(spark, d, "nation")
+    sums = t(spark, d, "supplier").where("s_nationkey < 12").groupBy("s_nationkey").agg(r(F.sum("s_acctbal"), 2).alias("balance"))
+    named = sums.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lower("n_name").alias("written"), "balance")
+    return relate.join_to_areas(n.select("n_name"), named, "n_name", "written", "balance").df
+
+
+# --- series ---------------------------------------------------------------------------------------------------------
+
+
+def _series(unit: str, key: str, domain: str, table: str = "events", date: str = "ts") -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return series.case_series(t(spark, d, table), F.col(date), unit).df
+
+    run.__name__ = f"case_series_{unit}"
+    query(f"WITH c AS (SELECT {key} AS period, count(*) AS cases FROM {table} GROUP BY 1), dom AS ({domain}) SELECT dom.period, coalesce(cases, 0) AS cases FROM dom LEFT JOIN c USING (period)")(run)
+
+
+_RANGE = "SELECT CAST(unnest(generate_series(min(period), max(period), INTERVAL {})) AS DATE) AS period FROM c"
+_series("day", "CAST(o_orderdate AS DATE)", _RANGE.format("1 DAY"), "orders", "o_orderdate")
+_series("week", "CAST(date_trunc('week', o_orderdate) AS DATE)", _RANGE.format("7 DAY"), "orders", "o_orderdate")
+_series("week_sunday", "CAST(o_orderdate AS DATE) - CAST(dayofweek(o_orderdate) AS INT)", _RANGE.format("7 DAY"), "orders", "o_orderdate")
+_series("month", "CAST(date_trunc('month', o_orderdate) AS DATE)", _RANGE.format("1 MONTH"), "orders", "o_orderdate")
+_series("weekday", "CAST(isodow(ts) AS INT)", "SELECT CAST(range AS INT) AS period FROM range(1, 8)")
+_series("month_of_year", "CAST(month(ts) AS INT)", "SELECT CAST(range AS INT) AS period FROM range(1, 13)")
+
+
+@query("""WITH c AS (SELECT CAST(ts AS DATE) AS period, event_type, round(sum(value), 2) AS cases FROM events GROUP BY 1, 2),
+    dom AS (SELECT * FROM (SELECT CAST(unnest(generate_series(min(period), max(period), INTERVAL 1 DAY)) AS DATE) AS period FROM c), (SELECT DISTINCT event_type FROM events))
+    SELECT dom.period, dom.event_type, coalesce(cases, 0) AS cases FROM dom LEFT JOIN c USING (period, event_type)""")
+def case_series_split_weighted(spark: SparkSession, d: str) -> DataFrame:
+    s = series.case_series(t(spark, d, "events"), F.col("ts"), "day", F.col("value"), ["event_type"]).df
+    return s.withColumn("cases", r("cases", 2))
+
+
+@query("""WITH c AS (SELECT CAST(ts AS DATE) AS period, count(*) AS cases FROM events GROUP BY 1), dom AS (SELECT CAST(unnest(generate_series(min(period), max(period), INTERVAL 1 DAY)) AS DATE) AS period FROM c)
+    SELECT period, coalesce(cases, 0) AS cases, CAST(sum(coalesce(cases, 0)) OVER (ORDER BY period) AS BIGINT) AS cases_so_far FROM dom LEFT JOIN c USING (period)""")
+def surveillance_replay(spark: SparkSession, d: str) -> DataFrame:
+    return series.replay(t(spark, d, "events"), F.col("ts"))
+
+
+# --- measures -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_returnflag, sum(l_linenumber * 1.0) AS cases, sum(l_quantity) AS at_risk, round(1000 * sum(l_linenumber) / sum(l_quantity), 4) AS rate, CAST(NULL AS VARCHAR) AS reason FROM lineitem GROUP BY 1")
+def rate_group(spark: SparkSession, d: str) -> DataFrame:
+    return measures.rate(t(spark, d, "lineitem"), F.col("l_linenumber"), F.col("l_quantity"), ["l_returnflag"], 1000).withColumn("rate", r("rate"))
+
+
+@query("""SELECT floor(p_size / 10.0) * 10.0 AS band, CAST(count(*) FILTER (WHERE p_brand = 'Brand#1') AS DOUBLE) AS cases, CAST(count(*) AS DOUBLE) AS at_risk,
+    CASE WHEN count(*) >= 20 THEN round(100.0 * count(*) FILTER (WHERE p_brand = 'Brand#1') / count(*), 4) END AS rate, CASE WHEN count(*) < 20 THEN 'too few at risk' END AS reason FROM part GROUP BY 1""")
+def rate_banded_suppressed(spark: SparkSession, d: str) -> DataFrame:
+    m = measures.rate(t(spark, d, "part"), (F.col("p_brand") == "Brand#1").cast("int"), F.lit(1), [], 100, ("p_size", 10.0), 20, proportion=True)
+    return m.withColumn("rate", r("rate"))
+
+
+_CELLS = "CAST(count(*) FILTER (WHERE e AND k) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE e AND NOT k) AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE NOT e AND k) AS DOUBLE) AS c, CAST(count(*) FILTER (WHERE NOT e AND NOT k) AS DOUBLE) AS d"
+_MEASURES = """round(a / (a + b) / (c / (c + d)), 4) AS risk_ratio, round(exp(ln(a / (a + b) / (c / (c + d))) - 1.959963984540054 * sqrt(b / (a * (a + b)) + d / (c * (c + d)))), 4) AS rr_lower,
+    round(exp(ln(a / (a + b) / (c / (c + d))) + 1.959963984540054 * sqrt(b / (a * (a + b)) + d / (c * (c + d)))), 4) AS rr_upper, round(a * d / (b * c), 4) AS odds_ratio,
+    round(exp(ln(a * d / (b * c)) - 1.959963984540054 * sqrt(1 / a + 1 / b + 1 / c + 1 / d)), 4) AS or_lower, round(exp(ln(a * d / (b * c)) + 1.959963984540054 * sqrt(1 / a + 1 / b + 1 / c + 1 / d)), 4) AS or_upper,
+    round(a / (a + b) - c / (c + d), 6) AS risk_difference, round((a + b + c + d) * pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d)), 4) AS chi2_pearson,
+    round((a + b + c + d - 1) * pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d)), 4) AS chi2_mh, round((a + b + c + d) * pow(greatest(abs(a * d - b * c) - (a + b + c + d) / 2, 0), 2) / ((a + b) * (c + d) * (a + c) * (b + d)), 4) AS chi2_yates"""
+_SHOWN = ("risk_ratio", "rr_lower", "rr_upper", "odds_ratio", "or_lower", "or_upper", "risk_difference", "chi2_pearson", "chi2_mh", "chi2_yates")
+
+
+def _shown(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in "abcd"], *[r(c, 6 if c == "risk_difference" else 4).alias(c) for c in _SHOWN])
+
+
+@query(f"WITH x AS (SELECT quality = 1 AS e, toxic = 1 AS k FROM labels), g AS (SELECT {_CELLS} FROM x) SELECT a, b, c, d, {_MEASURES} FROM g")
+def two_by_two(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(measures.two_by_two(t(spark, d, "labels"), F.col("quality") == 1, F.col("toxic") == 1))
+
+
+@query(f"""WITH x AS (SELECT 'open' AS exposure, o_orderstatus = 'O' AS e, o_orderpriority = '1-URGENT' AS k FROM orders UNION ALL SELECT 'dear', o_totalprice > 100000, o_orderpriority = '1-URGENT' FROM orders
+    UNION ALL SELECT 'late', o_orderdate >= TIMESTAMP '1995-01-01', o_orderpriority = '1-URGENT' FROM orders), g AS (SELECT exposure, {_CELLS} FROM x GROUP BY 1) SELECT exposure, a, b, c, d, {_MEASURES} FROM g""")
+def exposure_table(spark: SparkSession, d: str) -> DataFrame:
+    o = t(spark, d, "orders")
+    exposures = {"open": F.col("o_orderstatus") == "O", "dear": F.col("o_totalprice") > 100000, "late": F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")}
+    return _shown(measures.exposure_table(o, exposures, F.col("o_orderpriority") == "1-URGENT"), "exposure")
+
+
+@query("""WITH g AS (SELECT event_type, CAST(count(*) FILTER (WHERE user_id % 2 = 0) AS DOUBLE) AS a, sum(value) FILTER (WHERE user_id % 2 = 0) AS ua, CAST(count(*) FILTER (WHERE user_id % 2 = 1) AS DOUBLE) AS b, sum(value) FILTER (WHERE user_id % 2 = 1) AS ub FROM events GROUP BY 1)
+    SELECT event_type, a, b, round((a / ua) / (b / ub), 4) AS rate_ratio, round(exp(ln((a / ua) / (b / ub)) - 1.959963984540054 * sqrt(1 / a + 1 / b)), 4) AS lower, round(exp(ln((a / ua) / (b / ub)) + 1.959963984540054 * sqrt(1 / a + 1 / b)), 4) AS upper FROM g""")
+def rate_ratio(spark: SparkSession, d: str) -> DataFrame:
+    m = measures.rate_ratio(t(spark, d, "events"), F.col("user_id") % 2 == 0, F.lit(1), F.col("value"), ["event_type"])
+    return m.select("event_type", "a", "b", *[r(c).alias(c) for c in ("rate_ratio", "lower", "upper")])
+
+
+@query(f"""WITH x AS (SELECT l_linenumber AS s, l_returnflag = 'R' AS e, l_linestatus = 'O' AS k FROM lineitem), g AS (SELECT s, {_CELLS} FROM x GROUP BY 1), n AS (SELECT *, a + b + c + d AS n FROM g)
+    SELECT count(*) AS n_strata, round(sum(a * d / n) / sum(b * c / n), 4) AS mh_odds_ratio, round(sum(a * (c + d) / n) / sum(c * (a + b) / n), 4) AS mh_risk_ratio,
+      round(pow(sum(a - (a + b) * (a + c) / n), 2) / sum((a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))), 4) AS mh_chi2 FROM n""")
+def mantel_haenszel(spark: SparkSession, d: str) -> DataFrame:
+    m = measures.mantel_haenszel(t(spark, d, "lineitem"), F.col("l_returnflag") == "R", F.col("l_linestatus") == "O", ["l_linenumber"])
+    return m.select("n_strata", *[r(c).alias(c) for c in ("mh_odds_ratio", "mh_risk_ratio", "mh_chi2")])
+
+
+@query("""WITH g AS (SELECT CAST(l_linenumber AS DOUBLE) AS x, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS m FROM lineitem GROUP BY 1),
+    s AS (SELECT sum(k) AS kk, sum(m) AS n, sum(k * x) AS t1, sum(m * x) AS t2, sum(m * x * x) AS t3 FROM g) SELECT kk, n, round(pow(t1 - kk * t2 / n, 2) / (kk * (n - kk) * (n * t3 - t2 * t2) / (n * n * (n - 1))), 4) AS chi2_trend FROM s""")
+def trend_chi_square(spark: SparkSession, d: str) -> DataFrame:
+    return measures.trend(t(spark, d, "lineitem"), F.col("l_linenumber"), F.col("l_returnflag") == "R").withColumn("chi2_trend", r("chi2_trend"))
+
+
+@query("""WITH p AS (SELECT user_id, bool_or(event_type = 'error') FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS x, bool_or(event_type = 'error') FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS y FROM events GROUP BY 1),
+    g AS (SELECT CAST(count(*) FILTER (WHERE x AND NOT y) AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE NOT x AND y) AS DOUBLE) AS c FROM p)
+    SELECT b, c, round(b / nullif(c, 0), 4) AS odds_ratio, round(pow(b - c, 2) / nullif(b + c, 0), 4) AS chi2, round(pow(greatest(abs(b - c) - 1, 0), 2) / nullif(b + c, 0), 4) AS chi2_corrected FROM g""")
+def matched_pairs(spark: SparkSession, d: str) -> DataFrame:
+    half = F.lit("2024-01-16").cast("timestamp_ntz")
+    e = t(spark, d, "events").groupBy("user_id").agg(F.bool_or(F.when(F.col("ts") < half, F.col("event_type") == "error")).alias("x"), F.bool_or(F.when(F.col("ts") >= half, F.col("event_type") == "error")).alias("y"))
+    return measures.matched_pairs(e, F.col("x"), F.col("y")).select("b", "c", *[r(c).alias(c) for c in ("odds_ratio", "chi2", "chi2_corrected")])
+
+
+@query("SELECT l_returnflag, count(l_quantity) AS n, round(sum(l_quantity), 2) AS total, round(avg(l_quantity), 4) AS mean, round(var_samp(l_quantity), 4) AS variance, quantile_cont(l_quantity, 0.25) AS q1, median(l_quantity) AS median, quantile_cont(l_quantity, 0.75) AS q3 FROM lineitem GROUP BY 1")
+def means_table(spark: SparkSession, d: str) -> DataFrame:
+    m = measures.means(t(spark, d, "lineitem"), F.col("l_quantity"), ["l_returnflag"])
+    return m.select("l_returnflag", "n", r("total", 2).alias("total"), r("mean").alias("mean"), r("variance").alias("variance"), "q1", "median", "q3")
+
+
+@query("""WITH g AS (SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1), p AS (SELECT *, n / sum(n) OVER () AS share, sum(n) OVER () AS total, 1.959963984540054 AS z FROM g)
+    SELECT value, n, round(share, 6) AS share, round((share + z * z / (2 * total) - z * sqrt(share * (1 - share) / total + z * z / (4 * total * total))) / (1 + z * z / total), 6) AS lower,
+      round((share + z * z / (2 * total) + z * sqrt(share * (1 - share) / total + z * z / (4 * total * total))) / (1 + z * z / total), 6) AS upper FROM p""")
+def frequencies(spark: SparkSession, d: str) -> DataFrame:
+    return measures.frequencies(t(spark, d, "customer"), "c_mktsegment").select("value", "n", *[r(c, 6).alias(c) for c in ("share", "lower", "upper")])
+
+
+@query(f"WITH x AS (SELECT quality = 1 AS e, toxic = 1 AS k FROM labels), g AS (SELECT {_CELLS} FROM x) SELECT 'quality' AS term, round(ln(a * d / (b * c)), 4) AS estimate, round(a * d / (b * c), 4) AS ratio, round(sqrt(1 / a + 1 / b + 1 / c + 1 / d), 4) AS error FROM g")
+def glm_logistic_2x2(spark: SparkSession, d: str) -> DataFrame:
+    m = regression.regress(t(spark, d, "labels"), F.col("toxic"), {"quality": F.col("quality")}).df
+    return m.where("term = 'quality'").select("term", r("estimate").alias("estimate"), r("ratio").alias("ratio"), r("error").alias("error"))
+
+
+@query("""WITH g AS (SELECT event_type, count(*) AS n, sum(value) AS v FROM events GROUP BY 1), ref AS (SELECT n AS rn, v AS rv FROM g WHERE event_type = 'click')
+    SELECT 'type=' || event_type AS term, round((n / v) / (rn / rv), 4) AS ratio FROM g, ref WHERE event_type <> 'click'""")
+def glm_poisson_rates(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
+    levels = ["click", "error", "purchase", "signup", "view"]
+    m = regression.regress(e, F.col("n"), {}, {"type": (F.col("event_type"), levels)}, "poisson", F.log("v")).df
+    return m.where("term <> '(constant)'").select("term", r("ratio").alias("ratio"))
+
+
+# --- rules ----------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH x AS (SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 'small' WHEN o_totalprice < 150000 THEN 'middling' ELSE 'large' END AS band, o_orderpriority, o_orderstatus, o_totalprice FROM orders)
+    SELECT o_orderkey, band, CASE WHEN band = 'large' AND o_orderpriority IN ('1-URGENT', '2-HIGH') THEN CASE WHEN o_orderstatus = 'P' THEN NULL ELSE 'watch' END WHEN o_orderstatus = 'P' THEN 'wait' ELSE 'none' END AS action,
+      CASE WHEN band = 'large' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'P' THEN 1 ELSE 0 END AS n_conflicts FROM x""")
+def rules_classify(spark: SparkSession, d: str) -> DataFrame:
+    c = rules.Condition
+    given = rules.bands("o_totalprice", "band", [50000, 150000], ["small", "middling", "large"])
+    given.append(rules.Rule("action", "watch", [[c("band", "=", "large"), c("o_orderpriority", "=", "1-URGENT")], [c("band", "=", "large"), c("o_orderpriority", "=", "2-HIGH")]]))
+    given.append(rules.Rule("action", "wait", [[c("o_orderstatus", "=", "P")]]))
+    return rules.apply_rules(t(spark, d, "orders"), given, {"action": "none"}).select("o_orderkey", "band", "action", F.size("conflicts").alias("n_conflicts"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice / nullif(l_quantity - 10, 0), 4) AS unit_price FROM lineitem")
+def rules_compute(spark: SparkSession, d: str) -> DataFrame:
+    given = [rules.Rule("less", rules.Compute("l_quantity", "minus", 10)), rules.Rule("unit_price", rules.Compute("l_extendedprice", "divided by", "less"))]
+    out = rules.apply_rules(t(spark, d, "lineitem"), given)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r(F.col("unit_price").cast("double")).alias("unit_price"))
+
+
+@query("SELECT event_id, lag(value) OVER w AS before, coalesce(value < lag(value) OVER w, false) AS fell FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def rules_previous_row(spark: SparkSession, d: str) -> DataFrame:
+    e = rules.previous_row(t(spark, d, "events").select("event_id", "user_id", "ts", "value"), ["user_id"], "ts", {"before": "value"}, "event_id")
+    return e.select("event_id", "before", F.coalesce(F.col("value") < F.col("before"), F.lit(False)).alias("fell"))
+
+
+@query("""WITH g AS (SELECT o_orderpriority AS p, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, count(*) AS n FROM orders GROUP BY 1, 2) SELECT a.p, a.m, a.n, b.n AS before FROM g a LEFT JOIN g b ON a.p = b.p AND b.m = CAST(a.m - INTERVAL 1 MONTH AS DATE)""")
+def rules_previous_month(spark: SparkSession, d: str) -> DataFrame:
+    g = t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("p"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    return rules.previous_period(g, ["p"], "m", "month", {"before": "n"})
+
+
+@query("""WITH s AS (SELECT event_id, user_id, ts, sum(CASE event_type WHEN 'purchase' THEN 2.0 ELSE -1.0 END) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+    SELECT event_id, p + greatest(3.0, 0 - min(p) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS stock FROM s""")
+def rules_carried_value(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "events").withColumn("order", F.struct("ts", "event_id"))
+    step = F.when(F.col("event_type") == "purchase", 2.0).otherwise(-1.0)
+    return rules.carried(e, ["user_id"], "order", 3.0, step, "stock").select("event_id", "stock")
+
+
+# --- profiles -------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT 'l_quantity' AS "column", CAST(l_quantity AS DOUBLE) AS x FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem),
+    g AS (SELECT "column", count(*) AS n_rows, count(DISTINCT x) AS n_distinct, min(x) AS low, quantile_cont(x, 0.25) AS q1, median(x) AS median, quantile_cont(x, 0.75) AS q3, max(x) AS high FROM l GROUP BY 1)
+    SELECT g.*, (SELECT count(*) FROM l WHERE l."column" = g."column" AND (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1))) AS n_beyond FROM g""")
+def profile_columns(spark: SparkSession, d: str) -> DataFrame:
+    p = tables.profile(t(spark, d, "lineitem"), ["l_quantity", "l_discount"])
+    return p.select("column", "n_rows", "n_distinct", "low", "q1", "median", "q3", "high", "n_beyond")
+
+
+@query("""WITH e AS (SELECT min(p_retailprice) AS a, max(p_retailprice) AS b FROM part) SELECT CAST(least(floor((p_retailprice - a) / ((b - a) / 12)), 11) AS INT) AS bin, count(*) AS n FROM part, e GROUP BY 1""")
+def histogram(spark: SparkSession, d: str) -> DataFrame:
+    return tables.histogram(t(spark, d, "part"), F.col("p_retailprice")).select("bin", "n")
+
+
+@query(f"""WITH m AS (SELECT CASE WHEN ({_G}) IS NULL THEN 1.0 ELSE 0.0 END AS a, CASE WHEN l_linenumber % 2 = 0 THEN 1.0 ELSE 0.0 END AS b, CASE WHEN l_quantity > 40 THEN 1.0 ELSE 0.0 END AS c FROM lineitem)
+    SELECT 'a' AS a, 'b' AS b, round(corr(a, b), 4) AS phi FROM m UNION ALL SELECT 'a', 'c', round(corr(a, c), 4) FROM m UNION ALL SELECT 'b', 'c', round(corr(b, c), 4) FROM m""")
+def nullity_phi(spark: SparkSession, d: str) -> DataFrame:
+    cols = {"a": gappy("l_quantity"), "b": F.when(F.col("l_linenumber") % 2 != 0, 1), "c": F.when(F.col("l_quantity") <= 40, 1)}
+    return tables.nullity(t(spark, d, "lineitem"), cols).withColumn("phi", r("phi"))
+
+
+@query("SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 5")
+def top_values(spark: SparkSession, d: str) -> DataFrame:
+    return tables.top_values(t(spark, d, "part"), "p_type")
+
+
+@query("""WITH x AS (SELECT p_partkey, p_retailprice AS v FROM part), n AS (SELECT count(*) AS n FROM x), s AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM x),
+    b AS (SELECT DISTINCT v AS b FROM s, n, range(1, 6) q(k) WHERE i = CAST(ceil(k * n / 5.0) AS BIGINT)) SELECT p_partkey, least((SELECT count(*) FROM b WHERE b < v), (SELECT count(*) FROM b) - 1) AS class FROM x""")
+def quantile_classes(spark: SparkSession, d: str) -> DataFrame:
+    return tables.value_classes(t(spark, d, "part"), "p_retailprice").select("p_partkey", F.col("class").cast("long").alias("class"))
+
+
+@query("SELECT p_partkey, least(greatest(CAST(ceil((p_size - a) / ((b - a) / 5.0)) AS BIGINT) - 1, 0), 4) AS class FROM part, (SELECT min(p_size) AS a, max(p_size) AS b FROM part)")
+def equal_classes(spark: SparkSession, d: str) -> DataFrame:
+    return tables.value_classes(t(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size")), "p_size", 5, "equal").select("p_partkey", F.col("class").cast("long").alias("class"))
+
+
+# --- records, chains ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT min(o_orderkey) AS o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders GROUP BY 2, 3")
+def dedup_table_exact(spark: SparkSession, d: str) -> DataFrame:
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"))
+    return dedup.dedup_table(o, ["o_custkey", "day"], "o_orderkey").df
+
+
+@query()
+def dedup_nearby_points(spark: SparkSession, d: str) -> DataFrame:
+    p = places(spark, d).select("id", "lon", "lat", F.concat(F.lit("Clinic "), (F.col("id") % 40).cast("string")).alias("name"))
+    again = p.select((F.col("id") + 10_000_000).alias("id"), (F.col("lon") + 0.0003).alias("lon"), "lat", F.concat(F.col("name"), F.lit("  ")).alias("name"))
+    return dedup.dedup_points(p.unionByName(again), 100.0).df
+
+
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey // 2 END AS src FROM orders),
+    walk AS (SELECT id, id AS root, 0 AS generation FROM c WHERE src IS NULL OR src NOT IN (SELECT id FROM c) UNION ALL SELECT c.id, walk.root, walk.generation + 1 FROM c JOIN walk ON c.src = walk.id AND c.src <> c.id)
+    SELECT id AS "case", root, CAST(generation AS BIGINT) AS generation FROM walk""")
+def transmission_chains(spark: SparkSession, d: str) -> DataFrame:
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 7 != 0, F.floor(F.col("o_orderkey") / 2)).alias("src"))
+    return graph.chains(o, "id", "src").df.where("status <> 'loop'").select("case", "root", "generation")
+
+
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS f, s_nationkey + 1000000 AS g, 1 + s_suppkey % 3 AS c FROM supplier), b AS (SELECT f, g, c FROM e UNION ALL SELECT g, f, c FROM e),
+    walk AS (SELECT s_suppkey AS origin, s_suppkey AS node, 0 AS cost FROM supplier WHERE s_suppkey <= 3 UNION SELECT origin, b.g, cost + c FROM walk JOIN b ON node = b.f WHERE cost + c <= 4)
+    SELECT origin, node, CAST(min(cost) AS DOUBLE) AS cost FROM walk GROUP BY 1, 2""")
+def reachable_nodes(spark: SparkSession, d: str) -> DataFrame:
+    s = t(spark, d, "supplier")
+    edges = s.select(F.col("s_suppkey").alias("from"), (F.col("s_nationkey") + 1000000).cast("long").alias("to"), (1 + F.col("s_suppkey") % 3).alias("cost"))
+    return graph.reachable(edges, s.where("s_suppkey <= 3").select(F.col("s_suppkey").alias("node")), 4.0, True)
+
+
+# --- places ---------------------------------------------------------------------------------------------------------
+
+_KM = "2 * 6371.0088 * asin(sqrt(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2)))"
+_SITES = f"(SELECT s_suppkey, {S_LON} AS slon, {S_LAT} AS slat FROM supplier WHERE s_suppkey <= 40)"
+
+
+@query(f"""WITH p AS (SELECT c_custkey AS id, {LON} AS lon, {LAT} AS lat FROM customer), k AS (SELECT id, s_suppkey, {_KM.format("lat", "lon", "slat", "slon")} AS km FROM p, {_SITES})
+    SELECT id, arg_min(s_suppkey, km) AS nearest_id, round(min(km), 4) AS distance_km FROM k GROUP BY 1""")
+def haversine_nearest(spark: SparkSession, d: str) -> DataFrame:
+    sites = t(spark, d, "supplier").where("s_suppkey <= 40").select(F.col("s_suppkey").alias("id"), F.expr(S_LON).cast("double").alias("lon"), F.expr(S_LAT).cast("double").alias("lat"))
+    return geo.nearest(places(spark, d), sites, first_km=2000).select("id", "nearest_id", r("distance_km").alias("distance_km"))
+
+
+@query()
+def mean_center(spark: SparkSession, d: str) -> DataFrame:
+    near = places(spark, d).where("lon between 0 and 60 and lat between 0 and 60 and weight > 0")
+    return geo.mean_center(near, F.col("weight"))
+
+
+@query()
+def donut_mask(spark: SparkSession, d: str) -> DataFrame:
+    return geo.donut_mask(places(spark, d), 100, 1000, 7)
+
+
+@query()
+def hexagon_counts(spark: SparkSession, d: str) -> DataFrame:
+    return geo.hexagons(places(spark, d), 250_000, 2).df
+
+
+def _boxes(spark: SparkSession) -> DataFrame:
+    """Thirty-six boxes with a hole, by fixed arithmetic."""
+    return spark.sql(
+        """SELECT concat('box', i) AS name, array(array(struct(x AS x, y AS y), struct(x + 20 AS x, y AS y), struct(x + 20 AS x, y + 30 AS y), struct(x AS x, y + 30 AS y), struct(x AS x, y AS y)),
+        array(struct(x + 5 AS x, y + 5 AS y), struct(x + 8 AS x, y + 5 AS y), struct(x + 8 AS x, y + 9 AS y), struct(x + 5 AS x, y + 9 AS y), struct(x + 5 AS x, y + 5 AS y))) AS geometry
+        FROM (SELECT id AS i, CAST(-180 + (id % 18) * 20 + 0.05 AS DOUBLE) AS x, CAST(-60 + floor(id / 18) * 40 + 0.05 AS DOUBLE) AS y FROM range(36))"""
+    )
+
+
+_BOX = "(SELECT 'box' || i AS name, CAST(-180 + (i % 18) * 20 + 0.05 AS DOUBLE) AS x, CAST(-60 + (i // 18) * 40 + 0.05 AS DOUBLE) AS y FROM range(0, 36) q(i))"
+
+
+@query(f"""WITH p AS (SELECT {LON} AS lon, {LAT} AS lat, c_acctbal AS w FROM customer), h AS (SELECT name, w FROM {_BOX}, p WHERE lon > x AND lon < x + 20 AND lat > y AND lat < y + 30 AND NOT (lon > x + 5 AND lon < x + 8 AND lat > y + 5 AND lat < y + 9))
+    SELECT name, count(w) AS n, round(coalesce(sum(w), 0), 2) AS total FROM {_BOX} LEFT JOIN h USING (name) GROUP BY 1""")
+def points_in_polygons(spark: SparkSession, d: str) -> DataFrame:
+    return geo.summarize_points(places(spark, d), _boxes(spark), F.col("weight"), cell=10.0).withColumn("total", r("total", 2))
+
+
+@query("""WITH b AS (SELECT i, -60 + (i // 18) * 40 + 0.05 AS y FROM range(0, 36) q(i)) SELECT 'box' || i AS name, round(pow(6371008.8, 2) * (radians(20) * (sin(radians(y + 30)) - sin(radians(y))) - radians(3) * (sin(radians(y + 9)) - sin(radians(y + 5)))) / 1e6, 1) AS km2 FROM b""")
+def polygon_area(spark: SparkSession, d: str) -> DataFrame:
+    return _boxes(spark).select("name", r(geo.area_m2(F.col("geometry")) / 1e6, 1).alias("km2"))
+
+
+@query("""WITH b AS (SELECT i, -180 + (i % 18) * 20 + 0.05 AS x, -60 + (i // 18) * 40 + 0.05 AS y FROM range(0, 36) q(i)), g AS (SELECT a * 2.0 AS lon, c * 2.0 AS lat FROM range(-100, 100) p(a), range(-40, 40) o(c))
+    SELECT 'box' || i AS name, count(*) AS n FROM b, g WHERE lon > x AND lon < x + 20 AND lat > y AND lat < y + 30 AND NOT (lon > x + 5 AND lon < x + 8 AND lat > y + 5 AND lat < y + 9) GROUP BY 1""")
+def point_grid(spark: SparkSession, d: str) -> DataFrame:
+    return geo.point_grid(_boxes(spark), 2.0).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def convex_hulls(spark: SparkSession, d: str) -> DataFrame:
+    return geo.convex_hull(places(spark, d), "segment")
+
+
+@query("SELECT CAST(floor(l_tax * 100) AS BIGINT) // 3 AS \"row\", CAST(floor(l_discount * 100) AS BIGINT) // 3 AS col, round(sum(l_quantity), 2) AS value FROM lineitem GROUP BY 1, 2")
+def raster_blocks(spark: SparkSession, d: str) -> DataFrame:
+    cells = t(spark, d, "lineitem").groupBy(F.floor(F.col("l_tax") * 100).alias("row"), F.floor(F.col("l_discount") * 100).alias("col")).agg(F.sum("l_quantity").alias("value"))
+    return raster.reduce_blocks(cells, 3, "sum").withColumn("value", r("value", 2))
+
+
+def _raster(spark: SparkSession) -> tuple[DataFrame, raster.Grid]:
+    cells = spark.range(120 * 360).select((F.col("id") / 360).cast("long").alias("row"), (F.col("id") % 360).alias("col"))
+    return cells.withColumn("value", F.when((F.col("row") + F.col("col")) % 11 != 0, (F.col("row") * 7 + F.col("col") * 3) % 101).cast("double")), raster.Grid(-180.0, 60.0, 1.0)
+
+
+_CELL = "(SELECT rr AS \"row\", cc AS col, CASE WHEN (rr + cc) % 11 <> 0 THEN CAST((rr * 7 + cc * 3) % 101 AS DOUBLE) END AS value FROM range(0, 120) a(rr), range(0, 360) b(cc))"
+
+
+@query(f"SELECT c_custkey AS id, value FROM (SELECT c_custkey, CAST(floor({LON} + 180) AS BIGINT) AS col, CAST(floor(60 - ({LAT})) AS BIGINT) AS \"row\" FROM customer) LEFT JOIN {_CELL} USING (\"row\", col)")
+def raster_sample(spark: SparkSession, d: str) -> DataFrame:
+    cells, grid = _raster(spark)
+    return raster.sample(places(spark, d), cells, grid).select("id", "value")
+
+
+@query(f"""WITH z AS (SELECT *, -180 + col + 0.5 AS lon, 60 - "row" - 0.5 AS lat FROM {_CELL}) SELECT name, count(*) AS cells, count(*) FILTER (WHERE value IS NULL) AS no_data, sum(value) AS total, median(value) AS median, round(stddev_pop(value), 4) AS deviation
+    FROM {_BOX}, z WHERE lon > x AND lon < x + 20 AND lat > y AND lat < y + 30 AND NOT (lon > x + 5 AND lon < x + 8 AND lat > y + 5 AND lat < y + 9) GROUP BY 1""")
+def raster_zonal(spark: SparkSession, d: str) -> DataFrame:
+    cells, grid = _raster(spark)
+    return raster.zonal(cells, _boxes(spark), grid).select("name", "cells", "no_data", "total", "median", r("deviation").alias("deviation"))
+
+
+@query()
+def scan_space_time(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("id"), ((F.col("user_id") * 37) % 100 / 100.0).alias("lon"), ((F.col("user_id") * 53) % 100 / 100.0).alias("lat"), F.col("ts").cast("date").alias("date"))
+    return scan.space_time_scan(e, 15.0, 4, replications=19).df
+
+
+@query("SELECT c_custkey AS id, CASE WHEN lower(trim(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g'))) = '' THEN NULL ELSE lower(trim(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g'))) END AS folded FROM customer")
+def folded_names(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.nullif(values.folded(F.col("c_name")), F.lit("")).alias("folded"))
+
+
+@query("SELECT user_id, count(*) AS n, max(running) AS most FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS running FROM events) GROUP BY 1")
+def rolling_counts(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-9, 0)
+    return t(spark, d, "events").withColumn("running", F.count(F.lit(1)).over(w)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("running").alias("most"))
