@@ -10,12 +10,12 @@ Nothing is collected to the driver. A hot source is only a sum.
 
 Defined cases: a missing source, language or text counts as the group ``(none)`` or as no tokens; documents without
 tokens keep the probability of their cell; a cell whose targets are zero is not kept; targets that name an absent group
-are ignored and the rest scaled to 1; repeated ids draw alike; an empty table gives an empty one; extra columns stay.
+are ignored and the rest scaled to 1; repeated ids draw alike; an empty table gives an empty one; extra columns stay, but for those named ``mix_...``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,12 +26,12 @@ NONE = "(none)"
 ROUNDS, STEP = 12, 4
 DIMS = ("source", "lang", "topic")
 #: Topic and its pattern, in order of precedence; other texts are prose.
-TOPICS = (("licence", r"(?i)licen[sc]ed? under|all rights reserved|copyright \("), ("contact", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]|\(\d{3}\) \d{3}-\d{4}"), ("shouted", r"!![ \n]|[A-Z]{5}"))
+TOPICS = (("licence", r"(?i)licen[sc]ed? under|all rights reserved|copyright \("), ("contact", r"[A-Za-z0-9._-]@[A-Za-z0-9-]+\.[a-z]|\(\d{3}\) \d{3}-\d{4}"), ("shouted", r"!![ \n]|[A-Z]{5}"))
 
 
 def n_tokens(text: Column) -> Column:
     """Words between spaces, as a count of tokens."""
-    return F.coalesce(F.length(F.regexp_replace(F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "w"), r"[\x20\x09-\x0D]+", "")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def topic_of(text: Column) -> Column:
@@ -44,8 +44,9 @@ def topic_of(text: Column) -> Column:
 def with_cells(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
     """docs and mix_source, mix_lang, mix_topic, mix_tokens."""
     t = F.col(f"`{text}`")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix_source", "mix_lang", "mix_topic", "mix_tokens")]
     return docs.select(
-        "*", F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(NONE)).alias("mix_source"), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NONE)).alias("mix_lang"),
+        *others, F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(NONE)).alias("mix_source"), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NONE)).alias("mix_lang"),
         topic_of(t).alias("mix_topic"), n_tokens(t).alias("mix_tokens"),
     )
 
@@ -84,9 +85,13 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     return table.select("mix_source", "mix_lang", "mix_topic", "tokens", "weight", prob.alias("keep_prob"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", targets: Mapping[str, Mapping[str, float]] | None = None, temper: Mapping[str, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """docs and mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_prob, mix_kept."""
-    marked = with_cells(docs)
+def mix(docs: DataFrame, doc_id: str = "doc_id", targets: Mapping[str, Mapping[str, float]] | None = None, temper: Mapping[str, float] | None = None, rounds: int = ROUNDS, carry: Sequence[str] | None = None) -> DataFrame:
+    """docs (or only the columns ``carry``) and mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_prob, mix_kept.
+
+    Each text is read once: the marked documents are stored, the cells are counted and the documents drawn from those.
+    """
+    columns = [c for c in (docs.columns if carry is None else carry) if not c.startswith("mix_")]
+    marked = stored(with_cells(docs).select(*[F.col(f"`{c}`") for c in columns], "mix_source", "mix_lang", "mix_topic", "mix_tokens"), "marked")
     cells = marked.groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("tokens"))
     raked = rake(cells, targets, temper, rounds)
     raked = raked.select("mix_source", "mix_lang", "mix_topic", F.col("weight").alias("mix_weight"), F.col("keep_prob").alias("mix_prob"))

@@ -38,7 +38,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), temper=TEMPER)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), temper=TEMPER, carry=["doc_id"])
     return mixed.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), F.round("mix_prob", 6).alias("mix_prob"), "mix_kept")
 
 
