@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 16, 16, 6, 32, 0.5
 GRAMS = (2, 3, 4)
+MOST_LANGUAGES = 1000  # a model has BUCKETS numbers for each
 TRAIN_DOCS, CALIBRATE = 3000, 4  # documents in the sample; one in so many calibrates
 REJECT_SHARE = 0.001  # of rightly named calibration documents that may be rejected
 UND = "und"
@@ -199,8 +200,14 @@ def training_sample(docs: DataFrame, max_docs: int = TRAIN_DOCS, doc_id: str = "
     # the first of each label by a fixed draw: candidates by a coarse cut of the draw per label, so that no label is sorted whole
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     ids = d.select("doc_id", "lang", draw.alias("draw"))
-    sizes = ids.groupBy("lang").count()
-    ids = ids.join(sizes, "lang").where(F.col("draw") < F.greatest(F.lit(64), F.ceil(F.lit(float((1 << 20) * max_docs * 2)) / F.col("count"))))
+    sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels")
+    if not sizes:
+        return [], []
+    # cut before any shuffle: of each label about twice the sample's documents are left
+    cut = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max(64, -(-(1 << 20) * max_docs * 2 // n)))])
+    ids = ids.where(F.col("draw") < cut[F.col("lang")])
     ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id")))
     chosen = ids.orderBy("nth", "lang", "doc_id").limit(max_docs).select("doc_id").distinct()
     keys = [r[0] for r in chosen.collect()]
