@@ -9,7 +9,10 @@ or replaced, counted by a banded bit-parallel alignment. Classes are the connect
 Equal word sequences are one class member each (grouped by digest first), so copies never meet in a bucket. Buckets are
 not expanded into pairs: a bucket's members are compared with its smallest member, by joins that Spark splits where a
 bucket is hot. After the components of these links are known, every bucket that still holds several components compares
-the smallest member of each component with the bucket's smallest, round by round until no link is added.
+the smallest member of each component with the bucket's smallest, for at most ``ROUNDS`` rounds. These rounds only make
+the components large. Members of different components that still share a bucket are then compared in blocks of at most
+``BLOCK`` each: inside a task, histograms of hashed words (whose distance is at most twice the edits) rule out most of
+them, and the rest is aligned. So no pair that shares a sketch is left untried unless its classes are already one.
 
 Defined cases: a missing text and a text without words are classes of their own; a text of fewer than five words is only
 in a class with equal word sequences; repeated ids are one document if their texts are equal and the larger text is used
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from tallygrove.llm.common import RangeHash, components, forget, mixed, release_shuffles, split_words, stored, text_slices, word_hashes
 
 K, SKETCHES, PICKS, SIMILARITY, ROUNDS = 5, 32, 2, 0.8, 4
+BLOCK, BINS = 512, 128
 NONE = b""
 
 
@@ -189,18 +193,69 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
 
 def _coded(docs: DataFrame) -> DataFrame:
-    """doc_id, codes: the words as unsigned 32-bit hashes, which the alignment compares."""
+    """doc_id, codes: the words as unsigned 32-bit hashes, which the alignment compares; counts: their histogram of ``BINS`` bins."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, counts = [], []
             for _, _, offs, data in text_slices(batch.column(1)):
                 starts, ends, first = split_words(data, offs)
                 words = (word_hashes(data, starts, ends) >> np.uint64(32)).astype("<u4")
-                out += [words[first[i] : first[i + 1]].tobytes() for i in range(len(offs) - 1)]
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "codes"])
+                for i in range(len(offs) - 1):
+                    some = words[first[i] : first[i + 1]]
+                    out.append(some.tobytes())
+                    counts.append(np.minimum(np.bincount(some % BINS, minlength=BINS), 65535).astype("<u2").tobytes())
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "codes", "counts"])
+
+    return docs.mapInArrow(make, "doc_id long, codes binary, counts binary")
+
+
+def may_be_similar(asked: pa.Table, others: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (smaller id, larger id) of two blocks, of different components, that their lengths and histograms don't rule out."""
+
+    def columns(t: pa.Table) -> tuple[np.ndarray, ...]:
+        counts = np.frombuffer(b"".join(t["counts"].to_pylist()), "<u2").reshape(-1, BINS).astype(np.int32)
+        return t["doc_id"].to_numpy(), t["n_words"].to_numpy(), t["component"].to_numpy(), counts
 
-    return docs.mapInArrow(make, "doc_id long, codes binary")
+    ids_a, n_a, comp_a, counts_a = columns(asked)
+    ids_b, n_b, comp_b, counts_b = columns(others)
+    order = np.argsort(n_b, kind="stable")
+    ids_b, n_b, comp_b, counts_b = ids_b[order], n_b[order], comp_b[order], counts_b[order]
+    lo, hi = np.searchsorted(n_b, np.ceil(least * n_a - 1e-6)), np.searchsorted(n_b, np.floor(n_a / least + 1e-6), side="right")
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(ids_a)):
+        at = lo[i] + np.flatnonzero(comp_b[lo[i] : hi[i]] != comp_a[i])
+        apart = np.abs(counts_b[at] - counts_a[i]).sum(axis=1)
+        at = at[apart <= 2 * (1 - least) * np.maximum(n_b[at], n_a[i]) + 1e-6]
+        a.append(np.minimum(ids_b[at], ids_a[i]))
+        b.append(np.maximum(ids_b[at], ids_a[i]))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _untried(buckets: DataFrame, comp: DataFrame, codes: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """a, b: pairs of different components that share a bucket and may be similar, compared block by block.
+
+    Everything outside a bucket's largest component is compared with the whole bucket; both sides are dealt into blocks.
+    """
+    there = buckets.select("key", "doc_id", "n_words").join(comp, F.col("doc_id") == F.col("node")).drop("node")
+    sizes = there.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    sizes = sizes.select("key", F.col("largest.component").alias("main"), blocks(F.col("all") - F.col("largest.n")).alias("asks"), blocks(F.col("all")).alias("holds"))
+    rows = there.join(sizes, "key").join(codes.select(F.col("doc_id").alias("coded"), "counts"), F.col("doc_id") == F.col("coded")).drop("coded")
+    rows = stored(rows, "mixed-buckets")
+    part = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    plain = ["key", "doc_id", "n_words", "component", "counts"]
+    asked = rows.where("component <> main").select(*plain, part("asks").alias("i"), every("holds").alias("j"))
+    held = rows.select(*plain, every("asks").alias("i"), part("holds").alias("j"))
+    held = held.toDF(*held.columns)
+
+    def compare(left, right):
+        a, b = may_be_similar(left, right, least) if left.num_rows and right.num_rows else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return asked.groupBy("key", "i", "j").cogroup(held.groupBy("key", "i", "j")).applyInArrow(compare, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, codes: DataFrame, least: float) -> DataFrame:
@@ -252,6 +307,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not new:
             break
         comp = grown = stored(wanted.join(components(links, "a", "b"), F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "doc_id").alias("component")), "classes")
+    # whatever the rounds left untried
+    pairs = stored(_untried(buckets, comp, codes, least).join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = stored(_verified(pairs, codes, least), "links")
+    release_shuffles(spark)
+    if found.limit(1).count():
+        links = links.unionByName(found)
+        grown = stored(components(links, "a", "b"), "classes")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     if grown is None:
         out = members.withColumn("class_id", F.col("rep"))
