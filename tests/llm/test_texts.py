@@ -127,6 +127,48 @@ def test_near_duplicates(spark):
     assert order_minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_links_beside_the_smallest_member_of_a_shared_passage(spark):
+    """Pairs inside buckets whose smallest member is no duplicate: every similar pair that shares a sketch ends in one class."""
+    rng = np.random.default_rng(21)
+    passage = prose(rng, 60)
+    texts = [passage + " " + prose(rng, 25) for _ in range(40)]
+    for t in texts[10:40]:
+        w = t.split()
+        for at in rng.choice(len(w), 9, replace=False):
+            w[at] = "edited"
+        texts.append(" ".join(w))
+    d = docs(spark, texts)
+    whole = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(d).collect()}
+    few = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(d, rounds=1).collect()}
+    sketched = {r["doc_id"]: set(r["sketches"]) for r in order_minhash._sketched(d.select("doc_id", "text")).collect()}
+    words = [t.split() for t in texts]
+    low = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sketched[i] & sketched[j] and edits(words[i], words[j]) <= 0.2 * max(len(words[i]), len(words[j])) + 1e-9:
+                a, b = low[i], low[j]
+                low = [min(a, b) if x in (a, b) else x for x in low]
+    assert whole == few == dict(enumerate(low))
+    assert len(set(low)) > 5
+
+
+def test_histograms_rule_out_no_similar_pair():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(22)
+    words = [rng.integers(0, 50, int(n)) for n in rng.integers(5, 60, 60)]
+    words += [np.where(rng.random(len(w)) < 0.15, 7, w) for w in words]
+    counts = [np.bincount(w, minlength=order_minhash.BINS).astype("<u2").tobytes() for w in words]
+    ids = np.arange(len(words))
+    table = pa.table({"doc_id": ids, "n_words": [len(w) for w in words], "component": ids, "counts": pa.array(counts, pa.binary())})
+    a, b = order_minhash.may_be_similar(table.slice(0, 60), table, 0.8)
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    for i in range(60):
+        for j in range(len(words)):
+            if i != j and edits(list(words[i]), list(words[j])) <= 0.2 * max(len(words[i]), len(words[j])) + 1e-9:
+                assert (min(i, j), max(i, j)) in found
+
+
 KEY = "AKIA" + "Q7" * 8
 BASE = [
     (0, re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 12),
@@ -198,9 +240,8 @@ def test_packing_is_a_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
     rng = np.random.default_rng(3)
-    texts = [prose(rng, int(n)) for n in rng.integers(1, 300, 30)] + [None, "", "<|endoftext|> ünïcödé 漢字   \r\n\n  x", prose(rng, 5000), "same", "same"]
+    texts = [prose(rng, int(n)) for n in rng.integers(1, 300, 30)] + [None, "", "<|endoftext|>", "a <|endoftext|> ünïcödé 漢字   \r\n\n  x", prose(rng, 5000), "same", "same"]
     pieces = packing.pack(docs(spark, texts).repartition(5)).collect()
     want = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for i, x in enumerate(texts)}
     seen: dict[int, list] = {}
