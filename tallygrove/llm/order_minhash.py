@@ -33,6 +33,7 @@ from tallygrove.llm.common import RangeHash, components, forget, mixed, release_
 
 K, SKETCHES, PICKS, SIMILARITY, ROUNDS = 5, 32, 2, 0.8, 4
 BLOCK, BINS = 512, 128
+TEXT_ROWS = 1000  # texts in an Arrow batch
 NONE = b""
 
 
@@ -275,7 +276,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     other word sequences), n_copies (other documents with the same words)."""
     spark = docs.sparkSession
     d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("doc_id is not null")
-    every = stored(_sketched(d).groupBy("doc_id").agg(F.max(F.struct("n_words", "digest", "sketches")).alias("x")).select("doc_id", "x.n_words", "x.digest", "x.sketches"), "sketches")
+    every = stored(_sketched(d).groupBy("doc_id").agg(F.max(F.struct("n_words", "digest", "sketches")).alias("x")).select("doc_id", "x.n_words", "x.digest", "x.sketches"), "sketches", batch_rows=TEXT_ROWS)
     # equal word sequences: one stands for all, the smallest id; documents without words stand alone
     stands = every.where("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     members = every.select("doc_id", "digest", "n_words").join(stands, "digest", "left").select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
@@ -286,7 +287,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = stored(keys.join(many, "key").select("key", "low", "doc_id", "n_words"), "buckets")  # only keys that several documents share
     release_shuffles(spark)
     wanted = buckets.select("doc_id").distinct()
-    codes = stored(_coded(d.join(wanted, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))), "codes")
+    codes = stored(_coded(d.join(wanted, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))), "codes", batch_rows=TEXT_ROWS)
     release_shuffles(spark)
     fits = f"least(n_words, low_words) >= {least} * greatest(n_words, low_words) - 1e-6"
     tried = links = grown = None
@@ -299,7 +300,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        found = stored(_verified(pairs, codes, least), "links")
+        found = stored(_verified(pairs, codes, least), "links", batch_rows=TEXT_ROWS)
         release_shuffles(spark)
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = found.limit(1).count()
@@ -309,7 +310,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         comp = grown = stored(wanted.join(components(links, "a", "b"), F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "doc_id").alias("component")), "classes")
     # whatever the rounds left untried
     pairs = stored(_untried(buckets, comp, codes, least).join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = stored(_verified(pairs, codes, least), "links")
+    found = stored(_verified(pairs, codes, least), "links", batch_rows=TEXT_ROWS)
     release_shuffles(spark)
     if found.limit(1).count():
         links = links.unionByName(found)
