@@ -1,18 +1,22 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
-A document's k-mers are its windows of five words, each labelled with how often it occurred before in the document. A
+A document's k-mers are its windows of three words, each labelled with how often it occurred before in the document. A
 sketch takes the ``PICKS`` labelled k-mers with the smallest values of one hash function and keeps them in text order;
 two documents share it with a probability that falls with their edit distance. Documents that share one of ``SKETCHES``
 sketches are candidates, and are linked if ``1 - edits / longer length >= 0.8``, where edits are words inserted, deleted
 or replaced, counted by a banded bit-parallel alignment. Classes are the connected components of the links.
 
+Texts of 5 to ``SHORT`` words have no sketches but exact keys: the longer text of a pair is cut into one segment more than
+the edits the pair may have, so one segment is left whole and lies in the shorter text, shifted by no more than the edits.
+Every pair at the threshold whose shorter text has at most ``SHORT`` words shares such a key.
+
 Equal word sequences are one class member each (grouped by digest first), so copies never meet in a bucket. Buckets are
 not expanded into pairs: a bucket's members are compared with its smallest member, by joins that Spark splits where a
 bucket is hot. After the components of these links are known, every bucket that still holds several components compares
 the smallest member of each component with the bucket's smallest, for at most ``ROUNDS`` rounds. These rounds only make
 the components large. Members of different components that still share a bucket are then compared in blocks of at most
 ``BLOCK`` each: inside a task, histograms of hashed words (whose distance is at most twice the edits) rule out most of
-them, and the rest is aligned. So no pair that shares a sketch is left untried unless its classes are already one.
+them, and the rest is aligned. So no pair that shares a sketch or key is left untried unless its classes are already one.
 
 Defined cases: a missing text and a text without words are classes of their own; a text of fewer than five words is only
 in a class with equal word sequences; repeated ids are one document if their texts are equal and the larger text is used
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,8 @@ from pyspark.sql import functions as F
 
 from tallygrove.llm.common import RangeHash, components, forget, mixed, release_shuffles, split_words, stored, text_slices, word_hashes
 
-K, SKETCHES, PICKS, SIMILARITY, ROUNDS = 5, 32, 2, 0.8, 4
+K, SKETCHES, PICKS, SIMILARITY, ROUNDS = 3, 64, 2, 0.8, 4
+LEAST_WORDS, SHORT = 5, 24
 BLOCK, BINS = 512, 128
 TEXT_ROWS = 1000  # texts in an Arrow batch
 NONE = b""
@@ -82,6 +88,37 @@ def sketches(data: np.ndarray, offs: np.ndarray, n_sketches: int = SKETCHES) ->
     return words, first, rows, out
 
 
+@cache
+def _segments(n: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of words and kind of the keys of a text of n words: its own segments as the longer text of a pair,
+    and as the shorter one the places where a segment of a longer text may lie."""
+    made = set()
+    for longer in range(n, int(n / least + 1e-9) + 1):
+        if longer > n and n > SHORT:
+            break
+        most = int((1 - least) * longer + 1e-9)
+        if not most:
+            continue
+        cuts = [longer * i // (most + 1) for i in range(most + 2)]
+        for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            shifts = [x for x in range(-most, most + 1) if abs(x) + abs(x + longer - n) <= most] if n <= SHORT else [0]
+            made |= {(lo + x, hi - lo, longer * 1024 + i) for x in shifts if 0 <= lo + x and hi + x <= n}
+    at, size, kind = np.array(sorted(made), np.int64).reshape(-1, 3).T
+    return at, size, mixed(kind.astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93))
+
+
+def short_keys(words: np.ndarray, first: np.ndarray, least: float = SIMILARITY) -> dict[int, np.ndarray]:
+    """For the rows that may be in a pair whose shorter text has at most ``SHORT`` words: their exact keys."""
+    n, hashes, out = np.diff(first), RangeHash(words), {}
+    for size in range(LEAST_WORDS, int(SHORT / least + 1e-9) + 1):
+        rows = np.flatnonzero(n == size)
+        at, length, kind = _segments(size, least)
+        if len(rows) and len(at):
+            lo = first[rows][:, None] + at
+            out |= zip(rows.tolist(), mixed(hashes.of(lo, lo + length) ^ kind).view(np.int64), strict=True)
+    return out
+
+
 def edit_distance(a: list[int], b: list[int], most: int) -> int:
     """Words to insert, delete or replace to make b from a, or most + 1 if more: the band of diagonals within ``most`` of the main one.
 
@@ -169,12 +206,15 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     if not longer:
         return 1.0
     most = int((1 - least) * longer + 1e-9)
+    # an edit moves the histograms of words by 2 at most
+    if np.abs(np.bincount(a % BINS, minlength=BINS) - np.bincount(b % BINS, minlength=BINS)).sum() > 2 * most:
+        return -1.0
     d = edit_distance(a.tolist(), b.tolist(), most)
     return 1 - d / longer if d <= most else -1.0
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the word sequence), n_words, sketches."""
+def _sketched(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, digest (of the word sequence), n_words, sketches (of a short text its exact keys, of one a little longer both)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +227,10 @@ def _sketched(docs: DataFrame) -> DataFrame:
                     sizes[lo + i] = len(some)
                     digests[lo + i] = hashlib.blake2b(some.tobytes(), digest_size=16).digest()
                 for r, values in zip(rows, made.view(np.int64), strict=True):
-                    sk[lo + int(r)] = values
+                    if first[r + 1] - first[r] > SHORT:
+                        sk[lo + int(r)] = values
+                for r, values in short_keys(words, first, least).items():
+                    sk[lo + r] = values if sk[lo + r] is None else np.concatenate([sk[lo + r], values])
             yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(sk, pa.list_(pa.int64()))], names=["doc_id", "digest", "n_words", "sketches"])
 
     return docs.mapInArrow(make, "doc_id long, digest binary, n_words long, sketches array<long>")
@@ -276,7 +319,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     other word sequences), n_copies (other documents with the same words)."""
     spark = docs.sparkSession
     d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("doc_id is not null")
-    every = stored(_sketched(d).groupBy("doc_id").agg(F.max(F.struct("n_words", "digest", "sketches")).alias("x")).select("doc_id", "x.n_words", "x.digest", "x.sketches"), "sketches", batch_rows=TEXT_ROWS)
+    every = stored(_sketched(d, least).groupBy("doc_id").agg(F.max(F.struct("n_words", "digest", "sketches")).alias("x")).select("doc_id", "x.n_words", "x.digest", "x.sketches"), "sketches", batch_rows=TEXT_ROWS)
     # equal word sequences: one stands for all, the smallest id; documents without words stand alone
     stands = every.where("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     members = every.select("doc_id", "digest", "n_words").join(stands, "digest", "left").select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))

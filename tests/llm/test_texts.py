@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallygrove.llm import langid, order_minhash, packing, secrets, substring
@@ -127,6 +128,59 @@ def test_near_duplicates(spark):
     assert order_minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def edited(rng, words, n_edits):
+    """words with so many of them replaced."""
+    out = list(words)
+    for at in rng.choice(len(out), n_edits, replace=False):
+        out[at] = f"new{rng.integers(1 << 40)}"
+    return out
+
+
+def test_pairs_at_the_threshold_share_a_sketch():
+    """Recall of the candidates at similarities of 0.80 and 0.85, and every one of the short pairs."""
+    from tallygrove.llm.common import text_slices
+
+    rng = np.random.default_rng(31)
+
+    def sharing(pairs):
+        texts = pa.array([" ".join(w) for pair in pairs for w in pair])
+        sets = []
+        for _, _, offs, data in text_slices(texts):
+            words, first, rows, made = order_minhash.sketches(data, offs)
+            some = [set() for _ in range(len(offs) - 1)]
+            for r, values in zip(rows, made.view(np.int64), strict=True):
+                if first[r + 1] - first[r] > order_minhash.SHORT:
+                    some[r] |= set(values.tolist())
+            for r, values in order_minhash.short_keys(words, first).items():
+                some[r] |= set(values.tolist())
+            sets += some
+        return np.mean([bool(a & b) for a, b in zip(sets[::2], sets[1::2], strict=True)])
+
+    def drawn(n):
+        return [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+
+    for n in (25, 50, 100, 500):
+        for similarity in (0.80, 0.85):
+            pairs = [(w, edited(rng, w, int((1 - similarity) * n + 1e-9))) for w in (drawn(n) for _ in range(200))]
+            assert sharing(pairs) >= 0.98
+    short = [("a b c d e f g h i j".split(), "a b c d e X g h i j".split()), ("a b c d e".split(), "a b X c d e".split())]
+    for _ in range(1500):  # words replaced, left out and put in, as many as the threshold allows
+        w = drawn(int(rng.integers(5, 25)))
+        longer = int(rng.integers(len(w), len(w) * 5 // 4 + 1))
+        more = longer - len(w)
+        other = edited(rng, w, int(0.2 * longer + 1e-9) - more)
+        for _ in range(more):
+            other.insert(int(rng.integers(0, len(other) + 1)), f"in{rng.integers(1 << 40)}")
+        short.append((w, other))
+    assert sharing(short) == 1.0
+
+
+def test_short_near_duplicates(spark):
+    texts = ["a b c d e f g h i j", "a b c d e X g h i j", "k l m n o", "k l X m n o", "q r s t u v", "q r s t Y Z"]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5}
+
+
 def test_links_beside_the_smallest_member_of_a_shared_passage(spark):
     """Pairs inside buckets whose smallest member is no duplicate: every similar pair that shares a sketch ends in one class."""
     rng = np.random.default_rng(21)
