@@ -9,8 +9,10 @@ Each document is handled alone in one pass without a shuffle. Slices of a few MB
 and markers, so that most texts never reach the regular expressions.
 
 Defined cases: a missing text is empty; an empty text has no span; repeated documents get equal rows; spans count code
-points, end exclusive; an escape that isn't valid stays as written; a compressed layer above ``MAX_LAYER`` bytes is not
-read further and is counted in ``n_unread``; extra columns are ignored.
+points, end exclusive; an escape that isn't valid stays as written; base64 is read by line and over line breaks; bytes that
+are no UTF-8 are read as Latin-1, and with null bytes also as UTF-16; every member of compressed data is read, in overlapping
+pieces of ``MAX_LAYER`` bytes; what lies beyond ``MAX_READ`` bytes of one layer, or a run of base64 too long for a piece's
+overlap, is counted in ``n_unread``; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import io
 import lzma
 import re
 import zlib
@@ -26,13 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.llm.common import text_slices
 
 KINDS = ("assign", "access", "hex")
-MAX_LAYER = 1 << 24
+MAX_LAYER, OVERLAP, MAX_READ, MOST_LEVELS = 1 << 24, 1 << 16, 1 << 30, 64
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
@@ -40,11 +44,17 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _ONE_ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]+)\}?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
-_UNPRINTED = re.compile(r"[^\t\n\r\x20-\x7e\u00a0-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
-
-_IS_HEX, _IS_BASE64 = np.zeros(256, bool), np.zeros(256, bool)
+#: The same over line breaks, plain or written as \\n, with indents and marks of quotation.
+_BREAK = r"[\x20\t>]*(?:\r?\n|(?:\\r)?\\n)[\x20\t>]*"
+_LINES = tuple(re.compile(rf"{c}{{16,}}+(?:{_BREAK}{c}++(?=={{0,2}}[\"'`,;)\]}}<]*[\x20\t]*(?:[\r\n\\]|\Z)))+={{0,2}}") for c in ("[A-Za-z0-9+/]", "[A-Za-z0-9_-]"))
+_BREAKS = re.compile(_BREAK)
+#: Without any of these a layer holds no secret and no further layer.
+_WORTH = re.compile(r"(?ai:passw|secret|token|api)|AKIA|[A-Za-z0-9+/_-]{16}|\\[uUx]|%[0-9A-Fa-f]{2}")
+
+_IS_HEX, _IS_BASE64, _IN_LINES = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _IS_HEX[list(b"0123456789abcdef")] = True
 _IS_BASE64[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
+_IN_LINES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n\\ \t>")] = True
 _NO_SPANS = hashlib.sha256(b"").hexdigest()
 
 
@@ -123,61 +133,167 @@ def _escapes(run: str) -> list[tuple[str, int]] | None:
     return [("\ufffd" if 0xD800 <= ord(c) < 0xE000 else c, k) for c, k in out]
 
 
-def _inflate(data: bytes) -> tuple[bytes | None, bool]:
-    """Decompressed bytes of gzip, zlib, bzip2, xz or zstandard data; whether it was too large to read."""
+class _Inflated(io.RawIOBase):
+    """The bytes of gzip or zlib data, over all its members."""
+
+    def __init__(self, source) -> None:
+        self.source, self.inflater, self.rest = source, zlib.decompressobj(47), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while True:
+            if self.inflater.eof:
+                self.rest, self.inflater = self.inflater.unused_data, zlib.decompressobj(47)
+            data = self.rest or self.source.read1(1 << 16)
+            out = self.inflater.decompress(data, len(into))
+            self.rest = self.inflater.unconsumed_tail
+            if out or not data:
+                into[: len(out)] = out
+                return len(out)
+
+
+def _opener(head: bytes):
+    """What opens a stream that begins with these bytes, or None if it isn't compressed."""
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0:
+        return _Inflated
+    if head[:3] == b"BZh":
+        return bz2.BZ2File
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMAFile
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return lambda f: io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True), 1 << 16)
+    return None
+
+
+def _carried(data: bytes) -> tuple[bytes, bool]:
+    """The end of a piece that the next one begins with: a base64 run that may go on, or else ``OVERLAP``; whether a run was too long."""
+    tail = np.frombuffer(data, np.uint8)[-(MAX_LAYER // 2) :]
+    word = _IS_BASE64[tail]
+    gap = ~word  # a space or mark between two words is no indent
+    gap[1:-1] &= word[:-2] & word[2:]
+    gap[[0, -1]] = False
+    stops = np.flatnonzero(~_IN_LINES[tail] | gap & ((tail == 32) | (tail == 9) | (tail == 62)))
+    size = len(tail) - 1 - int(stops[-1]) if len(stops) else len(tail)
+    return data[-(max(size, OVERLAP) if len(stops) else OVERLAP) :], not len(stops)
+
+
+def _unpacked(data: bytes) -> Iterator[bytes | None]:
+    """The data and what they hold when decompressed, as often as they are compressed; None for what is left unread."""
+    yield data
+    chain, head = [], data[:6]
+    for _ in range(MOST_LEVELS):
+        opener = _opener(head)
+        if opener is None:
+            return
+        chain.append(opener)
+        stream = io.BytesIO(data)
+        for k in chain:
+            stream = io.BufferedReader(k(stream), 1 << 16)
+        head, piece, new, total, pieces = b"", bytearray(), 0, 0, 0
+        while total <= MAX_READ:
+            try:
+                read = stream.read1(1 << 16)
+            except Exception:
+                break  # damaged, or only looked like compressed data
+            if not read:
+                break
+            piece += read
+            new, total = new + len(read), total + len(read)
+            if len(piece) >= MAX_LAYER:
+                head, pieces = head or bytes(piece[:6]), pieces + 1
+                yield bytes(piece)
+                carried, long = _carried(bytes(piece))
+                if long:
+                    yield None
+                piece, new = bytearray(carried), 0
+        else:
+            yield None
+        if new:
+            yield bytes(piece)
+        if not pieces:  # all at hand: the next level begins here
+            data, chain, head = bytes(piece), [], bytes(piece[:6])
+    if _opener(head):
+        yield None
+
+
+def _readings(data: bytes) -> Iterator[str]:
+    """The bytes as text: UTF-8, or else Latin-1; with null bytes also UTF-16 in either order from either of the first bytes."""
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, MAX_LAYER)
-            return (None, True) if d.unconsumed_tail else (out, False)
-        if data[:3] == b"BZh" or data[:6] == b"\xfd7zXZ\x00":
-            d = bz2.BZ2Decompressor() if data[:3] == b"BZh" else lzma.LZMADecompressor()
-            out = d.decompress(data, MAX_LAYER)
-            return (None, True) if not d.eof and not d.needs_input else (out, False)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(MAX_LAYER + 1)
-            return (None, True) if len(out) > MAX_LAYER else (out, False)
-    except Exception:
-        return None, False  # only looked like compressed data
-    return None, False
-
-
-def _blobs(text: str) -> Iterator[tuple[int, int, str | None, bool]]:
-    """Start, end and decoded text of base64 runs; True where a compressed one was too large."""
+        yield data.decode()
+    except UnicodeDecodeError:
+        yield data.decode("latin-1")
+    if b"\0" in data:
+        for order in ("utf-16-le", "utf-16-be"):
+            for first in (0, 1):
+                yield data[first:].decode(order, "replace")
+
+
+def _runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and characters of base64 runs: by line, over lines of one length and a shorter last one, and over all lines."""
     seen = set()
-    for pattern in _BASE64:
+    for pattern, lines in zip(_BASE64, _LINES, strict=True):
         for m in pattern.finditer(text):
-            if m.span() in seen:
-                continue
-            seen.add(m.span())
-            run = m.group().rstrip("=")
-            if len(run) % 4 == 1:
-                run = run[:-1]
-            data = base64.b64decode(run + "=" * (-len(run) % 4), altchars=b"-_" if "-" in run or "_" in run else None)
-            for _ in range(64):  # compressed more than once
-                inner, large = _inflate(data)
-                if large:
-                    yield m.start(), m.end(), None, True
-                if inner is None or inner == data:
-                    break
-                data = inner
-            try:
-                inside = data.decode()
-            except UnicodeDecodeError:
-                continue
-            if inside and not _UNPRINTED.search(inside):
-                yield m.start(), m.end(), inside, False
+            if m.span() not in seen:
+                seen.add(m.span())
+                yield *m.span(), m.group()
+        for m in lines.finditer(text) if "\n" in text or "\\n" in text else ():
+            cuts = [(b.start() + m.start(), b.end() + m.start()) for b in _BREAKS.finditer(m.group())]
+            parts = list(zip([m.start(), *[e for _, e in cuts]], [*[b for b, _ in cuts], m.end()], strict=True))
+            groups, at = [(0, len(parts))], 0
+            while at < len(parts):
+                size, end = parts[at][1] - parts[at][0], at + 1
+                while end < len(parts) and parts[end][1] - parts[end][0] == size:
+                    end += 1
+                last = end < len(parts) and parts[end][1] - parts[end][0] < size
+                groups.append((at, end + last))
+                at = end
+            for a, b in groups:
+                span = parts[a][0], parts[b - 1][1]
+                if b - a > 1 and span not in seen:
+                    seen.add(span)
+                    yield *span, "".join(text[x:y] for x, y in parts[a:b])
+
+
+def _blobs(text: str) -> Iterator[tuple[int, int, str | None]]:
+    """Start, end and decoded text of base64 runs; None as text for what was left unread."""
+    for start, end, run in _runs(text):
+        run = run.rstrip("=")
+        if len(run) % 4 == 1:
+            run = run[:-1]
+        data = base64.b64decode(run + "=" * (-len(run) % 4), altchars=b"-_" if "-" in run or "_" in run else None)
+        for piece in _unpacked(data):
+            if piece is None:
+                yield start, end, None
+            else:
+                for inside in _readings(piece):
+                    if _WORTH.search(inside):
+                        yield start, end, inside
 
 
 def unwrap(text: str) -> tuple[list[tuple[int, int, int]], int]:
-    """Spans (start, kind number, end) in the original of secrets in all layers below the text, and how many layers were too large."""
+    """Spans (start, kind number, end) in the original of secrets in all layers below the text, and how many layers were not read to their end."""
     found, unread, seen = set(), 0, set()
-    work = [Layer(text)]
+
+    def below(layer: Layer) -> Iterator[Layer]:
+        nonlocal unread
+        if "%" in layer.text and (other := layer.rewritten(_PERCENT, _percent)):
+            yield other
+        if "\\" in layer.text and (other := layer.rewritten(_ESCAPE, _escapes)):
+            yield other
+        for start, end, inside in _blobs(layer.text):
+            if inside is None:
+                unread += 1
+            else:
+                yield Layer(inside, *layer.span(start, end))
+
+    work = [iter([Layer(text)])]  # depth first, so that few layers are held
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         key = layer.key()
         if key in seen:
             continue
@@ -186,14 +302,7 @@ def unwrap(text: str) -> tuple[list[tuple[int, int, int]], int]:
             for start, kind, end in scan(layer.text):
                 lo, hi = layer.span(start, end)
                 found.add((lo, kind, hi))
-        if "%" in layer.text and (below := layer.rewritten(_PERCENT, _percent)):
-            work.append(below)
-        if "\\" in layer.text and (below := layer.rewritten(_ESCAPE, _escapes)):
-            work.append(below)
-        for start, end, inside, large in _blobs(layer.text):
-            unread += large
-            if inside is not None:
-                work.append(Layer(inside, *layer.span(start, end)))
+        work.append(below(layer))
     return sorted(found), unread
 
 

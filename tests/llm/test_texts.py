@@ -316,3 +316,50 @@ def test_packing_is_a_round_trip(spark):
         assert sum(n for _, n in parts) == packing.WINDOW or s == full[-1]
     assert packing.pack(docs(spark, [])).count() == 0
     assert struct.pack("<I", 1) == np.array([1], "<u4").tobytes()
+
+
+def test_secrets_in_every_member_line_and_encoding():
+    import bz2
+    import lzma
+    import textwrap
+
+    import zstandard
+
+    rng = np.random.default_rng(41)
+    filler = " ".join(rng.choice(WORDS, 90)).encode()
+    hidden = f"{filler.decode()} {KEY} {filler.decode()}"
+
+    def kinds(text):
+        found, unread = secrets.unwrap(text)
+        assert all(0 <= s < e <= len(text) for s, _, e in found)
+        return {k for _, k, _ in found}, unread
+
+    for squeeze in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        members = squeeze(filler) + squeeze(hidden.encode())
+        assert kinds("x " + base64.b64encode(members).decode()) == ({1}, 0), squeeze
+        assert kinds("x " + base64.b64encode(gzip.compress(members)).decode()) == ({1}, 0), squeeze
+    for width in (64, 76):
+        for raw in (hidden.encode(), gzip.compress(hidden.encode(), mtime=0)):
+            coded = base64.b64encode(raw).decode()
+            for text in ("Key:\n" + "\n".join(textwrap.wrap(coded, width)) + "\nend of it", "> " + "\r\n> ".join(textwrap.wrap(coded, width)), '"' + "\\n".join(textwrap.wrap(coded, width)) + '"', "NAMEOFTHEFOLLOWING\n" + "\n".join(textwrap.wrap(coded, width))):
+                assert kinds(text) == ({1}, 0), text
+    crossing = base64.b64encode(b"-" * 40 + KEY.encode() + b"-" * 40).decode()  # the secret lies on the break
+    text = crossing[:64] + "\n" + crossing[64:]
+    assert secrets.unwrap(text)[0] == [(0, 1, len(text))]
+    for raw in (b"\x01\x02 " + hidden.encode() + b"\x00", hidden.encode("utf-16"), hidden.encode("utf-16-be"), b"odd" + hidden.encode("utf-16-le"), ("\xe9 " + hidden).encode("latin-1")):
+        assert kinds(base64.b64encode(raw).decode()) == ({1}, 0), raw[:8]
+
+
+def test_secrets_in_layers_above_a_piece(monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_LAYER", 1 << 20)
+    rng = np.random.default_rng(42)
+    filler = (prose(rng, 2000).encode() + b" ") * 400
+    nested = base64.b64encode(gzip.compress(f"{KEY} ".encode())).decode().encode()
+    for at in (1 << 20, len(filler) - 5):  # on the border of two pieces, and at the end
+        for planted in (KEY.encode(), nested):
+            big = filler[: at - 8] + b" " + planted + b" " + filler[at:]
+            for data in (gzip.compress(big), gzip.compress(gzip.compress(big)), gzip.compress(filler) + gzip.compress(big)):
+                found, unread = secrets.unwrap(base64.b64encode(data).decode())
+                assert {k for _, k, _ in found} == {1} and not unread
+    monkeypatch.setattr(secrets, "MAX_READ", 1 << 20)
+    assert secrets.unwrap(base64.b64encode(gzip.compress(filler)).decode())[1] == 1
