@@ -627,7 +627,7 @@ def raster_zonal(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def scan_space_time(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("id"), ((F.col("user_id") * 37) % 100 / 100.0).alias("lon"), ((F.col("user_id") * 53) % 100 / 100.0).alias("lat"), F.col("ts").cast("date").alias("date"))
-    return scan.space_time_scan(e, 15.0, 4, replications=19).df
+    return scan.space_time_scan(e, 15.0, 4, replications=99).df
 
 
 @query("SELECT c_custkey AS id, CASE WHEN lower(trim(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g'))) = '' THEN NULL ELSE lower(trim(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g'))) END AS folded FROM customer")

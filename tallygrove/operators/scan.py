@@ -53,10 +53,36 @@ def _cylinders(cells: DataFrame, circles: DataFrame, by: list[str], days: int, s
     return joined.withColumn("expected", F.col("people") * F.col("in_run") / F.col("n"))
 
 
+def _nth(rows: DataFrame, key: Column) -> DataFrame:
+    """rows and nth: their place by key within each rep, counted in range partitions with the rows of those before added."""
+    dealt = rows.withColumn("key", key).repartitionByRange("rep", "key", "id").withColumn("part", F.spark_partition_id())
+    dealt = stored(dealt, "shuffle")
+    before = dealt.groupBy("rep", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("rep", "part", (F.sum("n").over(Window.partitionBy("rep").orderBy("part")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("rep", "part").orderBy("key", "id"))
+    return dealt.withColumn("inside", inside).join(F.broadcast(before), ["rep", "part"]).withColumn("nth", F.col("inside") + F.col("before")).drop("key", "part", "inside", "before")
+
+
+def _picked(real: DataFrame, circles: DataFrame, most: int) -> DataFrame:
+    """The strongest cylinder, then the strongest that shares no place with a picked one, until there are ``most``."""
+    spark, picks = real.sparkSession, []
+    live = real
+    while len(picks) < most:
+        best = live.orderBy(F.desc("llr"), F.desc("cases"), F.date_sub("end", F.col("run") - 1), "centre", "km").limit(1).collect()
+        if not best:
+            break
+        picks += best  # one row a cluster
+        chosen = F.broadcast(spark.createDataFrame([(b["centre"], b["km"]) for b in picks], "centre long, most_km double"))
+        used = circles.join(chosen, "centre").where("km <= most_km").select("place").distinct()
+        bounds = circles.join(used, "place").groupBy("centre").agg(F.min("km").alias("bound"))  # a circle that reaches so far overlaps
+        live = real.join(bounds, "centre", "left").where("bound is null or km < bound").select(real.columns)
+    return spark.createDataFrame(picks, real.schema)
+
+
 def space_time_scan(cases: DataFrame, radius_km: float, days: int, replications: int = 99, share: float = 0.5, seed: int = 1, id_: str = "id", date: str = "date", most: int = 10) -> OpResult:
     """Cylinders by llr with centre, km, start, end, cases, expected, llr, p. Reports: ``undated`` records.
 
-    Clusters that share a centre's place with a stronger one are left out of the ``most`` reported.
+    At most ``most`` clusters: of all circles, each with its best run of days, those that share no place with a stronger one reported.
     """
     if not 0 < share <= 0.5:
         raise Refusal("a circle holds half of the cases at most")
@@ -66,18 +92,14 @@ def space_time_scan(cases: DataFrame, radius_km: float, days: int, replications:
     circles = stored(_circles(known.select("place", "lat", "lon").distinct(), radius_km), "circles")
     cells = known.groupBy("place", "day").agg(F.count(F.lit(1)).alias("cases")).withColumn("rep", F.lit(0))
     spread = known.select("id", "place", "day", F.explode(F.sequence(F.lit(1), F.lit(replications))).alias("rep"))
-    nth = lambda key: F.row_number().over(Window.partitionBy("rep").orderBy(key, "id"))
-    places = spread.select("rep", "place", nth(F.xxhash64("id", "rep", F.lit(seed))).alias("nth"))
-    drawn = spread.select("rep", "day", nth(F.xxhash64("id", "rep", F.lit(seed + 1))).alias("nth"))
+    places = _nth(spread.select("rep", "id", "place"), F.xxhash64("id", "rep", F.lit(seed))).drop("id")
+    drawn = _nth(spread.select("rep", "id", "day"), F.xxhash64("id", "rep", F.lit(seed + 1))).drop("id")
     shuffled = places.join(drawn, ["rep", "nth"]).groupBy("place", "day", "rep").agg(F.count(F.lit(1)).alias("cases"))
     found = _cylinders(cells.unionByName(shuffled), circles, ["rep"], days, share).withColumn("llr", llr(F.col("cases"), F.col("expected"), F.col("n")))
-    found = stored(found.groupBy("rep", "centre").agg(F.max(F.struct("llr", -F.col("km"), -F.col("run"), "end", "cases", "expected", "km", "run")).alias("b")).select("rep", "centre", "b.*"), "cylinders")
+    circle = F.when(F.col("rep") == 0, F.col("km")).alias("circle")  # of a shuffle only the top counts
+    found = stored(found.groupBy("rep", "centre", circle).agg(F.max(F.struct("llr", -F.col("km"), -F.col("run"), "end", "cases", "expected", "km", "run")).alias("b")).select("rep", "centre", "b.llr", "b.end", "b.cases", "b.expected", "b.km", "b.run"), "cylinders")
     tops = found.where("rep > 0").groupBy("rep").agg(F.max("llr").alias("top"))
-    real = found.where("rep = 0 and llr > 0").orderBy(F.desc("llr"), "centre").limit(10 * most)
-    held = real.join(circles, (real.centre == circles.centre) & (circles.km <= real.km)).select(real.centre, F.col("llr"), "place")
-    first = held.groupBy("place").agg(F.max(F.struct("llr", "centre")).alias("b"))
-    clean = held.join(first, "place").groupBy("centre").agg(F.bool_and(F.col("centre") == F.col("b.centre")).alias("own")).where("own").select("centre")
-    ranked = real.join(clean, "centre").orderBy(F.desc("llr")).limit(most)
+    ranked = _picked(found.where("rep = 0 and llr > 0").drop("rep"), circles, most)
     p = ranked.crossJoin(F.broadcast(tops.agg(F.sort_array(F.collect_list("top")).alias("tops"))))  # one number a replication
     p_value = (1 + F.size(F.filter("tops", lambda t: t >= F.col("llr")))) / (1 + F.lit(replications))
     known_places = known.select(F.col("place").alias("centre"), "lat", "lon").distinct()

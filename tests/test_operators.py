@@ -211,3 +211,37 @@ def test_bilinear_and_clip(spark):
     assert {r["id"]: r["value"] for r in raster.sample_bilinear(p, cells, grid).collect()} == {1: 5.5, 2: 0.0, 3: None}
     box = spark.sql("SELECT array(array(struct(0D AS x, 2D AS y), struct(2D AS x, 2D AS y), struct(2D AS x, 4D AS y), struct(0D AS x, 4D AS y), struct(0D AS x, 2D AS y))) AS geometry")
     assert raster.clip(cells, box, grid).count() == 4
+
+
+def test_scan_picks_as_the_reference(spark):
+    """Against a greedy pick over all circles in plain Python: clusters behind a dropped one and small circles of a centre step in."""
+    import datetime
+    import math
+    import random
+
+    rnd = random.Random(4)
+    lons = [i * 0.05 for i in range(30)]  # 5.6 km apart, circles of up to 12 km
+    cases = [(lons[rnd.randrange(30)], rnd.randrange(12)) for _ in range(220)]
+    cases += [(lons[p], d) for p, d, n in ((3, 2, 9), (5, 2, 6), (7, 3, 5), (16, 5, 8), (18, 6, 6), (25, 9, 7)) for _ in range(n)]
+    day = datetime.date(2024, 1, 1)
+    df = spark.createDataFrame([(i, lon, 0.0, day + datetime.timedelta(d)) for i, (lon, d) in enumerate(cases)], "id long, lon double, lat double, date date")
+    got = [r["llr"] for r in scan.space_time_scan(df, 12.0, 3, replications=3).df.collect()]
+    n, windows = len(cases), []
+    for c in lons:
+        for reach in (0, 1, 2):
+            members = frozenset(x for x in lons if abs(x - c) <= reach * 0.05 + 1e-9)
+            people = sum(lon in members for lon, _ in cases)
+            best = 0.0
+            for end in range(12):
+                for run in range(1, 4):
+                    k = sum(lon in members and end - run < d <= end for lon, d in cases)
+                    e = people * sum(end - run < d <= end for _, d in cases) / n
+                    if k > max(e, 1):
+                        best = max(best, k * math.log(k / e) + (n - k) * math.log((n - k) / (n - e)))
+            windows.append((best, members))
+    want, used = [], set()
+    for llr, members in sorted(windows, key=lambda w: -w[0]):
+        if len(want) < 10 and llr > 0 and not members & used:
+            want.append(llr)
+            used |= members
+    assert sorted(got, reverse=True) == pytest.approx(want)
