@@ -24,7 +24,7 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Fixed value: an odd number whose powers tell the places of words apart.
 _ODD = np.uint64(0xD1342543DE82EF95)
 
 
@@ -92,7 +92,7 @@ def no_clash(df: DataFrame, needed: dict[str, str]) -> DataFrame:
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective finisher of uint64 (multiply, xor-shift twice)."""
+    """A bijective finisher of uint64 (multiply, xor-shift twice); its two factors are fixed values of a public mixer."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> np.uint64(27))
@@ -117,7 +117,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_byte_powers, _word_powers, _check_powers = _Powers(_BASE), _Powers(_ODD), _Powers(np.uint64(0xA0761D6478BD642F))
+_word_powers, _check_powers = _Powers(_ODD), _Powers(np.uint64(0xA0761D6478BD642F))
 
 
 def text_slices(column, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -161,16 +161,31 @@ def split_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)  # the low bytes of a block
+#: Odd numbers that set two hashes of one word apart.
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word; ``which`` 0 and 1 give two independent ones.
+
+    Each block of eight bytes is mixed with its place before the blocks of a word are summed, so no regular word cancels out.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    up, _ = _byte_powers.to(int(lengths.max()))
-    values = (data[place + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)) * up[place]
-    return mixed(np.add.reduceat(values, first) + lengths.astype(np.uint64))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    seed, lengths = _SEEDS[which], (ends - starts).astype(np.uint64)
+    out = mixed((at_byte[starts] & _KEEP[np.minimum(lengths, 8)]) ^ seed)
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        more = (lengths[long].astype(np.int64) - 1) // 8  # blocks after the first
+        nth = grouped_chars(more) + 1
+        at = np.repeat(starts[long], more) + 8 * nth
+        block = at_byte[at] & _KEEP[np.minimum(np.repeat(ends[long], more) - at, 8)]
+        block = mixed(mixed(block ^ seed) + mixed(nth.astype(np.uint64) * seed))
+        out[long] += np.add.reduceat(block, np.cumsum(more) - more)
+    return mixed(out + lengths * seed)
 
 
 class RangeHash:

@@ -11,16 +11,21 @@ the edits the pair may have, so one segment is left whole and lies in the shorte
 Every pair at the threshold whose shorter text has at most ``SHORT`` words shares such a key.
 
 Equal word sequences are one class member each (grouped by digest first), so copies never meet in a bucket. Buckets are
-not expanded into pairs: a bucket's members are compared with its smallest member, by joins that Spark splits where a
-bucket is hot. After the components of these links are known, every bucket that still holds several components compares
-the smallest member of each component with the bucket's smallest, for at most ``ROUNDS`` rounds. These rounds only make
-the components large. Members of different components that still share a bucket are then compared in blocks of at most
-``BLOCK`` each: inside a task, histograms of hashed words (whose distance is at most twice the edits) rule out most of
-them, and the rest is aligned. So no pair that shares a sketch or key is left untried unless its classes are already one.
+not expanded into pairs. First every member of a bucket is compared with the bucket's smallest, by joins that Spark splits
+where a bucket is hot; this makes the components large. Members of different components that still share a bucket then
+meet in tasks: a bucket is split by length into bands of ratio ``least`` (lengths that can't be similar never meet) and
+dealt into blocks of at most ``BLOCK`` members and ``BLOCK_BYTES`` of text. A task keeps a union-find of its block's
+components, rules out by common words and word pairs what can't be similar (an edit takes away one common word and two
+common pairs at most), aligns the rest, and returns only the links that joined two components: a pair that was compared
+is never a row. A pair with several common buckets is compared in the one with the smallest key. So no pair that shares a
+sketch or key is left untried unless its documents are already in one class.
+
+Alignments compare the words themselves, numbered within a task. Those within 31 edits are made for many pairs at once,
+one 64-bit word a pair; others one by one with long integers.
 
 Defined cases: a missing text and a text without words are classes of their own; a text of fewer than five words is only
-in a class with equal word sequences; repeated ids are one document if their texts are equal and the larger text is used
-if not; an empty table gives an empty one; extra columns are ignored.
+in a class with equal word sequences; repeated ids are one document, of different texts the one with most words (then the
+larger hash) counts; rows without id are left out; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import RangeHash, components, forget, mixed, release_shuffles, split_words, stored, text_slices, word_hashes
+from tallygrove.llm.common import RangeHash, components, forget, grouped_chars, mixed, release_shuffles, split_words, stored, text_slices, word_hashes
 
-K, SKETCHES, PICKS, SIMILARITY, ROUNDS = 3, 64, 2, 0.8, 4
+K, SKETCHES, PICKS, SIMILARITY = 3, 64, 2, 0.8
 LEAST_WORDS, SHORT = 5, 24
-BLOCK, BINS = 512, 128
+BLOCK, BLOCK_BYTES, BINS = 2048, 8 << 20, 2048
+BAND = 31  # edits that fit a 64-bit word
 TEXT_ROWS = 1000  # texts in an Arrow batch
-NONE = b""
 
 
 def _occurrences(kmers: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -200,169 +205,254 @@ def _banded(a: list[int], b: list[int], k: int) -> int:
     return score
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """1 - edits / longer length, or -1 below ``least``."""
-    longer = max(len(a), len(b))
-    if not longer:
-        return 1.0
-    most = int((1 - least) * longer + 1e-9)
-    # an edit moves the histograms of words by 2 at most
-    if np.abs(np.bincount(a % BINS, minlength=BINS) - np.bincount(b % BINS, minlength=BINS)).sum() > 2 * most:
-        return -1.0
-    d = edit_distance(a.tolist(), b.tolist(), most)
-    return 1 - d / longer if d <= most else -1.0
+def banded_distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Edit distances of many pairs at once, exact up to ``BAND`` and above it only known to be above.
+
+    The bit vectors of ``_banded`` for a band of ``BAND`` around the main diagonal, one unsigned number a pair.
+    """
+    k, width = BAND, 2 * BAND + 1
+    out = np.full(len(pairs), k + 1)
+    short = [x if len(x) <= len(y) else y for x, y in pairs]
+    long = [y if len(x) <= len(y) else x for x, y in pairs]
+    n, m = np.array([len(x) for x in short], np.int64), np.array([len(x) for x in long], np.int64)
+    out[m == 0] = 0
+    order = np.argsort(-m, kind="stable")
+    order = order[(m[order] - n[order] <= k) & (m[order] > 0)]
+    if not len(order):
+        return out
+    n, m, p, most = n[order], m[order], len(order), int(m[order[0]])
+    # the shorter texts with k places of no word before and enough after; the longer ones by column
+    a, b = np.full((p, most + width + 1), -1, np.int32), np.full((most, p), -2, np.int32)
+    for i, q in enumerate(order):
+        a[i, k : k + n[i]], b[: m[i], i] = short[q], long[q]
+    one, ones, top = np.uint64(1), np.uint64((1 << width) - 1), np.uint64(1 << (width - 1))
+    vp, vn = np.full(p, ones & ~np.uint64((1 << k) - 1)), np.zeros(p, np.uint64)
+    score, live = np.minimum(k, n), p
+    for j in range(1, most + 1):
+        while m[live - 1] < j:
+            live -= 1
+        eq = np.packbits(a[:live, j - 1 : j - 1 + width] == b[j - 1, :live, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        p1, n1 = vp[:live], vn[:live]
+        d0 = ((((eq & p1) + p1) ^ p1) | eq | n1) & ones
+        hp, hn = n1 | (ones & ~(d0 | p1)), d0 & p1
+        beyond = j + k - n[:live]  # rows of the band below the last row
+        bit = one << np.maximum(width - 1 - beyond, 0).astype(np.uint64)
+        along = ((d0 & top) == 0).astype(np.int64)
+        across = ((hp & bit) != 0).astype(np.int64) - ((hn & bit) != 0)
+        score[:live] += np.where(beyond <= 0, along, across)
+        d1 = d0 >> one
+        vp[:live], vn[:live] = (hn | (ones & ~(d1 | hp))) & ones, hp & d1
+    out[order] = np.minimum(score, k + 1)
+    return out
+
+
+def numbered(texts: list[bytes], known: dict[bytes, int]) -> list[np.ndarray]:
+    """The words of the texts as numbers, equal for equal words; ``known`` gathers the numbers given."""
+    return [np.array([known.setdefault(w, len(known)) for w in t.split()], np.int32) for t in texts]
+
+
+def _labelled(items: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
+    """Rows x ``BINS``: how many of a row's items, each with its number of occurrence, fall into a bin."""
+    label = mixed(items.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mixed(_occurrences(items.astype(np.uint64), row)))
+    return np.bincount(row * BINS + (label % np.uint64(BINS)).astype(np.int64), minlength=n_rows * BINS).reshape(n_rows, BINS).astype(np.float32)
+
+
+def profiles(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Words and pairs of neighbouring words of each text by bin; the product of two rows is never below what the texts have in common."""
+    n = np.array([len(w) for w in words], np.int64)
+    row, every = np.repeat(np.arange(len(words)), n), np.concatenate([*words, np.zeros(0, np.int32)]).astype(np.int64)
+    both = every[:-1] << 32 | every[1:]
+    inside = row[:-1] == row[1:]
+    return _labelled(every, row, len(words)), _labelled(both[inside], row[:-1][inside], len(words))
+
+
+def may_be_similar(a: list[np.ndarray], b: list[np.ndarray], least: float) -> np.ndarray:
+    """Rows x columns: whether lengths, common words and common word pairs leave a similarity of ``least`` possible."""
+    n, m = np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])[None, :]
+    longer = np.maximum(n, m)
+    most = np.floor((1 - least) * longer + 1e-9)
+    (words_a, pairs_a), (words_b, pairs_b) = profiles(a), profiles(b)
+    out = (longer - np.minimum(n, m) <= most) & (words_a @ words_b.T >= longer - most)
+    return out & (pairs_a @ pairs_b.T >= longer - 1 - 2 * most)
+
+
+def similarities(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMILARITY) -> np.ndarray:
+    """1 - edits / longer length of each pair of word sequences, or -1 below ``least``."""
+    longer = np.array([max(len(x), len(y)) for x, y in pairs], np.int64)
+    most = np.floor((1 - least) * longer + 1e-9).astype(np.int64)
+    d = np.full(len(pairs), -1)
+    by_length = np.argsort(longer, kind="stable")
+    lo = 0
+    while lo < len(pairs):  # as many pairs of about one length as a few MB hold
+        hi = lo + 1
+        while hi < len(pairs) and hi - lo < 4096 and (hi - lo) * (longer[by_length[hi]] + 64) < 1 << 20 and longer[by_length[hi]] <= 1.25 * longer[by_length[lo]] + 16:
+            hi += 1
+        some = by_length[lo:hi]
+        if len(some) >= 8:
+            d[some] = banded_distances([pairs[i] for i in some])
+        lo = hi
+    for i in np.flatnonzero((d < 0) | (d > BAND) & (most > BAND)):
+        a, b = pairs[i]
+        size = max(int(a.max(initial=0)), int(b.max(initial=0))) + 1
+        # an edit moves the counts of words by 2 at most
+        if np.abs(np.bincount(a % BINS, minlength=min(size, BINS)) - np.bincount(b % BINS, minlength=min(size, BINS))).sum() > 2 * most[i]:
+            d[i] = most[i] + 1
+        else:
+            d[i] = edit_distance(a.tolist(), b.tolist(), int(most[i]))
+    return np.where(d <= most, 1 - d / np.maximum(longer, 1), -1.0)
 
 
 def _sketched(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, digest (of the word sequence), n_words, sketches (of a short text its exact keys, of one a little longer both)."""
+    """doc_id, hash (of the text), digest (of the word sequence), n_words, sketches (of a short text its exact keys, of one a
+    little longer both)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             digests, sizes, sk = [b""] * n, np.zeros(n, np.int64), [None] * n
-            for lo, _, offs, data in text_slices(batch.column(1)):
+            for lo, _, offs, data in text_slices(batch.column(2)):
                 words, first, rows, made = sketches(data, offs)
+                whole = data.tobytes()
+                sizes[lo : lo + len(offs) - 1] = np.diff(first)
                 for i in range(len(offs) - 1):
-                    some = words[first[i] : first[i + 1]]
-                    sizes[lo + i] = len(some)
-                    digests[lo + i] = hashlib.blake2b(some.tobytes(), digest_size=16).digest()
+                    digests[lo + i] = hashlib.blake2b(b" ".join(whole[offs[i] : offs[i + 1]].split()), digest_size=16).digest()
                 for r, values in zip(rows, made.view(np.int64), strict=True):
                     if first[r + 1] - first[r] > SHORT:
                         sk[lo + int(r)] = values
                 for r, values in short_keys(words, first, least).items():
                     sk[lo + r] = values if sk[lo + r] is None else np.concatenate([sk[lo + r], values])
-            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(sk, pa.list_(pa.int64()))], names=["doc_id", "digest", "n_words", "sketches"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(sk, pa.list_(pa.int64()))], names=["doc_id", "hash", "digest", "n_words", "sketches"])
 
-    return docs.mapInArrow(make, "doc_id long, digest binary, n_words long, sketches array<long>")
+    return docs.select("doc_id", "hash", "text").mapInArrow(make, "doc_id long, hash long, digest binary, n_words long, sketches array<long>")
 
 
-def _coded(docs: DataFrame) -> DataFrame:
-    """doc_id, codes: the words as unsigned 32-bit hashes, which the alignment compares; counts: their histogram of ``BINS`` bins."""
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """a, b of the pairs at ``least`` or above."""
+    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, counts = [], []
-            for _, _, offs, data in text_slices(batch.column(1)):
-                starts, ends, first = split_words(data, offs)
-                words = (word_hashes(data, starts, ends) >> np.uint64(32)).astype("<u4")
-                for i in range(len(offs) - 1):
-                    some = words[first[i] : first[i + 1]]
-                    out.append(some.tobytes())
-                    counts.append(np.minimum(np.bincount(some % BINS, minlength=BINS), 65535).astype("<u2").tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "codes", "counts"])
-
-    return docs.mapInArrow(make, "doc_id long, codes binary, counts binary")
-
-
-def may_be_similar(asked: pa.Table, others: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (smaller id, larger id) of two blocks, of different components, that their lengths and histograms don't rule out."""
-
-    def columns(t: pa.Table) -> tuple[np.ndarray, ...]:
-        counts = np.frombuffer(b"".join(t["counts"].to_pylist()), "<u2").reshape(-1, BINS).astype(np.int32)
-        return t["doc_id"].to_numpy(), t["n_words"].to_numpy(), t["component"].to_numpy(), counts
-
-    ids_a, n_a, comp_a, counts_a = columns(asked)
-    ids_b, n_b, comp_b, counts_b = columns(others)
-    order = np.argsort(n_b, kind="stable")
-    ids_b, n_b, comp_b, counts_b = ids_b[order], n_b[order], comp_b[order], counts_b[order]
-    lo, hi = np.searchsorted(n_b, np.ceil(least * n_a - 1e-6)), np.searchsorted(n_b, np.floor(n_a / least + 1e-6), side="right")
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(len(ids_a)):
-        at = lo[i] + np.flatnonzero(comp_b[lo[i] : hi[i]] != comp_a[i])
-        apart = np.abs(counts_b[at] - counts_a[i]).sum(axis=1)
-        at = at[apart <= 2 * (1 - least) * np.maximum(n_b[at], n_a[i]) + 1e-6]
-        a.append(np.minimum(ids_b[at], ids_a[i]))
-        b.append(np.maximum(ids_b[at], ids_a[i]))
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _untried(buckets: DataFrame, comp: DataFrame, codes: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """a, b: pairs of different components that share a bucket and may be similar, compared block by block.
-
-    Everything outside a bucket's largest component is compared with the whole bucket; both sides are dealt into blocks.
+            known: dict[bytes, int] = {}
+            a, b = (numbered([x.as_py() for x in batch.column(i).cast(pa.binary())], known) for i in (2, 3))
+            similar = pa.array(similarities(list(zip(a, b, strict=True)), least) >= 0)
+            yield pa.record_batch([batch.column(0).filter(similar), batch.column(1).filter(similar)], names=["a", "b"])
+
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(align, "a long, b long")
+
+
+def block_links(asked: pa.Table, held: pa.Table, key: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (component, component) that join components of two blocks of one bucket; both have doc_id, component, asks, text, keys."""
+    known: dict[bytes, int] = {}
+    words_a, words_b = (numbered(t["text"].cast(pa.binary()).to_pylist(), known) for t in (asked, held))
+    ids_a, ids_b = asked["doc_id"].to_numpy(), held["doc_id"].to_numpy()
+    comps, number = np.unique(np.concatenate([asked["component"].to_numpy(), held["component"].to_numpy()]), return_inverse=True)
+    comp_a, comp_b = number[: len(ids_a)], number[len(ids_a) :]
+    asks = held["asks"].to_numpy(zero_copy_only=False).astype(bool)
+    open_ = may_be_similar(words_a, words_b, least)
+    open_ &= comp_a[:, None] != comp_b[None, :]
+    open_ &= ~asks[None, :] | (ids_a[:, None] < ids_b[None, :])  # of two that ask, the smaller asks
+    # a pair that shares a smaller key is compared there
+    keys_a, keys_b = asked["keys"].to_pylist(), held["keys"].to_pylist()
+    sizes = np.array([len(k) for k in keys_b], np.int64)
+    flat, owner = np.array([x for k in keys_b for x in k], np.int64), np.repeat(np.arange(len(ids_b)), sizes)
+    smaller = flat < key
+    flat, owner = flat[smaller], owner[smaller]
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for i in np.flatnonzero(open_.any(axis=1)):
+        own = np.array([x for x in keys_a[i] if x < key], np.int64)
+        lo, hi = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
+        open_[i, owner[np.repeat(lo, hi - lo) + grouped_chars(hi - lo)]] = False
+    parent = np.arange(len(comps))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links: list[tuple[int, int]] = []
+    left, wave = np.argwhere(open_), 256
+    rng = np.random.default_rng(abs(key))
+    left = left[rng.permutation(len(left))]  # so that a wave holds pairs of many components
+    while len(left):
+        now, left = left[:wave], left[wave:]
+        similar = similarities([(words_a[i], words_b[j]) for i, j in now], least) >= 0
+        for i, j in now[similar]:
+            x, y = root(comp_a[i]), root(comp_b[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                links.append((comps[comp_a[i]], comps[comp_b[j]]))
+        if similar.any() and len(left):
+            roots = np.array([root(x) for x in range(len(comps))])
+            left = left[roots[comp_a[left[:, 0]]] != roots[comp_b[left[:, 1]]]]
+        wave = min(2 * wave, 8192)
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _untried(buckets: DataFrame, comp: DataFrame, texts: DataFrame, least: float, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """a, b: links between components that share a bucket, compared block by block.
+
+    What lies outside a bucket's largest component asks, the whole bucket is held. A document is held in the band of its
+    length, and asks in that band and the next to either side.
     """
     there = buckets.select("key", "doc_id", "n_words").join(comp, F.col("doc_id") == F.col("node")).drop("node")
     sizes = there.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
-    sizes = sizes.select("key", F.col("largest.component").alias("main"), blocks(F.col("all") - F.col("largest.n")).alias("asks"), blocks(F.col("all")).alias("holds"))
-    rows = there.join(sizes, "key").join(codes.select(F.col("doc_id").alias("coded"), "counts"), F.col("doc_id") == F.col("coded")).drop("coded")
-    rows = stored(rows, "mixed-buckets")
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("largest.component").alias("main"))
+    band = F.floor(F.log(F.col("n_words").cast("double")) / F.lit(float(np.log(1 / least)))).cast("int")
+    mixed_ = stored(there.join(sizes, "key").select("key", "doc_id", "component", (F.col("component") != F.col("main")).alias("asks"), band.alias("band")), "mixed-buckets")
+    keys = mixed_.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # as many as a document has sketches and keys
+    whole = stored(texts.join(keys, "doc_id").select(F.col("doc_id").alias("id"), "text", "keys", F.octet_length("text").alias("bytes")), "mixed-texts")
+    near = mixed_.where("asks").select("key", "doc_id", F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band"))
+    sized = lambda d, n: d.join(whole.select("id", "bytes"), F.col("doc_id") == F.col("id")).groupBy("key", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("bytes") / F.lit(block_bytes))).cast("int").alias(n))
+    blocks = stored(sized(near, "asking").join(sized(mixed_, "holding"), ["key", "band"]), "blocks")
     part = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    plain = ["key", "doc_id", "n_words", "component", "counts"]
-    asked = rows.where("component <> main").select(*plain, part("asks").alias("i"), every("holds").alias("j"))
-    held = rows.select(*plain, every("asks").alias("i"), part("holds").alias("j"))
+    with_text = lambda d: d.join(whole.drop("bytes"), F.col("doc_id") == F.col("id")).drop("id")
+    asked = with_text(mixed_.where("asks").select("key", "doc_id", "component", "asks", F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band")).join(blocks, ["key", "band"]).select("key", "band", "doc_id", "component", "asks", part("asking").alias("i"), every("holding").alias("j")))
+    held = with_text(mixed_.join(blocks, ["key", "band"]).select("key", "band", "doc_id", "component", "asks", every("asking").alias("i"), part("holding").alias("j")))
     held = held.toDF(*held.columns)
 
-    def compare(left, right):
-        a, b = may_be_similar(left, right, least) if left.num_rows and right.num_rows else (np.zeros(0, np.int64),) * 2
+    def compare(group, left, right):
+        a, b = block_links(left, right, group[0].as_py(), least) if left.num_rows and right.num_rows else (np.zeros(0, np.int64),) * 2
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return asked.groupBy("key", "i", "j").cogroup(held.groupBy("key", "i", "j")).applyInArrow(compare, "a long, b long").distinct()
-
-
-def _verified(pairs: DataFrame, codes: DataFrame, least: float) -> DataFrame:
-    """a, b, similarity of the pairs at ``least`` or above."""
-    both = pairs.join(codes.select(F.col("doc_id").alias("a"), F.col("codes").alias("codes_a")), "a").join(codes.select(F.col("doc_id").alias("b"), F.col("codes").alias("codes_b")), "b")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sims = [similar(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4"), least) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
+    place = ["key", "band", "i", "j"]
+    found = stored(asked.groupBy(*place).cogroup(held.groupBy(*place)).applyInArrow(compare, "a long, b long"), "links")
+    release_shuffles(buckets.sparkSession)
+    forget(mixed_, whole, blocks)
+    return found
 
-    return both.select("a", "b", "codes_a", "codes_b").mapInArrow(align, "a long, b long, similarity double").where("similarity >= 0")
 
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """One row a document: doc_id, class_id (smallest id of its class), kept (doc_id = class_id), n_links (verified links to
-    other word sequences), n_copies (other documents with the same words)."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """One row a document: doc_id, class_id (smallest id of its class), kept (doc_id = class_id), n_copies (other documents
+    with the same words)."""
     spark = docs.sparkSession
-    d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("doc_id is not null")
-    every = stored(_sketched(d, least).groupBy("doc_id").agg(F.max(F.struct("n_words", "digest", "sketches")).alias("x")).select("doc_id", "x.n_words", "x.digest", "x.sketches"), "sketches", batch_rows=TEXT_ROWS)
+    d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("doc_id is not null").withColumn("hash", F.xxhash64("text"))
+    every = stored(_sketched(d, least).groupBy("doc_id").agg(F.max(F.struct("n_words", "hash", "digest", "sketches")).alias("x")).select("doc_id", "x.*"), "sketches", batch_rows=TEXT_ROWS)
     # equal word sequences: one stands for all, the smallest id; documents without words stand alone
     stands = every.where("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = every.select("doc_id", "digest", "n_words").join(stands, "digest", "left").select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    members = every.select("doc_id", "digest", "n_words").join(stands, "digest", "left").select("doc_id", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
     members = stored(members, "members")
     reps = every.join(members.where("doc_id = rep").select("doc_id"), "doc_id").where("sketches is not null")
-    keys = reps.select("doc_id", "n_words", F.explode("sketches").alias("key"))
-    many = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = stored(keys.join(many, "key").select("key", "low", "doc_id", "n_words"), "buckets")  # only keys that several documents share
+    keys = reps.select("doc_id", "n_words", "hash", F.explode("sketches").alias("key"))
+    many = keys.groupBy("key").agg(F.min(F.struct("doc_id", "n_words")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = stored(keys.join(many, "key").select("key", F.col("low.doc_id").alias("low"), F.col("low.n_words").alias("low_words"), "doc_id", "n_words", "hash"), "buckets")  # only keys that several documents share
     release_shuffles(spark)
-    wanted = buckets.select("doc_id").distinct()
-    codes = stored(_coded(d.join(wanted, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))), "codes", batch_rows=TEXT_ROWS)
+    wanted = stored(buckets.select("doc_id", "hash").distinct(), "wanted")
+    texts = stored(d.join(wanted, ["doc_id", "hash"]).groupBy("doc_id").agg(F.first("text").alias("text")), "texts", batch_rows=TEXT_ROWS)
     release_shuffles(spark)
-    fits = f"least(n_words, low_words) >= {least} * greatest(n_words, low_words) - 1e-6"
-    tried = links = grown = None
-    comp = wanted.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
-    for _ in range(rounds):
-        # in each bucket, one member of each component; compared with the smallest of the bucket's other lengths' class
-        heads = buckets.join(comp, buckets.doc_id == comp.node).groupBy("key", "component").agg(F.min(F.struct("doc_id", "n_words")).alias("head"))
-        lows = heads.groupBy("key").agg(F.min("head").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("low.doc_id").alias("a"), F.col("low.n_words").alias("low_words"))
-        pairs = heads.select("key", F.col("head.doc_id").alias("b"), F.col("head.n_words").alias("n_words")).join(lows, "key").where("a <> b").where(fits).select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found = stored(_verified(pairs, codes, least), "links", batch_rows=TEXT_ROWS)
-        release_shuffles(spark)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = found.limit(1).count()
-        links = found if links is None else links.unionByName(found)
-        if not new:
-            break
-        comp = grown = stored(wanted.join(components(links, "a", "b"), F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "doc_id").alias("component")), "classes")
-    # whatever the rounds left untried
-    pairs = stored(_untried(buckets, comp, codes, least).join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = stored(_verified(pairs, codes, least), "links", batch_rows=TEXT_ROWS)
+    # every member of a bucket against the smallest
+    pairs = buckets.where("doc_id <> low").where(f"least(n_words, low_words) >= {least} * greatest(n_words, low_words) - 1e-6").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = stored(_verified(stored(pairs, "pairs"), texts, least), "links", batch_rows=TEXT_ROWS)
     release_shuffles(spark)
-    if found.limit(1).count():
-        links = links.unionByName(found)
-        grown = stored(components(links, "a", "b"), "classes")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    if grown is None:
-        out = members.withColumn("class_id", F.col("rep"))
-    else:
-        out = members.join(grown.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_id", F.coalesce("component", "rep"))
-    out = out.join(degree.withColumnRenamed("node", "rep"), "rep", "left")
-    forget(every, buckets, codes)
-    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
+    first = components(links, "a", "b")
+    first = stored(wanted.join(first, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "doc_id").alias("component")), "classes")
+    # members of different components that share a bucket; their links join components
+    joined = components(_untried(buckets, first, texts, least), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    classes = stored(first.join(joined, "component", "left").select(F.col("node").alias("rep"), F.coalesce("whole", "component").alias("class_id")), "classes")
+    out = members.join(classes, "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1).alias("n_copies"))
+    forget(every, buckets, wanted, texts, links, first)
+    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "n_copies")

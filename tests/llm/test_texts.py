@@ -193,8 +193,8 @@ def test_links_beside_the_smallest_member_of_a_shared_passage(spark):
         texts.append(" ".join(w))
     d = docs(spark, texts)
     whole = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(d).collect()}
-    few = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(d, rounds=1).collect()}
-    sketched = {r["doc_id"]: set(r["sketches"]) for r in order_minhash._sketched(d.select("doc_id", "text")).collect()}
+    few = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(d.repartition(7)).collect()}
+    sketched = {r["doc_id"]: set(r["sketches"]) for r in order_minhash._sketched(d.selectExpr("doc_id", "0L AS hash", "text")).collect()}
     words = [t.split() for t in texts]
     low = list(range(len(texts)))
     for i in range(len(texts)):
@@ -206,21 +206,97 @@ def test_links_beside_the_smallest_member_of_a_shared_passage(spark):
     assert len(set(low)) > 5
 
 
-def test_histograms_rule_out_no_similar_pair():
-    import pyarrow as pa
-
+def test_profiles_rule_out_no_similar_pair():
     rng = np.random.default_rng(22)
-    words = [rng.integers(0, 50, int(n)) for n in rng.integers(5, 60, 60)]
-    words += [np.where(rng.random(len(w)) < 0.15, 7, w) for w in words]
-    counts = [np.bincount(w, minlength=order_minhash.BINS).astype("<u2").tobytes() for w in words]
-    ids = np.arange(len(words))
-    table = pa.table({"doc_id": ids, "n_words": [len(w) for w in words], "component": ids, "counts": pa.array(counts, pa.binary())})
-    a, b = order_minhash.may_be_similar(table.slice(0, 60), table, 0.8)
-    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    words = [rng.integers(0, 50, int(n)).astype(np.int32) for n in rng.integers(5, 60, 60)]
+    words += [np.where(rng.random(len(w)) < 0.15, 7, w).astype(np.int32) for w in words]
+    words += [np.delete(w, rng.integers(0, len(w), 1)) for w in words[:60]]
+    open_ = order_minhash.may_be_similar(words[:60], words, 0.8)
     for i in range(60):
         for j in range(len(words)):
-            if i != j and edits(list(words[i]), list(words[j])) <= 0.2 * max(len(words[i]), len(words[j])) + 1e-9:
-                assert (min(i, j), max(i, j)) in found
+            if edits(list(words[i]), list(words[j])) <= int(0.2 * max(len(words[i]), len(words[j])) + 1e-9):
+                assert open_[i, j]
+    assert open_.mean() < 0.2
+
+
+def test_many_alignments_at_once_equal_single_ones():
+    rng = np.random.default_rng(23)
+    pairs = []
+    for _ in range(600):
+        a = rng.integers(0, int(rng.integers(2, 200)), int(rng.integers(0, 220))).tolist()
+        b = list(a)
+        for _ in range(int(rng.integers(0, 50))):
+            at, kind = int(rng.integers(0, len(b) + 1)), rng.integers(0, 3)
+            b[at : at + (kind != 0)] = [] if kind == 2 else [int(rng.integers(0, 200))]
+        pairs.append((np.array(a, np.int32), np.array(b, np.int32)))
+    for (a, b), d, s in zip(pairs, order_minhash.banded_distances(pairs), order_minhash.similarities(pairs), strict=True):
+        assert d == min(order_minhash.edit_distance(a.tolist(), b.tolist(), 31), 32)
+        longer = max(len(a), len(b))
+        true = order_minhash.edit_distance(a.tolist(), b.tolist(), int(0.2 * longer + 1e-9))
+        assert s == pytest.approx(1 - true / max(1, longer) if true <= int(0.2 * longer + 1e-9) else -1.0)
+
+
+def test_rows_between_stages_follow_a_hot_bucket(spark, monkeypatch):
+    """Documents that share a passage: twice as many of them give at most about twice as many rows in any table of the operator."""
+    rng = np.random.default_rng(24)
+    passage = prose(rng, 60)
+    texts = [passage + " " + " ".join(f"v{x}" for x in rng.integers(0, 1 << 40, int(n))) for n in rng.integers(20, 60, 800)]
+    monkeypatch.setattr(order_minhash, "BLOCK", 2048)
+    made = {}
+    plain = order_minhash.stored
+
+    def counted(df, label, *args, **named):
+        out = plain(df, label, *args, **named)
+        made.setdefault(n, {}).setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(order_minhash, "stored", counted)
+    for n in (400, 800):
+        assert order_minhash.near_duplicates(docs(spark, texts[:n])).where("kept").count() == n
+    for label, few in made[400].items():
+        assert sum(made[800][label]) <= 2.3 * sum(few) + 50, label
+
+
+def test_blocks_find_every_link_of_a_bucket(spark, monkeypatch):
+    """Blocks of five members and bands of length find what one block finds."""
+    rng = np.random.default_rng(25)
+    passage = prose(rng, 60)
+    texts = []
+    for _ in range(12):
+        own = (passage + " " + prose(rng, int(rng.integers(10, 50)))).split()
+        texts += [" ".join(edited(rng, own, int(e)) + ["more"] * int(rng.integers(0, 9))) for e in rng.integers(0, 12, 4)]
+    whole = order_minhash.near_duplicates(docs(spark, texts)).orderBy("doc_id").collect()
+    plain = order_minhash._untried
+    monkeypatch.setattr(order_minhash, "_untried", lambda *a: plain(*a, block=5, block_bytes=3000))
+    assert order_minhash.near_duplicates(docs(spark, texts)).orderBy("doc_id").collect() == whole
+
+
+def test_words_that_a_plain_polynomial_confuses(spark):
+    """A Thue-Morse word and its complement are two words, as words of a text and as whole texts."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rng = np.random.default_rng(26)
+    for size in (1024, 2048, 4096):
+        x = word[:size]
+        y = x.translate(str.maketrans("ab", "ba"))
+        rest = prose(rng, 19)
+        got = substring.dedup_substrings(docs(spark, [f"{x} {rest}", f"{y} {rest}"])).orderBy("doc_id").collect()
+        assert [r["n_removed"] for r in got] == [0, 0]
+        classes = order_minhash.near_duplicates(docs(spark, [x, y, f"{x} a b c", f"{y} a b c"])).collect()
+        assert all(r["kept"] for r in classes)
+
+
+def test_near_duplicates_defined_cases(spark):
+    rng = np.random.default_rng(27)
+    long = prose(rng, 30000)
+    w = long.split()
+    w[100] = "changed"
+    rows = [(1, long), (2, " ".join(w)), (3, None), (None, long), (4, "a b c d e f"), (4, prose(rng, 40)), (5, "a b c d e f"), (6, "\x0b")]
+    table = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, class_id string, key int")
+    got = {r["doc_id"]: (r["class_id"], r["n_copies"]) for r in order_minhash.near_duplicates(table).collect()}
+    # of id 4 the text with most words counts
+    assert got == {1: (1, 0), 2: (1, 0), 3: (3, 0), 4: (4, 0), 5: (5, 0), 6: (6, 0)}
 
 
 KEY = "AKIA" + "Q7" * 8
