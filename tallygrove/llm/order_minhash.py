@@ -20,8 +20,9 @@ common pairs at most), aligns the rest, and returns only the links that joined t
 is never a row. A pair with several common buckets is compared in the one with the smallest key. So no pair that shares a
 sketch or key is left untried unless its documents are already in one class.
 
-Alignments compare the words themselves, numbered within a task. Those within 31 edits are made for many pairs at once,
-one 64-bit word a pair; others one by one with long integers.
+Buckets of few possible pairs go to tasks in bundles. Alignments are made for many pairs at once, a few 64-bit numbers a
+pair; those of very long texts one by one with long integers. Tasks on buckets compare 64-bit hashes of words, and every
+link is verified on the words themselves.
 
 Defined cases: a missing text and a text without words are classes of their own; a text of fewer than five words is only
 in a class with equal word sequences; repeated ids are one document, of different texts the one with most words (then the
@@ -43,8 +44,9 @@ from tallygrove.llm.common import RangeHash, components, forget, grouped_chars,
 
 K, SKETCHES, PICKS, SIMILARITY = 3, 64, 2, 0.8
 LEAST_WORDS, SHORT = 5, 24
-BLOCK, BLOCK_BYTES, BINS = 2048, 8 << 20, 2048
-BAND = 31  # edits that fit a 64-bit word
+BLOCK, BLOCK_BYTES, BINS = 1024, 8 << 20, 2048
+FEW_PAIRS, BUNDLE = 4096, 2048  # pairs of a bucket that goes in a bundle, rows of a bundle
+MOST_PARTS, FEW = 8, 8  # 64-bit numbers of a pair aligned with others, pairs that are worth it
 TEXT_ROWS = 1000  # texts in an Arrow batch
 
 
@@ -205,12 +207,30 @@ def _banded(a: list[int], b: list[int], k: int) -> int:
     return score
 
 
-def banded_distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Edit distances of many pairs at once, exact up to ``BAND`` and above it only known to be above.
+def _sum(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of long unsigned numbers, one a column, the lowest word first."""
+    out = x + y
+    carry = out < x
+    for w in range(1, len(out)):
+        more = out[w] + carry[w - 1]
+        carry[w] |= more < out[w]
+        out[w] = more
+    return out
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """Long numbers shifted down by one bit."""
+    out = x >> np.uint64(1)
+    out[:-1] |= x[1:] << np.uint64(63)
+    return out
+
 
-    The bit vectors of ``_banded`` for a band of ``BAND`` around the main diagonal, one unsigned number a pair.
+def banded_distances(pairs: list[tuple[np.ndarray, np.ndarray]], parts: int = 1) -> np.ndarray:
+    """Edit distances of many pairs at once, exact up to ``32 * parts - 1`` and above it only known to be above.
+
+    The bit vectors of ``_banded`` for that band around the main diagonal, ``parts`` unsigned numbers a pair.
     """
-    k, width = BAND, 2 * BAND + 1
+    k, width = 32 * parts - 1, 64 * parts - 1
     out = np.full(len(pairs), k + 1)
     short = [x if len(x) <= len(y) else y for x, y in pairs]
     long = [y if len(x) <= len(y) else x for x, y in pairs]
@@ -225,23 +245,28 @@ def banded_distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     a, b = np.full((p, most + width + 1), -1, np.int32), np.full((most, p), -2, np.int32)
     for i, q in enumerate(order):
         a[i, k : k + n[i]], b[: m[i], i] = short[q], long[q]
-    one, ones, top = np.uint64(1), np.uint64((1 << width) - 1), np.uint64(1 << (width - 1))
-    vp, vn = np.full(p, ones & ~np.uint64((1 << k) - 1)), np.zeros(p, np.uint64)
-    score, live = np.minimum(k, n), p
+    one, top = np.uint64(1), np.uint64(1 << 62)
+    ones = np.full((parts, 1), np.iinfo(np.uint64).max)
+    ones[-1] >>= one  # the highest bit is no place of the band
+    vp, vn = np.zeros((parts, p), np.uint64), np.zeros((parts, p), np.uint64)
+    for bit in range(k, width):
+        vp[bit // 64] |= one << np.uint64(bit % 64)
+    score, live, every = np.minimum(k, n), p, np.arange(p)
     for j in range(1, most + 1):
         while m[live - 1] < j:
             live -= 1
-        eq = np.packbits(a[:live, j - 1 : j - 1 + width] == b[j - 1, :live, None], axis=1, bitorder="little").view("<u8")[:, 0]
-        p1, n1 = vp[:live], vn[:live]
-        d0 = ((((eq & p1) + p1) ^ p1) | eq | n1) & ones
+        eq = np.packbits(a[:live, j - 1 : j - 1 + width] == b[j - 1, :live, None], axis=1, bitorder="little").view("<u8").T
+        p1, n1 = vp[:, :live], vn[:, :live]
+        d0 = ((_sum(eq & p1, p1) ^ p1) | eq | n1) & ones
         hp, hn = n1 | (ones & ~(d0 | p1)), d0 & p1
         beyond = j + k - n[:live]  # rows of the band below the last row
-        bit = one << np.maximum(width - 1 - beyond, 0).astype(np.uint64)
-        along = ((d0 & top) == 0).astype(np.int64)
-        across = ((hp & bit) != 0).astype(np.int64) - ((hn & bit) != 0)
+        place = np.clip(width - 1 - beyond, 0, width - 1)
+        at, bit = place // 64, one << (place % 64).astype(np.uint64)
+        along = ((d0[-1] & top) == 0).astype(np.int64)
+        across = ((hp[at, every[:live]] & bit) != 0).astype(np.int64) - ((hn[at, every[:live]] & bit) != 0)
         score[:live] += np.where(beyond <= 0, along, across)
-        d1 = d0 >> one
-        vp[:live], vn[:live] = (hn | (ones & ~(d1 | hp))) & ones, hp & d1
+        d1 = _shifted(d0)
+        vp[:, :live], vn[:, :live] = (hn | (ones & ~(d1 | hp))) & ones, hp & d1
     out[order] = np.minimum(score, k + 1)
     return out
 
@@ -276,22 +301,44 @@ def may_be_similar(a: list[np.ndarray], b: list[np.ndarray], least: float) -> np
     return out & (pairs_a @ pairs_b.T >= longer - 1 - 2 * most)
 
 
+def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both without the words that they have in common at the beginning and at the end; no alignment needs those."""
+    n = min(len(a), len(b))
+    apart = a[:n] != b[:n]
+    lo = int(apart.argmax()) if apart.any() else n
+    a, b, n = a[lo:], b[lo:], n - lo
+    apart = a[len(a) - n :][::-1] != b[len(b) - n :][::-1]
+    hi = int(apart.argmax()) if apart.any() else n
+    return a[: len(a) - hi], b[: len(b) - hi]
+
+
 def similarities(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMILARITY) -> np.ndarray:
     """1 - edits / longer length of each pair of word sequences, or -1 below ``least``."""
     longer = np.array([max(len(x), len(y)) for x, y in pairs], np.int64)
     most = np.floor((1 - least) * longer + 1e-9).astype(np.int64)
-    d = np.full(len(pairs), -1)
-    by_length = np.argsort(longer, kind="stable")
-    lo = 0
-    while lo < len(pairs):  # as many pairs of about one length as a few MB hold
-        hi = lo + 1
-        while hi < len(pairs) and hi - lo < 4096 and (hi - lo) * (longer[by_length[hi]] + 64) < 1 << 20 and longer[by_length[hi]] <= 1.25 * longer[by_length[lo]] + 16:
-            hi += 1
-        some = by_length[lo:hi]
-        if len(some) >= 8:
-            d[some] = banded_distances([pairs[i] for i in some])
-        lo = hi
-    for i in np.flatnonzero((d < 0) | (d > BAND) & (most > BAND)):
+    pairs = [_trimmed(x, y) for x, y in pairs]
+    left = np.array([max(len(x), len(y)) for x, y in pairs], np.int64)
+    enough = np.minimum(most, left) // 32 + 1  # parts whose band holds every distance that counts
+    d, todo = np.full(len(pairs), -1), np.argsort(left, kind="stable")
+    for step in (1, 2, MOST_PARTS):
+        again = []
+        parts_of = np.minimum(enough[todo], step)
+        for parts in np.unique(parts_of).tolist():
+            mine, lo = todo[parts_of == parts], 0
+            while lo < len(mine):  # as many pairs of about one length as a few MB hold
+                hi = lo + 1
+                while hi < len(mine) and hi - lo < 4096 and (hi - lo) * (left[mine[hi]] + 64 * parts) < 1 << 20 and left[mine[hi]] <= 1.25 * left[mine[lo]] + 16:
+                    hi += 1
+                some, lo = mine[lo:hi], hi
+                if len(some) >= FEW:
+                    d[some] = banded_distances([pairs[i] for i in some], parts)
+                    again.append(some[(d[some] >= 32 * parts) & (enough[some] > parts)])
+                else:
+                    d[some] = -1
+        todo = np.concatenate([*again, todo[:0]])
+        todo = todo[np.argsort(left[todo], kind="stable")]
+    d[todo] = -1
+    for i in np.flatnonzero(d < 0):
         a, b = pairs[i]
         size = max(int(a.max(initial=0)), int(b.max(initial=0))) + 1
         # an edit moves the counts of words by 2 at most
@@ -341,29 +388,46 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(align, "a long, b long")
 
 
-def block_links(asked: pa.Table, held: pa.Table, key: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links (component, component) that join components of two blocks of one bucket; both have doc_id, component, asks, text, keys."""
-    known: dict[bytes, int] = {}
-    words_a, words_b = (numbered(t["text"].cast(pa.binary()).to_pylist(), known) for t in (asked, held))
-    ids_a, ids_b = asked["doc_id"].to_numpy(), held["doc_id"].to_numpy()
-    comps, number = np.unique(np.concatenate([asked["component"].to_numpy(), held["component"].to_numpy()]), return_inverse=True)
-    comp_a, comp_b = number[: len(ids_a)], number[len(ids_a) :]
-    asks = held["asks"].to_numpy(zero_copy_only=False).astype(bool)
-    open_ = may_be_similar(words_a, words_b, least)
-    open_ &= comp_a[:, None] != comp_b[None, :]
-    open_ &= ~asks[None, :] | (ids_a[:, None] < ids_b[None, :])  # of two that ask, the smaller asks
-    # a pair that shares a smaller key is compared there
-    keys_a, keys_b = asked["keys"].to_pylist(), held["keys"].to_pylist()
-    sizes = np.array([len(k) for k in keys_b], np.int64)
-    flat, owner = np.array([x for k in keys_b for x in k], np.int64), np.repeat(np.arange(len(ids_b)), sizes)
-    smaller = flat < key
-    flat, owner = flat[smaller], owner[smaller]
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    for i in np.flatnonzero(open_.any(axis=1)):
-        own = np.array([x for x in keys_a[i] if x < key], np.int64)
-        lo, hi = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
-        open_[i, owner[np.repeat(lo, hi - lo) + grouped_chars(hi - lo)]] = False
+def _coded(texts: DataFrame) -> DataFrame:
+    """id, codes (the words as 64-bit hashes), keys."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for _, _, offs, data in text_slices(batch.column(1)):
+                starts, ends, first = split_words(data, offs)
+                words = word_hashes(data, starts, ends)
+                out += [words[lo:hi].tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["id", "codes", "keys"])
+
+    return texts.select("id", "text", "keys").mapInArrow(make, "id long, codes binary, keys array<long>")
+
+
+class Members:
+    """Documents of a task: ids, components, whether they ask, words, and all keys that they share with other components."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.ids, self.components, self.key = table["doc_id"].to_numpy(), table["component"].to_numpy(), table["key"].to_numpy()
+        self.asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
+        self.codes = [np.frombuffer(x, np.uint64) for x in table["codes"].to_pylist()]
+        lists = table["keys"].combine_chunks()
+        self.starts, self.keys = lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy()
+        self.starts = self.starts - self.starts[0]
+
+
+def _numbered(*sides: Members) -> list[list[np.ndarray]]:
+    """The words of both sides by small numbers."""
+    codes = np.concatenate([np.zeros(0, np.uint64), *[c for side in sides for c in side.codes]])
+    number = np.unique(codes, return_inverse=True)[1].astype(np.int32)
+    cuts = np.cumsum([len(c) for side in sides for c in side.codes])
+    parts = np.split(number, cuts[:-1]) if len(cuts) else []
+    return [parts[: len(sides[0].ids)], parts[len(sides[0].ids) :]]
+
+
+def _joining(words_a, words_b, left: Members, right: Members, pairs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of those of the pairs (places in left and right) that are similar and join two components not yet joined."""
+    comps, number = np.unique(np.concatenate([left.components, right.components]), return_inverse=True)
+    comp_a, comp_b = number[: len(left.ids)], number[len(left.ids) :]
     parent = np.arange(len(comps))
 
     def root(x: int) -> int:
@@ -373,54 +437,117 @@ def block_links(asked: pa.Table, held: pa.Table, key: int, least: float) -> tupl
         return x
 
     links: list[tuple[int, int]] = []
-    left, wave = np.argwhere(open_), 256
-    rng = np.random.default_rng(abs(key))
-    left = left[rng.permutation(len(left))]  # so that a wave holds pairs of many components
-    while len(left):
-        now, left = left[:wave], left[wave:]
+    rest, wave = pairs[np.random.default_rng(len(pairs)).permutation(len(pairs))], 512  # so that a wave holds pairs of many components
+    while len(rest):
+        now, rest = rest[:wave], rest[wave:]
         similar = similarities([(words_a[i], words_b[j]) for i, j in now], least) >= 0
         for i, j in now[similar]:
             x, y = root(comp_a[i]), root(comp_b[j])
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                links.append((comps[comp_a[i]], comps[comp_b[j]]))
-        if similar.any() and len(left):
+                links.append((left.ids[i], right.ids[j]))
+        if similar.any() and len(rest):
             roots = np.array([root(x) for x in range(len(comps))])
-            left = left[roots[comp_a[left[:, 0]]] != roots[comp_b[left[:, 1]]]]
+            rest = rest[roots[comp_a[rest[:, 0]]] != roots[comp_b[rest[:, 1]]]]
         wave = min(2 * wave, 8192)
     a, b = np.array(links, np.int64).reshape(-1, 2).T
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _untried(buckets: DataFrame, comp: DataFrame, texts: DataFrame, least: float, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """a, b: links between components that share a bucket, compared block by block.
-
-    What lies outside a bucket's largest component asks, the whole bucket is held. A document is held in the band of its
-    length, and asks in that band and the next to either side.
+def block_links(left: Members, right: Members, key: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (smaller id, larger id) that join components of two blocks of one large bucket."""
+    words_a, words_b = _numbered(left, right)
+    open_ = may_be_similar(words_a, words_b, least)
+    open_ &= left.components[:, None] != right.components[None, :]
+    open_ &= ~right.asks[None, :] | (left.ids[:, None] < right.ids[None, :])  # of two that ask, the smaller asks
+    # a pair that shares a smaller key is compared there
+    owner = np.repeat(np.arange(len(right.ids)), np.diff(right.starts))
+    smaller = right.keys < key
+    flat, owner = right.keys[smaller], owner[smaller]
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for i in np.flatnonzero(open_.any(axis=1)):
+        own = left.keys[left.starts[i] : left.starts[i + 1]]
+        own = own[own < key]
+        lo, hi = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
+        open_[i, owner[np.repeat(lo, hi - lo) + grouped_chars(hi - lo)]] = False
+    return _joining(words_a, words_b, left, right, np.argwhere(open_), least)
+
+
+def bundle_links(some: Members, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a bundle of small buckets (all rows of each)."""
+    order = np.lexsort((some.ids, some.key))
+    cuts = np.append(np.flatnonzero(np.diff(some.key[order], prepend=some.key[order[0]] - 1)), len(order))
+    found = []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        mine = order[lo:hi]
+        asks = mine[some.asks[mine]]
+        i, j = np.repeat(asks, len(mine)), np.tile(mine, len(asks))
+        use = (some.components[i] != some.components[j]) & (~some.asks[j] | (some.ids[i] < some.ids[j]))
+        found.append(np.stack([i[use], j[use]], axis=1))
+    pairs = np.concatenate(found)
+    # a pair that meets in several buckets of the bundle counts once
+    low, high = np.minimum(some.ids[pairs[:, 0]], some.ids[pairs[:, 1]]), np.maximum(some.ids[pairs[:, 0]], some.ids[pairs[:, 1]])
+    by = np.lexsort((high, low))
+    new = np.ones(len(by), bool)
+    new[1:] = (low[by[1:]] != low[by[:-1]]) | (high[by[1:]] != high[by[:-1]])
+    pairs = pairs[by[new]]
+    (words, _) = _numbered(some, some)
+    n = np.array([len(w) for w in words], np.int64)
+    longer = np.maximum(n[pairs[:, 0]], n[pairs[:, 1]])
+    most = np.floor((1 - least) * longer + 1e-9)
+    use = longer - np.minimum(n[pairs[:, 0]], n[pairs[:, 1]]) <= most
+    pairs, longer, most = pairs[use], longer[use], most[use]
+    for which, slack in enumerate((0, 1)):
+        profile = profiles(words)[which]
+        common = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", profile[pairs[lo : lo + 1024, 0]], profile[pairs[lo : lo + 1024, 1]]) for lo in range(0, len(pairs), 1024)]])
+        use = common >= longer - slack - (1 + slack) * most
+        pairs, longer, most = pairs[use], longer[use], most[use]
+    sets = [frozenset(some.keys[lo:hi].tolist()) for lo, hi in zip(some.starts[:-1], some.starts[1:], strict=True)]
+    use = np.array([min(sets[i] & sets[j]) == some.key[i] for i, j in pairs], bool)
+    return _joining(words, words, some, some, pairs[use], least)
+
+
+def _untried(buckets: DataFrame, comp: DataFrame, texts: DataFrame, least: float, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, few: int = FEW_PAIRS) -> DataFrame:
+    """a, b: links between components that share a bucket, not verified on words.
+
+    What lies outside a bucket's largest component asks, the whole bucket is held. Buckets of at most ``few`` such pairs go
+    in bundles. In others a document is held in the band of its length, and asks in that band and the next to either side;
+    bands are compared block by block.
     """
     there = buckets.select("key", "doc_id", "n_words").join(comp, F.col("doc_id") == F.col("node")).drop("node")
     sizes = there.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("largest.component").alias("main"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    sizes = sizes.select("key", F.col("largest.component").alias("main"), (F.col("n") * (F.col("n") - F.col("largest.n")) <= few).alias("small"))
     band = F.floor(F.log(F.col("n_words").cast("double")) / F.lit(float(np.log(1 / least)))).cast("int")
-    mixed_ = stored(there.join(sizes, "key").select("key", "doc_id", "component", (F.col("component") != F.col("main")).alias("asks"), band.alias("band")), "mixed-buckets")
+    mixed_ = stored(there.join(sizes, "key").select("key", "doc_id", "component", (F.col("component") != F.col("main")).alias("asks"), "small", band.alias("band")), "mixed-buckets")
     keys = mixed_.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # as many as a document has sketches and keys
-    whole = stored(texts.join(keys, "doc_id").select(F.col("doc_id").alias("id"), "text", "keys", F.octet_length("text").alias("bytes")), "mixed-texts")
-    near = mixed_.where("asks").select("key", "doc_id", F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band"))
-    sized = lambda d, n: d.join(whole.select("id", "bytes"), F.col("doc_id") == F.col("id")).groupBy("key", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("bytes") / F.lit(block_bytes))).cast("int").alias(n))
-    blocks = stored(sized(near, "asking").join(sized(mixed_, "holding"), ["key", "band"]), "blocks")
+    whole = stored(_coded(texts.withColumnRenamed("doc_id", "id").join(keys, F.col("id") == F.col("doc_id"))), "mixed-codes", batch_rows=TEXT_ROWS)
+    with_codes = lambda d: d.join(whole, F.col("doc_id") == F.col("id")).drop("id")
+    as_links = lambda x: pa.table({"a": pa.array(x[0], pa.int64()), "b": pa.array(x[1], pa.int64())})
+
+    small = mixed_.where("small")
+    bundles = max(1, -(-small.count() // BUNDLE))
+    small = with_codes(small.select("key", "doc_id", "component", "asks", F.pmod(F.xxhash64("key"), F.lit(bundles)).alias("bundle")))
+    found = small.groupBy("bundle").applyInArrow(lambda t: as_links(bundle_links(Members(t), least)), "a long, b long")
+
+    large = mixed_.where("not small")
+    near = large.where("asks").select("key", "doc_id", "component", "asks", F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band"))
+    sized = lambda d, n: d.join(whole.select("id", F.octet_length("codes").alias("bytes")), F.col("doc_id") == F.col("id")).groupBy("key", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("bytes") / F.lit(block_bytes))).cast("int").alias(n))
+    blocks = stored(sized(near, "asking").join(sized(large, "holding"), ["key", "band"]), "blocks")
     part = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    with_text = lambda d: d.join(whole.drop("bytes"), F.col("doc_id") == F.col("id")).drop("id")
-    asked = with_text(mixed_.where("asks").select("key", "doc_id", "component", "asks", F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band")).join(blocks, ["key", "band"]).select("key", "band", "doc_id", "component", "asks", part("asking").alias("i"), every("holding").alias("j")))
-    held = with_text(mixed_.join(blocks, ["key", "band"]).select("key", "band", "doc_id", "component", "asks", every("asking").alias("i"), part("holding").alias("j")))
+    plain = ["key", "band", "doc_id", "component", "asks"]
+    asked = with_codes(near.join(blocks, ["key", "band"]).select(*plain, part("asking").alias("i"), every("holding").alias("j")))
+    held = with_codes(large.join(blocks, ["key", "band"]).select(*plain, every("asking").alias("i"), part("holding").alias("j")))
     held = held.toDF(*held.columns)
 
     def compare(group, left, right):
-        a, b = block_links(left, right, group[0].as_py(), least) if left.num_rows and right.num_rows else (np.zeros(0, np.int64),) * 2
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return as_links(block_links(Members(left), Members(right), group[0].as_py(), least) if left.num_rows and right.num_rows else (np.zeros(0, np.int64),) * 2)
 
     place = ["key", "band", "i", "j"]
-    found = stored(asked.groupBy(*place).cogroup(held.groupBy(*place)).applyInArrow(compare, "a long, b long"), "links")
+    found = found.unionByName(asked.groupBy(*place).cogroup(held.groupBy(*place)).applyInArrow(compare, "a long, b long"))
+    found = stored(found.distinct(), "joining")
     release_shuffles(buckets.sparkSession)
     forget(mixed_, whole, blocks)
     return found
@@ -451,8 +578,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = components(links, "a", "b")
     first = stored(wanted.join(first, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "doc_id").alias("component")), "classes")
     # members of different components that share a bucket; their links join components
-    joined = components(_untried(buckets, first, texts, least), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    more = stored(_verified(_untried(buckets, first, texts, least), texts, least), "links", batch_rows=TEXT_ROWS)
+    side = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    joined = components(more.join(side("a"), "a").join(side("b"), "b"), "of_a", "of_b").select(F.col("node").alias("component"), F.col("component").alias("whole"))
     classes = stored(first.join(joined, "component", "left").select(F.col("node").alias("rep"), F.coalesce("whole", "component").alias("class_id")), "classes")
     out = members.join(classes, "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1).alias("n_copies"))
-    forget(every, buckets, wanted, texts, links, first)
+    forget(every, buckets, wanted, texts, links, more, first)
     return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "n_copies")

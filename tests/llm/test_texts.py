@@ -233,6 +233,7 @@ def test_many_alignments_at_once_equal_single_ones():
         assert d == min(order_minhash.edit_distance(a.tolist(), b.tolist(), 31), 32)
         longer = max(len(a), len(b))
         true = order_minhash.edit_distance(a.tolist(), b.tolist(), int(0.2 * longer + 1e-9))
+        assert order_minhash.banded_distances([(a, b)], 2)[0] == min(order_minhash.edit_distance(a.tolist(), b.tolist(), 63), 64)
         assert s == pytest.approx(1 - true / max(1, longer) if true <= int(0.2 * longer + 1e-9) else -1.0)
 
 
@@ -241,7 +242,6 @@ def test_rows_between_stages_follow_a_hot_bucket(spark, monkeypatch):
     rng = np.random.default_rng(24)
     passage = prose(rng, 60)
     texts = [passage + " " + " ".join(f"v{x}" for x in rng.integers(0, 1 << 40, int(n))) for n in rng.integers(20, 60, 800)]
-    monkeypatch.setattr(order_minhash, "BLOCK", 2048)
     made = {}
     plain = order_minhash.stored
 
@@ -267,7 +267,7 @@ def test_blocks_find_every_link_of_a_bucket(spark, monkeypatch):
         texts += [" ".join(edited(rng, own, int(e)) + ["more"] * int(rng.integers(0, 9))) for e in rng.integers(0, 12, 4)]
     whole = order_minhash.near_duplicates(docs(spark, texts)).orderBy("doc_id").collect()
     plain = order_minhash._untried
-    monkeypatch.setattr(order_minhash, "_untried", lambda *a: plain(*a, block=5, block_bytes=3000))
+    monkeypatch.setattr(order_minhash, "_untried", lambda *a: plain(*a, block=5, block_bytes=3000, few=0))
     assert order_minhash.near_duplicates(docs(spark, texts)).orderBy("doc_id").collect() == whole
 
 
