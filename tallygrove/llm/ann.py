@@ -7,9 +7,10 @@ Rounds end once a block has ``SHARE`` of its vectors, ``FEWEST`` at least, and `
 candidate is verified by its inner product on the original vectors in double precision.
 
 Inner products are made distances first: a vector gets one more coordinate that brings it to the length of the longest,
-a query is scaled to that length and gets 0.
+a query is scaled to that length and gets 0. So that long vectors don't flatten these distances, the table is first split
+into classes of length at the shares ``CUTS``, each with its own longest.
 
-The table is dealt by the hash of the id into blocks of about ``BLOCK`` vectors and the query set into blocks of about
+A class is dealt by the hash of the id into blocks of about ``BLOCK`` vectors and the query set into blocks of about
 ``QUERIES``; one task holds one block of each and returns each query's best ``k``, so its memory does not grow with the
 table, and copies of one vector spread over all blocks.
 
@@ -32,6 +33,7 @@ from tallygrove.llm.vectors import matrix, one_per_id
 PROJECTIONS, COLLIDE, SHARE, FEWEST = 96, 0.6, 0.2, 256
 FIRST, GROW = 0.6, 1.15  # half the first window in standard deviations of the projected values, and its factor a round
 BLOCK, QUERIES = 4096, 2048
+CUTS, UNLIKE = (0.25, 0.5, 0.75, 0.9, 0.97), 1.02  # squares of lengths that differ by a smaller factor are one class
 
 
 def projections(m: int, d: int, seed: int = 1) -> np.ndarray:
@@ -102,17 +104,32 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     """query_id, rank (from 1), vec_id, score: the k nearest found of each row that meets ``is_query`` (a condition on vec_id)."""
     every = stored(one_per_id(vectors, vec_id, embedding).where("vec is not null"), "vectors")
     squares = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    known = every.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("queries"), F.max(squares).alias("squares")).first()
-    blocks, chunks, longest = -(-known["n"] // block) or 1, -(-known["queries"] // query_block) or 1, float(known["squares"] or 0.0) ** 0.5
-
-    def search(table, asked):
+    every = every.withColumn("squares", squares)
+    cuts: list[float] = []
+    for x in every.approxQuantile("squares", list(CUTS), 0.005):
+        if not cuts or x > UNLIKE * cuts[-1]:
+            cuts.append(x)
+    length = F.lit(0)
+    for x in cuts:
+        length = length + (F.col("squares") > x).cast("int")
+    known = {r["length"]: r for r in every.groupBy(length.alias("length")).agg(F.count(F.lit(1)).alias("n"), F.max("squares").alias("squares")).collect()}  # a row a class
+    sizes = {c: -(-r["n"] // block) for c, r in known.items()}
+    first, blocks = {}, 0
+    for c, n in sizes.items():
+        first[c], blocks = blocks, blocks + n
+    chunks = -(-every.where(is_query).count() // query_block) or 1
+    longest_of = {first[c] + i: float(known[c]["squares"]) ** 0.5 for c, n in sizes.items() for i in range(n)}  # a number a block
+
+    def search(group, table, asked):
         q, v, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if table.num_rows and asked.num_rows:
+            longest = longest_of[group[0].as_py()]
             q, v, s = search_block(table["vec_id"].to_numpy(), matrix(table["vec"]), asked["vec_id"].to_numpy(), matrix(asked["vec"]), longest, k, m)
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    dealt = every.select("vec_id", "vec", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    asked = every.where(is_query).select("vec_id", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"))
+    by_class = lambda values: F.create_map(*[F.lit(x).cast("long") for pair in (values or {0: 1}).items() for x in pair])[length.cast("long")]
+    dealt = every.select("vec_id", "vec", (by_class(first) + F.pmod(F.xxhash64("vec_id"), by_class(sizes))).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    asked = every.where(is_query).select("vec_id", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, blocks - 1)).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"))
     asked = asked.toDF(*asked.columns)  # columns of its own, as both sides come from one table
     found = dealt.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(search, "query_id long, vec_id long, score double")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -226,7 +226,7 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, **columns: str) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs and lang_pred, lang_score, lang_rejected."""
+    """docs and lang_pred, lang_score, lang_rejected, which take the place of columns of docs with these names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats, whatever the corpus
 
     def name(batches):
@@ -241,5 +241,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     name.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     named = F.pandas_udf(name, "pred string, score double, rejected boolean")
-    out = docs.withColumn("lang_id", named(F.col(f"`{text}`")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("lang_id.pred").alias("lang_pred"), F.col("lang_id.score").alias("lang_score"), F.col("lang_id.rejected").alias("lang_rejected"))
+    own = ("lang_pred", "lang_score", "lang_rejected")
+    kept = [c for c in docs.columns if c not in own]
+    out = docs.select(*[F.col(f"`{c}`").alias(f"of_docs_{c}") for c in kept], named(F.col(f"`{text}`")).alias("told"))
+    return out.select(*[F.col(f"`of_docs_{c}`").alias(c) for c in kept], *[F.col(f"told.{c.removeprefix('lang_')}").alias(c) for c in own])

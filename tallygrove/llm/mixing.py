@@ -6,6 +6,8 @@ language and by topic meet the three target marginals; a document is then kept w
 draw of a document is a fixed number from its id, so any rerun keeps the same documents.
 
 Only the table of cells goes through the raking, as window sums; it is stored every few rounds to keep plans short.
+Rounds end when no marginal share is further than ``TOLERANCE`` from its target, or after ``MOST_ROUNDS`` where targets
+conflict (an empty cell can make them so); the residual that is left is returned in ``mix_residual``.
 Nothing is collected to the driver. A hot source is only a sum.
 
 Defined cases: a missing source, language or text counts as the group ``(none)`` or as no tokens; documents without
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from tallygrove.llm.common import forget, stored, unit
 
 NONE = "(none)"
-ROUNDS, STEP = 12, 4
+STEP, TOLERANCE, MOST_ROUNDS = 4, 1e-9, 120  # rounds between two looks at the residual; the residual that ends them; rounds of targets that conflict
+SQL_ROUNDS = 32  # of the counterpart in SQL, which can't look at the residual
 DIMS = ("source", "lang", "topic")
 #: Topic and its pattern, in order of precedence; other texts are prose.
 TOPICS = (("licence", r"(?i)licen[sc]ed? under|all rights reserved|copyright \("), ("contact", r"[A-Za-z0-9._-]@[A-Za-z0-9-]+\.[a-z]|\(\d{3}\) \d{3}-\d{4}"), ("shouted", r"!![ \n]|[A-Z]{5}"))
@@ -41,18 +44,19 @@ def topic_of(text: Column) -> Column:
     return out
 
 
-def with_cells(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """docs and mix_source, mix_lang, mix_topic, mix_tokens."""
+def with_cells(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None) -> DataFrame:
+    """docs and mix_source, mix_lang, mix_topic, mix_tokens. topic: the topic of a row; by default rules on the text."""
     t = F.col(f"`{text}`")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix_source", "mix_lang", "mix_topic", "mix_tokens")]
     return docs.select(
         *others, F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(NONE)).alias("mix_source"), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NONE)).alias("mix_lang"),
-        topic_of(t).alias("mix_topic"), n_tokens(t).alias("mix_tokens"),
+        (topic_of(t) if topic is None else F.coalesce(topic.cast("string"), F.lit(NONE))).alias("mix_topic"), n_tokens(t).alias("mix_tokens"),
     )
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: Mapping[str, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """cells (mix_source, mix_lang, mix_topic, tokens) and weight: the raked share, and keep_prob: its probability.
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: Mapping[str, float] | None = None, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """cells (mix_source, mix_lang, mix_topic, tokens) and weight: the raked share, keep_prob: its probability, and
+    residual: the largest distance of a marginal share from its target (one number).
 
     targets: by dimension, the wanted share of each group. A dimension without targets takes its own shares to the power
     ``temper`` (1 leaves them as they are).
@@ -71,35 +75,38 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     for d in DIMS:
         whole = table.select(f"mix_{d}", f"goal_{d}").distinct().agg(F.sum(f"goal_{d}")).first()[0]
         table = table.withColumn(f"goal_{d}", F.col(f"goal_{d}") / F.lit(float(whole or 1.0)))
-    for r in range(rounds):
-        for d in DIMS:
-            there = F.sum("weight").over(Window.partitionBy(f"mix_{d}"))
-            table = table.withColumn("weight", F.when(there > 0, F.col("weight") * F.col(f"goal_{d}") / there).otherwise(F.lit(0.0)))
-        if r % STEP == STEP - 1 or r == rounds - 1:
-            table = stored(table, "cells")
-            forget(old)
-            old = table
+    residual, r = float("inf"), 0
+    while residual > TOLERANCE and r < most_rounds:
+        for _ in range(STEP):
+            for d in DIMS:
+                there = F.sum("weight").over(Window.partitionBy(f"mix_{d}"))
+                table = table.withColumn("weight", F.when(there > 0, F.col("weight") * F.col(f"goal_{d}") / there).otherwise(F.lit(0.0)))
+        table, r = stored(table, "cells"), r + STEP
+        forget(old)
+        old = table
+        gaps = [table.groupBy(f"mix_{d}").agg(F.abs(F.sum("weight") - F.max(f"goal_{d}")).alias("gap")).agg(F.max("gap").alias("gap")) for d in DIMS]
+        residual = max(float(g.first()[0] or 0.0) for g in gaps)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
     top = float(table.agg(F.max(ratio)).first()[0] or 0.0)
     prob = F.coalesce(ratio, F.lit(top)) / F.lit(top) if top else F.lit(0.0)
-    return table.select("mix_source", "mix_lang", "mix_topic", "tokens", "weight", prob.alias("keep_prob"))
+    return table.select("mix_source", "mix_lang", "mix_topic", "tokens", "weight", prob.alias("keep_prob"), F.lit(residual).alias("residual"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", targets: Mapping[str, Mapping[str, float]] | None = None, temper: Mapping[str, float] | None = None, rounds: int = ROUNDS, carry: Sequence[str] | None = None) -> DataFrame:
-    """docs (or only the columns ``carry``) and mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_prob, mix_kept.
+def mix(docs: DataFrame, doc_id: str = "doc_id", targets: Mapping[str, Mapping[str, float]] | None = None, temper: Mapping[str, float] | None = None, topic: Column | None = None, carry: Sequence[str] | None = None) -> DataFrame:
+    """docs (or only the columns ``carry``) and mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_prob, mix_residual, mix_kept.
 
     Each text is read once: the marked documents are stored, the cells are counted and the documents drawn from those.
     """
     columns = [c for c in (docs.columns if carry is None else carry) if not c.startswith("mix_")]
-    marked = stored(with_cells(docs).select(*[F.col(f"`{c}`") for c in columns], "mix_source", "mix_lang", "mix_topic", "mix_tokens"), "marked")
+    marked = stored(with_cells(docs, topic=topic).select(*[F.col(f"`{c}`") for c in columns], "mix_source", "mix_lang", "mix_topic", "mix_tokens"), "marked")
     cells = marked.groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("tokens"))
-    raked = rake(cells, targets, temper, rounds)
-    raked = raked.select("mix_source", "mix_lang", "mix_topic", F.col("weight").alias("mix_weight"), F.col("keep_prob").alias("mix_prob"))
+    raked = rake(cells, targets, temper)
+    raked = raked.select("mix_source", "mix_lang", "mix_topic", F.col("weight").alias("mix_weight"), F.col("keep_prob").alias("mix_prob"), F.col("residual").alias("mix_residual"))
     out = marked.join(raked, ["mix_source", "mix_lang", "mix_topic"])
     return out.withColumn("mix_kept", unit(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))) < F.col("mix_prob"))
 
 
-def oracle_sql(temper: Mapping[str, float], rounds: int = ROUNDS) -> str:
+def oracle_sql(temper: Mapping[str, float], rounds: int = SQL_ROUNDS) -> str:
     """The same raking as a chain of window sums for DuckDB."""
     topic = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}'" for n, p in TOPICS) + " ELSE 'prose' END"
     tokens = r"coalesce(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')), 0)"

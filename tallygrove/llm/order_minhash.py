@@ -21,8 +21,8 @@ is never a row. A pair with several common buckets is compared in the one with t
 sketch or key is left untried unless its documents are already in one class.
 
 Buckets of few possible pairs go to tasks in bundles. Alignments are made for many pairs at once, a few 64-bit numbers a
-pair; those of very long texts one by one with long integers. Tasks on buckets compare 64-bit hashes of words, and every
-link is verified on the words themselves.
+pair; those of very long texts one by one with long integers. Tasks on buckets compare 32-bit hashes of words; every link
+is verified on the words themselves, and if one fails, the buckets are compared again by other hashes.
 
 Defined cases: a missing text and a text without words are classes of their own; a text of fewer than five words is only
 in a class with equal word sequences; repeated ids are one document, of different texts the one with most words (then the
@@ -34,6 +34,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,12 @@ from pyspark.sql import functions as F
 
 from tallygrove.llm.common import RangeHash, components, forget, grouped_chars, mixed, release_shuffles, split_words, stored, text_slices, word_hashes
 
-K, SKETCHES, PICKS, SIMILARITY = 3, 64, 2, 0.8
+K, SKETCHES, PICKS, SIMILARITY = 3, 40, 2, 0.8
 LEAST_WORDS, SHORT = 5, 24
 BLOCK, BLOCK_BYTES, BINS = 1024, 8 << 20, 2048
-FEW_PAIRS, BUNDLE = 4096, 2048  # pairs of a bucket that goes in a bundle, rows of a bundle
+FEW_PAIRS, BUNDLE = 1 << 16, 2048  # pairs of a bucket that goes in a bundle, rows of a bundle
 MOST_PARTS, FEW = 8, 8  # 64-bit numbers of a pair aligned with others, pairs that are worth it
-TEXT_ROWS = 1000  # texts in an Arrow batch
+TEXT_ROWS, ALIGN_BYTES = 1000, 16 << 20  # texts in an Arrow batch, bytes of texts aligned together
 
 
 def _occurrences(kmers: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -291,12 +292,12 @@ def profiles(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return _labelled(every, row, len(words)), _labelled(both[inside], row[:-1][inside], len(words))
 
 
-def may_be_similar(a: list[np.ndarray], b: list[np.ndarray], least: float) -> np.ndarray:
+def may_be_similar(a: list[np.ndarray], b: list[np.ndarray], least: float, known: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
     """Rows x columns: whether lengths, common words and common word pairs leave a similarity of ``least`` possible."""
     n, m = np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])[None, :]
     longer = np.maximum(n, m)
     most = np.floor((1 - least) * longer + 1e-9)
-    (words_a, pairs_a), (words_b, pairs_b) = profiles(a), profiles(b)
+    (words_a, words_b), (pairs_a, pairs_b) = known or zip(profiles(a), profiles(b), strict=True)
     out = (longer - np.minimum(n, m) <= most) & (words_a @ words_b.T >= longer - most)
     return out & (pairs_a @ pairs_b.T >= longer - 1 - 2 * most)
 
@@ -319,15 +320,19 @@ def similarities(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMI
     pairs = [_trimmed(x, y) for x, y in pairs]
     left = np.array([max(len(x), len(y)) for x, y in pairs], np.int64)
     enough = np.minimum(most, left) // 32 + 1  # parts whose band holds every distance that counts
-    d, todo = np.full(len(pairs), -1), np.argsort(left, kind="stable")
+    # every word of the longer rest that has no equal in the other takes an edit
+    common = np.array([np.minimum(np.bincount(x & BINS - 1, minlength=BINS), np.bincount(y & BINS - 1, minlength=BINS)).sum() if r > m else r for (x, y), r, m in zip(pairs, left, most, strict=True)], np.int64)
+    may = left - common <= most
+    d, todo = np.where(may, -1, most + 1), np.argsort(left, kind="stable")
+    todo = todo[may[todo]]
     for step in (1, 2, MOST_PARTS):
         again = []
         parts_of = np.minimum(enough[todo], step)
         for parts in np.unique(parts_of).tolist():
             mine, lo = todo[parts_of == parts], 0
-            while lo < len(mine):  # as many pairs of about one length as a few MB hold
+            while lo < len(mine):  # as many pairs as a few MB hold
                 hi = lo + 1
-                while hi < len(mine) and hi - lo < 4096 and (hi - lo) * (left[mine[hi]] + 64 * parts) < 1 << 20 and left[mine[hi]] <= 1.25 * left[mine[lo]] + 16:
+                while hi < len(mine) and hi - lo < 8192 and (hi - lo) * (left[mine[hi]] + 64 * parts) < 1 << 21:
                     hi += 1
                 some, lo = mine[lo:hi], hi
                 if len(some) >= FEW:
@@ -339,13 +344,7 @@ def similarities(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMI
         todo = todo[np.argsort(left[todo], kind="stable")]
     d[todo] = -1
     for i in np.flatnonzero(d < 0):
-        a, b = pairs[i]
-        size = max(int(a.max(initial=0)), int(b.max(initial=0))) + 1
-        # an edit moves the counts of words by 2 at most
-        if np.abs(np.bincount(a % BINS, minlength=min(size, BINS)) - np.bincount(b % BINS, minlength=min(size, BINS))).sum() > 2 * most[i]:
-            d[i] = most[i] + 1
-        else:
-            d[i] = edit_distance(a.tolist(), b.tolist(), int(most[i]))
+        d[i] = edit_distance(pairs[i][0].tolist(), pairs[i][1].tolist(), int(most[i]))
     return np.where(d <= most, 1 - d / np.maximum(longer, 1), -1.0)
 
 
@@ -379,24 +378,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known: dict[bytes, int] = {}
-            a, b = (numbered([x.as_py() for x in batch.column(i).cast(pa.binary())], known) for i in (2, 3))
-            similar = pa.array(similarities(list(zip(a, b, strict=True)), least) >= 0)
-            yield pa.record_batch([batch.column(0).filter(similar), batch.column(1).filter(similar)], names=["a", "b"])
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            held += [batch] if batch is not None else []
+            if held and (batch is None or sum(x.nbytes for x in held) >= ALIGN_BYTES):  # many pairs at once, whatever the batches
+                known: dict[bytes, int] = {}
+                some = pa.Table.from_batches(held)
+                a, b = (numbered(some.column(i).cast(pa.binary()).to_pylist(), known) for i in (2, 3))
+                found = some.filter(pa.array(similarities(list(zip(a, b, strict=True)), least) >= 0)).select([0, 1])
+                held = []
+                yield from found.to_batches()
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(align, "a long, b long")
 
 
-def _coded(texts: DataFrame) -> DataFrame:
-    """id, codes (the words as 64-bit hashes), keys."""
+def _coded(texts: DataFrame, which: int) -> DataFrame:
+    """id, codes (32 bits of the words' hashes, of one of two kinds), keys."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for _, _, offs, data in text_slices(batch.column(1)):
                 starts, ends, first = split_words(data, offs)
-                words = word_hashes(data, starts, ends)
+                words = (word_hashes(data, starts, ends, which) >> np.uint64(32)).astype("<u4")
                 out += [words[lo:hi].tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["id", "codes", "keys"])
 
@@ -409,7 +413,7 @@ class Members:
     def __init__(self, table: pa.Table) -> None:
         self.ids, self.components, self.key = table["doc_id"].to_numpy(), table["component"].to_numpy(), table["key"].to_numpy()
         self.asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
-        self.codes = [np.frombuffer(x, np.uint64) for x in table["codes"].to_pylist()]
+        self.codes = [np.frombuffer(x, np.uint32) for x in table["codes"].to_pylist()]
         lists = table["keys"].combine_chunks()
         self.starts, self.keys = lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy()
         self.starts = self.starts - self.starts[0]
@@ -417,7 +421,7 @@ class Members:
 
 def _numbered(*sides: Members) -> list[list[np.ndarray]]:
     """The words of both sides by small numbers."""
-    codes = np.concatenate([np.zeros(0, np.uint64), *[c for side in sides for c in side.codes]])
+    codes = np.concatenate([np.zeros(0, np.uint32), *[c for side in sides for c in side.codes]])
     number = np.unique(codes, return_inverse=True)[1].astype(np.int32)
     cuts = np.cumsum([len(c) for side in sides for c in side.codes])
     parts = np.split(number, cuts[:-1]) if len(cuts) else []
@@ -478,13 +482,16 @@ def bundle_links(some: Members, least: float) -> tuple[np.ndarray, np.ndarray]:
     """The same for a bundle of small buckets (all rows of each)."""
     order = np.lexsort((some.ids, some.key))
     cuts = np.append(np.flatnonzero(np.diff(some.key[order], prepend=some.key[order[0]] - 1)), len(order))
+    (words, _) = _numbered(some, some)
+    made = profiles(words)
     found = []
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         mine = order[lo:hi]
         asks = mine[some.asks[mine]]
-        i, j = np.repeat(asks, len(mine)), np.tile(mine, len(asks))
-        use = (some.components[i] != some.components[j]) & (~some.asks[j] | (some.ids[i] < some.ids[j]))
-        found.append(np.stack([i[use], j[use]], axis=1))
+        open_ = may_be_similar([words[i] for i in asks], [words[j] for j in mine], least, [(x[asks], x[mine]) for x in made])
+        open_ &= (some.components[asks][:, None] != some.components[mine]) & (~some.asks[mine] | (some.ids[asks][:, None] < some.ids[mine]))
+        i, j = np.nonzero(open_)
+        found.append(np.stack([asks[i], mine[j]], axis=1))
     pairs = np.concatenate(found)
     # a pair that meets in several buckets of the bundle counts once
     low, high = np.minimum(some.ids[pairs[:, 0]], some.ids[pairs[:, 1]]), np.maximum(some.ids[pairs[:, 0]], some.ids[pairs[:, 1]])
@@ -492,37 +499,26 @@ def bundle_links(some: Members, least: float) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(by), bool)
     new[1:] = (low[by[1:]] != low[by[:-1]]) | (high[by[1:]] != high[by[:-1]])
     pairs = pairs[by[new]]
-    (words, _) = _numbered(some, some)
-    n = np.array([len(w) for w in words], np.int64)
-    longer = np.maximum(n[pairs[:, 0]], n[pairs[:, 1]])
-    most = np.floor((1 - least) * longer + 1e-9)
-    use = longer - np.minimum(n[pairs[:, 0]], n[pairs[:, 1]]) <= most
-    pairs, longer, most = pairs[use], longer[use], most[use]
-    for which, slack in enumerate((0, 1)):
-        profile = profiles(words)[which]
-        common = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", profile[pairs[lo : lo + 1024, 0]], profile[pairs[lo : lo + 1024, 1]]) for lo in range(0, len(pairs), 1024)]])
-        use = common >= longer - slack - (1 + slack) * most
-        pairs, longer, most = pairs[use], longer[use], most[use]
     sets = [frozenset(some.keys[lo:hi].tolist()) for lo, hi in zip(some.starts[:-1], some.starts[1:], strict=True)]
     use = np.array([min(sets[i] & sets[j]) == some.key[i] for i, j in pairs], bool)
     return _joining(words, words, some, some, pairs[use], least)
 
 
-def _untried(buckets: DataFrame, comp: DataFrame, texts: DataFrame, least: float, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, few: int = FEW_PAIRS) -> DataFrame:
+def _untried(buckets: DataFrame, comp: DataFrame, texts: DataFrame, least: float, which: int = 0, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, few: int = FEW_PAIRS) -> DataFrame:
     """a, b: links between components that share a bucket, not verified on words.
 
     What lies outside a bucket's largest component asks, the whole bucket is held. Buckets of at most ``few`` such pairs go
     in bundles. In others a document is held in the band of its length, and asks in that band and the next to either side;
     bands are compared block by block.
     """
-    there = buckets.select("key", "doc_id", "n_words").join(comp, F.col("doc_id") == F.col("node")).drop("node")
+    there = buckets.select("key", "doc_id").join(comp, F.col("doc_id") == F.col("node")).drop("node")
     sizes = there.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     sizes = sizes.select("key", F.col("largest.component").alias("main"), (F.col("n") * (F.col("n") - F.col("largest.n")) <= few).alias("small"))
     band = F.floor(F.log(F.col("n_words").cast("double")) / F.lit(float(np.log(1 / least)))).cast("int")
     mixed_ = stored(there.join(sizes, "key").select("key", "doc_id", "component", (F.col("component") != F.col("main")).alias("asks"), "small", band.alias("band")), "mixed-buckets")
     keys = mixed_.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # as many as a document has sketches and keys
-    whole = stored(_coded(texts.withColumnRenamed("doc_id", "id").join(keys, F.col("id") == F.col("doc_id"))), "mixed-codes", batch_rows=TEXT_ROWS)
+    whole = stored(_coded(texts.withColumnRenamed("doc_id", "id").join(keys, F.col("id") == F.col("doc_id")), which), "mixed-codes", batch_rows=TEXT_ROWS)
     with_codes = lambda d: d.join(whole, F.col("doc_id") == F.col("id")).drop("id")
     as_links = lambda x: pa.table({"a": pa.array(x[0], pa.int64()), "b": pa.array(x[1], pa.int64())})
 
@@ -564,21 +560,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = every.select("doc_id", "digest", "n_words").join(stands, "digest", "left").select("doc_id", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
     members = stored(members, "members")
     reps = every.join(members.where("doc_id = rep").select("doc_id"), "doc_id").where("sketches is not null")
-    keys = reps.select("doc_id", "n_words", "hash", F.explode("sketches").alias("key"))
-    many = keys.groupBy("key").agg(F.min(F.struct("doc_id", "n_words")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = stored(keys.join(many, "key").select("key", F.col("low.doc_id").alias("low"), F.col("low.n_words").alias("low_words"), "doc_id", "n_words", "hash"), "buckets")  # only keys that several documents share
+    keys = reps.select("doc_id", F.explode("sketches").alias("key"))
+    many = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
+    buckets = stored(keys.join(many, "key").select("key", "low", "doc_id"), "buckets")  # only keys that several documents share
     release_shuffles(spark)
-    wanted = stored(buckets.select("doc_id", "hash").distinct(), "wanted")
-    texts = stored(d.join(wanted, ["doc_id", "hash"]).groupBy("doc_id").agg(F.first("text").alias("text")), "texts", batch_rows=TEXT_ROWS)
+    wanted = stored(every.select("doc_id", "hash", "n_words").join(buckets.select("doc_id").distinct(), "doc_id"), "wanted")
+    texts = stored(d.join(wanted.select("doc_id", "hash"), ["doc_id", "hash"]).groupBy("doc_id").agg(F.first("text").alias("text")), "texts", batch_rows=TEXT_ROWS)
     release_shuffles(spark)
     # every member of a bucket against the smallest
-    pairs = buckets.where("doc_id <> low").where(f"least(n_words, low_words) >= {least} * greatest(n_words, low_words) - 1e-6").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
+    size = lambda x: wanted.select(F.col("doc_id").alias(x), F.col("n_words").alias(f"n_{x}"))
+    pairs = buckets.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = pairs.join(size("a"), "a").join(size("b"), "b").where(f"least(n_a, n_b) >= {least} * greatest(n_a, n_b) - 1e-6").select("a", "b")
     links = stored(_verified(stored(pairs, "pairs"), texts, least), "links", batch_rows=TEXT_ROWS)
     release_shuffles(spark)
     first = components(links, "a", "b")
-    first = stored(wanted.join(first, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "doc_id").alias("component")), "classes")
+    first = stored(wanted.join(first, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("node"), "n_words", F.coalesce("component", "doc_id").alias("component")), "classes")
     # members of different components that share a bucket; their links join components
-    more = stored(_verified(_untried(buckets, first, texts, least), texts, least), "links", batch_rows=TEXT_ROWS)
+    for which in (0, 1):
+        joining = _untried(buckets, first, texts, least, which)
+        more = stored(_verified(joining, texts, least), "links", batch_rows=TEXT_ROWS)
+        if more.count() == joining.count():
+            break
     side = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
     joined = components(more.join(side("a"), "a").join(side("b"), "b"), "of_a", "of_b").select(F.col("node").alias("component"), F.col("component").alias("whole"))
     classes = stored(first.join(joined, "component", "left").select(F.col("node").alias("rep"), F.coalesce("whole", "component").alias("class_id")), "classes")

@@ -8,7 +8,7 @@ shuffle, no Python, and a lost task is simply run again with the same ids (ids a
 
 Defined cases: a missing payload is an empty one (its conversion block is empty); a missing URI leaves the header out;
 repeated responses give repeated derivatives with equal ids; an unclosed script, style or comment ends at the end of the
-page; extra columns are ignored. Entities outside ``ENTITIES`` stay as written.
+page; extra columns are ignored. Numeric entities and those of ``ENTITIES`` are resolved, others stay as written.
 """
 
 from __future__ import annotations
@@ -16,17 +16,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entity and what it stands for; the ampersand comes last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: Named entities and what they stand for.
+ENTITIES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&", "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122", "middot": "\u00b7", "bull": "\u2022", "hellip": "\u2026",
+    "ndash": "\u2013", "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "laquo": "\u00ab", "raquo": "\u00bb", "euro": "\u20ac", "pound": "\u00a3", "yen": "\u00a5", "cent": "\u00a2",
+    "sect": "\u00a7", "para": "\u00b6", "deg": "\u00b0", "plusmn": "\u00b1", "times": "\u00d7", "divide": "\u00f7", "frac12": "\u00bd", "szlig": "\u00df", "eacute": "\u00e9", "egrave": "\u00e8", "agrave": "\u00e0", "ccedil": "\u00e7",
+    "auml": "\u00e4", "ouml": "\u00f6", "uuml": "\u00fc", "Auml": "\u00c4", "Ouml": "\u00d6", "Uuml": "\u00dc", "ntilde": "\u00f1", "iexcl": "\u00a1", "iquest": "\u00bf", "shy": "\u00ad", "thinsp": "\u2009", "ensp": "\u2002", "emsp": "\u2003",
+}
+ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});"
 #: What is removed whole, and which tags end a line.
 UNSEEN = (r"(?s)<!--.*?(-->|\z)", r"(?is)<script\b.*?(</script\s*>|\z)", r"(?is)<style\b.*?(</style\s*>|\z)", r"(?is)<title\b.*?(</title\s*>|\z)")
 LINES = r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 
 
+def _entities(text: Column) -> Column:
+    """Named and numeric entities resolved once, from left to right; others stay as written."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def part(p: Column, i: Column) -> Column:
+        name = F.regexp_extract(p, ENTITY, 1)
+        number = F.when(F.lower(name.substr(1, 2)) == "#x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).cast("long")
+        real = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.when(name.startswith("#"), F.when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))).otherwise(names[name])
+        return F.when(i == 0, p).when(name == "", F.concat(F.lit("&"), p)).otherwise(F.coalesce(F.concat(char, F.regexp_replace(p, ENTITY, "")), F.concat(F.lit("&"), p)))
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), part), "")).otherwise(text)
+
+
 def _tidy(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = _entities(text)
     text = F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")
     text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+\z", "")
@@ -51,14 +70,14 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
-def responses_from_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def responses_from_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: str | Column = "2024-01-01T00:00:00Z") -> DataFrame:
     """Raw pages as response records (page_id, record_id, target_uri, warc_date, http_headers, payload)."""
     payload = F.coalesce(F.col(f"`{html}`"), F.lit(""))
     crlf = "\r\n"
     return pages.select(
         F.col(f"`{page_id}`").alias("page_id"),
         record_id(F.lit("response"), F.col(f"`{page_id}`"), F.col(f"`{url}`")).alias("record_id"),
-        F.col(f"`{url}`").alias("target_uri"), F.lit(date).alias("warc_date"),
+        F.col(f"`{url}`").alias("target_uri"), (date if isinstance(date, Column) else F.lit(date)).alias("warc_date"),
         F.concat(F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "), F.octet_length(payload).cast("string"), F.lit(crlf)).alias("http_headers"),
         payload.alias("payload"),
     )
@@ -75,6 +94,7 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFr
     fields = F.concat(
         F.lit("title: "), title, F.lit(f"{crlf}source-content-length: "), F.octet_length("payload").cast("string"),
         F.lit(f"{crlf}source-digest: "), F.col("source_digest"), F.lit(crlf),
+        F.when(F.col("source_headers") == "", F.lit("")).otherwise(F.concat(F.lit("source-http-status: "), F.regexp_replace("source_headers", r"\n([^\r\n])", "\nsource-http-$1"))),
     )
     made = [F.struct(F.lit(kind).alias("warc_type"), F.lit(mime).alias("content_type"), block.alias("block")) for kind, mime, block in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", plain_text(F.col("payload"))))]
     rows = base.select("*", F.explode(F.array(*made)).alias("made")).select("*", "made.warc_type", "made.content_type", "made.block")
@@ -84,20 +104,30 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFr
         crlf, F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.col("warc_type")), F.concat(F.lit("WARC-Record-ID: "), F.col("record_id")),
         F.concat(F.lit("WARC-Refers-To: "), F.col("refers_to")), F.concat(F.lit("WARC-Target-URI: "), F.col("target_uri")),
         F.concat(F.lit("WARC-Date: "), F.col("warc_date")), F.concat(F.lit("WARC-Block-Digest: "), F.col("block_digest")),
+        F.concat(F.lit("X-Source-Payload-Digest: "), F.col("source_digest")),
+        F.when(F.col("source_headers") != "", F.concat(F.lit("X-Source-HTTP-Headers: "), F.regexp_replace(F.regexp_replace("source_headers", r"\r\n\z", ""), r"\r\n", "; "))),
         F.concat(F.lit("Content-Type: "), F.col("content_type")), F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")),
     )
     return rows.select(*keep, "warc_type", "record_id", "refers_to", "target_uri", "source_headers", "source_digest", "content_type", "content_length", "block_digest", header.alias("warc_header"), "block")
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Records as WARC text, one file a partition: header, blank line, block, two blank lines; gzip by Spark's text writer."""
+    """Records as WARC text, one file a partition: header, blank line, block and two line ends, the last by Spark's text writer, which also compresses."""
     crlf = "\r\n"
-    records.select(F.concat("warc_header", F.lit(crlf * 2), "block", F.lit(crlf * 2)).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    records.select(F.concat("warc_header", F.lit(crlf * 2), "block", F.lit(crlf)).alias("value")).write.option("lineSep", crlf).option("compression", "gzip").text(path)
+
+
+def _sql_entities(x: str) -> str:
+    quoted = lambda c: c.replace("'", "''")
+    name = f"regexp_extract(p, '{ENTITY}', 1)"
+    number = f"(CASE WHEN lower(substr({name}, 1, 2)) = '#x' THEN TRY_CAST('0x' || substr({name}, 3) AS BIGINT) ELSE TRY_CAST(substr({name}, 2) AS BIGINT) END)"
+    char = f"CASE WHEN starts_with({name}, '#') THEN CASE WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr(CAST({number} AS INTEGER)) END ELSE CASE {name} " + " ".join(f"WHEN '{n}' THEN '{quoted(c)}'" for n, c in ENTITIES.items()) + " END END"
+    part = f"CASE WHEN i = 1 THEN p WHEN {name} = '' THEN '&' || p ELSE coalesce(({char}) || regexp_replace(p, '{ENTITY}', ''), '&' || p) END"
+    return f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: {part}), '')"
 
 
 def _sql_tidy(x: str) -> str:
-    for entity, char in ENTITIES:
-        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    x = _sql_entities(x)
     x = rf"regexp_replace({x}, '[ \t\r\f\x0B]+', ' ', 'g')"
     x = rf"regexp_replace({x}, ' ?\n[ \n]*', chr(10), 'g')"
     return rf"regexp_replace({x}, '^[ \n]+|[ \n]+\z', '', 'g')"
@@ -127,7 +157,8 @@ WITH responses AS (
   FROM pages),
 made AS (
   SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
-    'title: ' || {_TITLE_SQL} || {_CRLF} || 'source-content-length: ' || strlen(payload) || {_CRLF} || 'source-digest: ' || source_digest || {_CRLF} AS block
+    'title: ' || {_TITLE_SQL} || {_CRLF} || 'source-content-length: ' || strlen(payload) || {_CRLF} || 'source-digest: ' || source_digest || {_CRLF}
+      || 'source-http-status: ' || regexp_replace(source_headers, '\\n([^\\r\\n])', chr(10) || 'source-http-\\1', 'g') AS block
   FROM responses
   UNION ALL
   SELECT *, 'conversion', 'text/plain; charset=utf-8', {_sql_text("payload")} FROM responses),
@@ -136,6 +167,8 @@ named AS (
 SELECT page_id, warc_type, record_id, refers_to, target_uri, source_headers, source_digest, content_type, content_length, block_digest,
   'WARC/1.1' || {_CRLF} || 'WARC-Type: ' || warc_type || {_CRLF} || 'WARC-Record-ID: ' || record_id || {_CRLF} || 'WARC-Refers-To: ' || refers_to || {_CRLF}
     || coalesce('WARC-Target-URI: ' || target_uri || {_CRLF}, '') || 'WARC-Date: 2024-01-01T00:00:00Z' || {_CRLF} || 'WARC-Block-Digest: ' || block_digest || {_CRLF}
+    || 'X-Source-Payload-Digest: ' || source_digest || {_CRLF}
+    || 'X-Source-HTTP-Headers: ' || replace(regexp_replace(source_headers, '\\r\\n\\z', ''), {_CRLF}, '; ') || {_CRLF}
     || 'Content-Type: ' || content_type || {_CRLF} || 'Content-Length: ' || content_length AS warc_header, block
 FROM named
 """

@@ -86,6 +86,33 @@ def test_recall_over_several_blocks(spark):
     assert ann.audit(vectors, got) >= 0.9
 
 
+def test_recall_on_unequal_lengths(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(8000, 64)) * rng.lognormal(0, 0.5, (8000, 1))
+    vectors = table(spark, list(enumerate(x)))
+    got = ann.nearest(vectors, F.col("vec_id") % 20 == 0)
+    assert ann.audit(vectors, got) >= 0.9
+
+
+def test_homes_grow_with_the_centres_and_the_audit_is_null_without_links(spark):
+    assert [embedding_dedup.homes_for(k) for k in (1, 31, 64, 256, 2048)] == [3, 3, 3, 5, 8]
+    rng = np.random.default_rng(8)
+    got = embedding_dedup.near_duplicates(table(spark, list(enumerate(rng.normal(size=(50, 32)))))).collect()
+    assert all(r["audited_recall"] is None and r["kept"] and not r["n_links"] for r in got)
+    # many centres: small pairs in isotropic vectors, the hardest case
+    q = rng.normal(size=(1500, 32))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    o = rng.normal(size=q.shape)
+    o -= (o * q).sum(axis=1)[:, None] * q
+    v = 0.955 * q + np.sqrt(1 - 0.955**2) * o / np.linalg.norm(o, axis=1)[:, None]
+    rows = [(i, x) for i, x in enumerate(np.concatenate([q, v]))]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(table(spark, rows), block=64).collect()}
+    assert sum(got[i + 1500]["component_id"] == i for i in range(1500)) >= 0.95 * 1500
+    assert got[0]["audited_recall"] >= 0.9
+
+
 def test_components_of_random_links(spark):
     rng = np.random.default_rng(4)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)]

@@ -46,7 +46,7 @@ def test_warc_files_hold_the_records(spark, tmp_path):
 def test_raking_meets_its_targets(spark):
     cells = spark.createDataFrame([(s, l, t, 10 * i + 5) for i, (s, l, t) in enumerate((s, l, t) for s in "abc" for l in ("en", "de") for t in ("x", "y"))], "mix_source string, mix_lang string, mix_topic string, tokens long")
     targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2, "absent": 0.4}, "lang": {"en": 0.4, "de": 0.6}, "topic": {"x": 0.7, "y": 0.3}}
-    rows = mixing.rake(cells, targets, rounds=24).collect()
+    rows = mixing.rake(cells, targets).collect()
     share = lambda d, g: sum(r["weight"] for r in rows if r[f"mix_{d}"] == g)
     assert abs(share("source", "a") - 0.5) < 1e-6 and abs(share("lang", "de") - 0.6) < 1e-6 and abs(share("topic", "x") - 0.7) < 1e-6
     assert max(r["keep_prob"] for r in rows) == pytest.approx(1.0)
@@ -104,3 +104,72 @@ def test_every_pipeline_stage_takes_odd_documents(spark):
         stage(spark, docs, DATA).collect()
         stage(spark, docs.limit(0), DATA).collect()
     assert zlib.crc32(b"") == 0
+
+
+def test_written_records_are_read_by_a_strict_reader(spark, tmp_path):
+    """Every record begins right after the last: version, headers, an empty line, as many bytes as said, two line ends."""
+    import glob
+    import gzip
+    import hashlib
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<title>T{i}</title><p>a&#8212;b &eacute;&amp;lt; &#x41;&unknown; {'x' * i}\n") for i in range(30)], "page_id long, url string, html string")
+    derived = warc.derive(warc.responses_from_pages(pages))
+    warc.write_warc(derived, f"file://{tmp_path}/w")
+    seen = {}
+    for path in glob.glob(f"{tmp_path}/w/*.gz"):
+        data = gzip.open(path).read()
+        while data:
+            head, rest = data.split(b"\r\n\r\n", 1)
+            version, *lines = head.decode().split("\r\n")
+            headers = dict(x.split(": ", 1) for x in lines)
+            assert version == "WARC/1.1"
+            size = int(headers["Content-Length"])
+            block, end, data = rest[:size], rest[size : size + 4], rest[size + 4 :]
+            assert end == b"\r\n\r\n" and headers["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
+            seen[headers["WARC-Record-ID"]] = (headers, block.decode())
+    assert len(seen) == 60
+    for headers, block in seen.values():
+        assert headers["X-Source-HTTP-Headers"].startswith("HTTP/1.1 200 OK; Content-Type: text/html")
+        if headers["WARC-Type"] == "metadata":
+            assert f"source-digest: {headers['X-Source-Payload-Digest']}\r\n" in block and "source-http-Content-Type: text/html; charset=utf-8\r\n" in block
+        else:
+            assert block.startswith("a\u2014b \u00e9&lt; A&unknown;")
+
+
+def test_raking_with_a_topic_of_the_caller_and_its_residual(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "a b c", "ab"[i % 2], "xy"[i % 3 == 0], f"t{i % 5}", 1, "own") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, kind string, mix_prob int, topic string")
+    out = mixing.mix(docs, temper={"source": 0.5, "lang": 0.5, "topic": 0.5}, topic=F.col("kind")).collect()
+    assert {r["mix_topic"] for r in out} == {f"t{i}" for i in range(5)} and len(out) == 300
+    assert all(r["mix_residual"] <= mixing.TOLERANCE and 0 <= r["mix_prob"] <= 1 for r in out)
+    torn = mixing.rake(spark.createDataFrame([("a", "x", "t", 5), ("b", "y", "t", 5)], "mix_source string, mix_lang string, mix_topic string, tokens long"), {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}, "topic": {"t": 1}}, most_rounds=8)
+    assert all(r["residual"] > 0.1 for r in torn.collect())  # targets that can't both be met are told
+
+
+def test_the_language_query(spark):
+    import zlib
+
+    from tallygrove.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op8_language_id(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    known = {r["lang"] for r in docs.values() if r["lang"]}
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in docs[r["doc_id"]]["text"] or "")) and r["lang_pred"] in known | {"und"}
+    right = [r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in got if r["held_out"] and docs[r["doc_id"]]["lang"] and r["lang_pred"] != "und"]
+    assert sum(right) > 0.9 * len(right)
+
+
+def test_language_columns_replace_those_of_the_same_name(spark):
+    from tallygrove.llm import langid
+
+    model = langid.fit(["the cat and the dog"] * 8 + ["le chat et le chien"] * 8, ["en"] * 8 + ["fr"] * 8)
+    docs = spark.createDataFrame([("the dog", "mine", "x", 1)], "text string, lang_id string, lang_pred string, told int")
+    out = langid.identify(docs, model)
+    assert out.columns == ["text", "lang_id", "told", "lang_pred", "lang_score", "lang_rejected"]
+    assert out.first()["lang_id"] == "mine" and out.first()["lang_pred"] == "en"
