@@ -10,26 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.llm import langid, mixing, order_minhash, packing, secrets
-from tallygrove.llm.common import stored
+from tallygrove.llm.common import BATCH_ROWS, stored
 from tallygrove.llm.queries import TEMPER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _whole_texts(spark: SparkSession) -> None:
+    """The pipeline's setting: rows that hold whole texts go to Python in batches of at most 1,000."""
+    spark.conf.set(BATCH_ROWS, min(1000, int(spark.conf.get(BATCH_ROWS))))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough confidence; ``lang`` becomes the predicted language."""
+    _whole_texts(spark)
     named = langid.identify(docs.select(*COLUMNS), langid.train(docs))
     return named.where(~F.col("lang_rejected")).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each near-duplicate class stays; documents without id stay."""
+    _whole_texts(spark)
     gone = order_minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets, plain or encoded, are replaced by a mark and ``n_chars`` is counted anew."""
+    _whole_texts(spark)
     return secrets.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -40,6 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens."""
+    _whole_texts(spark)
     return packing.pack(docs)
 
 
