@@ -109,7 +109,7 @@ class Model:
         return [self.languages[b] if ok else UND for b, ok in zip(best, known, strict=True)], score, ~known | (score < self.reject_below[best])
 
 
-def _summed(table: np.ndarray, texts: list[str], slice_chars: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+def _summed(table: np.ndarray, texts: list[str], slice_chars: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Sums of table rows over the n-grams of each text, and their number; slices bound the memory."""
     out, counts = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), np.int64)
     lo = 0

@@ -46,9 +46,10 @@ from tallygrove.llm.common import RangeHash, components, forget, grouped_chars,
 K, SKETCHES, PICKS, SIMILARITY = 3, 40, 2, 0.8
 LEAST_WORDS, SHORT = 5, 24
 BLOCK, BLOCK_BYTES, BINS = 1024, 8 << 20, 2048
-FEW_PAIRS, BUNDLE = 1 << 16, 2048  # pairs of a bucket that goes in a bundle, rows of a bundle
+FEW_PAIRS, BUNDLE = 1 << 16, 1024  # pairs of a bucket that goes in a bundle, rows of a bundle
 MOST_PARTS, FEW = 8, 8  # 64-bit numbers of a pair aligned with others, pairs that are worth it
-TEXT_ROWS, ALIGN_BYTES = 1000, 16 << 20  # texts in an Arrow batch, bytes of texts aligned together
+TEXT_ROWS, ALIGN_BYTES = 1000, 6 << 20  # texts in an Arrow batch, bytes of texts aligned together
+FEW_IDS = 500_000  # rows of two numbers that are broadcast; more are joined by a shuffle
 
 
 def _occurrences(kmers: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -332,7 +333,7 @@ def similarities(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMI
             mine, lo = todo[parts_of == parts], 0
             while lo < len(mine):  # as many pairs as a few MB hold
                 hi = lo + 1
-                while hi < len(mine) and hi - lo < 8192 and (hi - lo) * (left[mine[hi]] + 64 * parts) < 1 << 21:
+                while hi < len(mine) and hi - lo < 8192 and (hi - lo) * (left[mine[hi]] + 64 * parts) < 1 << 20:
                     hi += 1
                 some, lo = mine[lo:hi], hi
                 if len(some) >= FEW:
@@ -549,6 +550,12 @@ def _untried(buckets: DataFrame, comp: DataFrame, texts: DataFrame, least: float
     return found
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, marked for broadcast if it has at most ``FEW_IDS`` rows, so that whole texts need no shuffle to be
+    joined with it; beyond that Spark joins by shuffles."""
+    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row a document: doc_id, class_id (smallest id of its class), kept (doc_id = class_id), n_copies (other documents
     with the same words)."""
@@ -559,13 +566,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stands = every.where("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     members = every.select("doc_id", "digest", "n_words").join(stands, "digest", "left").select("doc_id", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
     members = stored(members, "members")
-    reps = every.join(members.where("doc_id = rep").select("doc_id"), "doc_id").where("sketches is not null")
+    reps = every.where("sketches is not null").join(_sent(members.where("doc_id <> rep").select("doc_id")), "doc_id", "left_anti")
     keys = reps.select("doc_id", F.explode("sketches").alias("key"))
     many = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
     buckets = stored(keys.join(many, "key").select("key", "low", "doc_id"), "buckets")  # only keys that several documents share
     release_shuffles(spark)
     wanted = stored(every.select("doc_id", "hash", "n_words").join(buckets.select("doc_id").distinct(), "doc_id"), "wanted")
-    texts = stored(d.join(wanted.select("doc_id", "hash"), ["doc_id", "hash"]).groupBy("doc_id").agg(F.first("text").alias("text")), "texts", batch_rows=TEXT_ROWS)
+    texts = stored(d.join(_sent(wanted.select("doc_id", "hash")), ["doc_id", "hash"]).groupBy("doc_id").agg(F.first("text").alias("text")), "texts", batch_rows=TEXT_ROWS)
     release_shuffles(spark)
     # every member of a bucket against the smallest
     size = lambda x: wanted.select(F.col("doc_id").alias(x), F.col("n_words").alias(f"n_{x}"))
