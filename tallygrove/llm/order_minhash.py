@@ -517,7 +517,7 @@ def _untried(buckets: DataFrame, comp: DataFrame, texts: DataFrame, least: float
     sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     sizes = sizes.select("key", F.col("largest.component").alias("main"), (F.col("n") * (F.col("n") - F.col("largest.n")) <= few).alias("small"))
     band = F.floor(F.log(F.col("n_words").cast("double")) / F.lit(float(np.log(1 / least)))).cast("int")
-    mixed_ = stored(there.join(sizes, "key").select("key", "doc_id", "component", (F.col("component") != F.col("main")).alias("asks"), "small", band.alias("band")), "mixed-buckets")
+    mixed_ = stored(there.join(sizes, "key").select("key", "doc_id", "component", (F.col("component") != F.col("main")).alias("asks"), "small", "n_words", band.alias("band")), "mixed-buckets")
     keys = mixed_.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # as many as a document has sketches and keys
     whole = stored(_coded(texts.withColumnRenamed("doc_id", "id").join(keys, F.col("id") == F.col("doc_id")), which), "mixed-codes", batch_rows=TEXT_ROWS)
     with_codes = lambda d: d.join(whole, F.col("doc_id") == F.col("id")).drop("id")
@@ -529,14 +529,15 @@ def _untried(buckets: DataFrame, comp: DataFrame, texts: DataFrame, least: float
     found = small.groupBy("bundle").applyInArrow(lambda t: as_links(bundle_links(Members(t), least)), "a long, b long")
 
     large = mixed_.where("not small")
-    near = large.where("asks").select("key", "doc_id", "component", "asks", F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band"))
-    sized = lambda d, n: d.join(whole.select("id", F.octet_length("codes").alias("bytes")), F.col("doc_id") == F.col("id")).groupBy("key", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("bytes") / F.lit(block_bytes))).cast("int").alias(n))
-    blocks = stored(sized(near, "asking").join(sized(large, "holding"), ["key", "band"]), "blocks")
+    around = F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band")
+    sized = lambda d, n: d.groupBy("key", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum(F.col("n_words") * 4) / F.lit(block_bytes))).cast("int").alias(n))
+    blocks = stored(sized(large.where("asks").select("key", "n_words", around), "asking").join(sized(large, "holding"), ["key", "band"]), "blocks")
     part = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    plain = ["key", "band", "doc_id", "component", "asks"]
-    asked = with_codes(near.join(blocks, ["key", "band"]).select(*plain, part("asking").alias("i"), every("holding").alias("j")))
-    held = with_codes(large.join(blocks, ["key", "band"]).select(*plain, every("asking").alias("i"), part("holding").alias("j")))
+    plain = ["key", "doc_id", "component", "asks", "codes", "keys"]
+    large = with_codes(large)
+    asked = large.where("asks").select(*plain, around).join(blocks, ["key", "band"]).select(*plain, "band", part("asking").alias("i"), every("holding").alias("j"))
+    held = large.select(*plain, "band").join(blocks, ["key", "band"]).select(*plain, "band", every("asking").alias("i"), part("holding").alias("j"))
     held = held.toDF(*held.columns)
 
     def compare(group, left, right):
