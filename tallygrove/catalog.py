@@ -109,8 +109,8 @@ def select_range_number(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END DESC NULLS LAST, c_custkey LIMIT 50")
 def top_k_blanks_last(spark: SparkSession, d: str) -> DataFrame:
-    c = t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return c.orderBy(F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).desc_nulls_last(), "c_custkey").limit(50)
+    c = t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal").withColumn("known", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")))
+    return tables.sort_blanks_last(c, "known", True, True, ["c_custkey"]).limit(50).drop("known")
 
 
 # --- grouping -------------------------------------------------------------------------------------------------------
@@ -435,11 +435,11 @@ def rules_classify(spark: SparkSession, d: str) -> DataFrame:
     return rules.apply_rules(t(spark, d, "orders"), given, {"action": "none"}).select("o_orderkey", "band", "action", F.size("conflicts").alias("n_conflicts"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice / nullif(l_quantity - 10, 0), 4) AS unit_price FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice / nullif(l_quantity - 10, 0) * 10000 + 0.5) / 10000 AS unit_price FROM lineitem")
 def rules_compute(spark: SparkSession, d: str) -> DataFrame:
     given = [rules.Rule("less", rules.Compute("l_quantity", "minus", 10)), rules.Rule("unit_price", rules.Compute("l_extendedprice", "divided by", "less"))]
     out = rules.apply_rules(t(spark, d, "lineitem"), given)
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r(F.col("unit_price").cast("double")).alias("unit_price"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", values.half_up(F.col("unit_price"), 4).alias("unit_price"))
 
 
 @query("SELECT event_id, lag(value) OVER w AS before, coalesce(value < lag(value) OVER w, false) AS fell FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -526,24 +526,24 @@ def transmission_chains(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE e AS (SELECT s_suppkey AS f, s_nationkey + 1000000 AS g, 1 + s_suppkey % 3 AS c FROM supplier), b AS (SELECT f, g, c FROM e UNION ALL SELECT g, f, c FROM e),
-    walk AS (SELECT s_suppkey AS origin, s_suppkey AS node, 0 AS cost FROM supplier WHERE s_suppkey <= 3 UNION SELECT origin, b.g, cost + c FROM walk JOIN b ON node = b.f WHERE cost + c <= 4)
+    walk AS (SELECT s_suppkey AS origin, s_suppkey AS node, 0 AS cost FROM supplier UNION SELECT origin, b.g, cost + c FROM walk JOIN b ON node = b.f WHERE cost + c <= 4)
     SELECT origin, node, CAST(min(cost) AS DOUBLE) AS cost FROM walk GROUP BY 1, 2""")
 def reachable_nodes(spark: SparkSession, d: str) -> DataFrame:
     s = t(spark, d, "supplier")
     edges = s.select(F.col("s_suppkey").alias("from"), (F.col("s_nationkey") + 1000000).cast("long").alias("to"), (1 + F.col("s_suppkey") % 3).alias("cost"))
-    return graph.reachable(edges, s.where("s_suppkey <= 3").select(F.col("s_suppkey").alias("node")), 4.0, True)
+    return graph.reachable(edges, s.select(F.col("s_suppkey").alias("node")), 4.0, True)
 
 
 # --- places ---------------------------------------------------------------------------------------------------------
 
 _KM = "2 * 6371.0088 * asin(sqrt(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2)))"
-_SITES = f"(SELECT s_suppkey, {S_LON} AS slon, {S_LAT} AS slat FROM supplier WHERE s_suppkey <= 40)"
+_SITES = f"(SELECT s_suppkey, {S_LON} AS slon, {S_LAT} AS slat FROM supplier)"
 
 
 @query(f"""WITH p AS (SELECT c_custkey AS id, {LON} AS lon, {LAT} AS lat FROM customer), k AS (SELECT id, s_suppkey, {_KM.format("lat", "lon", "slat", "slon")} AS km FROM p, {_SITES})
     SELECT id, arg_min(s_suppkey, km) AS nearest_id, round(min(km), 4) AS distance_km FROM k GROUP BY 1""")
 def haversine_nearest(spark: SparkSession, d: str) -> DataFrame:
-    sites = t(spark, d, "supplier").where("s_suppkey <= 40").select(F.col("s_suppkey").alias("id"), F.expr(S_LON).cast("double").alias("lon"), F.expr(S_LAT).cast("double").alias("lat"))
+    sites = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.expr(S_LON).cast("double").alias("lon"), F.expr(S_LAT).cast("double").alias("lat"))
     return geo.nearest(places(spark, d), sites, first_km=2000).select("id", "nearest_id", r("distance_km").alias("distance_km"))
 
 
@@ -639,3 +639,184 @@ def folded_names(spark: SparkSession, d: str) -> DataFrame:
 def rolling_counts(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-9, 0)
     return t(spark, d, "events").withColumn("running", F.count(F.lit(1)).over(w)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("running").alias("most"))
+
+
+# --- numbering, display and edits -----------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_number FROM orders")
+def row_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return tables.numbered(t(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "row_number")
+
+
+@query("""WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS position FROM customer), b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS position FROM part)
+    SELECT position, c_custkey, p_partkey FROM a FULL JOIN b USING (position)""")
+def positional_join(spark: SparkSession, d: str) -> DataFrame:
+    return tables.positional_join(t(spark, d, "customer").select("c_custkey"), t(spark, d, "part").select("p_partkey"), ["c_custkey"], ["p_partkey"])
+
+
+@query("""WITH n AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN '(unknown)' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment ELSE '(other)' END AS category, count(*) AS n FROM customer GROUP BY 1)
+    SELECT category, coalesce(n, 0) AS n FROM (VALUES ('BUILDING'), ('MACHINERY'), ('SHIPS'), ('(other)'), ('(unknown)')) v(category) LEFT JOIN n USING (category)""")
+def category_counts(spark: SparkSession, d: str) -> DataFrame:
+    c = t(spark, d, "customer").select(F.when(F.col("c_custkey") % 10 != 0, F.col("c_mktsegment")).alias("segment"))
+    return tables.category_counts(c, "segment", ["BUILDING", "MACHINERY", "SHIPS"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '11') OR contains(lower(c_mktsegment), '11') ORDER BY c_custkey LIMIT 20 OFFSET 20")
+def search_page(spark: SparkSession, d: str) -> DataFrame:
+    return tables.search(t(spark, d, "customer"), " 11 ", ["c_name", "c_mktsegment"], ["c_custkey"], 2, 20).select("c_custkey", "c_name")
+
+
+@query("""SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'soon' WHEN o_orderpriority = '3-MEDIUM' THEN 'medium' ELSE o_orderpriority END AS priority, count(*) AS n FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1""")
+def edit_features(spark: SparkSession, d: str) -> DataFrame:
+    o = t(spark, d, "orders").select(F.col("o_orderpriority").alias("priority"))
+    return tables.edit_features(o, "priority", {"3-MEDIUM": "medium"}, {"soon": ["1-URGENT", "2-HIGH"]}, ["5-LOW"]).groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH s AS (SELECT c_mktsegment AS category, sum(c_acctbal) AS total FROM customer GROUP BY 1) SELECT category, round(total, 2) AS total, row_number() OVER (ORDER BY total DESC, category) AS place FROM s")
+def bar_order(spark: SparkSession, d: str) -> DataFrame:
+    return tables.bar_order(t(spark, d, "customer"), "c_mktsegment", F.col("c_acctbal")).withColumn("total", r("total", 2))
+
+
+@query("""WITH s AS (SELECT year(o_orderdate) AS "at", o_orderstatus AS series, count(*) AS value, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END AS k FROM orders WHERE o_orderstatus IN ('O', 'F', 'P') GROUP BY 1, 2, 4)
+    SELECT "at", series, value, CAST(sum(value) OVER w AS BIGINT) AS upper, CAST(sum(value) OVER w - value AS BIGINT) AS lower FROM s WINDOW w AS (PARTITION BY "at" ORDER BY k ROWS UNBOUNDED PRECEDING)""")
+def stacked_series(spark: SparkSession, d: str) -> DataFrame:
+    return tables.stacked(t(spark, d, "orders"), F.year("o_orderdate"), "o_orderstatus", F.lit(1), ["O", "F", "P"])
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 AND c_mktsegment = 'BUILDING' THEN CASE WHEN c_custkey % 2 = 0 THEN 'HOUSES' ELSE 'BUILT' END ELSE c_mktsegment END AS segment FROM customer""")
+def cell_edits(spark: SparkSession, d: str) -> DataFrame:
+    c = t(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    ninth = c.where("c_custkey % 9 = 0").select(F.col("c_custkey").alias("record"))
+    log = ninth.select("record", F.lit("BUILDING").alias("old"), F.lit("BUILT").alias("new"), F.lit(1).alias("nth")).unionByName(ninth.where("record % 2 = 0").select("record", F.lit("BUILT").alias("old"), F.lit("HOUSES").alias("new"), F.lit(2).alias("nth")))
+    return tables.edit_cells(c, "c_custkey", log, "segment", "nth").df
+
+
+_TYPED = "CASE l_linenumber % 4 WHEN 0 THEN 'about ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) WHEN 1 THEN ' ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.5 ' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END"
+
+
+@query(f"SELECT l_linenumber, count(x) AS n, count(*) - count(x) AS unread, sum(x) AS total FROM (SELECT l_linenumber, TRY_CAST(trim({_TYPED}) AS DOUBLE) AS x FROM lineitem) GROUP BY 1")
+def repaired_numbers(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("l_quantity").cast("long").cast("string")
+    text = F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("about "), q)).when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit(" "), q, F.lit(".5 "))).otherwise(q)
+    x = tables.repair(t(spark, d, "lineitem").select("l_linenumber", text.alias("x")), "x").df
+    return x.groupBy("l_linenumber").agg(F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("unread"), F.sum("x").alias("total"))
+
+
+@query("""WITH f AS (SELECT count(*) FILTER (WHERE l_linenumber % 3 = 0) AS m FROM lineitem) SELECT 'l_quantity' AS "column", m AS found_missing, CAST(1 AS BIGINT) AS n_missing, 'missing differs' AS finding FROM f
+    UNION ALL SELECT 'l_tax', 0, NULL, 'not in dictionary' UNION ALL SELECT 'l_gone', NULL, 2, 'not in file'""")
+def dictionary_check(spark: SparkSession, d: str) -> DataFrame:
+    declared = spark.createDataFrame([("l_quantity", 1), ("l_gone", 2), ("l_linenumber", 0)], "column string, n_missing long")
+    return tables.dictionary_check(t(spark, d, "lineitem").select("l_linenumber", gappy("l_quantity").alias("l_quantity"), "l_tax"), declared)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS BIGINT)) + to_minutes(CAST(o_orderkey % 60 AS BIGINT)) END AS at FROM orders""")
+def written_datetimes(spark: SparkSession, d: str) -> DataFrame:
+    day, h = F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 24).cast("int")
+    date = F.concat_ws("/", F.month(day).cast("string"), F.dayofmonth(day).cast("string"), F.when(F.col("o_orderkey") % 5 != 0, F.year(day).cast("string")).otherwise(F.date_format(day, "yy")))
+    time = F.concat(F.when(h % 12 == 0, 12).otherwise(h % 12).cast("string"), F.lit(":"), F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0"), F.when(h < 12, " a.m.").otherwise("PM"))
+    return t(spark, d, "orders").select("o_orderkey", values.written_datetime(date, "month/day/year", time=time, clock="12-hour").alias("at"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 20 THEN 'missed' ELSE 'met' END AS aim FROM part")
+def rules_targets(spark: SparkSession, d: str) -> DataFrame:
+    return rules.apply_rules(t(spark, d, "part"), rules.targets("p_size", "aim", 20)).select("p_partkey", "aim")
+
+
+# --- more measures --------------------------------------------------------------------------------------------------
+
+_CELLS4 = "CAST(count(*) FILTER (WHERE e AND k) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE e AND NOT k) AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE NOT e AND k) AS DOUBLE) AS c, CAST(count(*) FILTER (WHERE NOT e AND NOT k) AS DOUBLE) AS d"
+
+
+@query(f"""WITH o AS (SELECT c_mktsegment AS s, o_orderpriority = '1-URGENT' AS e, o_orderstatus = 'F' AS k FROM orders JOIN customer ON o_custkey = c_custkey), g AS (SELECT s, {_CELLS4} FROM o GROUP BY 1),
+    h AS (SELECT *, a + b + c + d AS n, a + b AS e1, a + c AS m1 FROM g), p AS (SELECT sum(a * d / n) / sum(b * c / n) AS r FROM h),
+    x AS (SELECT *, (r * (m1 + e1) + (n - m1 - e1) - sqrt(pow(r * (m1 + e1) + (n - m1 - e1), 2) - 4 * r * (r - 1) * m1 * e1)) / (2 * (r - 1)) AS x FROM h, p),
+    v AS (SELECT *, 1 / (1 / x + 1 / (e1 - x) + 1 / (m1 - x) + 1 / (n - m1 - e1 + x)) AS v, ln(a * d / (b * c)) AS l, 1 / (1 / a + 1 / b + 1 / c + 1 / d) AS w FROM x)
+    SELECT round(max(r), 4) AS mh_odds_ratio, round(sum(pow(a - x, 2) / v), 3) AS breslow_day, round(sum(pow(a - x, 2) / v) - pow(sum(a - x), 2) / sum(v), 3) AS tarone, count(*) - 1 AS df, round(sum(w * l * l) - pow(sum(w * l), 2) / sum(w), 3) AS woolf, count(*) - 1 AS woolf_df FROM v""")
+def homogeneity_tests(spark: SparkSession, d: str) -> DataFrame:
+    o = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    h = measures.homogeneity(o, F.col("o_orderpriority") == "1-URGENT", F.col("o_orderstatus") == "F", ["c_mktsegment"])
+    return h.select(r("mh_odds_ratio").alias("mh_odds_ratio"), *[r(c, 3).alias(c) for c in ("breslow_day", "tarone", "woolf")], "df", "woolf_df")
+
+
+@query("""WITH g AS (SELECT CAST(count(*) FILTER (WHERE quality = 1 AND toxic = 0 AND doc_id % 7 = 0) AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE quality = 0 AND toxic = 1 AND doc_id % 7 = 0) AS DOUBLE) AS c FROM labels),
+    p AS (SELECT b, c, b + c AS n, sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) AS tail, max(exp(lgamma(b + c + 1) - lgamma(least(b, c) + 1) - lgamma(greatest(b, c) + 1) - (b + c) * ln(2))) AS point FROM g, range(0, 100000) q(i) WHERE i <= least(b, c) GROUP BY 1, 2)
+    SELECT b, c, round(least(1.0, 2 * tail), 6) AS p_exact, round(CASE WHEN b = c THEN 1.0 ELSE least(1.0, least(1.0, 2 * tail) - point) END, 6) AS p_mid FROM p""")
+def matched_pairs_exact(spark: SparkSession, d: str) -> DataFrame:
+    pairs = t(spark, d, "labels").where("doc_id % 7 = 0")  # some of the pairs, as a rare exposure has few discordant ones
+    return measures.matched_pairs_exact(pairs, F.col("quality") == 1, F.col("toxic") == 1).select("b", "c", r("p_exact", 6).alias("p_exact"), r("p_mid", 6).alias("p_mid"))
+
+
+@query("""WITH x AS (SELECT o_orderpriority = '1-URGENT' AS e, o_orderstatus = 'P' AS k, o_custkey % 50 AS s FROM orders), g AS (SELECT s, count(*) FILTER (WHERE e AND k) AS a, count(*) FILTER (WHERE e AND NOT k) AS b, count(*) FILTER (WHERE NOT e AND k) AS c, count(*) FILTER (WHERE NOT e AND NOT k) AS d FROM x GROUP BY 1),
+    m AS (SELECT *, a + b AS r, a + c AS k, a + b + c + d AS n FROM g),
+    f AS (SELECT s, a, i, lgamma(r + 1) + lgamma(n - r + 1) + lgamma(k + 1) + lgamma(n - k + 1) - lgamma(n + 1) - lgamma(i + 1) - lgamma(r - i + 1) - lgamma(k - i + 1) - lgamma(n - r - k + i + 1) AS l FROM m, range(0, 100000) q(i) WHERE i BETWEEN greatest(0, r + k - n) AND least(r, k))
+    SELECT s, round(least(1.0, sum(exp(l)) FILTER (WHERE l <= own + 1e-9)), 5) AS p FROM f JOIN (SELECT s, l AS own FROM f WHERE i = a) USING (s) GROUP BY 1""")
+def fisher_exact(spark: SparkSession, d: str) -> DataFrame:
+    o = t(spark, d, "orders").withColumn("s", F.col("o_custkey") % 50)
+    g = measures.two_by_two(o, F.col("o_orderpriority") == "1-URGENT", F.col("o_orderstatus") == "P", ["s"])
+    return g.select("s", r(measures.fisher_exact_p(*[F.col(c) for c in "abcd"]), 5).alias("p"))
+
+
+@query(f"WITH x AS (SELECT quality = 1 AS e, toxic = 1 AS k FROM labels), g AS (SELECT {_CELLS4} FROM x) SELECT round(a * d / (b * c), 4) AS odds_ratio, 'risk_difference,risk_ratio' AS withheld FROM g")
+def design_withholds(spark: SparkSession, d: str) -> DataFrame:
+    out = measures.under_design(measures.two_by_two(t(spark, d, "labels"), F.col("quality") == 1, F.col("toxic") == 1), "case-control")
+    withheld = out.report["withheld"].agg(F.array_join(F.sort_array(F.collect_list("measure")), ",").alias("withheld"))
+    return out.df.select(r("odds_ratio").alias("odds_ratio")).crossJoin(withheld)  # one row each
+
+
+@query("""WITH s AS (SELECT count(*) AS big, 1.959963984540054 AS z FROM customer), n AS (SELECT big, z * z * 0.3 * 0.7 / 0.0025 AS n FROM s)
+    SELECT CAST(ceil(n / (1 + (n - 1) / big)) AS INT) AS survey, CAST(ceil(pow(1.959963984540054 + 0.8416212335729143, 2) * 0.2 * 0.8 * 3 / (2 * 0.15 * 0.15)) AS INT) AS exposed, CAST(ceil(2 * pow(1.959963984540054 + 0.8416212335729143, 2) * 0.2 * 0.8 * 3 / (2 * 0.15 * 0.15)) AS INT) AS unexposed FROM n""")
+def sample_sizes(spark: SparkSession, d: str) -> DataFrame:
+    survey = measures.survey_size(t(spark, d, "customer").count(), 0.3, 0.05)
+    return spark.createDataFrame([(survey, *measures.comparison_size(0.3, 0.15, 2.0))], "survey int, exposed int, unexposed int")
+
+
+# --- more places ----------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT DISTINCT c_custkey AS id FROM {_BOX}, (SELECT c_custkey, {LON} AS lon, {LAT} AS lat FROM customer) WHERE lon > x AND lon < x + 20 AND lat > y AND lat < y + 30 AND NOT (lon > x + 5 AND lon < x + 8 AND lat > y + 5 AND lat < y + 9)")
+def clipped_points(spark: SparkSession, d: str) -> DataFrame:
+    return geo.clip_points(places(spark, d), _boxes(spark), cell=10.0).select("id")
+
+
+@query("""WITH b AS (SELECT i, -60 + (i // 18) * 40 + 0.05 AS y FROM range(0, 36) q(i)) SELECT 'box' || i AS name, round(pow(6371008.8, 2) * radians(20) * (sin(radians(y + 30)) - sin(radians(y))) / 1e6, 1) AS km2 FROM b""")
+def filled_area(spark: SparkSession, d: str) -> DataFrame:
+    return _boxes(spark).select("name", r(geo.area_m2(geo.fill_gaps(F.col("geometry"))) / 1e6, 1).alias("km2"))
+
+
+_TURN = "degrees(atan2(sin(radians(30 - lon)) * cos(radians(10)), cos(radians(lat)) * sin(radians(10)) - sin(radians(lat)) * cos(radians(10)) * cos(radians(30 - lon))))"
+
+
+@query(f"SELECT c_custkey AS id, round({_TURN} - 360 * floor({_TURN} / 360), 3) AS bearing FROM (SELECT c_custkey, {LON} AS lon, {LAT} AS lat FROM customer)")
+def bearings(spark: SparkSession, d: str) -> DataFrame:
+    return places(spark, d).select("id", r(values.bearing(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(30.0)), 3).alias("bearing"))
+
+
+@query(f"SELECT c_custkey AS id, s_suppkey AS node, round(km, 4) AS distance_km FROM (SELECT c_custkey, s_suppkey, km, row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) AS i FROM (SELECT c_custkey, s_suppkey, {_KM.format('lat', 'lon', 'slat', 'slon')} AS km FROM (SELECT c_custkey, {LON} AS lon, {LAT} AS lat FROM customer WHERE c_mktsegment = 'BUILDING'), {_SITES})) WHERE i = 1")
+def snapped(spark: SparkSession, d: str) -> DataFrame:
+    nodes = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.expr(S_LON).cast("double").alias("lon"), F.expr(S_LAT).cast("double").alias("lat"))
+    return geo.snap(places(spark, d).where("segment = 'BUILDING'"), nodes).select("id", "node", r("distance_km").alias("distance_km"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS f, s_nationkey + 1000000 AS g, 1 + s_suppkey % 3 AS c FROM supplier), b AS (SELECT f, g, c FROM e UNION ALL SELECT g, f, c FROM e),
+    walk AS (SELECT s_suppkey AS origin, s_suppkey AS node, 0 AS cost FROM supplier WHERE s_suppkey % 10 = 0 UNION SELECT origin, b.g, cost + c FROM walk JOIN b ON node = b.f WHERE cost + c <= 4), k AS (SELECT node, CAST(min(cost) AS DOUBLE) AS cost FROM walk GROUP BY 1)
+    SELECT node, cost, CASE WHEN cost <= 1 THEN 1.0 WHEN cost <= 2 THEN 2.0 ELSE 4.0 END AS band FROM k""")
+def travel_bands(spark: SparkSession, d: str) -> DataFrame:
+    s = t(spark, d, "supplier")
+    edges = s.select(F.col("s_suppkey").alias("from"), (F.col("s_nationkey") + 1000000).cast("long").alias("to"), (1 + F.col("s_suppkey") % 3).alias("cost"))
+    reached = graph.reachable(edges, s.where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("node")), 4.0, True)  # every tenth is an origin
+    return graph.travel_bands(reached, [1, 2, 4]).select("node", "cost", "band")
+
+
+@query(f"""SELECT "row", col, CASE WHEN (quality & 1) = 0 AND ((quality >> 2) & 1) = 1 THEN value END AS value FROM (SELECT *, ("row" * 5 + col) % 8 AS quality FROM {_CELL})""")
+def raster_quality(spark: SparkSession, d: str) -> DataFrame:
+    cells, _ = _raster(spark)
+    return raster.good_quality(cells.withColumn("quality", (F.col("row") * 5 + F.col("col")) % 8), "quality", {0: 0, 2: 1}).select("row", "col", "value")
+
+
+@query(f"""WITH x AS (SELECT 'a' AS raster, "row", col, value AS v FROM {_CELL} WHERE value IS NOT NULL UNION ALL SELECT 'b', "row", col, value * 2 FROM {_CELL} WHERE value IS NOT NULL), n AS (SELECT count(*) AS n FROM x), s AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM x),
+    b AS (SELECT DISTINCT v AS b FROM s, n, range(1, 6) q(k) WHERE i = CAST(ceil(k * n / 5.0) AS BIGINT)), c AS (SELECT raster, least((SELECT count(*) FROM b WHERE b < v), (SELECT count(*) FROM b) - 1) AS class FROM x) SELECT raster, class, count(*) AS n FROM c GROUP BY 1, 2""")
+def pooled_classes(spark: SparkSession, d: str) -> DataFrame:
+    cells, _ = _raster(spark)
+    both = raster.pooled_classes({"a": cells, "b": cells.withColumn("value", F.col("value") * 2)})
+    return both.groupBy("raster", F.col("class").cast("long").alias("class")).agg(F.count(F.lit(1)).alias("n"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 EARTH_KM, EARTH_AREA_M = 6371.0088, 6371008.8  # fixed values: mean radius for distances and for areas
@@ -45,15 +45,53 @@ def blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c.cast("string")) == "")
 
 
-def folded(c: Column) -> Column:
-    """Text for a tolerant comparison: lower case, runs of anything but letters and digits as one blank, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(c.cast("string")), r"[^\p{L}\p{N}]+", " "))
+@cache
+def _compatible_pairs() -> tuple[str, str]:
+    """Characters of the basic plane whose compatibility form is one other character (wide letters, styled digits and so on), and those forms."""
+    pairs = [(chr(c), n) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n != chr(c)]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
 
+def compatible(c: Column) -> Column:
+    """Text with compatibility characters as plain ones, in the JVM; characters that stand for several, and marks that combine, stay."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, *_compatible_pairs())).otherwise(c)
 
-@F.pandas_udf(StringType())
-def compatible(column: pd.Series) -> pd.Series:
-    """NFKC form, for text beyond ASCII before it is folded."""
-    return column.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+def folded(c: Column) -> Column:
+    """Text for a tolerant comparison: compatibility characters as plain ones, lower case, runs of anything but letters and digits as
+    one blank, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(compatible(c.cast("string"))), r"[^\p{L}\p{N}]+", " "))
+
+
+#: Forms of a written date: the pattern of its parts and their order.
+DATE_FORMS = {"month/day": (r"^(\d{1,2})/(\d{1,2})$", "md"), "day/month": (r"^(\d{1,2})/(\d{1,2})$", "dm"), "month/day/year": (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "mdy"), "day/month/year": (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "dmy"), "year-month-day": (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "ymd")}
+
+
+def written_datetime(date: Column, form: str, year: int | None = None, time: Column | None = None, clock: str = "24-hour") -> Column:
+    """A timestamp without zone from a date in a declared form (the year given where the form has none) and a time on a declared clock;
+    null where either can't be read as declared. A two-digit year isn't read."""
+    pattern, order = DATE_FORMS[form]
+    d = F.trim(date.cast("string"))
+    part = {k: F.regexp_extract(d, pattern, i + 1).try_cast("int") for i, k in enumerate(order)}
+    y = part.get("y", F.lit(year).cast("int"))
+    whole = F.format_string("%04d-%02d-%02d", y, part["m"], part["d"])
+    at = F.when(d.rlike(pattern) & y.isNotNull(), whole)
+    if time is None:
+        return at.try_cast("timestamp_ntz")
+    t = F.trim(time.cast("string"))
+    clocks = {"12-hour": r"^(\d{1,2}):(\d{2})\s*([AaPp])\.?\s*[Mm]\.?$", "24-hour": r"^(\d{1,2}):(\d{2})()$"}
+    hour, minutes, half = (F.regexp_extract(t, clocks[clock], i) for i in (1, 2, 3))
+    hour, minutes = hour.try_cast("int"), minutes.try_cast("int")
+    fits = t.rlike(clocks[clock]) & (minutes <= 59) & (hour.between(1, 12) if clock == "12-hour" else hour <= 23)
+    if clock == "12-hour":
+        hour = hour % 12 + F.when(F.lower(half) == "p", 12).otherwise(0)
+    return F.when(fits, F.concat(at, F.format_string(" %02d:%02d:00", hour, minutes))).try_cast("timestamp_ntz")
+
+
+def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Degrees clockwise from north of the great circle from the first place to the second, 0 to below 360."""
+    p, q, turn = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
+    return F.pmod(F.degrees(F.atan2(F.sin(turn) * F.cos(q), F.cos(p) * F.sin(q) - F.sin(p) * F.cos(q) * F.cos(turn))), F.lit(360.0))
 
 
 def period(date: Column, unit: str) -> Column:
@@ -77,7 +115,7 @@ def period(date: Column, unit: str) -> Column:
 def jaro_winkler(a: str, b: str) -> float:
     """Similarity of two strings, 0 to 1, with the common-prefix bonus above 0.7."""
     if a == b:
-        return 1.0
+        return 1.0 if a else 0.0
     reach = max(0, max(len(a), len(b)) // 2 - 1)
     free, hits = [True] * len(b), []
     for i, c in enumerate(a):

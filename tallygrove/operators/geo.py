@@ -81,10 +81,10 @@ def _unit_draw(*parts: Column) -> Column:
 
 
 def donut_mask(points: DataFrame, least_m: float, most_m: float, seed: int, id_: str = "id") -> DataFrame:
-    """Points moved in a random direction by a distance between the two (uniform over the ring's area); the same seed moves alike."""
+    """Points moved in a random direction by a distance between the two (uniform in the distance); the same seed moves alike."""
     if not 0 < least_m < most_m <= 5000:
         raise Refusal("the ring needs 0 < least < most <= 5000 metres")
-    r = F.sqrt(least_m**2 + _unit_draw(F.col(id_), F.lit(seed)) * (most_m**2 - least_m**2)) / (EARTH_KM * 1000)
+    r = (least_m + _unit_draw(F.col(id_), F.lit(seed)) * (most_m - least_m)) / (EARTH_KM * 1000)
     b = _unit_draw(F.col(id_), F.lit(seed + 1)) * 2 * np.pi
     p = F.radians("lat")
     lat = F.asin(F.sin(p) * F.cos(r) + F.cos(p) * F.sin(r) * F.cos(b))

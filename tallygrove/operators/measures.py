@@ -19,6 +19,8 @@ from tallygrove.report import OpResult, Refusal, refuse_when
 
 #: Normal quantiles of two-sided 90, 95 and 99 percent limits.
 Z = {90: 1.6448536269514722, 95: 1.959963984540054, 99: 2.5758293035489004}
+#: Normal quantiles of a power of 80 and 90 percent.
+POWER_Z = {80: 0.8416212335729143, 90: 1.2815515655446004}
 SMALL_CELL = 5
 
 
@@ -115,6 +117,49 @@ def mantel_haenszel(df: DataFrame, exposed: Column, case: Column, strata: Sequen
     return t.select("n_strata", F.try_divide("or_num", "or_den").alias("mh_odds_ratio"), rr.alias("mh_risk_ratio"), F.exp(F.log(rr) - z * se).alias("rr_lower"), F.exp(F.log(rr) + z * se).alias("rr_upper"), F.try_divide(F.col("excess") * F.col("excess"), F.col("variance")).alias("mh_chi2"))
 
 
+def homogeneity(df: DataFrame, exposed: Column, case: Column, strata: Sequence[str]) -> DataFrame:
+    """Whether the odds ratios of the strata agree: Breslow and Day's chi-square at the Mantel-Haenszel odds ratio, the same with
+    Tarone's correction, and Woolf's (over strata without a zero cell), with the degrees of freedom."""
+    s = df.groupBy(*strata).agg(*_cells(exposed, case)).select(*[F.col(x).cast("double").alias(x) for x in "abcd"]).withColumn("n", F.expr("a+b+c+d"))
+    s = s.where("a + b > 0 AND c + d > 0 AND a + c > 0 AND b + d > 0")
+    common = s.agg(F.expr("sum(a*d/n) / sum(b*c/n)").alias("r"))
+    s = s.crossJoin(F.broadcast(common))  # one row
+    # the first cell expected at the common odds ratio, from the margins: a root of a quadratic
+    s = s.withColumns({"m1": F.expr("a+c"), "e1": F.expr("a+b")}).withColumn("q", F.expr("r * (m1 + e1) + (n - m1 - e1)"))
+    root = F.expr("CASE WHEN abs(1 - r) < 1e-12 THEN m1 * e1 / n ELSE (q - sqrt(q*q - 4 * r * (r - 1) * m1 * e1)) / (2 * (r - 1)) END")
+    s = s.withColumn("x", root).withColumn("v", F.expr("1 / (1/x + 1/(e1-x) + 1/(m1-x) + 1/(n-m1-e1+x))"))
+    whole = F.expr("a > 0 AND b > 0 AND c > 0 AND d > 0")
+    s = s.withColumns({"lor": F.when(whole, F.expr("ln(a*d/(b*c))")), "w": F.when(whole, F.expr("1/(1/a+1/b+1/c+1/d)"))})
+    t = s.agg(F.count(F.lit(1)).alias("k"), F.first("r").alias("mh_odds_ratio"), F.sum(F.expr("pow(a-x, 2)/v")).alias("bd"), F.sum(F.expr("a-x")).alias("gap"), F.sum("v").alias("vv"), F.sum(F.expr("w*lor*lor")).alias("wll"), F.sum(F.expr("w*lor")).alias("wl"), F.sum("w").alias("ww"), F.count("w").alias("kw"))
+    return t.select("mh_odds_ratio", F.col("bd").alias("breslow_day"), F.expr("bd - gap*gap/vv").alias("tarone"), (F.col("k") - 1).alias("df"), F.expr("wll - wl*wl/ww").alias("woolf"), (F.col("kw") - 1).alias("woolf_df"))
+
+
+@F.pandas_udf(DoubleType())
+def binomial_p(x: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided exact p of x of n at even chances: twice the smaller tail, at most 1."""
+
+    def one(x: float, n: float) -> float | None:
+        if n <= 0:
+            return None
+        k = int(min(x, n - x))
+        return min(1.0, 2 * sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(k + 1)))
+
+    return pd.Series([one(a, b) for a, b in zip(x, n, strict=True)], dtype="float64")
+
+
+def matched_pairs_exact(df: DataFrame, exposed_case: Column, exposed_control: Column) -> DataFrame:
+    """McNemar's test by the binomial distribution of the discordant pairs: b, c, the exact two-sided p and the mid-p."""
+    t = matched_pairs(df, exposed_case, exposed_control).select("b", "c")
+    n, low = F.col("b") + F.col("c"), F.least("b", "c")
+    point = F.exp(_log_factorial(n) - _log_factorial(low) - _log_factorial(n - low) - n * math.log(2))
+    return t.select("b", "c", binomial_p(F.col("b"), n).alias("p_exact"), F.when(n > 0, F.least(F.lit(1.0), binomial_p(F.col("b"), n) - F.when(F.col("b") == F.col("c"), 0.0).otherwise(point))).alias("p_mid"))
+
+
+@F.pandas_udf(DoubleType())
+def _log_factorial(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: math.lgamma(v + 1))
+
+
 def matched_pairs(df: DataFrame, exposed_case: Column, exposed_control: Column) -> DataFrame:
     """McNemar's test: discordant pairs b and c, odds ratio b / c, chi-square with and without correction."""
     t = df.agg(F.count_if(exposed_case & ~exposed_control).cast("double").alias("b"), F.count_if(~exposed_case & exposed_control).cast("double").alias("c"))
@@ -147,6 +192,14 @@ def frequencies(df: DataFrame, column: str, level: int = 95) -> DataFrame:
     return t.select("value", "n", p.alias("share"), ((mid - half) / (1 + z * z / n)).alias("lower"), ((mid + half) / (1 + z * z / n)).alias("upper"))
 
 
+def comparison_size(p1: float, p0: float, ratio: float = 1.0, power: float = 0.8, level: int = 95) -> tuple[int, int]:
+    """Records in the first and second group that show a difference of two shares (Kelsey's formula)."""
+    beta = POWER_Z[round(power * 100)]
+    mean = (p1 + ratio * p0) / (1 + ratio)
+    n = (Z[level] + beta) ** 2 * mean * (1 - mean) * (ratio + 1) / (ratio * (p1 - p0) ** 2)
+    return math.ceil(n), math.ceil(ratio * n)
+
+
 def survey_size(population: float, expected: float, margin: float, level: int = 95) -> int:
     """Records to draw for a share within a margin, with the finite population correction."""
     n = Z[level] ** 2 * expected * (1 - expected) / margin**2

@@ -67,3 +67,22 @@ def clip(raster: DataFrame, polygons: DataFrame, grid: Grid, polygon: str = "geo
     strips = named.withColumn("row", F.explode(F.sequence(F.floor((grid.north - F.array_max(ys)) / grid.size), F.floor((grid.north - F.array_min(ys)) / grid.size))))
     x, y = grid.centre(F.col("col"), F.col("row"))
     return raster.join(strips, "row").where(within(F.col("geometry"), x, y) != "Outside").select("row", "col", "value").distinct()
+
+
+def good_quality(cells: DataFrame, quality: str, bits: dict[int, int], value: str = "value") -> DataFrame:
+    """cells whose value is unknown where a bit of the quality number isn't as asked (bit: 0 or 1) or the number is missing."""
+    fits = F.col(quality).isNotNull()
+    for bit, wanted in bits.items():
+        fits &= F.getbit(F.col(quality).cast("long"), F.lit(bit)) == wanted
+    return cells.withColumn(value, F.when(F.coalesce(fits, F.lit(False)), F.col(value)))
+
+
+def pooled_classes(rasters: dict[str, DataFrame], k: int = 5) -> DataFrame:
+    """raster, row, col, value, class: classes by the quantiles of all rasters together, so that equal colours mean equal values."""
+    from tallygrove.operators.tables import value_classes
+
+    every = None
+    for name, cells in rasters.items():
+        some = cells.select(F.lit(name).alias("raster"), "row", "col", "value")
+        every = some if every is None else every.unionByName(some)
+    return value_classes(every, "value", k)

@@ -94,8 +94,8 @@ def overlap_share(records: DataFrame, related: DataFrame, on: Sequence[tuple[str
 def relate_spelling(records: DataFrame, related: DataFrame, left: str, right: str, bring: str, decisions: DataFrame | None = None) -> DataFrame:
     """records' distinct names, the name each is taken for, how (exact, decided, spelling, ambiguous, none), and its value.
 
-    Names are compared once each. Candidates share the first letter of a folded word, so the comparison is an equality join on
-    letters and not on all pairs; of the candidates the best counts if it reaches ``CLOSE`` and no other is within ``MARGIN``.
+    Names are compared once each. Candidates share two neighbouring letters of the folded name (or are of one letter), so the
+    comparison is an equality join and not one of all pairs; lengths that can't reach ``CLOSE`` don't meet; of the candidates the best counts if it reaches ``CLOSE`` and no other is within ``MARGIN``.
     """
     names = records.select(folded(F.col(left)).alias("name")).where("name <> ''").distinct()
     known = related.select(folded(F.col(right)).alias("known"), F.col(bring).alias("value")).where("known <> ''").groupBy("known").agg(F.min("value").alias("value"))
@@ -106,8 +106,8 @@ def relate_spelling(records: DataFrame, related: DataFrame, left: str, right: st
         chosen = decisions.select(folded(F.col("name")).alias("name"), folded(F.col("known")).alias("known"))
         decided = rest.join(chosen, "name").join(known, "known").select("name", "known", F.lit(1.0).alias("similarity"), F.lit("decided").alias("how"), "value")
         rest = rest.join(chosen.select("name"), "name", "left_anti")
-    letters = lambda c: F.array_distinct(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, 1)))
-    pairs = rest.withColumn("l", F.explode(letters(F.col("name")))).join(known.withColumn("l", F.explode(letters(F.col("known")))), "l").where(F.abs(F.length("name") - F.length("known")) <= F.greatest(F.length("name"), F.length("known")) * 0.4)
+    letters = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    pairs = rest.withColumn("l", F.explode(letters(F.col("name")))).join(known.withColumn("l", F.explode(letters(F.col("known")))), "l").where(F.abs(F.length("name") - F.length("known")) <= F.greatest(F.length("name"), F.length("known")) * 0.6)
     scored = pairs.select("name", "known", "value").distinct().withColumn("similarity", name_similarity(F.col("name"), F.col("known"))).where(F.col("similarity") >= CLOSE)
     best = Window.partitionBy("name").orderBy(F.desc("similarity"), "known")
     ranked = scored.withColumn("nth", F.row_number().over(best)).withColumn("second", F.lead("similarity").over(best)).where("nth = 1")

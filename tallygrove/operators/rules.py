@@ -47,7 +47,7 @@ class Condition:
 
 @dataclass(frozen=True)
 class Compute:
-    """left plus, minus, times or divided by right (columns or numbers); division by 0 gives nothing."""
+    """left plus, minus, times or divided by right (columns or numbers), a double; division by 0 gives nothing."""
 
     left: str | float
     how: str
@@ -58,7 +58,7 @@ class Compute:
 
     def compiled(self) -> Column:
         a, b = (number(F.col(x)) if isinstance(x, str) else F.lit(float(x)) for x in (self.left, self.right))
-        return {"plus": a + b, "minus": a - b, "times": a * b, "divided by": F.try_divide(a, b)}[self.how].cast("string")
+        return {"plus": a + b, "minus": a - b, "times": a * b, "divided by": F.try_divide(a, b)}[self.how]
 
 
 @dataclass(frozen=True)
@@ -73,18 +73,22 @@ class Rule:
         out = {c for some in self.when for x in some for c in x.reads()}
         return out | (self.value.reads() if isinstance(self.value, Compute) else set())
 
-    def compiled(self) -> Column:
+    def compiled(self, as_number: bool) -> Column:
         holds = F.lit(False)
         for some in self.when:
             every = F.lit(True)
             for c in some:
                 every &= c.compiled()
             holds |= every
-        return F.when(holds, self.value.compiled() if isinstance(self.value, Compute) else F.lit(self.value))
+        value = self.value.compiled() if isinstance(self.value, Compute) else F.lit(self.value)
+        return F.when(holds, value if as_number else value.cast("string"))
 
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule], otherwise: Mapping[str, str] | None = None) -> DataFrame:
-    """df, one column for each that the rules conclude, and ``conflicts``: the columns with contradictory conclusions."""
+    """df, one column for each that the rules conclude, and ``conflicts``: the columns with contradictory conclusions.
+
+    A column that is only computed holds doubles, others text.
+    """
     concluded = list(dict.fromkeys(r.column for r in rules))
     pending, out, conflicts = list(concluded), df, []
     while pending:
@@ -92,7 +96,9 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule], otherwise: Mapping[str, st
         if not ready:
             raise Refusal(f"these columns are concluded from each other: {', '.join(pending)}")
         for c in ready:
-            values = F.array_distinct(F.array_compact(F.array(*[r.compiled() for r in rules if r.column == c])))
+            own = [r for r in rules if r.column == c]
+            as_number = all(isinstance(r.value, Compute) for r in own) and c not in (otherwise or {})
+            values = F.array_distinct(F.array_compact(F.array(*[r.compiled(as_number) for r in own])))
             out = out.withColumn(f"_{c}", values)
         for c in ready:
             held = F.col(f"_{c}")

@@ -10,8 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallygrove.functions.values import NUMBER, blank, day, half_up, number
-from tallygrove.report import OpResult, Refusal, refuse_when
+from tallygrove.functions.values import NUMBER, blank, day, folded, half_up, number
+from tallygrove.report import OpResult, Refusal, stored, refuse_when
 
 STATISTICS = ("sum", "min", "max", "count", "mean", "median")
 
@@ -163,14 +163,77 @@ def nullity(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("phi")) for a, b in pairs])).alias("x")).select("x.*")
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
+    """df and the number of each row (from 1) in the order of the columns, without gathering the rows in one task.
+
+    The rows are dealt by ranges of the order; each range counts its own, and the offset of a range is the sum of the counts
+    before it (one number a range).
+    """
+    dealt = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect())  # a number a partition
+    before, offsets = 0, []
+    for part, n in counts:
+        offsets.append((part, before))
+        before += n
+    sent = F.broadcast(df.sparkSession.createDataFrame(offsets, "_range int, _before long"))  # a row a partition
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(sent, "_range").withColumn(name, F.col("_before") + nth).drop("_range", "_before")
+
+
+def positional_join(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
+    """The n-th row of one table beside the n-th of the other; rows without a counterpart keep nulls there."""
+    return numbered(left, left_order, "position").join(numbered(right, right_order, "position"), "position", "full_outer")
+
+
+def category_counts(df: DataFrame, column: str, categories: Sequence[str], other: str = "(other)", unknown: str = "(unknown)") -> DataFrame:
+    """category, n: one row for each declared category, also where it never occurs, and rows for other values and for blanks."""
+    named = F.when(blank(F.col(column)), unknown).when(F.col(column).cast("string").isin(*categories), F.col(column).cast("string")).otherwise(other)
+    counts = df.groupBy(named.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    declared = df.sparkSession.createDataFrame([(c,) for c in (*categories, other, unknown)], "category string")
+    return declared.join(counts, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def search(df: DataFrame, text: str, columns: Sequence[str], key: Sequence[str], page: int = 1, size: int = 50) -> DataFrame:
+    """A page of the rows in which some of the columns holds the folded text, in the order of the key."""
+    found = F.lit(False)
+    for c in columns:
+        found |= F.coalesce(folded(F.col(c)).contains(folded(F.lit(text))), F.lit(False))
+    return df.where(found).orderBy(*key).offset((page - 1) * size).limit(size)
+
+
+def edit_features(df: DataFrame, column: str, rename: Mapping[str, str] | None = None, merge: Mapping[str, Sequence[str]] | None = None, hide: Sequence[str] = ()) -> DataFrame:
+    """df with the names of a column's features edited: hidden ones go, then groups of names become one, then names are changed."""
+    named = F.col(column)
+    for to, some in (merge or {}).items():
+        named = F.when(F.col(column).isin(*some), F.lit(to)).otherwise(named)
+    changed = named
+    for old, new in (rename or {}).items():
+        changed = F.when(named == old, F.lit(new)).otherwise(changed)
+    kept = df.where(F.col(column).isNull() | ~F.col(column).isin(*hide)) if hide else df
+    return kept.withColumn(column, changed)
+
+
+def bar_order(df: DataFrame, category: str, value: Column, how: str = "descending") -> DataFrame:
+    """category, total, place (from 1): bars by their totals, or by name; unknown totals last, ties by name."""
+    totals = df.groupBy(F.col(category).alias("category")).agg(F.sum(value).alias("total"))
+    order = {"descending": [F.col("total").desc_nulls_last(), F.col("category")], "ascending": [F.col("total").asc_nulls_last(), F.col("category")], "name": [F.col("category")]}[how]
+    return totals.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # a row a bar
+
+
+def stacked(df: DataFrame, at: Column, series: str, value: Column, order: Sequence[str]) -> DataFrame:
+    """at, series, value, lower, upper: the series of each place stacked in the declared order; a series that is missing there has no row."""
+    sums = df.groupBy(at.alias("at"), F.col(series).alias("series")).agg(F.sum(value).alias("value")).where(F.col("series").isin(*order))
+    w = Window.partitionBy("at").orderBy(F.array_position(F.array(*[F.lit(s) for s in order]), F.col("series"))).rowsBetween(Window.unboundedPreceding, 0)
+    return sums.withColumn("upper", F.sum("value").over(w)).withColumn("lower", F.col("upper") - F.col("value"))
+
+
 def value_classes(df: DataFrame, value: str, k: int = 5, how: str = "quantile") -> DataFrame:
     """df and class (0-based): breaks at the values of rank ceil((i+1) n / k), or equal intervals; equal breaks are one."""
     x = df.where(F.col(value).isNotNull())
     if how == "quantile":
-        ranks = x.groupBy(F.col(value).alias("v")).count().withColumn("upto", F.sum("count").over(Window.orderBy("v")))
-        size = x.agg(F.least(F.lit(k), F.count(F.lit(1))).alias("k"), F.count(F.lit(1)).alias("n"))
-        wanted = size.select("n", "k", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("i")).select(F.ceil(F.col("i") * F.col("n") / F.col("k")).alias("rank"))
-        breaks = F.broadcast(wanted).join(ranks, F.col("upto") >= F.col("rank")).groupBy("rank").agg(F.min("v").alias("v"))
+        n = x.count()
+        ranks = sorted({-(-i * n // min(k, n)) for i in range(1, min(k, n) + 1)}) if n else []
+        breaks = numbered(x.select(F.col(value).alias("v")), ["v"], "rank").where(F.col("rank").isin(*ranks)).select("v") if n else x.select(F.col(value).alias("v"))
     else:
         ends = x.agg(F.min(value).alias("a"), F.max(value).alias("b"))
         breaks = ends.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.col("a") + (F.col("b") - F.col("a")) * i / k)).alias("v"))
@@ -179,18 +242,28 @@ def value_classes(df: DataFrame, value: str, k: int = 5, how: str = "quantile")
     return x.crossJoin(listed).withColumn("class", at).drop("breaks")
 
 
-def sort_blanks_last(df: DataFrame, column: str, descending: bool = False, numeric: bool = False) -> DataFrame:
-    """Sorted by one column, blanks last in either direction."""
+def sort_blanks_last(df: DataFrame, column: str, descending: bool = False, numeric: bool = False, then: Sequence[str] = ()) -> DataFrame:
+    """Sorted by one column, blanks last in either direction; ties by the columns ``then``."""
     x = number(F.col(column)) if numeric else F.when(~blank(F.col(column)), F.col(column))
-    return df.orderBy(x.desc_nulls_last() if descending else x.asc_nulls_last())
+    return df.orderBy(x.desc_nulls_last() if descending else x.asc_nulls_last(), *then)
+
+
+def edit_cells(df: DataFrame, record: str, edits: DataFrame, column: str, order: str | None = None) -> OpResult:
+    """Apply a log of edits (record, old, new, and a column that orders the edits of one record) to a column, one after the other;
+    an edit whose old value isn't there at its turn does nothing. Report ``stale``: those edits, as (record, old, new)."""
+    step = F.struct((F.col(order) if order else F.lit(0)).alias("at"), F.col("old").alias("old"), F.col("new").alias("new"))
+    e = edits.groupBy(F.col("record").cast("string").alias("_r")).agg(F.sort_array(F.collect_list(step)).alias("_edits"))  # of one record
+    kind = "struct<value:string,stale:array<struct<old:string,new:string>>>"
+    start = F.struct(F.col(column).cast("string").alias("value"), F.array().cast("array<struct<old:string,new:string>>").alias("stale")).cast(kind)
 
+    def apply(state: Column, x: Column) -> Column:
+        fits = state["value"].eqNullSafe(x["old"].cast("string"))
+        lost = F.struct(x["old"].cast("string").alias("old"), x["new"].cast("string").alias("new"))
+        return F.struct(F.when(fits, x["new"].cast("string")).otherwise(state["value"]).alias("value"), F.when(fits, state["stale"]).otherwise(F.concat(state["stale"], F.array(lost))).alias("stale")).cast(kind)
 
-def edit_cells(df: DataFrame, record: str, edits: DataFrame, column: str) -> OpResult:
-    """Apply a log of edits (record, old, new) to a column. Report: edits whose old value isn't there any more."""
-    e = edits.select(F.col("record").alias("_r"), F.col("old").alias("_old"), F.col("new").alias("_new"))
-    joined = df.join(e, F.col(record).cast("string") == F.col("_r"), "left")
-    fits = F.col(column).cast("string").eqNullSafe(F.col("_old"))
-    return OpResult(joined.withColumn(column, F.when(F.col("_r").isNotNull() & fits, F.col("_new")).otherwise(F.col(column))).drop("_r", "_old", "_new"), {"stale": joined.where(F.col("_r").isNotNull() & ~fits).select("_r", "_old", "_new")})
+    joined = df.join(e, F.col(record).cast("string") == F.col("_r"), "left").withColumn("_done", F.when(F.col("_r").isNotNull(), F.aggregate("_edits", start, apply)))
+    out = joined.withColumn(column, F.when(F.col("_r").isNotNull(), F.col("_done.value")).otherwise(F.col(column).cast("string")))
+    return OpResult(out.drop("_r", "_edits", "_done"), {"stale": joined.select(F.col("_r").alias("record"), F.explode("_done.stale").alias("x")).select("record", "x.old", "x.new")})
 
 
 def repair(df: DataFrame, column: str) -> OpResult:

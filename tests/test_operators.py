@@ -31,7 +31,7 @@ def test_numbers_and_dates(spark):
 @given(st.text(max_size=12), st.text(max_size=12))
 def test_name_similarity_is_symmetric_enough_and_bounded(a, b):
     s = values.jaro_winkler(a, b)
-    assert 0 <= s <= 1 and (s == 1.0) >= (a == b)
+    assert 0 <= s <= 1 and (s == 1.0) >= (a == b != "")
 
 
 def test_name_similarity_goldens():
@@ -245,3 +245,41 @@ def test_scan_picks_as_the_reference(spark):
             want.append(llr)
             used |= members
     assert sorted(got, reverse=True) == pytest.approx(want)
+
+
+def test_compatible_characters_fold_to_plain_ones_and_empty_names_are_unlike(spark):
+    rows = spark.createDataFrame([("Ｈｏｓｐｉｔａｌ　Ⅴ",), ("plain",), (None,)], "n string")
+    assert [r[0] for r in rows.select(values.folded(F.col("n"))).collect()] == ["hospital v", "plain", None]
+    assert values.jaro_winkler("", "") == 0.0
+
+
+def test_spelling_candidates_need_no_common_first_letter(spark):
+    names = spark.createDataFrame([("Kanada",), ("Xyz",)], "n string")
+    known = spark.createDataFrame([("Canada", 7), ("Norway", 8)], "n string, v int")
+    got = {r["name"]: (r["how"], r["value"]) for r in relate.relate_spelling(names, known, "n", "n", "v").collect()}
+    assert got == {"kanada": ("spelling", 7), "xyz": ("none", None)}
+
+
+def test_edits_apply_in_order_and_stale_ones_are_told(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id int, v string")
+    log = spark.createDataFrame([("1", "b", "c", 2), ("1", "a", "b", 1), ("2", "x", "y", 1), ("3", None, "z", 1)], "record string, old string, new string, at int")
+    out = tables.edit_cells(df, "id", log, "v", "at")
+    assert {r["id"]: r["v"] for r in out.df.collect()} == {1: "c", 2: "a", 3: "z"}
+    assert [tuple(r) for r in out.report["stale"].collect()] == [("2", "x", "y")]
+
+
+def test_written_datetimes_are_read_only_as_declared(spark):
+    rows = [("4/19", "12:30 AM", "1940-04-19 00:30:00"), ("13/1", "1:00 PM", None), ("4/19", "13:00 PM", None), ("2/30", "1:00 PM", None), ("4/19/40", "1:00 PM", None), (None, "1:00 PM", None)]
+    df = spark.createDataFrame(rows, "d string, t string, want string")
+    got = df.select("want", values.written_datetime(F.col("d"), "month/day", 1940, F.col("t"), "12-hour").cast("string").alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in got)
+    one = df.limit(1)
+    assert one.select(values.written_datetime(F.lit("19/4/1940"), "day/month/year").cast("string")).first()[0] == "1940-04-19 00:00:00"
+    assert one.select(values.written_datetime(F.lit("1940-4-9"), "year-month-day", time=F.lit("23:05")).cast("string")).first()[0] == "1940-04-09 23:05:00"
+
+
+def test_row_numbers_over_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(7)
+    got = tables.numbered(df, ["x"]).collect()
+    assert all(r["row_number"] == r["x"] + 1 for r in got) and len(got) == 1000
+    assert tables.numbered(df.where("x < 0"), ["x"]).count() == 0
