@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+TEXT_BYTES = "8m"  # of an Arrow batch of whole texts
 
 #: The bytes between words: space and \x09-\x0D.
 SPACE = np.zeros(256, bool)
@@ -43,19 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, label: str, path: str | None = None, batch_rows: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and return the written table.
 
-    ``batch_rows`` bounds the rows of an Arrow batch during this write, for rows that hold whole texts: a batch is held by
+    ``batch_rows`` bounds the rows (and ``TEXT_BYTES`` the bytes) of an Arrow batch during this write, for rows that hold whole texts: a batch is held by
     the JVM and by the Python worker of every core.
     """
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH_ROWS)
+    before, bytes_before = spark.conf.get(BATCH_ROWS), spark.conf.get(BATCH_BYTES)
     if batch_rows:
         spark.conf.set(BATCH_ROWS, min(batch_rows, int(before)) if int(before) > 0 else batch_rows)
+        spark.conf.set(BATCH_BYTES, TEXT_BYTES)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         if batch_rows:
             spark.conf.set(BATCH_ROWS, before)
+            spark.conf.set(BATCH_BYTES, bytes_before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path  # type: ignore[attr-defined]
     return out

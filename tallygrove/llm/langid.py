@@ -240,7 +240,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     from collections.abc import Iterator
 
     name.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    named = F.pandas_udf(name, "pred string, score double, rejected boolean")
+    # one evaluation a row: a filter on its result must not make the optimizer name the text twice
+    named = F.pandas_udf(name, "pred string, score double, rejected boolean").asNondeterministic()
     own = ("lang_pred", "lang_score", "lang_rejected")
     kept = [c for c in docs.columns if c not in own]
     out = docs.select(*[F.col(f"`{c}`").alias(f"of_docs_{c}") for c in kept], named(F.col(f"`{text}`")).alias("told"))

@@ -286,11 +286,18 @@ def _labelled(items: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
 
 def profiles(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Words and pairs of neighbouring words of each text by bin; the product of two rows is never below what the texts have in common."""
-    n = np.array([len(w) for w in words], np.int64)
-    row, every = np.repeat(np.arange(len(words)), n), np.concatenate([*words, np.zeros(0, np.int32)]).astype(np.int64)
-    both = every[:-1] << 32 | every[1:]
-    inside = row[:-1] == row[1:]
-    return _labelled(every, row, len(words)), _labelled(both[inside], row[:-1][inside], len(words))
+    out = np.zeros((2, len(words), BINS), np.float32)
+    lo = 0
+    while lo < len(words):  # some texts at a time, for memory
+        hi, size = lo + 1, len(words[lo])
+        while hi < len(words) and size + len(words[hi]) <= 1 << 15 and hi - lo < 128:
+            size, hi = size + len(words[hi]), hi + 1
+        row, every = np.repeat(np.arange(hi - lo), [len(w) for w in words[lo:hi]]), np.concatenate(words[lo:hi]).astype(np.int64)
+        both = every[:-1] << 32 | every[1:]
+        inside = row[:-1] == row[1:]
+        out[0, lo:hi], out[1, lo:hi] = _labelled(every, row, hi - lo), _labelled(both[inside], row[:-1][inside], hi - lo)
+        lo = hi
+    return out[0], out[1]
 
 
 def may_be_similar(a: list[np.ndarray], b: list[np.ndarray], least: float, known: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
