@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.llm import langid, mixing, order_minhash, packing, secrets
-from tallygrove.llm.common import BATCH_ROWS, stored
+from tallygrove.llm.common import BATCH_BYTES, BATCH_ROWS, TEXT_BYTES, stored
 from tallygrove.llm.queries import TEMPER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _whole_texts(spark: SparkSession) -> None:
-    """The pipeline's setting: rows that hold whole texts go to Python in batches of at most 1,000."""
+    """The pipeline's setting: rows that hold whole texts go to Python in batches of at most 1,000 rows and a few MB."""
+    spark.conf.set(BATCH_BYTES, TEXT_BYTES)
     spark.conf.set(BATCH_ROWS, min(1000, int(spark.conf.get(BATCH_ROWS))))
 
 
