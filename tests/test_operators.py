@@ -132,7 +132,7 @@ def test_rules_conflict_wait_and_refuse_circles(spark):
     c = rules.Condition
     given_ = [*rules.bands("x", "band", [10], ["low", "high"]), rules.Rule("next", "go", [[c("band", "=", "high")]]), rules.Rule("next", "stop", [[c("y", ">", 1)]]), rules.Rule("ratio", rules.Compute("x", "divided by", "y"))]
     got = {r["id"]: (r["band"], r["next"], r["conflicts"], r["ratio"]) for r in rules.apply_rules(df, given_, {"next": "wait"}).collect()}
-    assert got == {1: ("low", "wait", [], None), 2: ("high", None, ["next"], "25.0"), 3: (None, "wait", [], None)}
+    assert got == {1: ("low", "wait", [], None), 2: ("high", None, ["next"], 25.0), 3: (None, "wait", [], None)}
     with pytest.raises(Refusal):
         rules.apply_rules(df, [rules.Rule("p", "1", [[c("q", "=", "1")]]), rules.Rule("q", "1", [[c("p", "=", "1")]])])
 
