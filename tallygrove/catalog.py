@@ -739,12 +739,11 @@ def homogeneity_tests(spark: SparkSession, d: str) -> DataFrame:
     return h.select(r("mh_odds_ratio").alias("mh_odds_ratio"), *[r(c, 3).alias(c) for c in ("breslow_day", "tarone", "woolf")], "df", "woolf_df")
 
 
-@query("""WITH g AS (SELECT CAST(count(*) FILTER (WHERE quality = 1 AND toxic = 0 AND doc_id % 7 = 0) AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE quality = 0 AND toxic = 1 AND doc_id % 7 = 0) AS DOUBLE) AS c FROM labels),
+@query("""WITH g AS (SELECT CAST(count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS DOUBLE) AS c FROM labels),
     p AS (SELECT b, c, b + c AS n, sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) AS tail, max(exp(lgamma(b + c + 1) - lgamma(least(b, c) + 1) - lgamma(greatest(b, c) + 1) - (b + c) * ln(2))) AS point FROM g, range(0, 100000) q(i) WHERE i <= least(b, c) GROUP BY 1, 2)
     SELECT b, c, round(least(1.0, 2 * tail), 6) AS p_exact, round(CASE WHEN b = c THEN 1.0 ELSE least(1.0, least(1.0, 2 * tail) - point) END, 6) AS p_mid FROM p""")
 def matched_pairs_exact(spark: SparkSession, d: str) -> DataFrame:
-    pairs = t(spark, d, "labels").where("doc_id % 7 = 0")  # some of the pairs, as a rare exposure has few discordant ones
-    return measures.matched_pairs_exact(pairs, F.col("quality") == 1, F.col("toxic") == 1).select("b", "c", r("p_exact", 6).alias("p_exact"), r("p_mid", 6).alias("p_mid"))
+    return measures.matched_pairs_exact(t(spark, d, "labels"), F.col("quality") == 1, F.col("toxic") == 1).select("b", "c", r("p_exact", 6).alias("p_exact"), r("p_mid", 6).alias("p_mid"))
 
 
 @query("""WITH x AS (SELECT o_orderpriority = '1-URGENT' AS e, o_orderstatus = 'P' AS k, o_custkey % 50 AS s FROM orders), g AS (SELECT s, count(*) FILTER (WHERE e AND k) AS a, count(*) FILTER (WHERE e AND NOT k) AS b, count(*) FILTER (WHERE NOT e AND k) AS c, count(*) FILTER (WHERE NOT e AND NOT k) AS d FROM x GROUP BY 1),
@@ -792,19 +791,19 @@ def bearings(spark: SparkSession, d: str) -> DataFrame:
     return places(spark, d).select("id", r(values.bearing(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(30.0)), 3).alias("bearing"))
 
 
-@query(f"SELECT c_custkey AS id, s_suppkey AS node, round(km, 4) AS distance_km FROM (SELECT c_custkey, s_suppkey, km, row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) AS i FROM (SELECT c_custkey, s_suppkey, {_KM.format('lat', 'lon', 'slat', 'slon')} AS km FROM (SELECT c_custkey, {LON} AS lon, {LAT} AS lat FROM customer WHERE c_mktsegment = 'BUILDING'), {_SITES})) WHERE i = 1")
+@query(f"SELECT c_custkey AS id, s_suppkey AS node, round(km, 4) AS distance_km FROM (SELECT c_custkey, s_suppkey, km, row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) AS i FROM (SELECT c_custkey, s_suppkey, {_KM.format('lat', 'lon', 'slat', 'slon')} AS km FROM (SELECT c_custkey, {LON} AS lon, {LAT} AS lat FROM customer), {_SITES})) WHERE i = 1")
 def snapped(spark: SparkSession, d: str) -> DataFrame:
     nodes = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.expr(S_LON).cast("double").alias("lon"), F.expr(S_LAT).cast("double").alias("lat"))
-    return geo.snap(places(spark, d).where("segment = 'BUILDING'"), nodes).select("id", "node", r("distance_km").alias("distance_km"))
+    return geo.snap(places(spark, d), nodes).select("id", "node", r("distance_km").alias("distance_km"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT s_suppkey AS f, s_nationkey + 1000000 AS g, 1 + s_suppkey % 3 AS c FROM supplier), b AS (SELECT f, g, c FROM e UNION ALL SELECT g, f, c FROM e),
-    walk AS (SELECT s_suppkey AS origin, s_suppkey AS node, 0 AS cost FROM supplier WHERE s_suppkey % 10 = 0 UNION SELECT origin, b.g, cost + c FROM walk JOIN b ON node = b.f WHERE cost + c <= 4), k AS (SELECT node, CAST(min(cost) AS DOUBLE) AS cost FROM walk GROUP BY 1)
+    walk AS (SELECT s_suppkey AS origin, s_suppkey AS node, 0 AS cost FROM supplier UNION SELECT origin, b.g, cost + c FROM walk JOIN b ON node = b.f WHERE cost + c <= 4), k AS (SELECT node, CAST(min(cost) AS DOUBLE) AS cost FROM walk GROUP BY 1)
     SELECT node, cost, CASE WHEN cost <= 1 THEN 1.0 WHEN cost <= 2 THEN 2.0 ELSE 4.0 END AS band FROM k""")
 def travel_bands(spark: SparkSession, d: str) -> DataFrame:
     s = t(spark, d, "supplier")
     edges = s.select(F.col("s_suppkey").alias("from"), (F.col("s_nationkey") + 1000000).cast("long").alias("to"), (1 + F.col("s_suppkey") % 3).alias("cost"))
-    reached = graph.reachable(edges, s.where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("node")), 4.0, True)  # every tenth is an origin
+    reached = graph.reachable(edges, s.select(F.col("s_suppkey").alias("node")), 4.0, True)
     return graph.travel_bands(reached, [1, 2, 4]).select("node", "cost", "band")
 
 
