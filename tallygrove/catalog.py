@@ -421,6 +421,30 @@ def glm_poisson_rates(spark: SparkSession, d: str) -> DataFrame:
     return m.where("term <> '(constant)'").select("term", r("ratio").alias("ratio"))
 
 
+@query("""WITH u AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS y1, count(*) FILTER (WHERE event_type = 'view') AS y0 FROM events GROUP BY 1),
+    g AS (SELECT CAST(sum(y1) AS DOUBLE) AS a, CAST(sum(y0) AS DOUBLE) AS b, count(*) FILTER (WHERE y1 + y0 > 0) AS strata FROM u)
+    SELECT 'purchase' AS term, round(ln(a / b), 6) AS estimate, round(sqrt((a + b) / (a * b)), 6) AS error, strata FROM g""")
+def glm_poisson_strata(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases against views, each user a stratum of two records; then the estimate has a closed form."""
+    u = t(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("purchase"), F.count_if(F.col("event_type") == "view").alias("view"))
+    two = u.select("user_id", F.explode(F.array(F.struct(F.lit(1.0).alias("x"), F.col("purchase").alias("y")), F.struct(F.lit(0.0).alias("x"), F.col("view").alias("y")))).alias("r"))
+    m = regression.regress(two.select("user_id", "r.*"), F.col("y"), {"purchase": F.col("x")}, family="poisson", strata=["user_id"])
+    one = F.broadcast(m.report["fit"].select(F.col("strata_used").alias("strata")))  # one row
+    return m.df.crossJoin(one).select("term", r("estimate", 6).alias("estimate"), r("error", 6).alias("error"), "strata")
+
+
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS y FROM events GROUP BY 1),
+    x AS (SELECT y, dayofweek(day) IN (0, 6) AS w, row_number() OVER (ORDER BY day) AS p FROM d), m AS (SELECT w, avg(y) AS mu, sum(y) AS total FROM x GROUP BY 1),
+    g AS (SELECT p, (y - mu) / total * CASE WHEN w THEN 1 ELSE -1 END AS g FROM x JOIN m USING (w)),
+    v AS (SELECT sum(a.g * b.g * CASE WHEN a.p = b.p THEN 1 ELSE 2 * (1 - (b.p - a.p) / 8.0) END) AS v FROM g a JOIN g b ON b.p BETWEEN a.p AND a.p + 7)
+    SELECT 'weekend' AS term, round(ln((SELECT mu FROM m WHERE w) / (SELECT mu FROM m WHERE NOT w)), 6) AS estimate, round(sqrt(v), 6) AS error FROM v""")
+def glm_sequence_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Daily counts on weekends, with errors that allow for days up to a week apart to go together."""
+    days = t(spark, d, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("y"))
+    m = regression.regress(days, F.col("y"), {"weekend": F.dayofweek("day").isin(1, 7).cast("int")}, family="poisson", errors="hac", order=["day"], lag=7).df
+    return m.where("term = 'weekend'").select("term", r("estimate", 6).alias("estimate"), r("error", 6).alias("error"))
+
+
 # --- rules ----------------------------------------------------------------------------------------------------------
 
 

@@ -172,6 +172,77 @@ def test_regression_equals_the_closed_form_and_refuses_collinear_columns(spark):
     assert all(r["s"] == pytest.approx(1 - max(0.0, 1 - r["x"]) ** 3) for r in total)
 
 
+def newton(x, y, beta, poisson=True):
+    import numpy as np
+
+    for _ in range(60):
+        mu = np.exp(x @ beta) if poisson else 1 / (1 + np.exp(-x @ beta))
+        w = mu if poisson else mu * (1 - mu)
+        info = x.T @ (x * w[:, None])
+        beta = beta + np.linalg.solve(info, x.T @ (y - mu))
+    return beta, np.linalg.inv(info), mu
+
+
+def test_absorbed_strata_equal_a_model_with_a_constant_for_each_and_sequence_errors_too(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, "ab"[i // 3 % 2], str(i % 4), float(rng.normal()), int(rng.poisson(3 + i % 5))) for i in range(120)]
+    extra = [(500 + i, "c", "0", float(i), 0) for i in range(3)] + [(600, " ", "0", 1.0, 2), (601, "a", "0", None, 2), (602, "a", "0", 1.0, -1)]
+    df = spark.createDataFrame(rows + extra, "t int, place string, month string, x double, y int")
+    got = {e: regression.regress(df, F.col("y"), {"x": F.col("x")}, family="poisson", strata=["place", "month"], errors=e, order=["t"], lag=5) for e in ("model", "overdispersed", "hac")}
+    keys = sorted({(r[1], r[2]) for r in rows})
+    x = np.array([[r[3], *[float((r[1], r[2]) == k) for k in keys]] for r in rows])
+    y = np.array([r[4] for r in rows], float)
+    beta, inverse, mu = newton(x, y, np.array([0.0, *[1.0] * len(keys)]))
+    m = {e: g.df.first() for e, g in got.items()}
+    assert m["model"]["estimate"] == pytest.approx(beta[0], abs=1e-8) and m["model"]["error"] == pytest.approx(math.sqrt(inverse[0, 0]), rel=1e-7)
+    dispersion = ((y - mu) ** 2 / mu).sum() / (len(rows) - x.shape[1])
+    fit = got["model"].report["fit"].first()
+    assert fit["dispersion"] == pytest.approx(dispersion, rel=1e-7) and (fit["n"], fit["left_out"], fit["strata_used"], fit["strata_dropped"]) == (120, 6, len(keys), 1)
+    assert m["overdispersed"]["error"] == pytest.approx(math.sqrt(inverse[0, 0] * max(1, dispersion)), rel=1e-7)
+    g = (x * (y - mu)[:, None]) @ inverse[:, 0]
+    v = (g * g).sum() + 2 * sum((1 - lag / 6) * (g[lag:] * g[:-lag]).sum() for lag in range(1, 6))
+    assert m["hac"]["error"] == pytest.approx(math.sqrt(v), rel=1e-7)
+    assert {r["unknown"]: r["n"] for r in got["model"].report["left_out"].collect()} == {"stratum place": 1, "x": 1, "outcome": 1}
+    for wrong in ({"strata": ["place"], "family": "logistic"}, {"strata": ["place", "place"], "family": "poisson"}, {"errors": "hac"}, {"errors": "none"}):
+        with pytest.raises(Refusal):
+            regression.regress(df, F.col("y"), {"x": F.col("x")}, **wrong)
+
+
+def test_sequence_errors_across_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(regression, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    y = np.cumsum(rng.normal(size=50)) > 0
+    x = np.stack([np.ones(50), rng.normal(size=50)], axis=1)
+    df = spark.createDataFrame([(i, float(x[i, 1]), int(y[i])) for i in rng.permutation(50).tolist()], "t int, x double, y int")
+    for lag in (0, 1, 3):
+        got = regression.regress(df, F.col("y"), {"x": F.col("x")}, errors="hac", order=["t"], lag=lag).df.where("term = 'x'").first()
+        beta, inverse, mu = newton(x, y.astype(float), np.zeros(2), poisson=False)
+        g = (x * (y - mu)[:, None]) @ inverse[:, 1]
+        v = (g * g).sum() + 2 * sum((1 - b / (lag + 1)) * (g[b:] * g[:-b]).sum() for b in range(1, lag + 1))
+        assert got["estimate"] == pytest.approx(beta[1], abs=1e-8) and got["error"] == pytest.approx(math.sqrt(v), rel=1e-7)
+
+
+def test_likelihood_ratio_limits(spark):
+    import numpy as np
+
+    cells = {(1, 1): 6, (1, 0): 2, (0, 1): 5, (0, 0): 20}
+    df = spark.createDataFrame([k for k, n in cells.items() for _ in range(n)], "e int, k int")
+    got = regression.regress(df, F.col("k"), {"e": F.col("e")}, errors="profile").df.where("term = 'e'").first()
+    assert got["ratio"] == pytest.approx(12.0, rel=1e-6)
+
+    def deviance(b):  # the best constant for a held coefficient
+        a = np.linspace(-6, 3, 90001)
+        p1, p0 = 1 / (1 + np.exp(-a - b)), 1 / (1 + np.exp(-a))
+        return -2 * (6 * np.log(p1) + 2 * np.log(1 - p1) + 5 * np.log(p0) + 20 * np.log(1 - p0)).max()
+
+    for limit in (got["lower"], got["upper"]):
+        assert deviance(math.log(limit)) - deviance(math.log(12.0)) == pytest.approx(1.959963984540054**2, abs=1e-4)
+
+
 def test_scan_finds_a_planted_cluster(spark):
     rows = [(i, (i * 7 % 30) / 10, (i * 11 % 30) / 10, f"2024-01-{1 + i * 13 % 28:02d}") for i in range(200)] + [(1000 + i, 1.5, 1.5, f"2024-01-{14 + i % 2}") for i in range(15)]
     df = spark.createDataFrame(rows + [(5000, None, 1.0, "2024-01-01")], "id int, lat double, lon double, date string")
