@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallygrove.functions import values
-from tallygrove.operators import dedup, geo, graph, measures, raster, regression, relate, rules, scan, series, tables
+from tallygrove.operators import dedup, geo, graph, measures, raster, register, regression, relate, rules, scan, series, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -843,3 +843,63 @@ def pooled_classes(spark: SparkSession, d: str) -> DataFrame:
     cells, _ = _raster(spark)
     both = raster.pooled_classes({"a": cells, "b": cells.withColumn("value", F.col("value") * 2)})
     return both.groupBy("raster", F.col("class").cast("long").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH p AS (SELECT c_custkey AS id, {LON} AS lon, {LAT} AS lat, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS elevation FROM customer), e AS (SELECT s_suppkey AS site_id, s_acctbal * 0.001 AS level FROM supplier WHERE s_suppkey % 2 = 0),
+    k AS (SELECT id, elevation, s_suppkey, {_KM.format("lat", "lon", "slat", "slon")} AS km FROM p, {_SITES} WHERE s_suppkey IN (SELECT site_id FROM e)), b AS (SELECT id, any_value(elevation) AS elevation, arg_min(s_suppkey, km) AS site_id, min(km) AS km FROM k GROUP BY 1)
+    SELECT id, site_id, CAST(floor(km * 1000 + 0.5) AS BIGINT) AS distance_m, CASE WHEN elevation IS NULL THEN 'Unknown' WHEN level >= elevation / 1000 THEN 'Review' ELSE 'NoFlag' END AS status FROM b JOIN e USING (site_id)""")
+def sea_level_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of every second supplier, as sites, against the elevation of customers, as places."""
+    s, p = t(spark, d, "supplier"), places(spark, d)
+    sites = s.select(F.col("s_suppkey").alias("site_id"), F.expr(S_LON).cast("double").alias("lon"), F.expr(S_LAT).cast("double").alias("lat"))
+    extract = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("site_id"), F.col("s_acctbal").alias("mm"))
+    near = geo.assign_sites(p, sites, extract, first_km=2000)
+    elevation = F.when(F.col("id") % 7 != 0, F.col("weight")) / 1000
+    out = geo.compare_elevation(near, p, extract, elevation, "mm", "a stated datum", "baseline-sea-surface", scale=0.001)
+    return out.select("id", "site_id", "distance_m", "status")
+
+
+@query("""WITH p AS (SELECT s_suppkey % 40 AS x, s_suppkey % 37 AS y, 10 + (s_suppkey % 40) * 0.001 + (s_suppkey % 7) * 0.00001 AS lon, 50 - (s_suppkey % 37) * 0.001 + (s_suppkey % 5) * 0.00001 AS lat FROM supplier),
+    f AS (SELECT regr_slope(lon, x) AS a, regr_intercept(lon, x) AS c, regr_slope(lat, y) AS e, regr_intercept(lat, y) AS f FROM p),
+    q AS (SELECT *, sqrt(pow((a * x + c - lon) * 111320 * cos(radians(lat)), 2) + pow((e * y + f - lat) * 110570, 2)) AS m FROM p, f)
+    SELECT count(*) AS n, round(any_value(a), 8) AS a, round(any_value(c), 6) AS c, round(any_value(e), 8) AS e, round(any_value(f), 6) AS f, round(sqrt(avg(m * m)), 4) AS rms_m, round(max(m), 4) AS max_m FROM q""")
+def placement_fit(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    p = t(spark, d, "supplier").select(k.alias("id"), (k % 40).alias("x"), (k % 37).alias("y"), (10 + (k % 40) * 0.001 + (k % 7) * 0.00001).alias("lon"), (50 - (k % 37) * 0.001 + (k % 5) * 0.00001).alias("lat"))
+    fit = geo.fit_placement(p, "north-up").report["fit"]
+    return fit.select("n", r("a", 8).alias("a"), r("c", 6).alias("c"), r("e", 8).alias("e"), r("f", 6).alias("f"), r("rms_m").alias("rms_m"), r("max_m").alias("max_m"))
+
+
+@query("""WITH s AS (SELECT s_suppkey // 50 AS part, ((s_suppkey * 71) % 3600) * 10.0 AS x, ((s_suppkey * 29) % 1200) * 10.0 AS y FROM supplier)
+    SELECT part, count(*) AS cells, round((max(x) - min(x) + 200) * (max(y) - min(y) + 200), 0) AS area FROM s GROUP BY 1""")
+def voronoi_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of a group fill its bounds without gap or overlap, so their areas add up to it."""
+    k = F.col("s_suppkey")
+    s = t(spark, d, "supplier").select(k.alias("id"), F.floor(k / 50).alias("part"), (k * 71 % 3600 * 10.0).alias("east"), (k * 29 % 1200 * 10.0).alias("north"))
+    bounds = s.groupBy("part").agg(F.min("east").alias("left"), F.min("north").alias("bottom"), F.max("east").alias("right"), F.max("north").alias("top"))
+    ring = F.col("geometry")[0]
+    turn = F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: ring[i]["x"] * ring[i + 1]["y"] - ring[i + 1]["x"] * ring[i]["y"])
+    cells = geo.voronoi(s, bounds, "part").withColumn("area", F.abs(F.aggregate(turn, F.lit(0.0), lambda a, v: a + v)) / 2)
+    return cells.groupBy("part").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("area"), 0).alias("area"))
+
+
+@query("""WITH l AS (SELECT DISTINCT n_nationkey, n_name, ['clinic', 'hospital', 'communities'][1 + c_custkey % 3] AS word, CASE WHEN n_nationkey % 5 = 0 THEN 'hospital' ELSE 'clinic' END AS kind FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT n_name || ' ' || word AS name, CASE WHEN word = 'communities' THEN 'area' WHEN word = kind THEN 'exact' ELSE 'type-differs' END AS outcome, CASE WHEN word = kind THEN CAST(n_nationkey AS VARCHAR) END AS facility FROM l""")
+def register_match(spark: SparkSession, d: str) -> DataFrame:
+    n, c = t(spark, d, "nation"), t(spark, d, "customer")
+    word = F.array(*[F.lit(w) for w in ("clinic", "hospital", "communities")])[(F.col("c_custkey") % 3).cast("int")]
+    listed = c.join(n, c.c_nationkey == n.n_nationkey).select(F.concat_ws(" ", "n_name", word).alias("name"))
+    kind = F.when(F.col("n_nationkey") % 5 == 0, "hospital").otherwise("clinic")
+    facilities = n.select(F.col("n_nationkey").cast("string").alias("facility"), F.col("n_name").alias("name"), kind.alias("type"))
+    return register.match_register(listed, {"nations": facilities}, area_markers=["Communities"]).df.select("name", "outcome", "facility")
+
+
+@query("SELECT p_brand, CAST(sum(p_size) AS DOUBLE) AS size FROM part GROUP BY 1")
+def total_column(spark: SparkSession, d: str) -> DataFrame:
+    """A column that came as text, totalled in place of the table's value."""
+    return tables.total_column(t(spark, d, "part").select("p_brand", F.col("p_size").cast("string").alias("size")), ["p_brand"], "size")
+
+
+@query("SELECT category, row_number() OVER (ORDER BY first) - 1 AS class, n FROM (SELECT p_type AS category, min(p_partkey) AS first, count(*) AS n FROM part GROUP BY 1)")
+def category_classes(spark: SparkSession, d: str) -> DataFrame:
+    return tables.category_classes(t(spark, d, "part"), "p_type", ["p_partkey"])

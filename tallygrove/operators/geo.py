@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.functions.values import EARTH_AREA_M, EARTH_KM, from_utm, haversine_km, to_utm, utm_zone
-from tallygrove.report import OpResult, Refusal, stored
+from tallygrove.report import OpResult, Refusal, refuse_when, stored
 
 
 def nearest(points: DataFrame, candidates: DataFrame, id_: str = "id", lat: str = "lat", lon: str = "lon", first_km: float = 50.0) -> DataFrame:
@@ -215,3 +215,114 @@ def convex_hull(points: DataFrame, by: str, lon: str = "lon", lat: str = "lat")
 def snap(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, node, distance_km: the network node nearest to each point (nodes: id, lon, lat)."""
     return nearest(points, nodes).select("id", F.col("nearest_id").alias("node"), "distance_km", "reason")
+
+
+MOST_SITES = 100  # of one group of Voronoi cells, the declared limit of the operator
+#: Metres a degree of latitude, and of longitude on the equator.
+LAT_M, LON_M = 110_570.0, 111_320.0
+
+
+def _nearer(ring: np.ndarray, site: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The part of a convex ring (without closing point) that is no farther from site than from other."""
+    side = (ring - (site + other) / 2) @ (other - site)
+    out = []
+    for i, (p, d) in enumerate(zip(ring, side, strict=True)):
+        j = (i + 1) % len(ring)
+        if d <= 0:
+            out.append(p)
+        if d * side[j] < 0:
+            out.append(p + (ring[j] - p) * d / (d - side[j]))
+    return np.array(out).reshape(-1, 2)
+
+
+def voronoi(sites: DataFrame, bounds: DataFrame, group: str, id_: str = "id", x: str = "east", y: str = "north", around: float = 100.0) -> DataFrame:
+    """group, id, geometry: the cell of each site of a group, in metres, within the group's bounds and ``around`` metres more.
+
+    ``bounds`` has the group, left, bottom, right and top. Sites without place are left out; more than ``MOST_SITES`` sites of one
+    group, or two within a millimetre, end the job. The sites of a group meet in one task, which that limit bounds.
+    """
+
+    def cells(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_SITES:
+            raise ValueError(f"{len(pdf)} sites in one group; {MOST_SITES} at most")
+        xy = pdf[["x", "y"]].to_numpy()
+        left, bottom, right, top = pdf[["left", "bottom", "right", "top"]].iloc[0] + [-around, -around, around, around]
+        ids, rings = [], []
+        for i, site in enumerate(xy):
+            far = np.hypot(*(xy - site).T)
+            if (np.delete(far, i) < 0.001).any():
+                raise ValueError("two sites at one place: merge them first")
+            ring = np.array([[left, bottom], [right, bottom], [right, top], [left, top]])
+            for j in np.argsort(far, kind="stable"):
+                if j != i and len(ring):
+                    ring = _nearer(ring, site, xy[j])
+            if len(ring) >= 3:
+                ids.append(i)
+                rings.append([[{"x": float(a), "y": float(b)} for a, b in [*ring, ring[0]]]])
+        return pd.DataFrame({"grp": pdf["grp"].iloc[ids].to_numpy(), "id": pdf["id"].iloc[ids].to_numpy(), "geometry": rings})
+
+    placed = sites.select(F.col(group).alias("grp"), F.col(id_).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    both = placed.join(bounds.select(F.col(group).alias("grp"), *[F.col(c).cast("double").alias(c) for c in ("left", "bottom", "right", "top")]), "grp")
+    kinds = dict(both.dtypes)
+    out = both.groupBy("grp").applyInPandas(cells, f"grp {kinds['grp']}, id {kinds['id']}, geometry array<array<struct<x: double, y: double>>>")
+    return out.withColumnRenamed("grp", group)
+
+
+def assign_sites(points: DataFrame, sites: DataFrame, extract: DataFrame, id_: str = "id", lat: str = "lat", lon: str = "lon", site: str = "site_id", first_km: float = 50.0) -> DataFrame:
+    """id, site_id, distance_m, reason: the nearest site, of those that the extract has values for, to each point."""
+    usable = sites.join(extract.select(F.col(site)).distinct(), site, "left_semi").select(F.col(site).alias(id_), F.col(lat), F.col(lon))
+    near = nearest(points.select(id_, lat, lon), usable, id_, lat, lon, first_km)
+    return near.select("id", F.col("nearest_id").alias("site_id"), F.floor(F.col("distance_km") * 1000 + 0.5).alias("distance_m"), "reason")
+
+
+def compare_elevation(assigned: DataFrame, points: DataFrame, extract: DataFrame, elevation: Column, value: str, datum: str, reference: str, id_: str = "id", site: str = "site_id", scale: float = 1.0) -> DataFrame:
+    """id, site_id, distance_m, level, elevation, status: Review where the site's level (``value`` times ``scale``) reaches the elevation,
+    NoFlag below it, Unknown where either is unknown. The extract is to hold one row a site: its full key is chosen before; two end the job.
+
+    Elevations must be declared as measured from the surface that the levels are changes of (``baseline-sea-surface``).
+    """
+    if not datum.strip():
+        raise Refusal("the vertical datum of the elevations is to be stated")
+    if reference != "baseline-sea-surface":
+        raise Refusal("a change from a baseline sea surface can't be compared with a height above another surface")
+    one = extract.groupBy(F.col(site).alias("site_id")).agg(F.count(F.lit(1)).alias("_n"), F.max(F.col(value).cast("double") * scale).alias("level"))
+    one = one.select("site_id", refuse_when(F.col("_n") > 1, "several values for one site: choose the full key", F.col("level")).alias("level"))
+    height = points.select(F.col(id_).alias("id"), elevation.cast("double").alias("elevation"))
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    status = F.when(~known("level") | ~known("elevation"), "Unknown").when(F.col("level") >= F.col("elevation"), "Review").otherwise("NoFlag")
+    return assigned.join(one, "site_id", "left").join(height, "id", "left").select("id", "site_id", "distance_m", "level", "elevation", status.alias("status"))
+
+
+def fit_placement(points: DataFrame, model: str = "affine", base: tuple[float, float, float, float] | None = None) -> OpResult:
+    """Places a picture by control points (id, x, y, lon, lat): lon = a x + b y + c, lat = d x + e y + f by least squares.
+
+    ``north-up`` (b = d = 0, two points), ``affine`` (three) or ``shift`` (one; a, b, d, e are given by ``base``). Rows: id, east_m,
+    north_m and metres of each residual; report ``fit``: the coefficients, points, and the root mean square and largest residual.
+    Points with an unknown number are left out. One aggregation; the driver solves at most three unknowns.
+    """
+    least = {"north-up": 2, "affine": 3, "shift": 1}
+    if model not in least or (model == "shift") != (base is not None):
+        raise Refusal("the model is north-up, affine, or a shift of a given placement")
+    p = points.select("id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "lon", "lat")]).dropna()
+    mean = p.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("x", "y", "lon", "lat")]).first()
+    if mean["n"] < least[model]:
+        raise Refusal(f"{mean['n']} points; {least[model]} at least")
+    c = {k: F.col(k) - F.lit(mean[k]) for k in ("x", "y", "lon", "lat")}
+    s = p.agg(*[F.sum(c[i] * c[j]).alias(f"{i}_{j}") for i, j in (("x", "x"), ("x", "y"), ("y", "y"), ("x", "lon"), ("y", "lon"), ("x", "lat"), ("y", "lat"))]).first()
+    if model == "shift":
+        a, b, d, e = base
+    elif model == "north-up":
+        if min(s["x_x"], s["y_y"]) <= 0:
+            raise Refusal("the points lie on one line, or two are one")
+        a, b, d, e = s["x_lon"] / s["x_x"], 0.0, 0.0, s["y_lat"] / s["y_y"]
+    else:
+        m = np.array([[s["x_x"], s["x_y"]], [s["x_y"], s["y_y"]]])
+        if np.linalg.matrix_rank(m) < 2:
+            raise Refusal("the points lie on one line, or two are one")
+        (a, b), (d, e) = np.linalg.solve(m, [s["x_lon"], s["y_lon"]]).tolist(), np.linalg.solve(m, [s["x_lat"], s["y_lat"]]).tolist()
+    cc, f = mean["lon"] - a * mean["x"] - b * mean["y"], mean["lat"] - d * mean["x"] - e * mean["y"]
+    east = (F.col("x") * a + F.col("y") * b + cc - F.col("lon")) * LON_M * F.cos(F.radians("lat"))
+    north = (F.col("x") * d + F.col("y") * e + f - F.col("lat")) * LAT_M
+    rows = p.select("id", east.alias("east_m"), north.alias("north_m")).withColumn("metres", F.hypot("east_m", "north_m"))
+    fit = rows.agg(*[F.lit(float(v)).alias(n) for n, v in zip("abcdef", (a, b, cc, d, e, f), strict=True)], F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("metres") * F.col("metres"))).alias("rms_m"), F.max("metres").alias("max_m"))
+    return OpResult(rows, {"fit": fit})

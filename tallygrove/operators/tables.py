@@ -278,3 +278,17 @@ def dictionary_check(df: DataFrame, declared: DataFrame) -> DataFrame:
     both = there.join(declared, "column", "full_outer")
     finding = F.when(F.col("found_missing").isNull(), "not in file").when(F.col("n_missing").isNull(), "not in dictionary").when(F.col("n_missing") != F.col("found_missing"), "missing differs")
     return both.withColumn("finding", finding).where("finding is not null")
+
+
+def total_column(df: DataFrame, by: Sequence[str], column: str, how: str = "sum") -> DataFrame:
+    """Groups with a statistic of another column than the table's value; a nonblank cell that is no number ends the job."""
+    v = number(F.col(column).cast("string"))
+    value = refuse_when(~blank(F.col(column)) & v.isNull(), F.concat(F.lit(f"{column} holds a text that is no number: "), F.col(column).cast("string")), v)
+    return group(df, by, value, how, column)
+
+
+def category_classes(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
+    """category, class (from 0, by first appearance in the order), n: the trimmed nonblank texts of a column."""
+    text = F.trim(F.col(column).cast("string"))
+    first = df.where(~blank(F.col(column))).groupBy(text.alias("category")).agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("n"))
+    return numbered(first, ["_first", "category"], "class").select("category", (F.col("class") - 1).cast("long").alias("class"), "n")

@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tallygrove.functions import values
-from tallygrove.operators import dedup, geo, graph, measures, raster, regression, relate, rules, scan, series, tables
+from tallygrove.operators import dedup, geo, graph, measures, raster, register, regression, relate, rules, scan, series, tables
 from tallygrove.report import Refusal
 
 
@@ -354,3 +354,86 @@ def test_row_numbers_over_ranges(spark):
     got = tables.numbered(df, ["x"]).collect()
     assert all(r["row_number"] == r["x"] + 1 for r in got) and len(got) == 1000
     assert tables.numbered(df.where("x < 0"), ["x"]).count() == 0
+
+
+def test_names_are_matched_with_registers(spark):
+    types = spark.createDataFrame([("dispensaire",), ("hopital",)], "word string")
+    names = spark.createDataFrame([("Bela (Nord) Dispensaire",), ("Bela Clinic",), ("Dispensaire",), (None,)], "name string")
+    parts = [(r["bare"], r["type"], r["qualifier"]) for r in register.name_parts(names, "name", types).orderBy(F.col("name").desc_nulls_last()).collect()]
+    assert parts == [("dispensaire", "", ""), ("bela clinic", "", ""), ("bela", "dispensaire", "nord"), ("", "", "")]
+    first = spark.createDataFrame(
+        [("A1", "Bela Dispensaire", "Dispensaire", "Nord District", None), ("A2", "Bela Dispensaire", "Dispensaire", "Sud", None), ("B1", "Kanto Dispensaire", "Dispensaire", "Nord", None), ("C1", "Moraga H\u00f4pital", "H\u00f4pital", "Sud", "Old Moraga"), ("D1", "Tillanni Dispensaire", "Dispensaire", "Sud", None)],
+        "facility string, name string, type string, area string, alternate string",
+    )
+    second = spark.createDataFrame([("11", "Zinder dispensaire"), ("12", "Wenduuma Dispensaire"), ("13", "Makump Bana")], "facility string, name string")
+    rows = [("Moraga Hopital", None), ("Moraga Hopital", None), ("Old Moraga", None), ("Tilanni Dispensaire", None), ("Kanto H\u00f4pital", None), ("Bela Dispensaire", None), ("Nord Communaut\u00e9s", None), ("Zinder Dispensaire", None), ("Wenduma Dispensaire", None), ("Makump", None), ("nowhere", None), ("Bela (Sud)", ""), (None, "x")]
+    listed = spark.createDataFrame(rows, "name string, area string")
+    match = lambda names, **more: {r["name"]: r for r in register.match_register(names, {"first": first, "second": second}, area_markers=["Communaut\u00e9s"], name_only=["second"], **more).df.collect()}
+    got = match(listed)
+    assert {k: (r["outcome"], r["facility"]) for k, r in got.items()} == {
+        "Moraga Hopital": ("exact", "C1"), "Old Moraga": ("exact", "C1"), "Tilanni Dispensaire": ("spelling", "D1"), "Kanto H\u00f4pital": ("type-differs", None), "Bela Dispensaire": ("ambiguous", None),
+        "Nord Communaut\u00e9s": ("area", None), "Zinder Dispensaire": ("exact", "11"), "Wenduma Dispensaire": ("spelling", None), "Makump": ("not-found", None), "nowhere": ("not-found", None), "Bela (Sud)": ("exact", "A2"),
+    }
+    assert got["Wenduma Dispensaire"]["held"] and not got["Zinder Dispensaire"]["held"]
+    assert match(spark.createDataFrame([("Bela Dispensaire", "Sud region")], "name string, area string"))["Bela Dispensaire"]["facility"] == "A2"
+    chosen = spark.createDataFrame([("Bela Dispensaire", "A1"), ("Kanto H\u00f4pital", "none"), ("Wenduma Dispensaire", "12"), ("Zinder Dispensaire", "A1"), ("Tilanni Dispensaire", "gone")], "name string, facility string")
+    decided = match(listed, decisions=chosen)
+    assert {k: (r["outcome"], r["facility"]) for k, r in decided.items() if r["decided"]} == {"Bela Dispensaire": ("ambiguous", "A1"), "Kanto H\u00f4pital": ("type-differs", None), "Wenduma Dispensaire": ("spelling", "12")}
+    assert decided["Zinder Dispensaire"]["facility"] == "11"
+    weighed = register.match_register(listed, {"first": first}).report["candidates"].where("name = 'Bela Dispensaire'").collect()
+    assert sorted(r["facility"] for r in weighed) == ["A1", "A2"]
+
+
+def test_voronoi_cells_hold_what_is_nearest(spark):
+    import random
+
+    rnd = random.Random(8)
+    sites = [(i, i % 2, rnd.uniform(0, 1000), rnd.uniform(0, 600)) for i in range(24)]
+    df = spark.createDataFrame([*sites, (99, 1, None, 3.0)], "id int, part int, east double, north double")
+    bounds = spark.createDataFrame([(0, 0, 0, 1000, 600), (1, 0, 0, 1000, 600)], "part int, left int, bottom int, right int, top int")
+    cells = {(r["part"], r["id"]): [(p["x"], p["y"]) for p in r["geometry"][0]] for r in geo.voronoi(df, bounds, "part").collect()}
+    assert set(cells) == {(g, i) for i, g, _, _ in sites}
+    for _ in range(200):
+        g, x, y = rnd.randrange(2), rnd.uniform(-100, 1100), rnd.uniform(-100, 700)
+        near = min((s for s in sites if s[1] == g), key=lambda s: math.dist(s[2:], (x, y)))[0]
+        turns = [(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) for a, b in zip(cells[g, near], cells[g, near][1:], strict=False)]
+        assert min(turns) > -1e-6 or max(turns) < 1e-6
+    with pytest.raises(PySparkException):
+        geo.voronoi(spark.createDataFrame([(1, 0, 1.0, 1.0), (2, 0, 1.0, 1.0)], "id int, part int, east double, north double"), bounds, "part").collect()
+
+
+def test_a_placement_by_control_points(spark):
+    schema = "id int, x double, y double, lon double, lat double"
+    exact = [(i, x, y, 0.002 * x + 0.0005 * y + 10, 0.0004 * x - 0.002 * y + 50) for i, (x, y) in enumerate([(0.0, 0.0), (100.0, 0.0), (0.0, 80.0), (60.0, 50.0)])]
+    df = spark.createDataFrame([*exact, (9, None, 1.0, 1.0, 1.0)], schema)
+    fit = one(geo.fit_placement(df).report["fit"])
+    assert [fit[k] for k in "abcdef"] == pytest.approx([0.002, 0.0005, 10, 0.0004, -0.002, 50]) and fit["rms_m"] < 1e-4 and fit["n"] == 4
+    shift = geo.fit_placement(df, "shift", (0.002, 0.0005, 0.0004, -0.002))
+    assert one(shift.report["fit"])["max_m"] < 1e-4 and shift.df.count() == 4
+    for wrong in (spark.createDataFrame(exact[:2], schema), spark.createDataFrame([(i, i * 1.0, i * 2.0, 1.0, 1.0) for i in range(4)], schema)):
+        with pytest.raises(Refusal):
+            geo.fit_placement(wrong)
+    with pytest.raises(Refusal):
+        geo.fit_placement(df, "shift")
+
+
+def test_levels_against_elevations(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0, 1.0), (2, 0.0, 0.1, 0.5), (3, None, 0.0, 1.0), (4, 0.0, 0.2, None)], "id int, lat double, lon double, z double")
+    sites = spark.createDataFrame([(7, 0.0, 0.0), (8, 0.0, 0.1)], "site_id int, lat double, lon double")
+    extract = spark.createDataFrame([(8, 1000.0)], "site_id int, mm double")
+    near = geo.assign_sites(points, sites, extract)
+    compare = lambda e, datum="d", ref="baseline-sea-surface": geo.compare_elevation(near, points, e, F.col("z"), "mm", datum, ref, scale=0.001)
+    assert {r["id"]: (r["site_id"], r["status"]) for r in compare(extract).collect()} == {1: (8, "Review"), 2: (8, "Review"), 3: (None, "Unknown"), 4: (8, "Unknown")}
+    with pytest.raises(PySparkException):
+        compare(extract.union(extract)).collect()
+    for wrong in (("", "baseline-sea-surface"), ("d", "other-datum")):
+        with pytest.raises(Refusal):
+            compare(extract, *wrong)
+
+
+def test_totals_of_a_text_column_and_classes_by_appearance(spark):
+    df = spark.createDataFrame([("a", "1", 3), ("a", " 2.5", 2), ("b", "", 1), ("b", "4", 4), (" a ", None, 5)], "k string, v string, i int")
+    assert {r["k"]: r["v"] for r in tables.total_column(df, ["k"], "v").collect()} == {"a": 3.5, "b": None, " a ": None}
+    with pytest.raises(PySparkException):
+        tables.total_column(df.withColumn("v", F.lit("x")), ["k"], "v").collect()
+    assert {r["category"]: (r["class"], r["n"]) for r in tables.category_classes(df, "k", ["i"]).collect()} == {"b": (0, 2), "a": (1, 3)}
