@@ -31,17 +31,19 @@ TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 
 
 def _entities(text: Column) -> Column:
-    """Named and numeric entities resolved once, from left to right; others stay as written."""
+    """Named and numeric entities resolved once, from left to right; others stay as written. ``text`` is to be a column: it is read more than once."""
     names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    pieces = F.transform(F.split(text, "&"), lambda p: F.struct(p.alias("p"), F.regexp_extract(p, ENTITY, 1).alias("name")))
 
-    def part(p: Column, i: Column) -> Column:
-        name = F.regexp_extract(p, ENTITY, 1)
+    def part(piece: Column, i: Column) -> Column:
+        p, name = piece["p"], piece["name"]
         number = F.when(F.lower(name.substr(1, 2)) == "#x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).cast("long")
         real = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
         char = F.when(name.startswith("#"), F.when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))).otherwise(names[name])
-        return F.when(i == 0, p).when(name == "", F.concat(F.lit("&"), p)).otherwise(F.coalesce(F.concat(char, F.regexp_replace(p, ENTITY, "")), F.concat(F.lit("&"), p)))
+        rest = F.substr(p, F.length(name) + 2)
+        return F.when(i == 0, p).when(name == "", F.concat(F.lit("&"), p)).otherwise(F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), p)))
 
-    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), part), "")).otherwise(text)
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, part), "")).otherwise(text)
 
 
 def _tidy(text: Column) -> Column:
@@ -51,13 +53,13 @@ def _tidy(text: Column) -> Column:
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+\z", "")
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: unseen parts go, block tags end lines, other tags vanish, entities are resolved, blanks are folded."""
+def untagged(html: Column) -> Column:
+    """The text of a page before ``_tidy``: unseen parts go, block tags end lines, other tags vanish."""
     for pattern in UNSEEN:
         html = F.regexp_replace(html, pattern, " ")
     html = F.regexp_replace(html, r"\s+", " ")
     html = F.regexp_replace(html, LINES, "\n")
-    return _tidy(F.regexp_replace(html, r"<[^>]*>", ""))
+    return F.regexp_replace(html, r"<[^>]*>", "")
 
 
 def record_id(*parts: Column) -> Column:
@@ -90,13 +92,15 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFr
     payload = F.coalesce(F.col("payload"), F.lit(""))
     base = responses.select(*keep, "record_id", "target_uri", "warc_date", F.coalesce("http_headers", F.lit("")).alias("source_headers"), payload.alias("payload"))
     base = base.withColumn("source_digest", digest(F.col("payload")))
-    title = _tidy(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"\s+", " "))
+    # columns of their own: resolving entities reads a text more than once, and must not strip the page as often
+    base = base.withColumns({"_title": F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"\s+", " "), "_text": untagged(F.col("payload"))})
+    title = _tidy(F.col("_title"))
     fields = F.concat(
         F.lit("title: "), title, F.lit(f"{crlf}source-content-length: "), F.octet_length("payload").cast("string"),
         F.lit(f"{crlf}source-digest: "), F.col("source_digest"), F.lit(crlf),
         F.when(F.col("source_headers") == "", F.lit("")).otherwise(F.concat(F.lit("source-http-status: "), F.regexp_replace("source_headers", r"\n([^\r\n])", "\nsource-http-$1"))),
     )
-    made = [F.struct(F.lit(kind).alias("warc_type"), F.lit(mime).alias("content_type"), block.alias("block")) for kind, mime, block in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", plain_text(F.col("payload"))))]
+    made = [F.struct(F.lit(kind).alias("warc_type"), F.lit(mime).alias("content_type"), block.alias("block")) for kind, mime, block in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", _tidy(F.col("_text"))))]
     rows = base.select("*", F.explode(F.array(*made)).alias("made")).select("*", "made.warc_type", "made.content_type", "made.block")
     rows = rows.withColumns({"refers_to": F.col("record_id"), "content_length": F.octet_length("block").cast("long"), "block_digest": digest(F.col("block"))})
     rows = rows.withColumn("record_id", record_id(F.col("warc_type"), F.col("refers_to"), F.col("source_digest")))
