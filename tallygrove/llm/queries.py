@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.llm import ann, chat, embedding_dedup, langid, mixing, order_minhash, packing, secrets, substring, warc
+from tallygrove.llm import ann, chat, embedding_dedup, importance, langid, mixing, order_minhash, packing, secrets, spelling, substring, toxicity, warc
 
 #: Shares of groups are tempered by these powers in the mixing query and in the pipeline.
 TEMPER = {"source": 0.9, "lang": 0.9, "topic": 0.9}
@@ -61,9 +61,29 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_graph, op2_warc_derivatives, op3_fingerprint_index, op4_order_minhash, op5_secret_scan, op6_mix_weights, op7_collision_counting, op8_language_id, op9_packing, op10_chat_rotation)}
+    every = (
+        op1_embedding_graph, op2_warc_derivatives, op3_fingerprint_index, op4_order_minhash, op5_secret_scan, op6_mix_weights, op7_collision_counting,
+        op8_language_id, op9_packing, op10_chat_rotation, op11_spelling_variants, op12_toxicity, op13_importance_resampling,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_derivatives": warc.ORACLE_SQL, "op6_mix_weights": mixing.oracle_sql(TEMPER), "op10_chat_rotation": chat.ORACLE_SQL}
+    return {
+        "op2_warc_derivatives": warc.ORACLE_SQL, "op6_mix_weights": mixing.oracle_sql(TEMPER), "op10_chat_rotation": chat.ORACLE_SQL,
+        "op11_spelling_variants": spelling.ORACLE_SQL, "op13_importance_resampling": importance.ORACLE_SQL,
+    }
