@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallygrove.functions import values
-from tallygrove.operators import dedup, geo, graph, measures, raster, register, regression, relate, rules, scan, series, tables
+from tallygrove.operators import dedup, geo, graph, measures, overlay, raster, register, regression, relate, rules, scan, series, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -903,3 +903,49 @@ def total_column(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT category, row_number() OVER (ORDER BY first) - 1 AS class, n FROM (SELECT p_type AS category, min(p_partkey) AS first, count(*) AS n FROM part GROUP BY 1)")
 def category_classes(spark: SparkSession, d: str) -> DataFrame:
     return tables.category_classes(t(spark, d, "part"), "p_type", ["p_partkey"])
+
+
+# --- polygons over each other -------------------------------------------------------------------------------------------
+
+
+def _box(k: str, x: str, y: str, w: str, h: str) -> str:
+    """A box in metres as a polygon, by SQL expressions over a key."""
+    x, y, w, h = (f"CAST({e.format(k)} AS DOUBLE)" for e in (x, y, w, h))
+    corner = lambda a, b: f"named_struct('x', {a}, 'y', {b})"
+    return f"array(array({corner(x, y)}, {corner(f'{x} + {w}', y)}, {corner(f'{x} + {w}', f'{y} + {h}')}, {corner(x, f'{y} + {h}')}, {corner(x, y)}))"
+
+
+#: West, south, width and height of a customer's plot and of a supplier's district, in metres.
+PLOT = ("{0} * 37 % 1800 * 10 - 4000", "{0} * 53 % 1200 * 10 - 3000", "150 + {0} % 7 * 120", "200 + {0} % 5 * 170")
+DISTRICT = ("{0} * 71 % 1700 * 10 - 4000", "{0} * 29 % 1100 * 10 - 3000", "900 + {0} % 3 * 700", "700 + {0} % 4 * 500")
+_PLOTS = "SELECT c_custkey AS id, c_nationkey AS nation, " + ", ".join(f"{e.format('c_custkey')} AS {n}" for e, n in zip(PLOT, "xywh", strict=True)) + " FROM customer"
+_DISTRICTS = "SELECT s_suppkey AS name, " + ", ".join(f"{e.format('s_suppkey')} AS {n}2" for e, n in zip(DISTRICT, "xywh", strict=True)) + " FROM supplier"
+
+
+def plots(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.expr(_box("c_custkey", *PLOT)).alias("geometry"))
+
+
+def districts(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "supplier").select(F.col("s_suppkey").alias("name"), F.expr(_box("s_suppkey", *DISTRICT)).alias("geometry"))
+
+
+@query(f"""WITH p AS ({_PLOTS}), q AS ({_DISTRICTS}) SELECT id, name, CAST((least(x + w, x2 + w2) - greatest(x, x2)) * (least(y + h, y2 + h2) - greatest(y, y2)) AS DOUBLE) AS area
+    FROM p JOIN q ON x < x2 + w2 AND x2 < x + w AND y < y2 + h2 AND y2 < y + h""")
+def clipped_polygons(spark: SparkSession, d: str) -> DataFrame:
+    return overlay.clip_polygons(plots(spark, d), districts(spark, d)).select("id", "name", r("area", 3).alias("area"))
+
+
+@query(f"""WITH p AS ({_PLOTS}), xs AS (SELECT nation, v, lead(v) OVER (PARTITION BY nation ORDER BY v) AS v2 FROM (SELECT nation, x AS v FROM p UNION SELECT nation, x + w FROM p)),
+    ys AS (SELECT nation, v AS u, lead(v) OVER (PARTITION BY nation ORDER BY v) AS u2 FROM (SELECT nation, y AS v FROM p UNION SELECT nation, y + h FROM p)),
+    strips AS (SELECT DISTINCT xs.nation, v, v2, u, u2 FROM p JOIN xs ON xs.nation = p.nation AND v >= x AND v2 <= x + w JOIN ys ON ys.nation = p.nation AND u >= y AND u2 <= y + h),
+    whole AS (SELECT nation, sum((v2 - v) * (u2 - u)) AS combined FROM strips GROUP BY 1)
+    SELECT nation, count(*) AS parts, CAST(sum(w * h) AS DOUBLE) AS parts_area, CAST(any_value(combined) AS DOUBLE) AS combined_area, CAST(sum(w * h) - any_value(combined) AS DOUBLE) AS overlap FROM p JOIN whole USING (nation) GROUP BY 1""")
+def combined_areas(spark: SparkSession, d: str) -> DataFrame:
+    areas = overlay.combined_area(plots(spark, d), "nation").report["areas"]
+    return areas.select("nation", "parts", *[r(c, 3).alias(c) for c in ("parts_area", "combined_area", "overlap")])
+
+
+@query(f"SELECT id, CAST(1 AS BIGINT) AS pieces, round(w * h + 2 * (w + h) * 50 + 16 * 2500 * sin(pi() / 16), 1) AS area FROM ({_PLOTS})")
+def buffered_areas(spark: SparkSession, d: str) -> DataFrame:
+    return overlay.buffer_area(plots(spark, d), 50.0, grid=1e-5).select("id", "pieces", r("area", 1).alias("area"))
