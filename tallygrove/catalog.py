@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallygrove.functions import values
-from tallygrove.operators import dedup, geo, graph, measures, overlay, raster, register, regression, relate, rules, scan, series, tables
+from tallygrove.operators import dedup, geo, graph, measures, network, overlay, raster, register, regression, relate, rules, scan, series, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -949,3 +949,28 @@ def combined_areas(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT id, CAST(1 AS BIGINT) AS pieces, round(w * h + 2 * (w + h) * 50 + 16 * 2500 * sin(pi() / 16), 1) AS area FROM ({_PLOTS})")
 def buffered_areas(spark: SparkSession, d: str) -> DataFrame:
     return overlay.buffer_area(plots(spark, d), 50.0, grid=1e-5).select("id", "pieces", r("area", 1).alias("area"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS f, s_nationkey + 1000000 AS g, 1 + s_suppkey % 3 AS c FROM supplier), b AS (SELECT f, g, c FROM e UNION ALL SELECT g, f, c FROM e),
+    walk AS (SELECT s_suppkey AS origin, s_suppkey AS node, 0 AS cost FROM supplier UNION SELECT origin, b.g, cost + c FROM walk JOIN b ON node = b.f WHERE cost + c <= 4),
+    k AS (SELECT origin, node, min(cost) AS cost FROM walk GROUP BY 1, 2), l AS (SELECT unnest([2, 4]) AS "limit"), o AS (SELECT DISTINCT origin FROM k),
+    s AS (SELECT o.origin, "limit", c, greatest(0, "limit" - coalesce(a.cost, 99)) AS x, greatest(0, "limit" - coalesce(b.cost, 99)) AS y FROM o, l, e LEFT JOIN k a ON a.origin = o.origin AND a.node = f LEFT JOIN k b ON b.origin = o.origin AND b.node = g)
+    SELECT origin, CAST("limit" AS DOUBLE) AS "limit", count(*) AS streets, CAST(sum(least(c, least(x, c) + least(y, c))) AS DOUBLE) AS covered FROM s WHERE x + y > 0 GROUP BY 1, 2""")
+def streets_covered(spark: SparkSession, d: str) -> DataFrame:
+    s = t(spark, d, "supplier")
+    one = s.select(F.col("s_suppkey").alias("from"), (F.col("s_nationkey") + 1000000).cast("long").alias("to"), (1 + F.col("s_suppkey") % 3).alias("length"))
+    both = one.unionByName(one.select(F.col("to").alias("from"), F.col("from").alias("to"), "length"))
+    reached = graph.reachable(both.withColumnRenamed("length", "cost"), s.select(F.col("s_suppkey").alias("node")), 4.0)
+    return network.covered(both, reached, [2.0, 4.0]).groupBy("origin", "limit").agg(F.count(F.lit(1)).alias("streets"), F.sum("covered").alias("covered"))
+
+
+@query()
+def isochrones(spark: SparkSession, d: str) -> DataFrame:
+    """The ground within 10 and 20 minutes of every customer, on streets that join each supplier with the next."""
+    place = lambda k, box: (F.expr(box[0].format(k)).cast("double").alias("x"), F.expr(box[1].format(k)).cast("double").alias("y"))
+    nodes = t(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), *place("s_suppkey", DISTRICT))
+    after = nodes.select((F.col("node") - 1).alias("from"), F.col("node").alias("to"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    edges = after.join(nodes, F.col("from") == F.col("node")).select("from", "to", F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")).alias("length"))
+    edges = edges.unionByName(edges.select(F.col("to").alias("from"), F.col("from").alias("to"), "length"))
+    sites = t(spark, d, "customer").select(F.col("c_custkey").alias("site"), *place("c_custkey", PLOT))
+    return network.isochrones(sites, nodes, edges, [10, 20], 75.0).df.select("site", "minutes", "pieces", r("area", 2).alias("area"))
