@@ -86,7 +86,7 @@ def corridor(edges: DataFrame, left: DataFrame, width: float = 25.0, segments: i
     part = F.when(F.col("run") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("left") - width) / F.col("run")))).otherwise(0.0)
     to = {c: F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * part for c in "xy"}
     strips = walked.select("by", overlay.capsule(F.col("x1"), F.col("y1"), to["x"], to["y"], F.least(F.col("left"), F.lit(float(width))), segments).alias("geometry"))
-    return overlay.dissolve(overlay.union_cells(strips, "by", cell or round(8 * width / grid) * grid, grid), "by", grid).withColumnRenamed("by", by)
+    return overlay.dissolve(overlay.union_cells(strips, "by", cell or round(64 * width / grid) * grid, grid), "by", grid).withColumnRenamed("by", by)
 
 
 def isochrones(sites: DataFrame, nodes: DataFrame, edges: DataFrame, minutes: Sequence[float], speed: float, width: float = 25.0, inbound: bool = False, snaps: DataFrame | None = None, fill_holes: bool = False, cell: float | None = None, grid: float = 1e-3) -> OpResult:

@@ -28,6 +28,7 @@ from tallygrove.report import OpResult, Refusal, stored
 RINGS = "array<array<struct<x: double, y: double>>>"
 MULTI = f"array<{RINGS}>"
 BLOCK_POLYGONS, BLOCK_CORNERS = 64, 4000  # of one cell that meet in one task
+MERGED = 16  # cells of a group that are merged at once; of more, four neighbours at a time
 TURN = 0.7372773  # radians by which edges are turned while sides are told, so that none is upright
 STABS = 1 << 22
 
@@ -390,9 +391,15 @@ def dissolve(cells: DataFrame, by: str, grid: float = 1e-3) -> DataFrame:
     level = cells.join(low, F.col(by).eqNullSafe(F.col("_by"))).select(F.col(by).alias("by"), (F.col("cx") - F.col("x0")).alias("cx"), (F.col("cy") - F.col("y0")).alias("cy"), "rings")
     level = stored(level, "level")
     schema = f"by {dict(level.dtypes)['by']}, cx long, cy long, rings {RINGS}"
-    while not level.groupBy("by").count().where("count > 1").isEmpty():
-        up = level.select("by", F.shiftright("cx", 1).alias("cx"), F.shiftright("cy", 1).alias("cy"), "rings")
-        level = stored(up.groupBy("by", "cx", "cy").applyInArrow(_union(grid), schema), "level")
+    while True:
+        many = stored(level.groupBy(F.col("by").alias("_by")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "many")
+        if many.isEmpty():
+            break
+        parts = level.join(many, F.col("by").eqNullSafe(F.col("_by")), "left")
+        up = lambda c: F.when(F.col("n") <= MERGED, F.lit(0).cast("long")).otherwise(F.shiftright(c, 1)).alias(c)
+        merged = parts.where("n is not null").select("by", up("cx"), up("cy"), "rings")
+        merged = merged.repartition(tasks(merged), "by", "cx", "cy").groupBy("by", "cx", "cy").applyInArrow(_union(grid), schema)
+        level = stored(merged.unionByName(parts.where("n is null").select("by", "cx", "cy", "rings")), "level")
 
     def outline(batches):
         for batch in batches:
