@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tallygrove.functions import values
 from tallygrove.operators import dedup, geo, graph, measures, network, overlay, raster, register, regression, relate, rules, scan, series, tables
+from tallygrove.report import shared_path
+from tallygrove.sources import geotiff
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -587,33 +589,34 @@ def hexagon_counts(spark: SparkSession, d: str) -> DataFrame:
     return geo.hexagons(places(spark, d), 250_000, 2).df
 
 
-def _boxes(spark: SparkSession) -> DataFrame:
-    """Thirty-six boxes with a hole, by fixed arithmetic."""
-    return spark.sql(
-        """SELECT concat('box', i) AS name, array(array(struct(x AS x, y AS y), struct(x + 20 AS x, y AS y), struct(x + 20 AS x, y + 30 AS y), struct(x AS x, y + 30 AS y), struct(x AS x, y AS y)),
-        array(struct(x + 5 AS x, y + 5 AS y), struct(x + 8 AS x, y + 5 AS y), struct(x + 8 AS x, y + 9 AS y), struct(x + 5 AS x, y + 9 AS y), struct(x + 5 AS x, y + 5 AS y))) AS geometry
-        FROM (SELECT id AS i, CAST(-180 + (id % 18) * 20 + 0.05 AS DOUBLE) AS x, CAST(-60 + floor(id / 18) * 40 + 0.05 AS DOUBLE) AS y FROM range(36))"""
-    )
+#: West and south edge of a supplier's box of 20 by 30 degrees, which has a hole of 3 by 4.
+BOX_X, BOX_Y = "CAST(s_suppkey * 71 % 1690 AS DOUBLE) / 5 - 180 + 0.05", "CAST(s_suppkey * 29 % 440 AS DOUBLE) / 5 - 60 + 0.05"
 
 
-_BOX = "(SELECT 'box' || i AS name, CAST(-180 + (i % 18) * 20 + 0.05 AS DOUBLE) AS x, CAST(-60 + (i // 18) * 40 + 0.05 AS DOUBLE) AS y FROM range(0, 36) q(i))"
+def boxes(spark: SparkSession, d: str) -> DataFrame:
+    ring = lambda a, b, c, e: "array(" + ", ".join(f"struct(x + {i} AS x, y + {j} AS y)" for i, j in ((a, b), (c, b), (c, e), (a, e), (a, b))) + ")"
+    placed = t(spark, d, "supplier").select(F.concat(F.lit("box"), F.col("s_suppkey")).alias("name"), F.expr(BOX_X).alias("x"), F.expr(BOX_Y).alias("y"))
+    return placed.select("name", F.expr(f"array({ring(0, 0, 20, 30)}, {ring(5, 5, 8, 9)})").alias("geometry"))
+
+
+_BOX = f"(SELECT 'box' || s_suppkey AS name, {BOX_X} AS x, {BOX_Y} AS y FROM supplier)"
 
 
 @query(f"""WITH p AS (SELECT {LON} AS lon, {LAT} AS lat, c_acctbal AS w FROM customer), h AS (SELECT name, w FROM {_BOX}, p WHERE lon > x AND lon < x + 20 AND lat > y AND lat < y + 30 AND NOT (lon > x + 5 AND lon < x + 8 AND lat > y + 5 AND lat < y + 9))
     SELECT name, count(w) AS n, round(coalesce(sum(w), 0), 2) AS total FROM {_BOX} LEFT JOIN h USING (name) GROUP BY 1""")
 def points_in_polygons(spark: SparkSession, d: str) -> DataFrame:
-    return geo.summarize_points(places(spark, d), _boxes(spark), F.col("weight"), cell=10.0).withColumn("total", r("total", 2))
+    return geo.summarize_points(places(spark, d), boxes(spark, d), F.col("weight"), cell=10.0).withColumn("total", r("total", 2))
 
 
-@query("""WITH b AS (SELECT i, -60 + (i // 18) * 40 + 0.05 AS y FROM range(0, 36) q(i)) SELECT 'box' || i AS name, round(pow(6371008.8, 2) * (radians(20) * (sin(radians(y + 30)) - sin(radians(y))) - radians(3) * (sin(radians(y + 9)) - sin(radians(y + 5)))) / 1e6, 1) AS km2 FROM b""")
+@query(f"""WITH b AS (SELECT * FROM {_BOX}) SELECT name, round(pow(6371008.8, 2) * (radians(20) * (sin(radians(y + 30)) - sin(radians(y))) - radians(3) * (sin(radians(y + 9)) - sin(radians(y + 5)))) / 1e6, 1) AS km2 FROM b""")
 def polygon_area(spark: SparkSession, d: str) -> DataFrame:
-    return _boxes(spark).select("name", r(geo.area_m2(F.col("geometry")) / 1e6, 1).alias("km2"))
+    return boxes(spark, d).select("name", r(geo.area_m2(F.col("geometry")) / 1e6, 1).alias("km2"))
 
 
-@query("""WITH b AS (SELECT i, -180 + (i % 18) * 20 + 0.05 AS x, -60 + (i // 18) * 40 + 0.05 AS y FROM range(0, 36) q(i)), g AS (SELECT a * 2.0 AS lon, c * 2.0 AS lat FROM range(-100, 100) p(a), range(-40, 40) o(c))
-    SELECT 'box' || i AS name, count(*) AS n FROM b, g WHERE lon > x AND lon < x + 20 AND lat > y AND lat < y + 30 AND NOT (lon > x + 5 AND lon < x + 8 AND lat > y + 5 AND lat < y + 9) GROUP BY 1""")
+@query(f"""WITH b AS (SELECT * FROM {_BOX}), g AS (SELECT a * 2.0 AS lon, c * 2.0 AS lat FROM range(-100, 100) p(a), range(-40, 40) o(c))
+    SELECT name, count(*) AS n FROM b, g WHERE lon > x AND lon < x + 20 AND lat > y AND lat < y + 30 AND NOT (lon > x + 5 AND lon < x + 8 AND lat > y + 5 AND lat < y + 9) GROUP BY 1""")
 def point_grid(spark: SparkSession, d: str) -> DataFrame:
-    return geo.point_grid(_boxes(spark), 2.0).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return geo.point_grid(boxes(spark, d), 2.0).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -627,25 +630,46 @@ def raster_blocks(spark: SparkSession, d: str) -> DataFrame:
     return raster.reduce_blocks(cells, 3, "sum").withColumn("value", r("value", 2))
 
 
-def _raster(spark: SparkSession) -> tuple[DataFrame, raster.Grid]:
-    cells = spark.range(120 * 360).select((F.col("id") / 360).cast("long").alias("row"), (F.col("id") % 360).alias("col"))
-    return cells.withColumn("value", F.when((F.col("row") + F.col("col")) % 11 != 0, (F.col("row") * 7 + F.col("col") * 3) % 101).cast("double")), raster.Grid(-180.0, 60.0, 1.0)
+def quantity_raster(spark: SparkSession, d: str) -> tuple[DataFrame, raster.Grid]:
+    """Cells of a degree with the quantities of the lines that fall in them, without data on every eleventh diagonal; some cells are absent."""
+    place = t(spark, d, "lineitem").groupBy((F.col("l_partkey") * 7 % 120).alias("row"), (F.col("l_orderkey") * 13 % 360).alias("col")).agg(F.sum("l_quantity").alias("value"))
+    return place.withColumn("value", F.when((F.col("row") + F.col("col")) % 11 != 0, F.col("value"))), raster.Grid(-180.0, 60.0, 1.0)
 
 
-_CELL = "(SELECT rr AS \"row\", cc AS col, CASE WHEN (rr + cc) % 11 <> 0 THEN CAST((rr * 7 + cc * 3) % 101 AS DOUBLE) END AS value FROM range(0, 120) a(rr), range(0, 360) b(cc))"
+_CELL = "(SELECT l_partkey * 7 % 120 AS \"row\", l_orderkey * 13 % 360 AS col, CASE WHEN (l_partkey * 7 % 120 + l_orderkey * 13 % 360) % 11 <> 0 THEN sum(l_quantity) END AS value FROM lineitem GROUP BY 1, 2)"
 
 
 @query(f"SELECT c_custkey AS id, value FROM (SELECT c_custkey, CAST(floor({LON} + 180) AS BIGINT) AS col, CAST(floor(60 - ({LAT})) AS BIGINT) AS \"row\" FROM customer) LEFT JOIN {_CELL} USING (\"row\", col)")
 def raster_sample(spark: SparkSession, d: str) -> DataFrame:
-    cells, grid = _raster(spark)
+    cells, grid = quantity_raster(spark, d)
     return raster.sample(places(spark, d), cells, grid).select("id", "value")
 
 
-@query(f"""WITH z AS (SELECT *, -180 + col + 0.5 AS lon, 60 - "row" - 0.5 AS lat FROM {_CELL}) SELECT name, count(*) AS cells, count(*) FILTER (WHERE value IS NULL) AS no_data, sum(value) AS total, median(value) AS median, round(stddev_pop(value), 4) AS deviation
+@query(f"""WITH g AS (SELECT rr AS "row", cc AS col, -180 + cc + 0.5 AS lon, 60 - rr - 0.5 AS lat FROM range(0, 120) a(rr), range(0, 360) b(cc)), c AS (SELECT "row", col, value, 1 AS there FROM {_CELL}), z AS (SELECT * FROM g LEFT JOIN c USING ("row", col))
+    SELECT name, count(value) AS cells, count(*) FILTER (WHERE there = 1 AND value IS NULL) AS no_data, count(*) FILTER (WHERE there IS NULL) AS outside, sum(value) AS total, median(value) AS median, round(stddev_pop(value), 4) AS deviation, count(*) FILTER (WHERE value > 0) AS populated
     FROM {_BOX}, z WHERE lon > x AND lon < x + 20 AND lat > y AND lat < y + 30 AND NOT (lon > x + 5 AND lon < x + 8 AND lat > y + 5 AND lat < y + 9) GROUP BY 1""")
 def raster_zonal(spark: SparkSession, d: str) -> DataFrame:
-    cells, grid = _raster(spark)
-    return raster.zonal(cells, _boxes(spark), grid).select("name", "cells", "no_data", "total", "median", r("deviation").alias("deviation"))
+    cells, grid = quantity_raster(spark, d)
+    return raster.zonal(cells, boxes(spark, d), grid).select("name", "cells", "no_data", "outside", "total", "median", r("deviation").alias("deviation"), "populated")
+
+
+@query(f"""SELECT DISTINCT "row", col, value FROM {_BOX}, {_CELL} WHERE -180 + col + 0.5 > x AND -180 + col + 0.5 < x + 20 AND 60 - "row" - 0.5 > y AND 60 - "row" - 0.5 < y + 30
+    AND NOT (-180 + col + 0.5 > x + 5 AND -180 + col + 0.5 < x + 8 AND 60 - "row" - 0.5 > y + 5 AND 60 - "row" - 0.5 < y + 9)""")
+def clipped_raster(spark: SparkSession, d: str) -> DataFrame:
+    cells, grid = quantity_raster(spark, d)
+    return raster.clip(cells, boxes(spark, d), grid)
+
+
+@query(f"""SELECT "row", col, value FROM {_CELL} WHERE "row" BETWEEN 20 AND 79 AND col BETWEEN 100 AND 219""")
+def geotiff_window(spark: SparkSession, d: str) -> DataFrame:
+    """The raster written as tiles of GeoTIFF in the shared folder, and a window of it read back; cells that the raster has not come as no data."""
+    cells, grid = quantity_raster(spark, d)
+    path = shared_path(spark, "geotiff")
+    geotiff.write_geotiff(cells, grid, path, block=64)
+    corner = geotiff.grid_of(path)
+    back = geotiff.read_geotiff(spark, path, west=-80.0, south=-20.0, east=40.0, north=40.0)
+    moved = back.select((F.col("row") + round((grid.north - corner.north) / grid.dy)).alias("row"), (F.col("col") + round((corner.west - grid.west) / grid.size)).alias("col"), "value")
+    return moved.join(cells.select("row", "col"), ["row", "col"], "left_semi")
 
 
 @query()
@@ -799,12 +823,12 @@ def sample_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT DISTINCT c_custkey AS id FROM {_BOX}, (SELECT c_custkey, {LON} AS lon, {LAT} AS lat FROM customer) WHERE lon > x AND lon < x + 20 AND lat > y AND lat < y + 30 AND NOT (lon > x + 5 AND lon < x + 8 AND lat > y + 5 AND lat < y + 9)")
 def clipped_points(spark: SparkSession, d: str) -> DataFrame:
-    return geo.clip_points(places(spark, d), _boxes(spark), cell=10.0).select("id")
+    return geo.clip_points(places(spark, d), boxes(spark, d), cell=10.0).select("id")
 
 
-@query("""WITH b AS (SELECT i, -60 + (i // 18) * 40 + 0.05 AS y FROM range(0, 36) q(i)) SELECT 'box' || i AS name, round(pow(6371008.8, 2) * radians(20) * (sin(radians(y + 30)) - sin(radians(y))) / 1e6, 1) AS km2 FROM b""")
+@query(f"""WITH b AS (SELECT * FROM {_BOX}) SELECT name, round(pow(6371008.8, 2) * radians(20) * (sin(radians(y + 30)) - sin(radians(y))) / 1e6, 1) AS km2 FROM b""")
 def filled_area(spark: SparkSession, d: str) -> DataFrame:
-    return _boxes(spark).select("name", r(geo.area_m2(geo.fill_gaps(F.col("geometry"))) / 1e6, 1).alias("km2"))
+    return boxes(spark, d).select("name", r(geo.area_m2(geo.fill_gaps(F.col("geometry"))) / 1e6, 1).alias("km2"))
 
 
 _TURN = "degrees(atan2(sin(radians(30 - lon)) * cos(radians(10)), cos(radians(lat)) * sin(radians(10)) - sin(radians(lat)) * cos(radians(10)) * cos(radians(30 - lon))))"
@@ -833,14 +857,14 @@ def travel_bands(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT "row", col, CASE WHEN (quality & 1) = 0 AND ((quality >> 2) & 1) = 1 THEN value END AS value FROM (SELECT *, ("row" * 5 + col) % 8 AS quality FROM {_CELL})""")
 def raster_quality(spark: SparkSession, d: str) -> DataFrame:
-    cells, _ = _raster(spark)
+    cells, _ = quantity_raster(spark, d)
     return raster.good_quality(cells.withColumn("quality", (F.col("row") * 5 + F.col("col")) % 8), "quality", {0: 0, 2: 1}).select("row", "col", "value")
 
 
 @query(f"""WITH x AS (SELECT 'a' AS raster, "row", col, value AS v FROM {_CELL} WHERE value IS NOT NULL UNION ALL SELECT 'b', "row", col, value * 2 FROM {_CELL} WHERE value IS NOT NULL), n AS (SELECT count(*) AS n FROM x), s AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM x),
     b AS (SELECT DISTINCT v AS b FROM s, n, range(1, 6) q(k) WHERE i = CAST(ceil(k * n / 5.0) AS BIGINT)), c AS (SELECT raster, least((SELECT count(*) FROM b WHERE b < v), (SELECT count(*) FROM b) - 1) AS class FROM x) SELECT raster, class, count(*) AS n FROM c GROUP BY 1, 2""")
 def pooled_classes(spark: SparkSession, d: str) -> DataFrame:
-    cells, _ = _raster(spark)
+    cells, _ = quantity_raster(spark, d)
     both = raster.pooled_classes({"a": cells, "b": cells.withColumn("value", F.col("value") * 2)})
     return both.groupBy("raster", F.col("class").cast("long").alias("class")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -27,15 +27,19 @@ def refuse_when(condition: Column, message: str | Column, value: Column) -> Colu
     return F.when(~F.coalesce(condition, F.lit(False)), value).otherwise(F.raise_error(text))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the folder that the cluster shares (``spark.checkpoint.dir``) and read again, which ends its lineage."""
-    spark: SparkSession = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); only where that is unset, one of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="tallygrove-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again, which ends its lineage."""
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
