@@ -1,7 +1,7 @@
 """Near-duplicate embeddings through a robust-pruned flat graph.
 
-Build. A bounded sample of the vectors (``SAMPLE``) gives cluster centres; every vector joins the shards of its ``HOMES``
-nearest centres, so shards overlap. A shard above ``BLOCK`` members is dealt into blocks by the hash of the id. In each
+Build. A bounded sample of the vectors (``SAMPLE``) gives cluster centres; every vector joins the shards of all centres that are
+not much farther than its nearest one, so shards overlap. A shard above ``BLOCK`` members is dealt into blocks by the hash of the id. In each
 block every vector takes its nearest members and some distant ones as candidates, robust pruning (``ALPHA``) keeps at most
 ``DEGREE`` of them in spread directions, and each edge is also laid the other way. The adjacency lists that a vector has
 from its shards are united into the flat graph.
@@ -13,16 +13,20 @@ precision is a link. A block returns one row a vector (number of links, and the
 connect it with), never pairs; links to members of other shards that will not find the query themselves are credited to
 them. Connected components are then joined over the blocks.
 
+No pair is lost between shards: let unit vectors u and v have the nearest centres a and b. If u is not in the shard of b and v not in
+that of a, then u.(a - b) and v.(b - a) are both above reach * |a - b|, so (u - v).(a - b) is above 2 * reach * |a - b|; but
+|u - v| is at most the chord of ``least``, which with reach = chord / 2 is a contradiction. On clustered vectors a vector has few
+such shards, on isotropic ones many; so the number of centres is the one for which, by the sample, the fewest rows move.
+
 Copies of one vector (equal components) are one node with a weight, so no block gathers them. Blocks of a shard that was
 dealt are all searched, by blocks of its queries, so a hot shard becomes many tasks of bounded size.
 
-A linked pair is found if the nearest centre of one is a home of the other, which gets rarer with more centres; so the
-homes grow with them (``homes_for``). The audit compares, by brute force over all nodes, the number of links of a bounded
-sample of nodes with what was found; half of the sample are nodes with links. Its mean over the nodes that have links is
-``audited_recall`` (null if none has any); a link too many counts against it like a missing one.
+The audit takes a uniform sample of ``AUDITED`` nodes and counts all their links by brute force over all nodes. What was found is verified,
+so a node's number of links is right if and only if none is missing. ``audited_recall`` is the share of the sample's links that was found
+(null if it has none), ``audited_links`` their number.
 
-Defined cases: vectors that are null, zero or hold null or non-finite components, and those of another length than most,
-link with nothing and are classes of their own; rows without id are left out; of rows with one id the smallest usable
+Defined cases: vectors that are null, zero or hold null or non-finite components link with nothing and are classes of their
+own; vectors of different lengths are never compared; rows without id are left out; of rows with one id the smallest usable
 vector counts; an empty table gives an empty one; extra columns are ignored.
 """
 
@@ -34,19 +38,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.llm.common import components, forget, release_shuffles, stored
-from tallygrove.llm.vectors import matrix, one_per_id, unit_rows
+from tallygrove.llm.vectors import by_length, matrix, one_per_id, unit_rows
 
 LEAST, SLACK = 0.95, 0.05
 SAMPLE, MOST_CENTRES, HOMES, BLOCK, APART = 16384, 2048, 3, 2048, 0.85
 NEAR, FAR, DEGREE, ALPHA = 40, 8, 16, 1.2
 BEAM, MEDOIDS, BATCH = 24, 8, 256
-AUDITED = 256
+AUDITED = 2048
+SHARDS = 1 << 16  # numbers of shards for each length
+
+
+def reach_of(least: float) -> float:
+    """How much nearer, by the distance of two centres, the nearest may be before a vector leaves the other one's shard: half the chord of ``least``."""
+    return float(np.sqrt(max(0.0, 2 - 2 * least))) / 2 + 1e-9
 
 
-def homes_for(centres: int) -> int:
-    """Shards of a vector: 3 up to 64 centres, then one more each time their number doubles (8 at 2,048). On isotropic vectors in
-    64 dimensions, the worst case, these let 0.98 of the pairs at a cosine of 0.95 meet."""
-    return HOMES + max(0, (centres - 1).bit_length() - 6)
+def homes_of(unit: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each vector, and a matrix of the shards that it joins."""
+    near = unit @ centres.T
+    top = np.argmax(near, axis=1)
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * centres @ centres.T))
+    joins = near[np.arange(len(unit)), top][:, None] - near <= reach * apart[top]
+    joins[np.arange(len(unit)), top] = True
+    return top, joins
 
 
 def centres_of(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -69,6 +83,20 @@ def centres_of(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np
     return out[apart]
 
 
+def fewest_moved(sample: np.ndarray, n: int, block: int, reach: float) -> np.ndarray:
+    """Centres for n vectors: of several numbers of them, the one for which the fewest rows are to be moved, judged by the sample."""
+    most = max(1, min(MOST_CENTRES, -(-2 * HOMES * n // block), len(sample) // 8)) if n > block // 2 else 1
+    options = []
+    while True:
+        centres = centres_of(sample, most)
+        homes = float(homes_of(sample, centres, reach)[1].sum(axis=1).mean())
+        blocks = max(1.0, homes / len(centres) * n / block)  # of the index in a shard
+        options.append((n * homes * max(1.0, n / len(centres) / block) + n * blocks, len(options), centres))
+        if most == 1:
+            return min(options, key=lambda o: o[:2])[2]
+        most = max(1, most // 4)
+
+
 def robust_pruned(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (from, to) of one block: robust pruning of near and some distant members, and the reverse of each edge."""
     n = len(unit)
@@ -170,12 +198,12 @@ def smallest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
-def search_block(index: pa.Table, asked: pa.Table, shard: int, same: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_block(index: pa.Table, asked: pa.Table, shard: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """node, links, smallest linked node of one block of the index and one block of queries of the same shard."""
     nodes, unit = index["node"].to_numpy(), matrix(index["vec"])
     order = np.argsort(nodes)
     nodes, unit = nodes[order], unit[order]
-    weight, primary = index["copies"].to_numpy()[order], index["homes"].combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)[order, 0]
+    weight, primary = index["copies"].to_numpy()[order], index["primary"].to_numpy()[order]
     lists = index["neighbours"].combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
     source, target = np.repeat(np.argsort(order), sizes), lists.flatten().to_numpy()
@@ -186,7 +214,8 @@ def search_block(index: pa.Table, asked: pa.Table, shard: int, same: bool, least
     starts, heads = np.searchsorted(source[by], np.arange(len(nodes) + 1)), at[by]
 
     q_nodes, q_unit, q_weight = asked["node"].to_numpy(), matrix(asked["vec"]), asked["copies"].to_numpy()
-    q_homes = asked["homes"].combine_chunks().flatten().to_numpy().reshape(len(q_nodes), -1)
+    q_lists = asked["homes"].combine_chunks()
+    q_homes = np.sort(np.repeat(np.arange(len(q_nodes)), np.diff(q_lists.offsets.to_numpy())) * SHARDS + q_lists.flatten().to_numpy() % SHARDS)
     own = np.minimum(np.searchsorted(nodes, q_nodes), len(nodes) - 1)
     own = np.where(nodes[own] == q_nodes, own, -1)
     qs, vs = [], []
@@ -195,16 +224,17 @@ def search_block(index: pa.Table, asked: pa.Table, shard: int, same: bool, least
         qs.append(q + lo)
         vs.append(v)
     q, v = np.concatenate(qs), np.concatenate(vs)
-    if same and len(q):  # what one of two queries of this block found counts for both
+    if len(q):  # what one of two queries of this task found counts for both, where both are in the index
         n = len(nodes)
         as_query = np.full(n, -1)
         as_query[own[own >= 0]] = np.flatnonzero(own >= 0)
-        back = as_query[v] >= 0
+        back = (as_query[v] >= 0) & (own[q] >= 0)
         pairs = np.unique(np.concatenate([q * n + v, as_query[v[back]] * n + own[q[back]]]))
         q, v = pairs // n, pairs % n
     links = np.bincount(q, weight[v], minlength=len(q_nodes)).astype(np.int64)
     # a member of another shard, which will not meet this query in its own search
-    foreign = (primary[v] != shard) & (q_homes[q] != primary[v][:, None]).all(axis=1)
+    home = q * SHARDS + primary[v] % SHARDS
+    foreign = (primary[v] != shard) & (q_homes[np.minimum(np.searchsorted(q_homes, home), len(q_homes) - 1)] != home)
     credit = np.bincount(v[foreign], q_weight[q[foreign]], minlength=len(nodes)).astype(np.int64)
     everyone = np.unique(np.concatenate([nodes, q_nodes]))
     low = smallest_linked(len(everyone), np.searchsorted(everyone, q_nodes[q]), np.searchsorted(everyone, nodes[v]))
@@ -215,67 +245,73 @@ def search_block(index: pa.Table, asked: pa.Table, shard: int, same: bool, least
     return everyone[some], total[some], everyone[low[some]]
 
 
-def _assigned(nodes: DataFrame, centres: np.ndarray, homes: int) -> DataFrame:
-    sent = nodes.sparkSession.sparkContext.broadcast(centres)  # MOST_CENTRES vectors at most
+def _assigned(nodes: DataFrame, centres: dict[int, np.ndarray], reach: float) -> DataFrame:
+    sent = nodes.sparkSession.sparkContext.broadcast(centres)  # MOST_CENTRES vectors a length at most
 
     def assign(batches):
         for batch in batches:
-            unit = unit_rows(matrix(batch.column(1)))
-            if not len(unit):
-                continue
-            k = min(homes, len(sent.value))
-            best = np.argsort(-(unit @ sent.value.T), axis=1, kind="stable")[:, :k].astype(np.int32)
-            as_list = lambda x, t: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), t))
-            yield pa.record_batch([batch.column(0), as_list(unit, pa.float64()), batch.column(2), as_list(best, pa.int32())], names=["node", "vec", "copies", "homes"])
-
-    return nodes.select("node", "vec", "copies").mapInArrow(assign, "node long, vec array<double>, copies long, homes array<int>")
-
-
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = LEAST, block: int = BLOCK, homes: int | None = None) -> DataFrame:
-    """One row a vector: vec_id, n_links, component_id, kept, and audited_recall (the same number in each row)."""
+            for length, at, x in by_length(batch.column(1)):
+                unit = unit_rows(x)
+                known = sent.value.get(length, np.zeros((1, length)))
+                for lo in range(0, len(unit), 4096):
+                    u, some = unit[lo : lo + 4096], pa.array(at[lo : lo + 4096])
+                    top, joins = homes_of(u, known, reach)
+                    _, shard = np.nonzero(joins)
+                    as_list = lambda x, cuts, t: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, t))
+                    vec = as_list(u.ravel(), np.arange(len(u) + 1) * length, pa.float64())
+                    homes = as_list(length * SHARDS + shard, np.concatenate([[0], np.cumsum(joins.sum(axis=1))]), pa.int64())
+                    yield pa.record_batch([batch.column(0).take(some), vec, batch.column(2).take(some), homes, pa.array(length * SHARDS + top, pa.int64())], names=["node", "vec", "copies", "homes", "primary"])
+
+    return nodes.select("node", "vec", "copies").mapInArrow(assign, "node long, vec array<double>, copies long, homes array<long>, primary long")
+
+
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = LEAST, block: int = BLOCK, reach: float | None = None) -> DataFrame:
+    """One row a vector: vec_id, n_links, component_id, kept, and audited_recall and audited_links (the same numbers in each row)."""
     spark = vectors.sparkSession
+    reach = reach_of(least) if reach is None else reach
     every = one_per_id(vectors, vec_id, embedding)
     digest = F.when(F.col("vec").isNotNull(), F.md5(F.concat_ws(",", F.col("vec").cast("array<string>"))))
     every = stored(every.select("vec_id", "vec", digest.alias("digest")), "vectors")
     nodes = every.where("vec is not null").groupBy("digest").agg(F.min("vec_id").alias("node"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("copies"))
     nodes = stored(nodes, "nodes")
-    n = nodes.count()
-    if not n:
-        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("double").alias("audited_recall"))
-    drawn = nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // SAMPLE))) == 0).limit(SAMPLE).select("vec").collect()
-    drawn = drawn or nodes.limit(SAMPLE).select("vec").collect()
-    sample = unit_rows(np.array([r[0] for r in drawn]))
-    k = 1 if n <= block // 2 else min(MOST_CENTRES, -(-2 * (homes or HOMES) * n // block), max(1, len(sample) // 8))
-    centres = centres_of(sample, k)
-    assigned = stored(_assigned(nodes, centres, homes or homes_for(len(centres))), "assigned")
-
-    # members of each shard: one number a centre, which bounds what is broadcast
-    sizes = {r["shard"]: r["count"] for r in assigned.select(F.explode("homes").alias("shard")).groupBy("shard").count().collect()}
-    splits = F.broadcast(spark.createDataFrame([(s, -(-c // block)) for s, c in sizes.items()], "shard int, splits int"))
-    part = F.pmod(F.xxhash64("node", F.lit(17)), F.col("splits")).cast("int")
-    members = assigned.select("node", "vec", "copies", "homes", F.explode("homes").alias("shard")).join(splits, "shard").withColumn("i", part)
+    lengths = {r["size"]: r["count"] for r in nodes.groupBy(F.size("vec").alias("size")).count().collect()}  # a number a length
+    if not lengths:
+        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("double").alias("audited_recall"), F.lit(0).cast("long").alias("audited_links"))
+    centres = {}
+    for length, n in lengths.items():
+        if n > block // 2:  # fewer are one shard
+            own = nodes.where(F.size("vec") == length)
+            drawn = own.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // SAMPLE))) == 0).limit(SAMPLE).select("vec").collect()
+            centres[length] = fewest_moved(unit_rows(np.array([r[0] for r in drawn or own.limit(SAMPLE).select("vec").collect()])), n, block, reach)
+    assigned = stored(_assigned(nodes, centres, reach), "assigned")
+
+    # members and queries of each shard: a row a centre and length, which bounds what is broadcast
+    shards = assigned.select(F.explode("homes").alias("shard"), (F.col("shard") == F.col("primary")).cast("int").alias("own")).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("asked")).collect()
+    splits = F.broadcast(spark.createDataFrame([(r["shard"], -(-r["n"] // block), -(-r["asked"] // block)) for r in shards], "shard long, splits int, queries int"))
+    part = lambda count: F.pmod(F.xxhash64("node", F.lit(17)), F.col(count)).cast("int")
+    members = assigned.select("node", "vec", "copies", "primary", F.explode("homes").alias("shard")).join(splits, "shard").where("queries > 0").withColumn("i", part("splits"))
 
     def build(key, table):
         ids, unit = table["node"].to_numpy(), matrix(table["vec"])
         order = np.argsort(ids)
         ids, unit = ids[order], unit[order]
-        a, b = robust_pruned(unit, int(key[0].as_py()))
+        a, b = robust_pruned(unit, int(key[0].as_py()) % SHARDS)
         cuts = np.searchsorted(a, np.arange(len(ids) + 1)).astype(np.int32)
         return pa.table({"node": pa.array(ids), "neighbours": pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids[b], pa.int64()))})
 
     lists = members.select("shard", "i", "node", "vec").groupBy("shard", "i").applyInArrow(build, "node long, neighbours array<long>")
-    graph = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))  # at most ``homes`` lists a node
+    graph = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))  # a list a shard
     graph = stored(graph, "graph")
     release_shuffles(spark)
 
     def search(key, index, asked):
         node, links, low = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if index.num_rows and asked.num_rows:
-            node, links, low = search_block(index, asked, int(key[0].as_py()), key[1].as_py() == key[2].as_py(), least)
+            node, links, low = search_block(index, asked, int(key[0].as_py()), least)
         return pa.table({"node": pa.array(node, pa.int64()), "links": pa.array(links, pa.int64()), "low": pa.array(low, pa.int64())})
 
-    indexed = members.join(graph, "node").select("node", "vec", "copies", "homes", "neighbours", "shard", "i", F.explode(F.expr("sequence(0, splits - 1)")).alias("j"))
-    asked = assigned.withColumn("shard", F.col("homes")[0]).join(splits, "shard").select("node", "vec", "copies", "homes", "shard", F.explode(F.expr("sequence(0, splits - 1)")).alias("i"), part.alias("j"))
+    indexed = members.join(graph, "node").select("node", "vec", "copies", "primary", "neighbours", "shard", "i", F.explode(F.expr("sequence(0, queries - 1)")).alias("j"))
+    asked = assigned.withColumn("shard", F.col("primary")).join(splits, "shard").select("node", "vec", "copies", "homes", "shard", F.explode(F.expr("sequence(0, splits - 1)")).alias("i"), part("queries").alias("j"))
     asked = asked.toDF(*asked.columns)  # columns of its own, as both sides come from one table
     keys = ["shard", "i", "j"]
     found = stored(indexed.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "node long, links long, low long"), "found")
@@ -284,35 +320,35 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     joined = components(found.where("node <> low"), "node", "low")
     classes = nodes.select("digest", "node", "copies").join(links, "node", "left").join(joined, "node", "left")
     classes = stored(classes.select("digest", "node", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "classes")
-    recall = audit(nodes, classes, least)
+    recall, links_there = audit(nodes, classes, least)
     out = every.select("vec_id", "digest").join(classes.drop("copies"), "digest", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    out = stored(out.select("*", (F.col("vec_id") == F.col("component_id")).alias("kept"), F.lit(recall).cast("double").alias("audited_recall")), "embedding-classes")
+    told = [F.lit(recall).cast("double").alias("audited_recall"), F.lit(links_there).cast("long").alias("audited_links")]
+    out = stored(out.select("*", (F.col("vec_id") == F.col("component_id")).alias("kept"), *told), "embedding-classes")
     forget(every, nodes, assigned, graph, found, classes)
     return out
 
 
-def audit(nodes: DataFrame, classes: DataFrame, least: float = LEAST, sample: int = AUDITED) -> float | None:
-    """Agreement of the links of a bounded sample of nodes with brute force over all nodes: the mean over nodes with links of the
-    smaller number of links by the larger; None if no node of the sample has one."""
-    order = F.xxhash64("node", F.lit(3))
-    linked = nodes.join(classes.where("n_links > copies - 1").select("node"), "node")
-    drawn = {r[0]: r for d in (linked, nodes) for r in d.orderBy(order).limit(sample // 2).select("node", "vec", "copies").collect()}
-    drawn = [drawn[i] for i in sorted(drawn)]
-    ids, unit = np.array([r[0] for r in drawn]), unit_rows(np.array([r[1] for r in drawn]))
+def audit(nodes: DataFrame, classes: DataFrame, least: float = LEAST, sample: int = AUDITED) -> tuple[float | None, int]:
+    """Of the links that a uniform sample of nodes has by brute force over all nodes: the share that was found, and their number."""
+    drawn = nodes.orderBy(F.xxhash64("node", F.lit(3))).limit(sample).select("node", "vec", "copies").collect()
+    by: dict[int, list] = {}
+    for r in drawn:
+        by.setdefault(len(r["vec"]), []).append(r)
+    asked = {length: (np.array([r["node"] for r in some]), unit_rows(np.array([r["vec"] for r in some]))) for length, some in by.items()}
 
     def brute(batches):
-        total = np.zeros(len(ids), np.int64)
         for batch in batches:
-            node, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-            if len(node):
-                hits = (unit @ unit_rows(x).T >= least) & (ids[:, None] != node[None, :])
-                total += hits @ batch.column(2).to_numpy()
-        yield pa.record_batch([pa.array(ids), pa.array(total)], names=["node", "exact"])
+            node, copies = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for length, at, x in by_length(batch.column(1)):
+                if length in asked:
+                    ids, unit = asked[length]
+                    hits = (unit @ unit_rows(x).T >= least) & (ids[:, None] != node[at][None, :])
+                    yield pa.record_batch([pa.array(ids), pa.array(hits @ copies[at])], names=["node", "exact"])
 
     exact = nodes.select("node", "vec", "copies").mapInArrow(brute, "node long, exact long").groupBy("node").agg(F.sum("exact").alias("exact"))
-    own = {r[0]: r[2] - 1 for r in drawn}
+    own = {r["node"]: r["copies"] - 1 for r in drawn}
     rows = exact.join(classes, "node").select("node", "exact", "n_links").collect()  # at most ``sample`` rows
-    both = [(r["n_links"] - own[r["node"]], r["exact"]) for r in rows]
-    shares = [min(x) / max(x) for x in both if max(x) > 0]
-    return float(np.mean(shares)) if shares else None
+    there = sum(r["exact"] for r in rows)
+    found = sum(min(r["exact"], r["n_links"] - own[r["node"]]) for r in rows)
+    return (found / there if there else None), there

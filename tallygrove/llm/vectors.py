@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,19 +19,32 @@ def usable(vec: Column) -> Column:
 
 def one_per_id(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """vec_id long, vec array<double> (null where unusable). Of rows with the same id the smallest usable vector counts;
-    rows without id are left out, and vectors of another length than most are unusable."""
+    rows without id are left out. Vectors may differ in length; only those of one length are ever compared."""
     raw = F.col(f"`{embedding}`").cast("array<double>")
     d = df.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.when(usable(raw), raw).alias("vec")).where("vec_id is not null")
-    sizes = d.where("vec is not null").groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    size = sizes[0]["size"] if sizes else 0
-    return d.groupBy("vec_id").agg(F.min(F.when(F.size("vec") == size, F.col("vec"))).alias("vec"))
+    return d.groupBy("vec_id").agg(F.min("vec").alias("vec"))
 
 
-def matrix(column) -> np.ndarray:
-    """An Arrow column of equally long lists of doubles as rows of a matrix."""
+def by_length(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of an Arrow column of lists: each length, the places of its vectors, and those as rows of a matrix."""
+    column = _whole(column)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        if length:
+            yield int(length), at, matrix(column.take(pa.array(at)))
+
+
+def _whole(column):
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    return column
+
+
+def matrix(column) -> np.ndarray:
+    """An Arrow column of equally long lists of doubles as rows of a matrix."""
+    column = _whole(column)
     if not len(column):
         return np.zeros((0, 0))
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)

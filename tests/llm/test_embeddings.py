@@ -49,9 +49,9 @@ def test_links_and_components_are_those_of_brute_force(spark, block):
 
 
 def test_unusable_vectors_link_with_nothing(spark):
-    rows = [(1, [1, 0, 0]), (2, [2, 0, 0]), (3, None), (4, [0, 0, 0]), (5, [1, None, 0]), (6, [float("nan"), 1, 0]), (7, [float("inf"), 0, 0]), (8, [1, 0]), (2, [2, 0, 0]), (None, [1, 0, 0]), (9, [0, 1, 0])]
+    rows = [(1, [1, 0, 0]), (2, [2, 0, 0]), (3, None), (4, [0, 0, 0]), (5, [1, None, 0]), (6, [float("nan"), 1, 0]), (7, [float("inf"), 0, 0]), (8, [1, 0]), (2, [2, 0, 0]), (None, [1, 0, 0]), (9, [0, 1, 0]), (10, [0, 3])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(table(spark, rows)).collect()}
-    assert got == {1: (1, 1, True), 2: (1, 1, False), **{i: (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)}}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), **{i: (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10)}}
     assert embedding_dedup.near_duplicates(table(spark, [])).count() == 0
     assert embedding_dedup.near_duplicates(table(spark, [(1, None)])).collect()[0]["kept"]
 
@@ -96,21 +96,58 @@ def test_recall_on_unequal_lengths(spark):
     assert ann.audit(vectors, got) >= 0.9
 
 
-def test_homes_grow_with_the_centres_and_the_audit_is_null_without_links(spark):
-    assert [embedding_dedup.homes_for(k) for k in (1, 31, 64, 256, 2048)] == [3, 3, 3, 5, 8]
-    rng = np.random.default_rng(8)
-    got = embedding_dedup.near_duplicates(table(spark, list(enumerate(rng.normal(size=(50, 32)))))).collect()
-    assert all(r["audited_recall"] is None and r["kept"] and not r["n_links"] for r in got)
-    # many centres: small pairs in isotropic vectors, the hardest case
-    q = rng.normal(size=(1500, 32))
-    q /= np.linalg.norm(q, axis=1)[:, None]
+def isotropic(n, pairs, d, seed=8):
+    """n isotropic vectors, and a partner of the first ones at a cosine of 0.951 to 0.97."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    q = x[:pairs] / np.linalg.norm(x[:pairs], axis=1)[:, None]
     o = rng.normal(size=q.shape)
     o -= (o * q).sum(axis=1)[:, None] * q
-    v = 0.955 * q + np.sqrt(1 - 0.955**2) * o / np.linalg.norm(o, axis=1)[:, None]
-    rows = [(i, x) for i, x in enumerate(np.concatenate([q, v]))]
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(table(spark, rows), block=64).collect()}
-    assert sum(got[i + 1500]["component_id"] == i for i in range(1500)) >= 0.95 * 1500
-    assert got[0]["audited_recall"] >= 0.9
+    c = rng.uniform(0.951, 0.97, pairs)[:, None]
+    return np.concatenate([x, c * q + np.sqrt(1 - c**2) * o / np.linalg.norm(o, axis=1)[:, None]])
+
+
+@pytest.mark.parametrize("d", [32, 64])
+def test_no_pair_is_lost_on_isotropic_vectors(spark, d):
+    x = isotropic(6000, 1500, d)
+    rows = list(enumerate(x))
+    want = brute(rows)
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(table(spark, rows), block=256).collect()}
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == want
+    assert got[0]["audited_recall"] == 1.0 and got[0]["audited_links"] > 500
+
+
+def test_the_audit_drops_when_shards_do_not_overlap(spark, monkeypatch):
+    x = isotropic(4000, 1500, 64)
+    centres = embedding_dedup.unit_rows(x[:40])
+    monkeypatch.setattr(embedding_dedup, "fewest_moved", lambda *a: centres)
+    table_ = table(spark, list(enumerate(x)))
+    whole = embedding_dedup.near_duplicates(table_, block=512).first()
+    alone = embedding_dedup.near_duplicates(table_, block=512, reach=0.0).first()
+    assert whole["audited_recall"] == 1.0 and alone["audited_recall"] < 0.9
+
+
+def test_shards_hold_every_pair_by_construction():
+    rng = np.random.default_rng(4)
+    centres = embedding_dedup.unit_rows(rng.normal(size=(50, 8)))
+    x = isotropic(5000, 5000, 8)
+    u, v = embedding_dedup.unit_rows(x[:5000]), embedding_dedup.unit_rows(x[5000:])
+    reach = embedding_dedup.reach_of(0.95)
+    (a, in_u), (b, in_v) = embedding_dedup.homes_of(u, centres, reach), embedding_dedup.homes_of(v, centres, reach)
+    assert (in_u[np.arange(5000), b] | in_v[np.arange(5000), a]).all() and in_u.sum(axis=1).mean() < 12
+
+
+def test_vectors_are_compared_within_their_length(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6)) for i in range(40)] + [(100, [1, 0, 0]), (101, [1, 0.1, 0]), (102, [1, 0]), (103, [2, 0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(table(spark, rows)).collect()}
+    assert got[100] == (1, 100) and got[101] == (1, 100) and got[102] == (1, 102) and got[103] == (1, 102)
+
+
+def test_the_audit_is_null_without_links(spark):
+    rng = np.random.default_rng(8)
+    got = embedding_dedup.near_duplicates(table(spark, list(enumerate(rng.normal(size=(50, 32)))))).collect()
+    assert all(r["audited_recall"] is None and r["audited_links"] == 0 and r["kept"] and not r["n_links"] for r in got)
 
 
 def test_components_of_random_links(spark):
