@@ -2,7 +2,10 @@
 
 One hash function is one random projection, and its table is the array of the projected values in order. A query's bucket
 is a window of that array centred on the query's own value. Virtual rehashing widens all windows together, by the factor
-``GROW`` a round; a vector that lies in at least ``COLLIDE`` of the windows has collided often enough and is a candidate.
+``GROW`` a round: the arrays are walked from the old ends of the windows to the new ones, and each vector passed gets one more
+collision. A vector that has collided in at least ``COLLIDE`` of the arrays is a candidate (in more, where
+the last step brought more than are wanted). There are ``PER_DIMENSION`` arrays for each
+dimension, orthogonal directions in runs, since fewer lose neighbours in high dimensions.
 Rounds end once a block has ``SHARE`` of its vectors, ``FEWEST`` at least, and ``k`` more as candidates or the windows hold everything. Every
 candidate is verified by its inner product on the original vectors in double precision.
 
@@ -15,7 +18,7 @@ A class is dealt by the hash of the id into blocks of about ``BLOCK`` vectors an
 table, and copies of one vector spread over all blocks.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, neither as queries nor as
-candidates; so do vectors of another length than most; of rows with one id the smallest usable vector counts; ties go to
+candidates; a query is compared with the vectors of as many components; of rows with one id the smallest usable vector counts; ties go to
 the smaller id; fewer candidates than ``k`` give them all; an empty table or query set gives no row; extra columns are
 ignored.
 """
@@ -28,10 +31,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrove.llm.common import forget, stored
-from tallygrove.llm.vectors import matrix, one_per_id
+from tallygrove.llm.vectors import by_length, matrix, one_per_id
 
-PROJECTIONS, COLLIDE, SHARE, FEWEST = 96, 0.6, 0.2, 256
-FIRST, GROW = 0.6, 1.15  # half the first window in standard deviations of the projected values, and its factor a round
+PER_DIMENSION, FEWEST_ARRAYS, COLLIDE, SHARE, FEWEST = 3, 64, 0.6, 0.14, 256
+FIRST, GROW = 0.6, 1.08  # half the first window in standard deviations of the projected values, and its factor a round
 BLOCK, QUERIES = 4096, 2048
 CUTS, UNLIKE = (0.25, 0.5, 0.75, 0.9, 0.97), 1.02  # squares of lengths that differ by a smaller factor are one class
 
@@ -51,10 +54,8 @@ class Tables:
         rest = np.sqrt(np.maximum(0.0, longest**2 - np.einsum("ij,ij->i", vectors, vectors)))
         self.directions = projections(m, d + 1)
         values = (np.concatenate([vectors, rest[:, None]], axis=1) @ self.directions.T).T
-        order = np.argsort(values, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(values, order, 1)
-        self.rank = np.empty((m, n), np.uint16 if n < 1 << 16 else np.uint32)  # place of each vector in each array
-        np.put_along_axis(self.rank, order, np.arange(n, dtype=self.rank.dtype)[None, :], 1)
+        self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(values, self.order, 1)
         self.longest, self.n, self.m = longest, n, m
         self.spread = float(values.std(axis=1).mean()) or 1.0
         self.reach = float(np.abs(values).max()) + longest
@@ -65,17 +66,24 @@ class Tables:
         centres = (queries * scale[:, None]) @ self.directions[:, :-1].T
         least = int(np.ceil(COLLIDE * self.m))
         out: list[np.ndarray | None] = [None] * len(queries)
+        hits = np.zeros((len(queries), self.n), np.int16)
+        low = np.stack([np.searchsorted(v, c) for v, c in zip(self.sorted, centres.T, strict=True)])  # windows that hold nothing yet
+        high, row, flat = low.copy(), (np.arange(self.m) * self.n)[:, None], self.order.ravel()
         open_, width = np.arange(len(queries)), FIRST * self.spread
-        counter = np.uint8 if self.m < 256 else np.uint16
         while len(open_):
-            low = np.stack([np.searchsorted(v, c - width) for v, c in zip(self.sorted, centres[open_].T, strict=True)])
-            high = np.stack([np.searchsorted(v, c + width, side="right") for v, c in zip(self.sorted, centres[open_].T, strict=True)])
-            low, size = low.astype(self.rank.dtype), (high - low).astype(self.rank.dtype)
+            new_low = np.stack([np.searchsorted(v, c - width) for v, c in zip(self.sorted, centres[open_].T, strict=True)])
+            new_high = np.stack([np.searchsorted(v, c + width, side="right") for v, c in zip(self.sorted, centres[open_].T, strict=True)])
+            first, last = np.concatenate([new_low + row, high[:, open_] + row]), np.concatenate([low[:, open_] + row, new_high + row])
+            low[:, open_], high[:, open_] = new_low, new_high
             still = []
             for at, q in enumerate(open_):
-                inside = (self.rank - low[:, at, None]) < size[:, at, None]  # unsigned: a rank below the window wraps around
-                found = np.flatnonzero(inside.sum(axis=0, dtype=counter) >= least)
+                count = last[:, at] - first[:, at]
+                walked = np.repeat(first[:, at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                hits[q] += np.bincount(flat[walked], minlength=self.n).astype(np.int16)
+                found = np.flatnonzero(hits[q] >= least)
                 if len(found) >= wanted or width > 2 * self.reach:
+                    if len(found) > wanted:  # the last step was too long: the collision threshold rises
+                        found = found[hits[q, found] >= np.partition(hits[q, found], -wanted)[-wanted]]
                     out[q] = found
                 else:
                     still.append(q)
@@ -83,9 +91,9 @@ class Tables:
         return out
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, longest: float, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, longest: float, k: int, m: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query, candidate, score: each query's best k of one block."""
-    tables = Tables(vectors, longest, m)
+    tables = Tables(vectors, longest, m or max(FEWEST_ARRAYS, PER_DIMENSION * (vectors.shape[1] + 1)))
     wanted = min(len(ids), max(FEWEST, int(SHARE * len(ids))) + k + 1)
     out_q, out_v, out_s = [], [], []
     for q, query, found in zip(query_ids, queries, tables.candidates(queries, wanted), strict=True):
@@ -100,25 +108,30 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", m: int = PROJECTIONS, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", m: int | None = None, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each row that meets ``is_query`` (a condition on vec_id)."""
     every = stored(one_per_id(vectors, vec_id, embedding).where("vec is not null"), "vectors")
-    squares = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    every = every.withColumn("squares", squares)
-    cuts: list[float] = []
-    for x in every.approxQuantile("squares", list(CUTS), 0.005):
-        if not cuts or x > UNLIKE * cuts[-1]:
-            cuts.append(x)
-    length = F.lit(0)
-    for x in cuts:
-        length = length + (F.col("squares") > x).cast("int")
-    known = {r["length"]: r for r in every.groupBy(length.alias("length")).agg(F.count(F.lit(1)).alias("n"), F.max("squares").alias("squares")).collect()}  # a row a class
-    sizes = {c: -(-r["n"] // block) for c, r in known.items()}
-    first, blocks = {}, 0
-    for c, n in sizes.items():
-        first[c], blocks = blocks, blocks + n
-    chunks = -(-every.where(is_query).count() // query_block) or 1
-    longest_of = {first[c] + i: float(known[c]["squares"]) ** 0.5 for c, n in sizes.items() for i in range(n)}  # a number a block
+    every = every.withColumns({"squares": F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x), "size": F.size("vec")})
+    sizes = {r["size"]: r["count"] for r in every.groupBy("size").count().collect()}  # a number for each length of vectors
+    groups, blocks = [], 0  # classes: size, squares above, up to, first block, blocks, longest, chunks
+    for size, n in sorted(sizes.items()):
+        own = every.where(F.col("size") == size)
+        chunks = -(-own.where(is_query).count() // query_block)
+        if not chunks:
+            continue
+        cuts: list[float] = []
+        for x in own.approxQuantile("squares", list(CUTS), 0.005) if n > block else ():
+            if not cuts or x > UNLIKE * cuts[-1]:
+                cuts.append(x)
+        nth = F.lit(0)
+        for x in cuts:
+            nth = nth + (F.col("squares") > x).cast("int")
+        for r in own.groupBy(nth.alias("nth")).agg(F.count(F.lit(1)).alias("n"), F.max("squares").alias("most")).collect():  # a row a class
+            count = -(-r["n"] // block)
+            above, upto = cuts[r["nth"] - 1] if r["nth"] else -1.0, cuts[r["nth"]] if r["nth"] < len(cuts) else float("inf")
+            groups.append((size, above, upto, blocks, count, float(r["most"]) ** 0.5, chunks))
+            blocks += count
+    longest_of = {first + i: longest for _, _, _, first, count, longest, _ in groups for i in range(count)}  # a number a block
 
     def search(group, table, asked):
         q, v, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -127,9 +140,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
             q, v, s = search_block(table["vec_id"].to_numpy(), matrix(table["vec"]), asked["vec_id"].to_numpy(), matrix(asked["vec"]), longest, k, m)
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    by_class = lambda values: F.create_map(*[F.lit(x).cast("long") for pair in (values or {0: 1}).items() for x in pair])[length.cast("long")]
-    dealt = every.select("vec_id", "vec", (by_class(first) + F.pmod(F.xxhash64("vec_id"), by_class(sizes))).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    asked = every.where(is_query).select("vec_id", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, blocks - 1)).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"))
+    classes = F.broadcast(vectors.sparkSession.createDataFrame(groups, "c_size int, above double, upto double, first long, count int, longest double, chunks int"))  # a row a class
+    dealt = every.join(classes, (F.col("size") == F.col("c_size")) & (F.col("squares") > F.col("above")) & (F.col("squares") <= F.col("upto")))
+    dealt = dealt.select("vec_id", "vec", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("count"))).alias("block"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"))
+    asked = every.where(is_query).join(classes, F.col("size") == F.col("c_size"))
+    asked = asked.select("vec_id", "vec", F.explode(F.expr("sequence(first, first + count - 1)")).alias("block"), F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"))
     asked = asked.toDF(*asked.columns)  # columns of its own, as both sides come from one table
     found = dealt.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(search, "query_id long, vec_id long, score double")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -144,16 +159,19 @@ def audit(vectors: DataFrame, result: DataFrame, k: int = 20, sample: int = 200,
     asked = result.select("query_id").distinct().orderBy(F.xxhash64("query_id")).limit(sample).join(every, F.col("query_id") == F.col("vec_id")).select("query_id", "vec").collect()
     if not asked:
         return 1.0
-    ids, q = np.array([r[0] for r in asked]), np.array([r[1] for r in asked])
+    queries: dict[int, list] = {}
+    for r in asked:
+        queries.setdefault(len(r[1]), []).append(r)
 
     def brute(batches):
         for batch in batches:
-            v, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-            for i, scores in enumerate(q @ x.T):
-                scores = np.where(v == ids[i], -np.inf, scores)
-                best = np.lexsort((v, -scores))[:k]
-                best = best[scores[best] > -np.inf]
-                yield pa.record_batch([pa.array(np.full(len(best), ids[i])), pa.array(v[best]), pa.array(scores[best])], names=["query_id", "vec_id", "score"])
+            for length, at, x in by_length(batch.column(1)):
+                v = batch.column(0).to_numpy()[at]
+                for query, vec in queries.get(length, ()):
+                    scores = np.where(v == query, -np.inf, x @ np.array(vec))
+                    best = np.lexsort((v, -scores))[:k]
+                    best = best[scores[best] > -np.inf]
+                    yield pa.record_batch([pa.array(np.full(len(best), query)), pa.array(v[best]), pa.array(scores[best])], names=["query_id", "vec_id", "score"])
 
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     true = every.select("vec_id", "vec").mapInArrow(brute, "query_id long, vec_id long, score double").withColumn("rank", nth).where(F.col("rank") <= k)

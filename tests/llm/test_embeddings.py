@@ -96,6 +96,36 @@ def test_recall_on_unequal_lengths(spark):
     assert ann.audit(vectors, got) >= 0.9
 
 
+@pytest.mark.parametrize("d", [64, 128, 384])
+def test_recall_and_candidates_by_dimension(d):
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(4000, d))
+    tables = ann.Tables(x, float(np.sqrt((x**2).sum(axis=1).max())), max(ann.FEWEST_ARRAYS, ann.PER_DIMENSION * (d + 1)))
+    hit = verified = 0
+    for q, found in enumerate(tables.candidates(x[:40], int(ann.SHARE * 4000) + 21)):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(set(np.argsort(-score)[:20]) & set(found))
+        verified += len(found)
+    assert hit >= 0.9 * 40 * 20 and verified < 40 * 4000 / 4
+
+
+def test_recall_in_384_dimensions(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(12)
+    vectors = table(spark, list(enumerate(rng.normal(size=(3000, 384)))))
+    assert ann.audit(vectors, ann.nearest(vectors, F.col("vec_id") % 100 == 0)) >= 0.9
+
+
+def test_queries_meet_vectors_of_their_length(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1, 0]), (1, [2, 0]), (2, [0, 3]), (20, [1, 1, 1]), (21, [1, 2, 3]), (22, [5, 0, 0]), (23, [9, 9, 9, 9])]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(table(spark, rows), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 2.0), (0, 2, 2, 0.0), (20, 1, 21, 6.0), (20, 2, 22, 5.0)]
+
+
 def isotropic(n, pairs, d, seed=8):
     """n isotropic vectors, and a partner of the first ones at a cosine of 0.951 to 0.97."""
     rng = np.random.default_rng(seed)
