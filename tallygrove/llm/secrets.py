@@ -1,7 +1,9 @@
 """Secret scans with a recursive decoding worklist.
 
 Every text is scanned for three kinds of secret. Encoded parts (percent escapes, Unicode escapes, base64, and compressed
-bytes inside base64) are unwrapped into layers; each layer is scanned and unwrapped again until no new layer appears.
+bytes inside base64 or written as escapes, raw deflate included) are unwrapped into layers; each layer is scanned and unwrapped
+again until no new layer appears. Escapes are undone step by step for ``STEPS`` steps, and to their fixpoint in one pass, so
+escapes of escapes take time in proportion to the text, however deep.
 A layer remembers for each of its characters which characters of the original text it came from, so every find is
 reported as a span of the original; a layer already seen (same text from the same place) ends a cycle.
 
@@ -9,10 +11,11 @@ Each document is handled alone in one pass without a shuffle. Slices of a few MB
 and markers, so that most texts never reach the regular expressions.
 
 Defined cases: a missing text is empty; an empty text has no span; repeated documents get equal rows; spans count code
-points, end exclusive; an escape that isn't valid stays as written; base64 is read by line and over line breaks; bytes that
+points, end exclusive; an escape that isn't valid stays as written; base64 is read by line and over line breaks (lines of fewer
+than 16 characters where they are whole lines of 4 and more); bytes that
 are no UTF-8 are read as Latin-1, and with null bytes also as UTF-16; every member of compressed data is read, in overlapping
 pieces of ``MAX_LAYER`` bytes; what lies beyond ``MAX_READ`` bytes of one layer, or a run of base64 too long for a piece's
-overlap, is counted in ``n_unread``; extra columns are ignored.
+overlap, is counted in ``n_unread``, and ``redact`` replaces the part of the text that it stands for; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ import base64
 import bz2
 import hashlib
 import io
+import itertools
 import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pandas as pd
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 from tallygrove.llm.common import text_slices
 
 KINDS = ("assign", "access", "hex")
-MAX_LAYER, OVERLAP, MAX_READ, MOST_LEVELS = 1 << 24, 1 << 16, 1 << 30, 64
+MAX_LAYER, OVERLAP, MAX_READ, MOST_LEVELS, STEPS = 1 << 24, 1 << 16, 1 << 30, 64, 3
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
@@ -48,6 +53,16 @@ _BASE64 = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{1
 _BREAK = r"[\x20\t>]*(?:\r?\n|(?:\\r)?\\n)[\x20\t>]*"
 _LINES = tuple(re.compile(rf"{c}{{16,}}+(?:{_BREAK}{c}++(?=={{0,2}}[\"'`,;)\]}}<]*[\x20\t]*(?:[\r\n\\]|\Z)))+={{0,2}}") for c in ("[A-Za-z0-9+/]", "[A-Za-z0-9_-]"))
 _BREAKS = re.compile(_BREAK)
+_SHORT_LINES = re.compile(rf"(?:\A|(?<=\n))[\x20\t>]*[\"'`]?([A-Za-z0-9+/_-]{{4,}}+(?:{_BREAK}[A-Za-z0-9+/_-]++(?=={{0,2}}[\"'`,;)\]}}<]*[\x20\t]*(?:[\r\n\\]|\Z)))+={{0,2}})")
+_SHORT_BYTES = re.compile(rb"(?:\A|\n)[\x20\t>]*[\"'`]?[A-Za-z0-9+/_-]{4,}+[\x20\t>]*\r?\n[\x20\t>]*[A-Za-z0-9+/_-]++={0,2}[\"'`,;)\]}<]*[\x20\t]*(?:\r?\n|\Z)")
+#: One escape at the end of what has been read, and the beginnings of compressed data written in percent or backslash escapes.
+_LAST_ESCAPE = re.compile(r"(?:%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8}))\Z")
+_LONGEST = 10  # characters of an escape
+_PERCENT_DATA = re.compile(r"(?:(?i:%1f%8b|(?:%78|x)%(?:01|5e|9c|da)|%fd(?:7|%37)zXZ%00|(?:%28|\()%b5(?:%2f|/)%fd)|BZh[1-9]1AY(?:%26|&)SY)[!#-&(-~]*")
+_ESCAPED_DATA = re.compile(r"(?:\\x1f\\x8b|\\u001f\\u008b|x(?:\\x(?:01|9c|da)|\^)|\\xfd7zXZ\\(?:x00|0)|\(\\xb5/\\xfd|BZh[1-9]1AY&SY)(?:\\.|[\x20!#-&(-\[\]-~])*", re.ASCII)
+_ONE_BYTE = re.compile(r"\\(?:x([0-9A-Fa-f]{2})|u00([0-9A-Fa-f]{2})|(.))", re.DOTALL)
+#: The letters of one-byte escapes.
+_LETTERS = {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
 #: Without any of these a layer holds no secret and no further layer.
 _WORTH = re.compile(r"(?ai:passw|secret|token|api)|AKIA|[A-Za-z0-9+/_-]{16}|\\[uUx]|%[0-9A-Fa-f]{2}")
 
@@ -73,7 +88,8 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 class Layer:
     """A text and, for each character, the span of the original text it stands for."""
 
-    def __init__(self, text: str, lo=None, hi=None) -> None:
+    def __init__(self, text: str, lo=None, hi=None, steps: int = 0) -> None:
+        self.steps = steps  # of escapes undone since the text was last written otherwise
         self.text, self.lo, self.hi = text, lo, hi  # None: the original; numbers: all from one place; arrays: by character
 
     def span(self, start: int, end: int) -> tuple[int, int]:
@@ -109,7 +125,40 @@ class Layer:
         if not changed:
             return None
         text = "".join([*parts, self.text[at:]])
-        return Layer(text, own_lo, own_hi) if flat else Layer(text, np.concatenate([*lo, own_lo[at:]]), np.concatenate([*hi, own_hi[at:]]))
+        return Layer(text, own_lo, own_hi, self.steps + 1) if flat else Layer(text, np.concatenate([*lo, own_lo[at:]]), np.concatenate([*hi, own_hi[at:]]), self.steps + 1)
+
+    def resolved(self) -> Layer:
+        """The layer with its escapes undone until none is left, in one pass: what an escape stands for may end or begin another."""
+        n, s = len(self.text), self.text
+        chars: list[str] = []  # what has been read, with the first and last place that each character stands for
+        first: list[int] = []
+        last: list[int] = []
+        at = 0
+        while at < n:
+            if not any(c in "%\\" for c in chars[-_LONGEST:]):  # nothing is open: on to the next mark
+                marks = [p for p in (s.find("%", at), s.find("\\", at)) if p >= 0]
+                to = min(marks, default=n)
+                chars += s[at:to]
+                first += range(at, to)
+                last += range(at, to)
+                at = to
+                if at == n:
+                    break
+            chars.append(s[at])
+            first.append(at)
+            last.append(at)
+            at += 1
+            while chars[-1] in "0123456789abcdefABCDEF}" and (m := _LAST_ESCAPE.search("".join(chars[-_LONGEST:]))):
+                value, size = int(next(filter(None, m.groups())), 16), m.end() - m.start()
+                if value > 0x10FFFF:
+                    break
+                begin, end = first[-size], last[-1]
+                del chars[-size:], first[-size:], last[-size:]
+                chars.append("\ufffd" if 0xD800 <= value < 0xE000 else chr(value))
+                first.append(begin)
+                last.append(end)
+        lo, hi = (self.lo, self.hi) if isinstance(self.lo, int) else (np.array(first, np.int64), np.array(last, np.int64) + 1) if self.lo is None else (self.lo[first], self.hi[last])
+        return Layer("".join(chars), lo, hi, STEPS)
 
 
 def _percent(run: str) -> list[tuple[str, int]]:
@@ -154,6 +203,33 @@ class _Inflated(io.RawIOBase):
                 return len(out)
 
 
+class _Raw(_Inflated):
+    """The bytes of deflated data without a header."""
+
+    def __init__(self, source) -> None:
+        self.source, self.inflater, self.rest = source, zlib.decompressobj(-15), b""
+
+    def readinto(self, into) -> int:
+        while not self.inflater.eof:
+            data = self.rest or self.source.read1(1 << 16)
+            out = self.inflater.decompress(data, len(into))
+            self.rest = self.inflater.unconsumed_tail
+            if out or not data:
+                into[: len(out)] = out
+                return len(out)
+        return 0
+
+
+def _is_raw(data: bytes) -> bool:
+    """Whether bytes that begin nothing known inflate without a header: up to an end near theirs, or for 4096 bytes."""
+    inflater = zlib.decompressobj(-15)
+    try:
+        out = inflater.decompress(data[: 1 << 16], 4096)
+    except zlib.error:
+        return False
+    return len(out) >= 8 and (len(out) == 4096 or inflater.eof and len(inflater.unused_data) <= 8)
+
+
 def _opener(head: bytes):
     """What opens a stream that begins with these bytes, or None if it isn't compressed."""
     if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0:
@@ -184,7 +260,7 @@ def _unpacked(data: bytes) -> Iterator[bytes | None]:
     yield data
     chain, head = [], data[:6]
     for _ in range(MOST_LEVELS):
-        opener = _opener(head)
+        opener = _opener(head) or (_Raw if not chain and len(data) >= 8 and _is_raw(data) else None)
         if opener is None:
             return
         chain.append(opener)
@@ -256,9 +332,34 @@ def _runs(text: str) -> Iterator[tuple[int, int, str]]:
                     yield *span, "".join(text[x:y] for x, y in parts[a:b])
 
 
+def _short_runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """Base64 over whole lines of fewer than 16 characters."""
+    for m in _SHORT_LINES.finditer(text) if "\n" in text or "\\n" in text else ():
+        joined_ = _BREAKS.sub("", m[1])
+        if len(joined_) >= 16 and not all(len(x) >= 16 for x in _BREAKS.split(m[1])[:-1]):
+            yield m.start(1), m.end(1), joined_
+
+
+def _written(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """Start, end and bytes of compressed data that stand in percent or backslash escapes."""
+    if "%" in text:
+        for m in _PERCENT_DATA.finditer(text):
+            yield *m.span(), unquote_to_bytes(m.group())
+    if "\\x" in text or "\\u" in text:
+        for m in _ESCAPED_DATA.finditer(text):
+            byte = lambda e: chr(int(e[1] or e[2], 16)) if e[1] or e[2] else _LETTERS.get(e[3], e[3])
+            yield *m.span(), _ONE_BYTE.sub(byte, m.group()).encode("latin-1", "replace")
+
+
 def _blobs(text: str) -> Iterator[tuple[int, int, str | None]]:
     """Start, end and decoded text of base64 runs; None as text for what was left unread."""
-    for start, end, run in _runs(text):
+    for start, end, data in _written(text):
+        for nth, piece in enumerate(_unpacked(data)):
+            if piece is None:
+                yield start, end, None
+            elif nth:  # the escapes themselves are read elsewhere
+                yield from ((start, end, inside) for inside in _readings(piece) if _WORTH.search(inside))
+    for start, end, run in itertools.chain(_runs(text), _short_runs(text)):
         run = run.rstrip("=")
         if len(run) % 4 == 1:
             run = run[:-1]
@@ -274,17 +375,22 @@ def _blobs(text: str) -> Iterator[tuple[int, int, str | None]]:
 
 def unwrap(text: str) -> tuple[list[tuple[int, int, int]], int]:
     """Spans (start, kind number, end) in the original of secrets in all layers below the text, and how many layers were not read to their end."""
-    found, unread, seen = set(), 0, set()
+    found, unread = unwrapped(text)
+    return found, len(unread)
+
+
+def unwrapped(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """The same with the spans of what was not read to its end."""
+    found, unread, seen = set(), [], set()
 
     def below(layer: Layer) -> Iterator[Layer]:
-        nonlocal unread
-        if "%" in layer.text and (other := layer.rewritten(_PERCENT, _percent)):
-            yield other
-        if "\\" in layer.text and (other := layer.rewritten(_ESCAPE, _escapes)):
-            yield other
+        escaped = [layer.rewritten(p, f) if mark in layer.text and layer.steps < STEPS else None for mark, p, f in (("%", _PERCENT, _percent), ("\\", _ESCAPE, _escapes))]
+        yield from filter(None, escaped)
+        if not layer.steps and any(escaped):
+            yield layer.resolved()
         for start, end, inside in _blobs(layer.text):
             if inside is None:
-                unread += 1
+                unread.append(layer.span(start, end))
             else:
                 yield Layer(inside, *layer.span(start, end))
 
@@ -327,6 +433,9 @@ def flagged(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     coded = _long_runs(_IS_BASE64, data, offs, 16)
     whole = data.tobytes()
     low = whole.lower()
+    for m in _SHORT_BYTES.finditer(whole):
+        coded[int(np.searchsorted(offs, min(m.start() + 1, len(data) - 1), side="right")) - 1] = True
+        coded[int(np.searchsorted(offs, m.start(), side="right")) - 1] = True
     for words, rows, text in (((b"passw", b"secret", b"token", b"api"), plain, low), ((b"AKIA",), plain, whole), ((b"\\u", b"\\U", b"\\x", b"%"), coded, whole)):
         for w in words:
             at = text.find(w)
@@ -375,7 +484,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[redacted]") -> Dat
                 plain, coded = flagged(data, offs)
                 for i in np.flatnonzero(plain | coded):
                     t = column.iloc[lo + int(i)]
-                    spans = sorted({*(scan(t) if plain[i] else []), *(unwrap(t)[0] if coded[i] else [])})
+                    more, unread = unwrapped(t) if coded[i] else ([], [])
+                    spans = sorted({*(scan(t) if plain[i] else []), *more, *((a, 0, b) for a, b in unread)})  # what is unread is held back
                     parts, at, end = [], 0, -1
                     for s, _, e in spans:
                         if s >= end:

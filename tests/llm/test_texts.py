@@ -439,3 +439,64 @@ def test_secrets_in_layers_above_a_piece(monkeypatch):
                 assert {k for _, k, _ in found} == {1} and not unread
     monkeypatch.setattr(secrets, "MAX_READ", 1 << 20)
     assert secrets.unwrap(base64.b64encode(gzip.compress(filler)).decode())[1] == 1
+
+
+def test_escapes_of_escapes_take_time_in_proportion():
+    import time
+
+    for step, first in (("25", "%"), ("5cx", "\\x"), ("005cu", "\\u")):
+        for n in (100, 100_000 // len(step)):
+            last = {"25": "41", "5cx": "41", "005cu": "0041"}[step]  # the letter A, below n escapes
+            text = "password = " + first + step * n + last + "bcdefghijklmnop end"
+            began = time.perf_counter()
+            found, unread = secrets.unwrap(text)
+            assert (11 - 11, 0, len(text) - 4) in found and not unread, (step, n)
+            assert time.perf_counter() - began < 20
+    ends = "%4%31KIA" + "Q" * 20  # an escape that is complete only once the next one is undone
+    assert (0, 1, len(ends)) in secrets.unwrap(ends)[0]
+    assert secrets.unwrap("%C3%A9 " + "%41KIA" + "Q" * 16)[0] == [(7, 1, 29)]
+
+
+def test_secrets_in_compressed_bytes_written_as_escapes():
+    import bz2
+    import lzma
+
+    import zstandard
+
+    hidden = f"some words before {KEY} and after, some words before and after".encode()
+    for squeeze in (lambda b: gzip.compress(b, mtime=0), zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        data = squeeze(hidden)
+        percent = "".join(f"%{b:02X}" for b in data)
+        mixed = "".join(chr(b) if b < 128 and chr(b).isalnum() else f"%{b:02x}" for b in data)
+        slashes = "".join(f"\\x{b:02x}" for b in data)
+        for text in (percent, mixed, slashes, repr(data)[2:-1], "%25" .join(["", *percent.split("%")[1:]])):
+            found = secrets.unwrap(f"see '{text}' there")[0]
+            assert 1 in {k for _, k, _ in found} and all(5 <= a < b <= 5 + len(text) for a, k, b in found if k == 1), (squeeze, text[:30])
+
+
+def test_secrets_in_raw_deflate_and_short_lines(spark):
+    import textwrap
+
+    hidden = f"{KEY} with some words after it, and with some words after it".encode()
+    squeeze = zlib.compressobj(9, zlib.DEFLATED, -15)
+    raw = squeeze.compress(hidden) + squeeze.flush()
+    assert {k for _, k, _ in secrets.unwrap("x " + base64.b64encode(raw).decode())[0]} == {1}
+    assert {k for _, k, _ in secrets.unwrap(base64.b64encode(gzip.compress(raw)).decode())[0]} == {1}
+    coded = base64.b64encode(hidden).decode()
+    texts = ["Here:\n" + mark + ("\n" + mark).join(textwrap.wrap(coded, width)) + "\nbye now" for width in (4, 8, 12, 15) for mark in ("", "> ", "  ")]
+    texts += ["a list\nof short\nlines\nwithout\nanything\nhidden\nhere"]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts[:-1]):
+        assert [x.split(":")[0] for x in got[i].split(",")] == ["access"] and t[int(got[i].split(":")[1]) :][:4] == coded[:4], t
+    assert got[len(texts) - 1] == ""
+
+
+def test_redaction_holds_back_what_is_unread(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_READ", 1000)
+    blob = base64.b64encode(gzip.compress((prose(np.random.default_rng(1), 60_000) + KEY).encode(), mtime=0)).decode()
+    found, unread = secrets.unwrapped(f"before {blob} after")
+    assert not found and unread == [(7, 7 + len(blob))]
+    monkeypatch.undo()
+    monkeypatch.setattr(secrets, "MOST_LEVELS", 1)
+    twice = base64.b64encode(gzip.compress(gzip.compress(f"{KEY} ".encode() * 9))).decode()
+    assert secrets.unwrapped(f"before {twice} after") == ([], [(7, 7 + len(twice))])
