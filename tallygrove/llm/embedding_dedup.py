@@ -94,7 +94,7 @@ def fewest_moved(sample: np.ndarray, n: int, block: int, reach: float) -> np.nda
         options.append((n * homes * max(1.0, n / len(centres) / block) + n * blocks, len(options), centres))
         if most == 1:
             return min(options, key=lambda o: o[:2])[2]
-        most = max(1, most // 4)
+        most //= 2
 
 
 def robust_pruned(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,10 +102,11 @@ def robust_pruned(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(unit)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    unit = unit.astype(np.float32)  # edges only guide the search; links are verified in doubles
     cosine = unit @ unit.T
     np.fill_diagonal(cosine, -2.0)
     near = min(NEAR, n - 1)
-    found = np.argpartition(-cosine, near - 1, axis=1)[:, :near]
+    found = np.concatenate([np.argpartition(cosine[lo : lo + 256], n - near, axis=1)[:, n - near :] for lo in range(0, n, 256)])
     far = np.random.default_rng(seed).integers(0, n, (n, min(FAR, n - 1)))
     found = np.concatenate([found, far], axis=1)
     sims = np.take_along_axis(cosine, found, 1)
@@ -140,40 +141,37 @@ def medoids_of(unit: np.ndarray, k: int = MEDOIDS) -> np.ndarray:
     return np.array(chosen)
 
 
-def range_search(unit: np.ndarray, starts: np.ndarray, heads: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def range_search(unit: np.ndarray, starts: np.ndarray, heads: np.ndarray, entries: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) pairs within ``least`` met by greedy search and range expansion. starts, heads: the adjacency lists end
-    to end; own: the query's node, or -1."""
+    to end; entries: where searches begin; own: the query's node, or -1."""
     n, b = len(unit), len(queries)
     score = np.full(b * n, -np.inf)
-    followed = np.zeros(b * n, bool)
+    front = np.full(b * n, -np.inf)  # scores of nodes that are met and not yet followed
 
     def visit(flat: np.ndarray) -> None:
         flat = flat[score[flat] == -np.inf]
         if len(flat):
-            flat = np.unique(flat)
-            score[flat] = np.einsum("ij,ij->i", queries[flat // n], unit[flat % n])
+            score[flat] = front[flat] = np.einsum("ij,ij->i", queries[flat // n], unit[flat % n])
 
     def follow(flat: np.ndarray) -> None:
-        followed[flat] = True
+        front[flat] = -np.inf
         node = flat % n
         count = starts[node + 1] - starts[node]
         place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts[node], count)
         visit(np.repeat(flat - node, count) + heads[place])
 
-    entries = medoids_of(unit)
     visit((np.arange(b)[:, None] * n + entries[None, :]).ravel())
     with_own = np.flatnonzero(own >= 0)
     visit(with_own * n + own[with_own])
-    row = np.arange(b)
+    row, by_query = np.arange(b), front.reshape(b, n)
     for _ in range(min(BEAM, n)):
-        best = np.argmax(np.where(followed, -np.inf, score).reshape(b, n), axis=1)
-        flat = row * n + best
-        flat = flat[(score[flat] > -np.inf) & ~followed[flat]]
+        flat = row * n + np.argmax(by_query, axis=1)
+        flat = flat[front[flat] > -np.inf]
         if not len(flat):
             break
         follow(flat)
     while True:
-        flat = np.flatnonzero((score >= least - SLACK) & ~followed)
+        flat = np.flatnonzero(front >= least - SLACK)
         if not len(flat):
             break
         for lo in range(0, len(flat), 1 << 16):
@@ -218,9 +216,9 @@ def search_block(index: pa.Table, asked: pa.Table, shard: int, least: float) ->
     q_homes = np.sort(np.repeat(np.arange(len(q_nodes)), np.diff(q_lists.offsets.to_numpy())) * SHARDS + q_lists.flatten().to_numpy() % SHARDS)
     own = np.minimum(np.searchsorted(nodes, q_nodes), len(nodes) - 1)
     own = np.where(nodes[own] == q_nodes, own, -1)
-    qs, vs = [], []
+    qs, vs, entries = [], [], medoids_of(unit)
     for lo in range(0, len(q_nodes), BATCH):
-        q, v = range_search(unit, starts, heads, q_unit[lo : lo + BATCH], own[lo : lo + BATCH], least)
+        q, v = range_search(unit, starts, heads, entries, q_unit[lo : lo + BATCH], own[lo : lo + BATCH], least)
         qs.append(q + lo)
         vs.append(v)
     q, v = np.concatenate(qs), np.concatenate(vs)

@@ -58,8 +58,20 @@ _SHORT_BYTES = re.compile(rb"(?:\A|\n)[\x20\t>]*[\"'`]?[A-Za-z0-9+/_-]{4,}+[\x20
 #: One escape at the end of what has been read, and the beginnings of compressed data written in percent or backslash escapes.
 _LAST_ESCAPE = re.compile(r"(?:%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8}))\Z")
 _LONGEST = 10  # characters of an escape
-_PERCENT_DATA = re.compile(r"(?:(?i:%1f%8b|(?:%78|x)%(?:01|5e|9c|da)|%fd(?:7|%37)zXZ%00|(?:%28|\()%b5(?:%2f|/)%fd)|BZh[1-9]1AY(?:%26|&)SY)[!#-&(-~]*")
-_ESCAPED_DATA = re.compile(r"(?:\\x1f\\x8b|\\u001f\\u008b|x(?:\\x(?:01|9c|da)|\^)|\\xfd7zXZ\\(?:x00|0)|\(\\xb5/\\xfd|BZh[1-9]1AY&SY)(?:\\.|[\x20!#-&(-\[\]-~])*", re.ASCII)
+#: How gzip, zlib, bzip2, xz and zstd data begin.
+_MAGIC = (b"\x1f\x8b", b"x\x01", b"x^", b"x\x9c", b"x\xda", b"BZh", b"\xfd7zXZ\x00", b"(\xb5/\xfd")
+
+
+def _begins(*escapes: str) -> str:
+    """A pattern for these beginnings with each byte as itself or escaped; the second of two is escaped."""
+    own = lambda b: [re.escape(chr(b))] if 32 < b < 127 else []
+    escaped = lambda b: "(?i:" + "|".join(e.format(b) for e in (*escapes, *([r"\\0"] if b == 0 and "x" in escapes[0] else []))) + ")"
+    either = lambda b: "(?:" + "|".join([*own(b), escaped(b)]) + ")"
+    return "|".join("".join(map(either, m)) if len(m) > 2 else either(m[0]) + escaped(m[1]) for m in _MAGIC)
+
+
+_PERCENT_DATA = re.compile(f"(?:{_begins('%{:02x}')})[!#-&(-~]*")
+_ESCAPED_DATA = re.compile(rf"(?:{_begins(chr(92) * 2 + 'x{:02x}', chr(92) * 2 + 'u00{:02x}')})(?:\\.|[\x20-\[\]-~])*", re.ASCII)
 _ONE_BYTE = re.compile(r"\\(?:x([0-9A-Fa-f]{2})|u00([0-9A-Fa-f]{2})|(.))", re.DOTALL)
 #: The letters of one-byte escapes.
 _LETTERS = {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
@@ -348,7 +360,9 @@ def _written(text: str) -> Iterator[tuple[int, int, bytes]]:
     if "\\x" in text or "\\u" in text:
         for m in _ESCAPED_DATA.finditer(text):
             byte = lambda e: chr(int(e[1] or e[2], 16)) if e[1] or e[2] else _LETTERS.get(e[3], e[3])
-            yield *m.span(), _ONE_BYTE.sub(byte, m.group()).encode("latin-1", "replace")
+            quote = text[m.start() - 1 : m.start()]  # what is quoted ends with the same mark, else with either
+            part = re.match(rf"(?:\\.|[^\\{quote if quote in ('"', "'") else '"' + "'"}])*", m.group(), re.DOTALL).group()
+            yield m.start(), m.start() + len(part), _ONE_BYTE.sub(byte, part).encode("latin-1", "replace")
 
 
 def _blobs(text: str) -> Iterator[tuple[int, int, str | None]]:
