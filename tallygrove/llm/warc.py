@@ -6,6 +6,10 @@ conversion record (``text/plain``: the page's text). Both name the response in `
 and HTTP headers, and carry digests of the source payload and of their own block. Everything is a projection: no
 shuffle, no Python, and a lost task is simply run again with the same ids (ids are name-based, from a SHA-256).
 
+Nothing in a page can write a line of a record's header or fields: control characters and spaces in a target URI are
+percent-encoded, in a title (after entities are resolved) and in a source header they become a space, folded source headers
+become one line, blank ones are left out and those without a name are called unnamed; record ids lose control characters; a date that is no UTC time of ISO 8601 is left out.
+
 Defined cases: a missing payload is an empty one (its conversion block is empty); a missing URI leaves the header out;
 repeated responses give repeated derivatives with equal ids; an unclosed script, style or comment ends at the end of the
 page; extra columns are ignored. Numeric entities and those of ``ENTITIES`` are resolved, others stay as written.
@@ -30,6 +34,30 @@ LINES = r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|f
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 
 
+CONTROL = r"[\x00-\x1F\x7F\x{85}\x{2028}\x{2029}]"
+DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,9})?Z\z"
+
+NAMED = r"^([A-Za-z0-9!#$%&'*+.^_`|~-]+):[ ]*"
+
+
+def on_one_line(text: Column) -> Column:
+    """Text without control characters and line ends: each run of them is a space, none at either end."""
+    return F.trim(F.regexp_replace(text, CONTROL + "+", " "))
+
+
+def encoded_uri(uri: Column) -> Column:
+    """A URI whose spaces, control characters and line ends are percent-encoded."""
+    bad = r"[\x00-\x20\x7F\x{85}\x{2028}\x{2029}]"
+    byte = lambda c: F.regexp_replace(F.hex(c.cast("binary")), "(..)", "%$1")
+    return F.when(uri.rlike(bad), F.array_join(F.transform(F.split(uri, ""), lambda c: F.when(c.rlike(bad), byte(c)).otherwise(c)), "")).otherwise(uri)
+
+
+def header_lines(headers: Column) -> Column:
+    """Source headers as an array of single lines: folded lines joined, blank ones left out."""
+    lines = F.split(F.regexp_replace(headers, r"\r?\n[ \t]+", " "), r"\r\n|\r|\n")
+    return F.filter(F.transform(lines, on_one_line), lambda x: x != "")
+
+
 def _entities(text: Column) -> Column:
     """Named and numeric entities resolved once, from left to right; others stay as written. ``text`` is to be a column: it is read more than once."""
     names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
@@ -72,14 +100,22 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
+def _date(date: str | Column) -> Column:
+    if not isinstance(date, Column):
+        return F.lit(date)
+    return F.when(date.cast("string").rlike(DATE), date.cast("string")).otherwise(F.date_format(F.to_utc_timestamp(F.try_to_timestamp(date.cast("string")), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
 def responses_from_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: str | Column = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Raw pages as response records (page_id, record_id, target_uri, warc_date, http_headers, payload)."""
+    """Raw pages as response records (page_id, record_id, target_uri, warc_date, http_headers, payload).
+
+    ``date`` is a column of the pages (a timestamp, or text of ISO 8601 in UTC), or one time for all where the pages have none."""
     payload = F.coalesce(F.col(f"`{html}`"), F.lit(""))
     crlf = "\r\n"
     return pages.select(
         F.col(f"`{page_id}`").alias("page_id"),
         record_id(F.lit("response"), F.col(f"`{page_id}`"), F.col(f"`{url}`")).alias("record_id"),
-        F.col(f"`{url}`").alias("target_uri"), (date if isinstance(date, Column) else F.lit(date)).alias("warc_date"),
+        F.col(f"`{url}`").alias("target_uri"), _date(date).alias("warc_date"),
         F.concat(F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "), F.octet_length(payload).cast("string"), F.lit(crlf)).alias("http_headers"),
         payload.alias("payload"),
     )
@@ -91,14 +127,18 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFr
     crlf = "\r\n"
     payload = F.coalesce(F.col("payload"), F.lit(""))
     base = responses.select(*keep, "record_id", "target_uri", "warc_date", F.coalesce("http_headers", F.lit("")).alias("source_headers"), payload.alias("payload"))
+    plain = lambda c: F.regexp_replace(c, CONTROL, "")
+    base = base.withColumns({"record_id": plain("record_id"), "target_uri": encoded_uri(F.col("target_uri")), "warc_date": F.when(F.col("warc_date").rlike(DATE), F.col("warc_date")), "_lines": header_lines(F.col("source_headers"))})
     base = base.withColumn("source_digest", digest(F.col("payload")))
     # columns of their own: resolving entities reads a text more than once, and must not strip the page as often
     base = base.withColumns({"_title": F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"\s+", " "), "_text": untagged(F.col("payload"))})
-    title = _tidy(F.col("_title"))
+    title = on_one_line(_tidy(F.col("_title")))
+    named = lambda line: F.when(line.rlike(NAMED), F.concat(F.lit("source-http-"), F.regexp_replace(line, NAMED, "$1: "))).otherwise(F.concat(F.lit("source-http-unnamed: "), line))
+    told = F.transform("_lines", lambda line, i: F.concat(F.when(i == 0, F.concat(F.lit("source-http-status: "), line)).otherwise(named(line)), F.lit(crlf)))
     fields = F.concat(
         F.lit("title: "), title, F.lit(f"{crlf}source-content-length: "), F.octet_length("payload").cast("string"),
         F.lit(f"{crlf}source-digest: "), F.col("source_digest"), F.lit(crlf),
-        F.when(F.col("source_headers") == "", F.lit("")).otherwise(F.concat(F.lit("source-http-status: "), F.regexp_replace("source_headers", r"\n([^\r\n])", "\nsource-http-$1"))),
+        F.array_join(told, ""),
     )
     made = [F.struct(F.lit(kind).alias("warc_type"), F.lit(mime).alias("content_type"), block.alias("block")) for kind, mime, block in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", _tidy(F.col("_text"))))]
     rows = base.select("*", F.explode(F.array(*made)).alias("made")).select("*", "made.warc_type", "made.content_type", "made.block")
@@ -109,7 +149,7 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFr
         F.concat(F.lit("WARC-Refers-To: "), F.col("refers_to")), F.concat(F.lit("WARC-Target-URI: "), F.col("target_uri")),
         F.concat(F.lit("WARC-Date: "), F.col("warc_date")), F.concat(F.lit("WARC-Block-Digest: "), F.col("block_digest")),
         F.concat(F.lit("X-Source-Payload-Digest: "), F.col("source_digest")),
-        F.when(F.col("source_headers") != "", F.concat(F.lit("X-Source-HTTP-Headers: "), F.regexp_replace(F.regexp_replace("source_headers", r"\r\n\z", ""), r"\r\n", "; "))),
+        F.when(F.size("_lines") > 0, F.concat(F.lit("X-Source-HTTP-Headers: "), F.array_join("_lines", "; "))),
         F.concat(F.lit("Content-Type: "), F.col("content_type")), F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")),
     )
     return rows.select(*keep, "warc_type", "record_id", "refers_to", "target_uri", "source_headers", "source_digest", "content_type", "content_length", "block_digest", header.alias("warc_header"), "block")
@@ -152,10 +192,11 @@ def _sql_id(*parts: str) -> str:
 
 
 _CRLF = "chr(13) || chr(10)"
-_TITLE_SQL = _sql_tidy(f"regexp_replace(regexp_extract(payload, '{TITLE}', 1), '\\s+', ' ', 'g')")
+_TITLE_SQL = f"trim(regexp_replace({_sql_tidy(f"regexp_replace(regexp_extract(payload, '{TITLE}', 1), '\\s+', ' ', 'g')")}, '{CONTROL}+', ' ', 'g'))"
+_URI_SQL = r"CASE WHEN regexp_matches(url, '[\x00-\x20\x7F]') THEN array_to_string(list_transform(string_split(url, ''), lambda c: CASE WHEN regexp_matches(c, '[\x00-\x20\x7F]') THEN '%' || hex(encode(c)) ELSE c END), '') ELSE url END"
 ORACLE_SQL = f"""
 WITH responses AS (
-  SELECT page_id, {_sql_id("'response'", "page_id", "url")} AS refers_to, url AS target_uri,
+  SELECT page_id, {_sql_id("'response'", "page_id", "url")} AS refers_to, {_URI_SQL} AS target_uri,
     'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: ' || strlen(coalesce(html, '')) || {_CRLF} AS source_headers,
     coalesce(html, '') AS payload, 'sha256:' || sha256(coalesce(html, '')) AS source_digest
   FROM pages),

@@ -1,5 +1,6 @@
 """WARC derivatives, mixing and chat rotation against DuckDB; the pipeline against its stages."""
 
+import re
 import zlib
 
 import corpus_pipeline
@@ -43,6 +44,59 @@ def test_warc_files_hold_the_records(spark, tmp_path):
     assert text.count("WARC/1.1\r\n") == 2 and "Content-Length: 2\r\n\r\nü\r\n\r\n" in text
 
 
+def strict(record):
+    """Header and fields of a record, by a reader that takes every line end for one and every line to be `name: value`."""
+    first, *lines = re.split("\r\n|[\r\n\x0b\x0c\x85\u2028\u2029]", record["warc_header"])
+    assert first == "WARC/1.1"
+    fields = [tuple(x.split(": ", 1)) for x in lines]
+    assert all(len(f) == 2 and re.fullmatch("[A-Za-z-]+", f[0]) for f in fields) and len({n for n, _ in fields}) == len(fields)
+    inner = []
+    if record["warc_type"] == "metadata":
+        *own, last = re.split("\r\n|[\r\n\x0b\x0c\x85\u2028\u2029]", record["block"])
+        assert last == ""
+        inner = [tuple(x.split(": ", 1)) for x in own]
+        assert all(len(f) == 2 and re.fullmatch("[A-Za-z0-9-]+", f[0]) for f in inner), inner
+    return dict(fields), dict(inner)
+
+
+EVIL = "\r\nWARC-Type: request\nContent-Length: 0\r\n\r\nWARC/1.1"
+
+
+def test_no_page_writes_a_line_of_its_own(spark):
+    entities = "T&#13;&#10;source-digest: sha256:forged&#10;x&#x0b;y&#x85;z&#8232;end"
+    rows = [(1, "http://a/b c" + EVIL + "\t\u2028", f"<title>{entities}</title><p>body</p>"), (2, "http://ok/", "<title>a\r\nb</title>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = warc.derive(warc.responses_from_pages(pages)).collect()
+    want = {"WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "WARC-Block-Digest", "X-Source-Payload-Digest", "X-Source-HTTP-Headers", "Content-Type", "Content-Length"}
+    for r in made:
+        fields, inner = strict(r)
+        assert set(fields) == want and fields["WARC-Type"] == r["warc_type"] and not re.search(r"[\x00-\x20\u2028]", fields["WARC-Target-URI"])
+        if r["warc_type"] == "metadata":
+            assert inner["source-digest"] == r["source_digest"] and inner["title"] == ("T source-digest: sha256:forged x y z end" if r["page_id"] == 1 else "a b")
+    assert made[0]["target_uri"].startswith("http://a/b%20c%0D%0AWARC-Type:%20request%0A") and made[0]["target_uri"].endswith("%09%E2%80%A8")
+
+
+def test_source_headers_become_single_lines(spark):
+    headers = "HTTP/1.1 200 OK\nX-A: one\n two\r\n\tthree\r\n\r\nX-B: \x00b" + chr(0x2028) + "c\rX-C: d" + EVIL
+    responses = spark.createDataFrame(
+        [(1, "<urn:x>\r\nX: y", "http://a/", "2024-05-06T07:08:09Z", headers, "p"), (2, "<urn:y>", None, "yesterday\r\nX: y", None, None), (3, "<urn:z>", "u", None, "", "p")],
+        "page_id long, record_id string, target_uri string, warc_date string, http_headers string, payload string",
+    )
+    made = {(r["page_id"], r["warc_type"]): strict(r) for r in warc.derive(responses).collect()}
+    fields, inner = made[1, "metadata"]
+    assert inner["source-http-status"] == "HTTP/1.1 200 OK" and inner["source-http-X-A"] == "one two three" and inner["source-http-X-B"] == "b c" and inner["source-http-X-C"] == "d"
+    assert fields["WARC-Date"] == "2024-05-06T07:08:09Z" and fields["WARC-Refers-To"] == "<urn:x>X: y" and "source-http-WARC-Type" in inner
+    assert "WARC-Date" not in made[2, "metadata"][0] and "WARC-Target-URI" not in made[2, "metadata"][0] and "X-Source-HTTP-Headers" not in made[3, "conversion"][0]
+
+
+def test_dates_come_from_a_column(spark):
+    pages = spark.createDataFrame([(1, "u", "p", "2024-02-03 04:05:06"), (2, "u", "p", "2024-02-03T04:05:06Z"), (3, "u", "p", None), (4, "u", "p", "soon")], "page_id long, url string, html string, seen string")
+    got = {r["page_id"]: r["warc_date"] for r in warc.responses_from_pages(pages, date=F.col("seen")).collect()}
+    assert got == {1: "2024-02-03T04:05:06Z", 2: "2024-02-03T04:05:06Z", 3: None, 4: None}
+    stamps = pages.where("page_id = 1").withColumn("seen", F.to_timestamp("seen"))
+    assert warc.responses_from_pages(stamps, date=F.col("seen")).first()["warc_date"] == "2024-02-03T04:05:06Z"
+
+
 def test_raking_meets_its_targets(spark):
     cells = spark.createDataFrame([(s, l, t, 10 * i + 5) for i, (s, l, t) in enumerate((s, l, t) for s in "abc" for l in ("en", "de") for t in ("x", "y"))], "mix_source string, mix_lang string, mix_topic string, tokens long")
     targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2, "absent": 0.4}, "lang": {"en": 0.4, "de": 0.6}, "topic": {"x": 0.7, "y": 0.3}}
