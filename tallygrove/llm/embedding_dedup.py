@@ -7,7 +7,7 @@ block every vector takes its nearest members and some distant ones as candidates
 from its shards are united into the flat graph.
 
 Search. Every vector is a query in the shard of its nearest centre: a greedy search over the flat graph starts from the
-block's medoids and the query's own node and follows the best ``BEAM`` nodes; after that its range expands, as long as
+block's medoids and the query's own node and follows the best ``BEAM`` nodes (more in high dimensions); after that its range expands, as long as
 nodes within ``least - SLACK`` that have not been followed are left. What lies within ``least`` by cosine in double
 precision is a link. A block returns one row a vector (number of links, and the smallest vector that the block's links
 connect it with), never pairs; links to members of other shards that will not find the query themselves are credited to
@@ -43,7 +43,7 @@ from tallygrove.llm.vectors import by_length, matrix, one_per_id, unit_rows
 LEAST, SLACK = 0.95, 0.05
 SAMPLE, MOST_CENTRES, HOMES, BLOCK, APART = 16384, 2048, 3, 2048, 0.85
 NEAR, FAR, DEGREE, ALPHA = 40, 8, 16, 1.2
-BEAM, MEDOIDS, BATCH = 24, 8, 256
+BEAM, BEAM_SHARE, MEDOIDS, BATCH = 24, 0.375, 8, 256  # nodes that a search follows, for each dimension above 64
 AUDITED = 2048
 SHARDS = 1 << 16  # numbers of shards for each length
 
@@ -164,7 +164,7 @@ def range_search(unit: np.ndarray, starts: np.ndarray, heads: np.ndarray, entrie
     with_own = np.flatnonzero(own >= 0)
     visit(with_own * n + own[with_own])
     row, by_query = np.arange(b), front.reshape(b, n)
-    for _ in range(min(BEAM, n)):
+    for _ in range(min(n, max(BEAM, int(BEAM_SHARE * unit.shape[1])))):
         flat = row * n + np.argmax(by_query, axis=1)
         flat = flat[front[flat] > -np.inf]
         if not len(flat):
