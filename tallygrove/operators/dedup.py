@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrove.functions.values import folded, haversine_km, name_similarity
-from tallygrove.report import OpResult, stored
+from tallygrove.report import OpResult, Refusal, stored
 
 
 def dedup_table(df: DataFrame, key: Sequence[str], order: str) -> OpResult:
@@ -61,7 +61,58 @@ def dedup_points(points: DataFrame, within_m: float, accept: float = 0.92, revie
     return OpResult(state, {"review": pairs.where(F.col("similarity") < accept)})
 
 
-def best_per_source(pairs: DataFrame) -> DataFrame:
-    """Of pairs, those that are each other's best (by similarity, then distance, then id): one partner a record."""
-    rank = lambda c, o: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("similarity"), "distance_m", o))
-    return pairs.withColumns({"_ra": rank("a", "b"), "_rb": rank("b", "a")}).where("_ra = 1 AND _rb = 1").drop("_ra", "_rb")
+def one_per_source(records: DataFrame, accepted: DataFrame, source: str = "source", id_: str = "id") -> OpResult:
+    """id, source, class_id (the smallest id of the class): accepted pairs join classes in the order of their ``rank``, as long as a class
+    keeps one record of each source. ``accepted`` has a, b and rank (smaller is better; any type that orders).
+
+    That order is kept without a queue: a pair that is the best of both its classes can't be forestalled by any other, so all
+    such pairs join in one round; pairs within a class or of classes that share a source go. Report ``rejected``: pairs that a source forbids.
+    """
+    members = stored(records.select(F.col(id_).alias("id"), F.col(source).alias("source"), F.col(id_).alias("class_id")).where("id is not null").distinct(), "members")
+    pairs = stored(accepted.select("a", "b", F.struct("rank", "a", "b").alias("rank")), "pairs")
+    rejected = None
+    while True:
+        sources = members.groupBy("class_id").agg(F.collect_set("source").alias("sources"))  # one record a source
+        side = lambda end: members.select(F.col("id").alias(end), F.col("class_id").alias(f"c{end}"))
+        of = lambda end: sources.select(F.col("class_id").alias(f"c{end}"), F.col("sources").alias(f"s{end}"))  # noqa: B023, E731
+        live = pairs.join(side("a"), "a").join(side("b"), "b").where("ca <> cb").join(of("a"), "ca").join(of("b"), "cb").withColumn("shared", F.arrays_overlap("sa", "sb")).select("a", "b", "rank", "ca", "cb", "shared")
+        live = stored(live, "live")
+        gone = live.where("shared").select("a", "b")
+        rejected = gone if rejected is None else rejected.unionByName(gone)
+        live = live.where("not shared")
+        if live.isEmpty():
+            return OpResult(members, {"rejected": rejected.distinct()})
+        ends = live.select(F.col("ca").alias("c"), "rank").unionByName(live.select(F.col("cb").alias("c"), "rank"))
+        best = ends.groupBy("c").agg(F.min("rank").alias("best"))
+        both = live.join(best.select(F.col("c").alias("ca"), F.col("best").alias("ba")), "ca").join(best.select(F.col("c").alias("cb"), F.col("best").alias("bb")), "cb").where("rank = ba AND rank = bb")
+        moves = stored(both.select(F.greatest("ca", "cb").alias("class_id"), F.least("ca", "cb").alias("to")), "moves")
+        members = stored(members.join(moves, "class_id", "left").select("id", "source", F.coalesce("to", "class_id").alias("class_id")), "members")
+        pairs = stored(live.select("a", "b", "rank"), "pairs")
+
+
+def dedup_sources(points: DataFrame, within_m: float, near_m: float, fuzzy: float = 0.88, match: int = 2, review: int = 1, decisions: DataFrame | None = None, source: str = "source", **columns: str) -> OpResult:
+    """id, source, class_id of points from several sources that describe one place.
+
+    Pairs of different sources within ``within_m`` score a point for names alike (``fuzzy``) and one for lying within ``near_m``: a match from
+    ``match`` on, for review from ``review`` on. ``decisions`` (a, b, decision, and optionally name_a, name_b) settle pairs for review; one whose
+    names are no longer those decided on counts no more. Matches and pairs decided as such join by score, then distance.
+    Records without a place are classes of their own. Reports: ``candidates`` (a, b, distance_m, similarity, score, class, decided), ``rejected``.
+    """
+    if not review <= match or not 0 <= near_m <= within_m:
+        raise Refusal("review needs less than a match, and near is within the distance that is looked at")
+    id_, name = columns.get("id_", "id"), columns.get("name", "name")
+    pairs = nearby_pairs(points, within_m, source=source, **columns)
+    score = F.when(F.coalesce(F.col("similarity") >= fuzzy, F.lit(False)), 1).otherwise(0) + F.when(F.col("distance_m") <= near_m, 1).otherwise(0)
+    c = pairs.withColumn("score", score).withColumn("class", F.when(F.col("score") >= match, "match").when(F.col("score") >= review, "review").otherwise("non-match"))
+    if decisions is None:
+        c = c.withColumn("decided", F.lit(None).cast("string"))
+    else:
+        names = points.select(F.col(id_).alias("_i"), F.col(name).alias("_n"))
+        d = decisions.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("decision").alias("decided"), *[(F.when(F.col("a") < F.col("b"), F.col(f"name_{x}")).otherwise(F.col(f"name_{y}")) if f"name_{x}" in decisions.columns else F.lit(None).cast("string")).alias(f"_{x}") for x, y in ("ab", "ba")])
+        for end in "ab":
+            d = d.join(names.withColumnsRenamed({"_i": end, "_n": f"_now_{end}"}), end).where(f"_{end} is null or _{end} <=> _now_{end}")
+        c = c.join(d.select("a", "b", "decided"), ["a", "b"], "left").withColumn("decided", F.when(F.col("class") == "review", F.col("decided")))
+    c = stored(c, "candidates")
+    accepted = c.where("class = 'match' OR decided = 'match'").select("a", "b", F.struct((-F.col("score")).alias("s"), "distance_m").alias("rank"))
+    out = one_per_source(points, accepted, source, id_)
+    return OpResult(out.df, out.report | {"candidates": c})

@@ -91,11 +91,48 @@ def overlap_share(records: DataFrame, related: DataFrame, on: Sequence[tuple[str
     return joined.agg(F.sum(F.when(F.col("_hit"), F.col("_m"))).alias("retained"), F.sum("_m").alias("total")).withColumn("share", F.try_divide("retained", "total"))
 
 
+def _letters(name: Column) -> Column:
+    """The letters of a name, each with how often it came before, so that a repeated letter counts as often as it is there."""
+    chars = F.split(name, "")
+    nth = lambda i: F.size(F.filter(F.slice(chars, 1, i), lambda x: x == F.element_at(chars, i)))
+    return F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.concat(F.element_at(chars, i), nth(i).cast("string")))
+
+
+def alike(left: DataFrame, right: DataFrame, a: str, b: str, least: float = CLOSE) -> DataFrame:
+    """a, b, similarity of all distinct nonblank names of the two tables whose Jaro-Winkler similarity is ``least`` (0.8 or more) at least.
+
+    Complete: the similarity is j + p (1 - j) / 10 with p equal first letters, four at most, and j is no more than a third of
+    m / len(a) + m / len(b) + 1, where m letters are shared. So two such names have their first four letters in common, or share
+    m >= need * len(a) * len(b) / (len(a) + len(b)) letters, where need is what j asks for at p = 3. Of two names that share m letters, the
+    first len - m + 1 letters in one order, rare ones first, have one in common: names meet by these letters and both lengths, by equality.
+    """
+    if not 0.8 <= least <= 1:
+        raise Refusal("names are alike from a similarity of 0.8 on")
+    need = 3 * (least - 0.3) / 0.7 - 1
+    one = lambda df, c: df.select(F.col(c).alias("name")).where("name <> ''").distinct()
+    sides = one(left, a).withColumn("side", F.lit("a")).unionByName(one(right, b).withColumn("side", F.lit("b")))
+    spread = sides.withColumn("letter", F.explode(_letters(F.col("name"))))
+    rare = spread.groupBy(F.col("letter").alias("_l")).agg(F.count(F.lit(1)).alias("n"))
+    ordered = spread.join(rare, F.col("letter") == F.col("_l")).groupBy("side", "name").agg(F.array_sort(F.collect_list(F.struct("n", "letter"))).alias("letters"))
+    size = F.size("letters")
+    low, high = F.ceil(size * (need - 1)).cast("int"), F.floor(size / (need - 1)).cast("int")  # m is no more than either length
+    lengths = ordered.select("side", "name", "letters", size.alias("size"), F.explode(F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, low, F.lit(1)))).alias("other"))
+    shared = F.ceil(F.lit(need) * F.col("size") * F.col("other") / (F.col("size") + F.col("other")) - 1e-9).cast("int")
+    lengths = lengths.withColumn("prefix", F.col("size") - F.greatest(shared, F.lit(1)) + 1).where("prefix >= 1")
+    keys = F.transform(F.slice("letters", 1, F.col("prefix")), lambda x: x["letter"])
+    by_letter = lengths.select("side", "name", F.explode(keys).alias("_key"), F.when(F.col("side") == "a", F.col("size")).otherwise(F.col("other")).alias("la"), F.when(F.col("side") == "a", F.col("other")).otherwise(F.col("size")).alias("lb"))
+    by_start = sides.where(F.length("name") >= 4).select("side", "name", F.substring("name", 1, 4).alias("_key"), F.lit(0).alias("la"), F.lit(0).alias("lb"))
+    met = by_letter.unionByName(by_start)
+    x = met.where("side = 'a'").select(F.col("name").alias(a), "_key", "la", "lb")
+    y = met.where("side = 'b'").select(F.col("name").alias(b), "_key", "la", "lb")
+    pairs = x.join(y, ["_key", "la", "lb"]).select(a, b).distinct()
+    return pairs.withColumn("similarity", name_similarity(F.col(a), F.col(b))).where(F.col("similarity") >= least)
+
+
 def relate_spelling(records: DataFrame, related: DataFrame, left: str, right: str, bring: str, decisions: DataFrame | None = None) -> DataFrame:
     """records' distinct names, the name each is taken for, how (exact, decided, spelling, ambiguous, none), and its value.
 
-    Names are compared once each. Candidates share two neighbouring letters of the folded name (or are of one letter), so the
-    comparison is an equality join and not one of all pairs; lengths that can't reach ``CLOSE`` don't meet; of the candidates the best counts if it reaches ``CLOSE`` and no other is within ``MARGIN``.
+    Names are compared once each, with all that are alike (see ``alike``); the best counts if it reaches ``CLOSE`` and no other is within ``MARGIN``.
     """
     names = records.select(folded(F.col(left)).alias("name")).where("name <> ''").distinct()
     known = related.select(folded(F.col(right)).alias("known"), F.col(bring).alias("value")).where("known <> ''").groupBy("known").agg(F.min("value").alias("value"))
@@ -106,9 +143,7 @@ def relate_spelling(records: DataFrame, related: DataFrame, left: str, right: st
         chosen = decisions.select(folded(F.col("name")).alias("name"), folded(F.col("known")).alias("known"))
         decided = rest.join(chosen, "name").join(known, "known").select("name", "known", F.lit(1.0).alias("similarity"), F.lit("decided").alias("how"), "value")
         rest = rest.join(chosen.select("name"), "name", "left_anti")
-    letters = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    pairs = rest.withColumn("l", F.explode(letters(F.col("name")))).join(known.withColumn("l", F.explode(letters(F.col("known")))), "l").where(F.abs(F.length("name") - F.length("known")) <= F.greatest(F.length("name"), F.length("known")) * 0.6)
-    scored = pairs.select("name", "known", "value").distinct().withColumn("similarity", name_similarity(F.col("name"), F.col("known"))).where(F.col("similarity") >= CLOSE)
+    scored = alike(rest, known, "name", "known").join(known, "known").select("name", "known", "value", "similarity")
     best = Window.partitionBy("name").orderBy(F.desc("similarity"), "known")
     ranked = scored.withColumn("nth", F.row_number().over(best)).withColumn("second", F.lead("similarity").over(best)).where("nth = 1")
     clear = F.col("second").isNull() | (F.col("similarity") - F.col("second") > MARGIN)
@@ -118,14 +153,46 @@ def relate_spelling(records: DataFrame, related: DataFrame, left: str, right: st
     return found.unionByName(none.withColumn("how", F.lit("none")), allowMissingColumns=True)
 
 
-def join_to_areas(areas: DataFrame, table: DataFrame, area_name: str, table_name: str, value: str) -> OpResult:
-    """Every area with the value of the row of its folded name. Reports: areas without a row, rows without an area, names met twice."""
+def join_to_areas(areas: DataFrame, table: DataFrame, area_name: str, table_name: str, value: str, category: str | None = None, frame: str | None = None, unit: str | None = None) -> OpResult:
+    """Every area with the value of the row of its folded name; a name that several rows have (in one frame) brings none.
+
+    ``category`` brings a second column; with ``frame`` a row counts for one frame, ``frames`` is a map from frame to value, and the
+    value is that of the last frame by its text. ``unit`` names the column that the parts of one unit share (else each area is one).
+    Reports: areas without a row, rows without an area, names met twice, and ``diagnostics``: code, subject, n.
+    """
+    if frame in (table_name,) or category in (table_name,):
+        raise Refusal("the column that areas are matched by can't also be the frame or the category")
     a = areas.withColumn("_k", folded(F.col(area_name)))
-    t = table.select(folded(F.col(table_name)).alias("_k"), F.col(value).alias("_v")).where("_k <> ''")
-    one = t.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_v"))
+    raw, none = F.col(table_name).cast("string"), F.lit(None).cast("string")
+    told = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) if c else none
+    rows = table.select(folded(F.col(table_name)).alias("_k"), raw.alias("_raw"), F.col(value).alias("_v"), told(category).alias("_c"), told(frame).alias("_f"))
+    t = rows.where("_k <> ''" + (" AND _f IS NOT NULL" if frame else ""))
+    cells = t.groupBy("_k", "_f").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_v"), F.min("_c").alias("_c"), F.min("_raw").alias("_raw"), F.count_distinct("_raw").alias("_spelt"))
+    held = F.when(F.col("_n") == 1, F.col("_v"))
+    one = cells.groupBy("_k").agg(
+        F.max("_n").alias("_n"), F.max(F.struct("_f", held.alias("v"))).alias("_last"), F.min("_c").alias("_c"), F.min("_raw").alias("_raw"), F.max("_spelt").alias("_spelt"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("_f").isNotNull(), F.struct("_f", held.alias("v")))))).alias("_frames"),
+    )
     joined = a.join(one, "_k", "left")
-    reports = {"areas_without": joined.where("_n is null").select(area_name), "rows_without": one.join(a.select("_k"), "_k", "left_anti").select("_k"), "repeated": one.where("_n > 1").select("_k", "_n")}
-    return OpResult(joined.withColumn(value, F.when(F.col("_n") == 1, F.col("_v"))).drop("_k", "_n", "_v"), reports)
+    part = F.col(unit) if unit else F.monotonically_increasing_id()
+    shared = a.where("_k <> ''").withColumn("_u", part).groupBy("_k").agg(F.count_distinct("_u").alias("n")).where("n > 1")
+    spelt = t.groupBy("_k").agg(F.count_distinct("_raw").alias("n"), F.min("_raw").alias("_raw"))
+    code = lambda df, name, subject, n="n": df.select(F.lit(name).alias("code"), F.col(subject).cast("string").alias("subject"), F.col(n).cast("long").alias("n"))
+    named = F.concat_ws(" / ", "_raw", "_f")
+    found = code(rows.where("_k is null or _k = ''").groupBy("_raw").count(), "missing-data-key", "_raw", "count")
+    for part_of in (
+        code(one.join(a.select("_k"), "_k", "left_anti").withColumn("n", F.lit(1)), "unmatched-data-key", "_raw"),
+        code(joined.where("_n is null").groupBy(area_name).count(), "unmatched-boundary", area_name, "count"),
+        code(shared, "duplicate-boundary-key", "_k"),
+        code(spelt.where("n > 1"), "ambiguous-data-key", "_raw"),
+        code(cells.where("_n > 1 AND _n > _spelt").withColumn("_raw", named), "multiple-data-rows", "_raw", "_n"),
+    ):
+        found = found.unionByName(part_of)
+    reports = {"areas_without": joined.where("_n is null").select(area_name), "rows_without": one.join(a.select("_k"), "_k", "left_anti").select("_k"), "repeated": one.where("_n > 1").select("_k", "_n"), "diagnostics": found}
+    out = joined.withColumn(value, F.col("_last.v"))
+    out = out.withColumn(category, F.col("_c")) if category else out
+    out = out.withColumn("frames", F.col("_frames")) if frame else out
+    return OpResult(out.drop("_k", "_n", "_last", "_c", "_raw", "_spelt", "_frames"), reports)
 
 
 def unmatched_keys(records: DataFrame, related: DataFrame, left: str, right: str) -> DataFrame:

@@ -6,6 +6,7 @@ An empty cell is unknown. A group that holds one totals to null unless ``exclude
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,6 +123,111 @@ def append(tables: Mapping[str, DataFrame], source: str | None = None, line_up:
     return out
 
 
+@dataclass(frozen=True)
+class KeyedTable:
+    """A table as a workflow holds it: its key columns, the column of its value, the value's unit, and the keys that identify a row."""
+
+    df: DataFrame
+    keys: Sequence[str]
+    value: str
+    unit: str = ""
+    primary: Sequence[str] = ()
+
+
+#: Units that all count heads.
+HEADS = ("individuals", "inhabitants", "people", "person", "persons")
+
+
+def _unit(unit: str) -> str:
+    u = unit.strip().lower()
+    return "people" if u in HEADS else u
+
+
+def line_up(tables: Mapping[str, KeyedTable]) -> list[tuple[str, str, str, int, int]]:
+    """label, column, as, matched, of: a table's own name for a key column that more of the others hold, where at least half of its
+    distinct values are values of that column there. Of two tables, or where as many hold it, the first table's name counts."""
+    labels = list(tables)
+    holders = lambda c: sum(c in t.keys for t in tables.values())
+    options = []
+    for i, label in enumerate(labels):
+        own = list(tables[label].keys)
+        for new in dict.fromkeys(c for t in tables.values() for c in t.keys if c not in own):
+            fewer = [c for c in own if holders(c) < holders(new) or (holders(c) == holders(new) and i > 0 and new in tables[labels[0]].keys and c not in tables[labels[0]].keys)]
+            options += [(label, c, new) for c in fewer]
+    if not options:
+        return []
+    values = None
+    for label, c in {(label, c) for label, c, _ in options} | {(other, new) for label, _, new in options for other in labels if new in tables[other].keys}:
+        one = tables[label].df.select(F.lit(label).alias("label"), F.lit(c).alias("column"), F.trim(F.col(c).cast("string")).alias("v")).where("v <> ''").distinct()
+        values = one if values is None else values.unionByName(one)
+    values = stored(values, "values")
+    asked = values.sparkSession.createDataFrame(options, "label string, column string, new string")
+    theirs = values.select(F.col("column").alias("new"), "v", F.lit(1).alias("hit")).distinct()
+    counts = values.join(F.broadcast(asked), ["label", "column"]).join(theirs, ["new", "v"], "left").groupBy("label", "column", "new").agg(F.count("hit").alias("matched"), F.count(F.lit(1)).alias("of"))
+    told = {(r["label"], r["column"], r["new"]): (r["matched"], r["of"]) for r in counts.collect()}  # a row for each two columns
+    out: list[tuple[str, str, str, int, int]] = []
+    for label, new in dict.fromkeys((label, new) for label, _, new in options):
+        fits = [(told[o][0], o[1], told[o][1]) for o in options if (o[0], o[2]) == (label, new) and o in told and told[o][0] * 2 >= told[o][1] > 0]
+        if fits:
+            matched, c, of = max(fits, key=lambda f: f[0])
+            if not any(x[:2] == (label, c) for x in out):
+                out.append((label, c, new, matched, of))
+    return out
+
+
+def append_tables(tables: Mapping[str, KeyedTable], source: str | None = None, new_key: str | None = None, under: Mapping[str, Mapping[str, str]] | None = None, numeric_labels: bool = False) -> OpResult:
+    """Rows of all tables under each other: the new key, all key columns, the source and the value, unknown where a table has no such column.
+
+    Values are to be of one name and one unit. ``under`` says which column of a table goes under which name; without it columns all of
+    whose values are known under the others' name are lined up, and a column of which only half or more are is refused, as is any that
+    ``under`` leaves. Reports: ``lined_up``, ``missing`` (label, column, rows), ``repeated`` (keys that no longer identify a row, where every table
+    declares the same), ``no_numbers`` (labels that aren't numbers, if they are said to be).
+    """
+    if len(tables) < 2:
+        raise Refusal("two tables at least are appended")
+    spark = next(iter(tables.values())).df.sparkSession
+    automatic = [x for x in line_up(tables) if x[3] == x[4]] if under is None else []
+    moves = {label: dict(m) for label, m in (under or {}).items()}
+    for label, c, new, _, _ in automatic:
+        moves.setdefault(label, {})[c] = new
+    laid = {}
+    for label, t in tables.items():
+        df, names = t.df, moves.get(label, {})
+        for old, new in names.items():
+            if old not in t.keys or new in t.keys:
+                raise Refusal(f"{label!r} has no column {old!r} to lay under {new!r}, or has one of that name already")
+            df = df.withColumnRenamed(old, new)
+        laid[label] = KeyedTable(df, [names.get(k, k) for k in t.keys], t.value, t.unit, [names.get(k, k) for k in t.primary])
+    left = line_up(laid)
+    if left:
+        label, c, new, matched, of = left[0]
+        raise Refusal(f"{label!r} has no column {new!r}, but {matched} of the {of} values of its {c!r} are values of it: lay one under the other")
+    first = next(iter(laid.values()))
+    if len({t.value for t in laid.values()}) > 1:
+        raise Refusal("the value columns have different names: " + ", ".join(f"{x}: {t.value}" for x, t in laid.items()))
+    if len({_unit(t.unit) for t in laid.values()}) > 1:
+        raise Refusal("the tables count in different units: " + ", ".join(f"{x}: {t.unit or 'none'}" for x, t in laid.items()))
+    keys = list(dict.fromkeys(k for t in laid.values() for k in t.keys))
+    for name in filter(None, (source, new_key)):
+        if name in [*keys, first.value] or source == new_key:
+            raise Refusal(f"{name!r} is a column already")
+    out = None
+    for i, (label, t) in enumerate(laid.items()):
+        columns = [(F.col(f"`{k}`") if k in t.keys else F.lit(None)).cast("string").alias(k) for k in keys]
+        df = t.df.select(F.lit(i).alias("_table"), *columns, *([F.lit(label).alias(source)] if source else []), F.col(f"`{t.value}`").cast("double").alias(t.value))
+        out = df if out is None else out.unionByName(df)
+    missing = out.groupBy("_table").count().join(F.broadcast(spark.createDataFrame([(i, x, k) for i, (x, t) in enumerate(laid.items()) for k in keys if k not in t.keys], "_table int, label string, column string")), "_table").select("label", "column", F.col("count").alias("rows"))
+    primary = list(first.primary) if first.primary and all(list(t.primary) == list(first.primary) for t in laid.values()) else []
+    reports = {"lined_up": spark.createDataFrame([x[:3] for x in automatic], "label string, column string, under string"), "missing": missing}
+    if primary:
+        reports["repeated"] = repeated_keys(out, [*([source] if source else []), *primary])
+    if source and numeric_labels:
+        reports["no_numbers"] = out.where(number(F.col(source)).isNull()).groupBy(source).agg(F.count(F.lit(1)).alias("rows"))
+    if new_key:
+        out = numbered(out, ["_table", *keys, first.value], new_key)
+    return OpResult(out.select(*([new_key] if new_key else []), *keys, *([source] if source else []), first.value), reports)
+
+
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row a column: rows, absent (null), empty (blank), numbers, quartiles, extremes, and values beyond 1.5 times the
     quartile range. Figures are given where four numbers at least are read."""
