@@ -998,3 +998,40 @@ def isochrones(spark: SparkSession, d: str) -> DataFrame:
     edges = edges.unionByName(edges.select(F.col("to").alias("from"), F.col("from").alias("to"), "length"))
     sites = t(spark, d, "customer").select(F.col("c_custkey").alias("site"), *place("c_custkey", PLOT))
     return network.isochrones(sites, nodes, edges, [10, 20], 75.0).df.select("site", "minutes", "pieces", r("area", 2).alias("area"))
+
+
+_ORDER_STRATA = """(SELECT month(o_orderdate) AS m, count(*) FILTER (WHERE o_orderpriority < '3' AND o_orderstatus = 'F') AS a, count(*) FILTER (WHERE o_orderpriority < '3' AND o_orderstatus <> 'F') AS b,
+    count(*) FILTER (WHERE o_orderpriority >= '3' AND o_orderstatus = 'F') AS c, count(*) FILTER (WHERE o_orderpriority >= '3' AND o_orderstatus <> 'F') AS d FROM orders GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE s AS MATERIALIZED {_ORDER_STRATA}, w AS MATERIALIZED (SELECT m, x, -lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS lw FROM s, LATERAL (SELECT unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x)),
+    seen AS (SELECT sum(a) AS seen, count(*) AS k FROM s),
+    halving AS (SELECT 0 AS i, -3.0::DOUBLE AS low, 3.0::DOUBLE AS high UNION ALL
+      SELECT i + 1, CASE WHEN mean < seen THEN (low + high) / 2 ELSE low END, CASE WHEN mean < seen THEN high ELSE (low + high) / 2 END FROM (
+        SELECT i, low, high, sum(e) AS mean FROM (SELECT i, low, high, w.m, sum(x * exp(lw + x * (low + high) / 2 - peak)) / sum(exp(lw + x * (low + high) / 2 - peak)) AS e
+          FROM (SELECT h.i, h.low, h.high, w.*, max(lw + x * (low + high) / 2) OVER (PARTITION BY w.m) AS peak FROM halving h, w) w GROUP BY ALL) GROUP BY ALL), seen WHERE i < 45)
+    SELECT k AS n_strata, round(exp((low + high) / 2), 6) AS odds_ratio FROM halving, seen WHERE i = 45""")
+def exact_stratified_odds(spark: SparkSession, d: str) -> DataFrame:
+    """Urgent and high priority against the rest, finished against other orders, over months: the conditional odds ratio."""
+    o = t(spark, d, "orders").withColumn("m", F.month("o_orderdate"))
+    out = measures.exact_odds_ratio(o, F.col("o_orderpriority") < "3", F.col("o_orderstatus") == "F", ["m"])
+    return out.select("n_strata", r("odds_ratio", 6).alias("odds_ratio"))
+
+
+@query("SELECT n_name AS name, CAST('all' AS VARCHAR) AS \"from\", CAST(count(*) AS DOUBLE) AS people FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT n_name, 'rich', CAST(count(*) AS DOUBLE) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000 GROUP BY 1")
+def appended_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Two counts of heads whose name columns differ and are lined up, under a column that says which is which."""
+    c = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    count = lambda df, key: df.groupBy(F.col("n_name").alias(key)).agg(F.count(F.lit(1)).cast("double").alias("people"))
+    first = tables.KeyedTable(count(c, "name"), ["name"], "people", "people")
+    return tables.append_tables({"all": first, "rich": tables.KeyedTable(count(c.where("c_acctbal > 5000"), "nation"), ["nation"], "people", "Persons")}, source="from").df
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, 'a' AS source FROM customer UNION ALL SELECT c_custkey + 10000000, 'b' FROM customer UNION ALL SELECT c_custkey + 20000000, 'b' FROM customer WHERE c_custkey % 5 = 0)
+    SELECT id, source, CASE WHEN source = 'b' AND id < 20000000 THEN id - 10000000 ELSE id END AS class_id FROM p""")
+def dedup_points_of_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Every place again in a second source some metres off, and every fifth once more farther off: one record of a source joins, the nearer one."""
+    p = places(spark, d).select("id", "lon", "lat", F.concat(F.lit("Clinic "), F.col("id").cast("string")).alias("name"), F.lit("a").alias("source"))
+    again = lambda shift, east: p.select((F.col("id") + shift).alias("id"), (F.col("lon") + east).alias("lon"), "lat", "name", F.lit("b").alias("source"))
+    every = p.unionByName(again(10_000_000, 0.0001)).unionByName(again(20_000_000, 0.0003).where("id % 5 = 0"))
+    return dedup.dedup_sources(every, 100.0, 50.0, fuzzy=0.999).df

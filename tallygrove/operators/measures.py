@@ -7,8 +7,9 @@ zero where it must not is null, with the reason beside it.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -237,3 +238,118 @@ def under_design(table: DataFrame, design: str) -> OpResult:
     if design == "cross-sectional":
         out = out.withColumnsRenamed({"risk_ratio": "prevalence_ratio", "risk_difference": "prevalence_difference"})
     return OpResult(out, {"withheld": table.sparkSession.createDataFrame([(m,) for m in withheld], "measure string")})
+
+
+FAR_OUT = 12.0  # standard deviations around the mode beyond which a cell's chance is below rounding
+
+
+def _cell_chances(a: float, b: float, c: float, d: float, log_odds: float) -> tuple[int, np.ndarray]:
+    """The first value and the chances of the first cell, its margins given, at an odds ratio; only around the mode."""
+    r, k, n = a + b, a + c, a + b + c + d
+    low, high = max(0, int(r + k - n)), int(min(r, k))
+    odds = math.exp(min(max(log_odds, -600), 600))
+    # the mode, from the quadratic whose root is the value expected at this odds ratio
+    q = n - r - k + odds * (r + k)
+    mode = r * k / n if abs(odds - 1) < 1e-9 else (q - math.sqrt(max(0.0, q * q - 4 * odds * (odds - 1) * r * k))) / (2 * (odds - 1))
+    mode = min(max(mode, low), high)
+    spread = math.sqrt(1 / (1 / (mode + 0.5) + 1 / (r - mode + 0.5) + 1 / (k - mode + 0.5) + 1 / (n - r - k + mode + 0.5)))
+    first, last = max(low, int(mode - FAR_OUT * spread - 3)), min(high, int(mode + FAR_OUT * spread + 4))
+    x = np.arange(first, last + 1, dtype=float)
+    steps = np.log((r - x[:-1]) * (k - x[:-1])) - np.log((x[1:]) * (n - r - k + x[1:])) + log_odds
+    log = np.concatenate([[0.0], np.cumsum(steps)])
+    p = np.exp(log - log.max())
+    return first, p / p.sum()
+
+
+def _summed(tables: list[tuple[float, float, float, float, int]], log_odds: float) -> tuple[int, np.ndarray]:
+    """The first value and the chances of the sum of first cells over strata (a, b, c, d, and how many strata are alike)."""
+    start, out = 0, np.ones(1)
+
+    def times(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if min(len(p), len(q)) < 256:
+            return np.convolve(p, q)
+        size = 1 << (len(p) + len(q) - 2).bit_length()
+        return np.maximum(np.fft.irfft(np.fft.rfft(p, size) * np.fft.rfft(q, size), size)[: len(p) + len(q) - 1], 0.0)
+
+    def trimmed(at: int, p: np.ndarray) -> tuple[int, np.ndarray]:
+        some = np.flatnonzero(p > 1e-25)
+        return at + int(some[0]), p[some[0] : some[-1] + 1]
+
+    for a, b, c, d, alike in tables:
+        at, p = _cell_chances(a, b, c, d, log_odds)
+        while alike:
+            if alike & 1:
+                start, out = trimmed(start + at, times(out, p))
+            alike >>= 1
+            if alike:
+                at, p = trimmed(2 * at, times(p, p))
+    return start, out / out.sum()
+
+
+def _root(f: Callable[[float], float]) -> float:
+    """Where a rising function of the log odds ratio crosses 0, by halving."""
+    low, high = -1.0, 1.0
+    while f(low) > 0 and low > -400:
+        low *= 2
+    while f(high) < 0 and high < 400:
+        high *= 2
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if f(mid) < 0 else (low, mid)
+    return math.exp((low + high) / 2)
+
+
+def conditional_odds(tables: list[tuple[float, float, float, float, int]], level: float = 0.95) -> dict[str, float | None]:
+    """Conditional maximum-likelihood odds ratio over strata, its exact and mid-p limits, and the exact and mid-p tests of 1 (twice the smaller tail)."""
+    tables = [t for t in tables if min(t[0] + t[1], t[2] + t[3], t[0] + t[2], t[1] + t[3]) > 0]
+    names = ("odds_ratio", "lower", "upper", "mid_lower", "mid_upper", "p_exact", "p_mid")
+    if not tables:
+        return dict.fromkeys(names)
+    seen = sum(t[0] * t[4] for t in tables)
+    least = sum(max(0, t[0] + t[1] + t[0] + t[2] - sum(t[:4])) * t[4] for t in tables)
+    most = sum(min(t[0] + t[1], t[0] + t[2]) * t[4] for t in tables)
+
+    def mean(log_odds: float) -> float:
+        total = 0.0
+        for *cells, alike in tables:
+            at, p = _cell_chances(*cells, log_odds)
+            total += alike * float((p * (at + np.arange(len(p)))).sum())
+        return total
+
+    def tails(log_odds: float) -> tuple[float, float, float]:
+        """Chances of a smaller, the same, and a larger sum."""
+        at, p = _summed(tables, log_odds)
+        i = int(seen - at)
+        below, own = float(p[: max(0, i)].sum()), float(p[i]) if 0 <= i < len(p) else 0.0
+        return below, own, float(p[max(0, i + 1) :].sum())
+
+    half = (1 - level) / 2
+    below, own, above = tails(0.0)
+    out: dict[str, float | None] = {"p_exact": min(1.0, 2 * (own + min(below, above))), "p_mid": min(1.0, 2 * (own / 2 + min(below, above)))}
+    inner = least < seen < most
+    out["odds_ratio"] = _root(lambda t: mean(t) - seen) if inner else 0.0 if seen == least < most else float("inf") if seen == most > least else None
+    for name, share in (("lower", 1.0), ("mid_lower", 0.5)):
+        out[name] = _root(lambda t, s=share: (x := tails(t))[2] + s * x[1] - half) if seen > least else 0.0
+    for name, share in (("upper", 1.0), ("mid_upper", 0.5)):
+        out[name] = _root(lambda t, s=share: half - (x := tails(t))[0] - s * x[1]) if seen < most else float("inf")
+    return out if least < most else dict.fromkeys(names)
+
+
+def exact_odds_ratio(df: DataFrame, exposed: Column, case: Column, strata: Sequence[str], by: Sequence[str] = (), level: int = 95) -> DataFrame:
+    """by, n_strata, odds_ratio (conditional), exact and mid-p limits and p over strata; null where no stratum can vary.
+
+    Spark counts the strata and then how many have the same four cells, so a task holds one row for each different table of its group;
+    a table's work is bounded by ``FAR_OUT`` standard deviations, not by its counts."""
+    s = df.groupBy(*by, *strata).agg(*_cells(exposed, case))
+    alike = s.groupBy(*by, *[F.col(x).cast("double").alias(x) for x in "abcd"]).agg(F.count(F.lit(1)).alias("alike"))
+    names = ("odds_ratio", "lower", "upper", "mid_lower", "mid_upper", "p_exact", "p_mid")
+    kinds = dict(alike.dtypes)
+
+    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = conditional_odds([(*map(float, r[:4]), int(r[4])) for r in pdf[["a", "b", "c", "d", "alike"]].itertuples(index=False, name=None)], level / 100)
+        return pd.DataFrame([[*key[: len(by)], int(pdf["alike"].sum()), *[found[n] for n in names]]], columns=[*by, "n_strata", *names])
+
+    solve.__annotations__ = {}
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "n_strata long", *[f"{n} double" for n in names]])
+    group = [F.col(c) for c in by] or [F.lit(1).alias("_all")]
+    return alike.groupBy(*group).applyInPandas(solve, schema)

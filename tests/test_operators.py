@@ -437,3 +437,43 @@ def test_totals_of_a_text_column_and_classes_by_appearance(spark):
     with pytest.raises(PySparkException):
         tables.total_column(df.withColumn("v", F.lit("x")), ["k"], "v").collect()
     assert {r["category"]: (r["class"], r["n"]) for r in tables.category_classes(df, "k", ["i"]).collect()} == {"b": (0, 2), "a": (1, 3)}
+
+
+def test_conditional_odds_of_one_table_and_of_strata(spark):
+    tea = measures.conditional_odds([(3, 1, 1, 3, 1)])
+    weights = lambda t: [1, 16 * t, 36 * t**2, 16 * t**3, t**4]
+    assert tea["odds_ratio"] == pytest.approx(6.4083, abs=1e-4)
+    assert sum(weights(tea["upper"])[:4]) / sum(weights(tea["upper"])) == pytest.approx(0.025) and sum(weights(tea["lower"])[3:]) / sum(weights(tea["lower"])) == pytest.approx(0.025)
+    strata = [(2, 5, 1, 7, 1), (3, 2, 4, 9, 2), (0, 3, 2, 4, 1), (1, 1, 1, 1, 3), (0, 0, 4, 5, 1)]
+
+    def sums(theta):  # every combination of tables with these margins
+        out = {0: 1.0}
+        for a, b, c, d, alike in strata:
+            for _ in range(alike):
+                r, k, n = a + b, a + c, a + b + c + d
+                w = {x: math.comb(r, x) * math.comb(n - r, k - x) * theta**x for x in range(max(0, r + k - n), min(r, k) + 1)}
+                out2 = {}
+                for s, p in out.items():
+                    for x, q in w.items():
+                        out2[s + x] = out2.get(s + x, 0.0) + p * q
+                out = out2
+        total = sum(out.values())
+        return {s: p / total for s, p in out.items()}
+
+    seen, got = sum(t[0] * t[4] for t in strata), measures.conditional_odds(strata)
+    at = sums(got["odds_ratio"])
+    assert sum(s * p for s, p in at.items()) == pytest.approx(seen)
+    assert sum(p for s, p in sums(got["lower"]).items() if s >= seen) == pytest.approx(0.025) and sum(p for s, p in sums(got["upper"]).items() if s <= seen) == pytest.approx(0.025)
+    mid = lambda theta, larger: sum(p * (0.5 if s == seen else 1) for s, p in sums(theta).items() if s == seen or (s > seen) == larger)
+    assert mid(got["mid_lower"], True) == pytest.approx(0.025) and mid(got["mid_upper"], False) == pytest.approx(0.025)
+    assert got["p_exact"] == pytest.approx(min(1, 2 * min(sum(p for s, p in sums(1).items() if s <= seen), sum(p for s, p in sums(1).items() if s >= seen))))
+    large = measures.conditional_odds([(40_000_000, 60_000_000, 30_000_000, 70_000_000, 1)])
+    assert large["odds_ratio"] == pytest.approx(4 / 6 * 7 / 3, rel=1e-6) and large["lower"] < large["mid_lower"] < large["odds_ratio"] < large["mid_upper"] < large["upper"]
+    ends = measures.conditional_odds([(0, 4, 3, 2, 1)])
+    assert ends["odds_ratio"] == 0 and ends["lower"] == 0 and 0 < ends["upper"] < 3 and measures.conditional_odds([(0, 0, 4, 5, 1)])["odds_ratio"] is None
+    rows = [(g, s, e, c) for g in "xy" for s, (a, b, c_, d) in enumerate([(2, 5, 1, 7), (3, 2, 4, 9)]) for e, c, n in ((True, True, a), (True, False, b), (False, True, c_), (False, False, d)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, s int, e boolean, c boolean")
+    by = {r["g"]: r for r in measures.exact_odds_ratio(df, F.col("e"), F.col("c"), ["s"], ["g"]).collect()}
+    want = measures.conditional_odds([(2, 5, 1, 7, 1), (3, 2, 4, 9, 1)])
+    assert by["x"]["n_strata"] == 2 and by["x"]["odds_ratio"] == pytest.approx(want["odds_ratio"]) == by["y"]["odds_ratio"] and by["y"]["upper"] == pytest.approx(want["upper"])
+    assert measures.exact_odds_ratio(df.limit(0), F.col("e"), F.col("c"), ["s"]).count() == 0
