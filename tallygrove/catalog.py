@@ -575,8 +575,8 @@ def haversine_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mean_center(spark: SparkSession, d: str) -> DataFrame:
-    near = places(spark, d).where("lon between 0 and 60 and lat between 0 and 60 and weight > 0")
-    return geo.mean_center(near, F.col("weight"))
+    """Of all places, the weighted mean place of each UTM zone's."""
+    return geo.mean_center(places(spark, d).withColumn("zone", values.utm_zone(F.col("lon"))), F.greatest(F.col("weight"), F.lit(0.0)), by=["zone"])
 
 
 @query()
@@ -1035,3 +1035,14 @@ def dedup_points_of_sources(spark: SparkSession, d: str) -> DataFrame:
     again = lambda shift, east: p.select((F.col("id") + shift).alias("id"), (F.col("lon") + east).alias("lon"), "lat", "name", F.lit("b").alias("source"))
     every = p.unionByName(again(10_000_000, 0.0001)).unionByName(again(20_000_000, 0.0003).where("id % 5 = 0"))
     return dedup.dedup_sources(every, 100.0, 50.0, fuzzy=0.999).df
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    w AS (SELECT event_id, user_id, i, CASE WHEN value > 80 THEN 'alert' WHEN value > 50 THEN 'watch' ELSE 'none' END AS level FROM e WHERE i = 1
+      UNION ALL SELECT e.event_id, e.user_id, e.i, CASE WHEN value > 80 OR (level = 'alert' AND value > 40) THEN 'alert' WHEN value > 50 OR (level <> 'none' AND value > 20) THEN 'watch' ELSE 'none' END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+    SELECT event_id, level FROM w""")
+def rules_recursive(spark: SparkSession, d: str) -> DataFrame:
+    """A level that falls more slowly than it rises: it depends on the level concluded for the event before."""
+    v = F.col("value")
+    level = lambda before: F.when((v > 80) | ((before == "alert") & (v > 40)), "alert").when((v > 50) | ((before != "none") & (v > 20)), "watch").otherwise("none")
+    return rules.recursive(t(spark, d, "events").select("event_id", "user_id", "ts", "value"), ["user_id"], "ts", ["none", "watch", "alert"], level, "event_id", "none", "level").select("event_id", "level")

@@ -5,7 +5,7 @@ A polygon is an array of rings, a ring an array of structs (x, y), the first rin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -58,15 +58,20 @@ def project(points: DataFrame, lon: str = "lon", lat: str = "lat", zone: Column
     return points.withColumn("utm_zone", z).withColumns({"east": east, "north": north})
 
 
-def mean_center(points: DataFrame, weight: Column | None = None, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """lon, lat, n: the weighted mean place, in the UTM zone of the plain mean longitude."""
+def mean_center(points: DataFrame, weight: Column | None = None, lon: str = "lon", lat: str = "lat", by: Sequence[str] = ()) -> DataFrame:
+    """by, lon, lat, n: the weighted mean place of each group, in the UTM zone of its plain mean longitude. Places without coordinates
+    and those of no positive weight are left out."""
     located = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumn("_w", (F.lit(1.0) if weight is None else weight).cast("double")).where("_w > 0")
-    zone = located.agg(utm_zone(F.avg(lon)).alias("z"))
-    p = located.crossJoin(F.broadcast(zone))  # one row is sent
+    keys = [f"_k{i}" for i in range(len(by))]
+    zone = located.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(utm_zone(F.avg(lon)).alias("z"))
+    same = F.lit(True)
+    for c, k in zip(by, keys, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(k))
+    p = located.join(zone, same) if by else located.crossJoin(F.broadcast(zone))  # one row is sent
     east, north = to_utm(F.col(lon), F.col(lat), F.col("z"))
-    m = p.withColumns({"_e": east, "_n": north}).agg(F.first("z").alias("z"), F.expr("sum(_e*_w)/sum(_w)").alias("e"), F.expr("sum(_n*_w)/sum(_w)").alias("n_"), F.count(F.lit(1)).alias("n"), F.avg(lat).alias("mean_lat"))
+    m = p.withColumns({"_e": east, "_n": north}).groupBy(*by).agg(F.first("z").alias("z"), F.expr("sum(_e*_w)/sum(_w)").alias("e"), F.expr("sum(_n*_w)/sum(_w)").alias("n_"), F.count(F.lit(1)).alias("n"), F.avg(lat).alias("mean_lat"))
     x, y = from_utm(F.col("e"), F.col("n_"), F.col("z"), F.col("mean_lat") < 0)
-    return m.select(x.alias("lon"), y.alias("lat"), "n")
+    return m.select(*by, x.alias("lon"), y.alias("lat"), "n")
 
 
 def compare_points(original: DataFrame, moved: DataFrame, id_: str = "id") -> DataFrame:

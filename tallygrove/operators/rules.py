@@ -7,14 +7,17 @@ column. A column for which two rules conclude different values gets none, and th
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallygrove.functions.values import number
-from tallygrove.report import Refusal
+from tallygrove.report import Refusal, refuse_when, stored
 
 
 @dataclass(frozen=True)
@@ -157,3 +160,63 @@ def carried(df: DataFrame, within: Sequence[str], order: str, start: float, step
     w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     summed = df.withColumn("_p", F.sum(step).over(w))
     return summed.withColumn(name, F.col("_p") + F.greatest(F.lit(float(start)), least - F.min("_p").over(w))).drop("_p")
+
+
+def recursive(df: DataFrame, within: Sequence[str], order: str, states: Sequence[str], conclude: Callable[[Column], Column], key: str, start: str | None = None, name: str = "conclusion") -> DataFrame:
+    """df with what ``conclude`` makes of each row and of the conclusion of the row before it in its group (``start`` for the first).
+
+    Conclusions are among ``states``, or null; one that is not ends the job. So a row is a table from the state before it to the state after
+    it, which Spark computes for all states at once, and tables can be chained: rows are dealt by ranges of group and order, every range
+    gives one table for all of it, those are chained (one row a range), and each range then runs from its own first state. One long group
+    is many ranges. ``key`` orders rows of one place. Groups and orders may be null (nulls come first); an empty table gives no rows.
+    """
+    if not states or len(set(states)) != len(states) or start not in (None, *states):
+        raise Refusal("the states are to be named, each once, and the start is one of them")
+    every = [*states, None]
+    place = lambda c: F.when(c.isNull(), len(states)).otherwise(F.array_position(F.array(*[F.lit(x) for x in states]), c).cast("int") - 1)
+    table = F.array(*[place(conclude(F.lit(x).cast("string"))) for x in every])
+    known = refuse_when(F.exists(table, lambda x: x < 0), "a conclusion is none of the states", table)
+    by = [*within, order, key]
+    dealt = stored(df.withColumn("_to", known).repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("_range").orderBy(*by)
+    same = F.lit(True)
+    for c in within:
+        same &= F.col(c).eqNullSafe(F.lag(c).over(w))
+    first = F.row_number().over(w)
+    # the first row of a range begins a group unless the last of the range before is of the same one
+    dealt = stored(dealt.withColumns({"_nth": first, "_new": F.when(first > 1, ~same)}), "ranges")
+    ends = dealt.groupBy("_range").agg(F.min_by(F.struct(*within, F.lit(0).alias("_")), "_nth").alias("head"), F.max_by(F.struct(*within, F.lit(0).alias("_")), "_nth").alias("tail"))
+    before = Window.orderBy("_range")
+    heads = ends.select("_range", F.coalesce(~F.col("head").eqNullSafe(F.lag("tail").over(before)), F.lit(True)).alias("fresh"))  # a row a range
+    begin = every.index(start)
+    n = len(every)
+
+    def tables_of(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.argsort(batch["_nth"].to_numpy())
+        to = batch["_to"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)[at]
+        return at, to, batch["_new"].fill_null(False).to_numpy(zero_copy_only=False).astype(bool)[at]
+
+    def whole(batch):
+        _, to, new = tables_of(batch)
+        state = np.arange(n)
+        for t, fresh in zip(to, new.tolist(), strict=True):
+            state = t[np.full(n, begin)] if fresh else t[state]
+        return pa.table({"_range": pa.array([batch["_range"][0].as_py()], pa.int32()), "chain": pa.array([state.tolist()], pa.list_(pa.int32()))})
+
+    chains = dealt.select("_range", "_nth", "_new", "_to").groupBy("_range").applyInArrow(whole, "_range int, chain array<int>")
+    entry, state = {}, begin
+    for r in sorted(chains.join(heads, "_range").collect(), key=lambda r: r["_range"]):  # a row a range
+        entry[r["_range"]] = state = begin if r["fresh"] else state
+        state = r["chain"][state]
+
+    def run(batch):
+        at, to, new = tables_of(batch)
+        state, out = entry[batch["_range"][0].as_py()], np.empty(len(at), np.int64)
+        for i, (t, fresh) in enumerate(zip(to.tolist(), new.tolist(), strict=True)):
+            state = t[begin if fresh else state]
+            out[at[i]] = state
+        return batch.drop_columns(["_range", "_nth", "_new", "_to"]).append_column(name, pa.array([every[i] for i in out.tolist()], pa.string()))
+
+    kept = [c for c in df.columns if c != name]
+    schema = StructType([*[f for f in df.schema.fields if f.name != name], StructField(name, StringType())])
+    return dealt.select(*kept, "_range", "_nth", "_new", "_to").groupBy("_range").applyInArrow(run, schema)

@@ -477,3 +477,47 @@ def test_conditional_odds_of_one_table_and_of_strata(spark):
     want = measures.conditional_odds([(2, 5, 1, 7, 1), (3, 2, 4, 9, 1)])
     assert by["x"]["n_strata"] == 2 and by["x"]["odds_ratio"] == pytest.approx(want["odds_ratio"]) == by["y"]["odds_ratio"] and by["y"]["upper"] == pytest.approx(want["upper"])
     assert measures.exact_odds_ratio(df.limit(0), F.col("e"), F.col("c"), ["s"]).count() == 0
+
+
+def test_rules_that_read_their_own_last_conclusion(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, None if g == "none" else g, None if rng.random() < 0.05 else rng.randrange(60), rng.choice([None, *range(10)])) for i, g in enumerate(["long"] * 400 + ["b"] * 9 + ["none"] * 5 + ["c"])]
+    df = spark.createDataFrame(rows, "id long, g string, t int, v int").repartition(7)
+    conclude = lambda before: F.when(F.col("v").isNull(), None).when((F.col("v") > 6) | ((before == "on") & (F.col("v") > 2)), "on").when(before.isNull() & (F.col("v") < 1), None).otherwise("off")
+
+    def plain(v, before):
+        return None if v is None else "on" if v > 6 or (before == "on" and v > 2) else None if before is None and v < 1 else "off"
+
+    want, last = {}, {}
+    for i, g, _, v in sorted(rows, key=lambda r: (r[1] or "", (r[2] is not None, r[2]), r[0])):
+        want[i] = last[g] = plain(v, last.get(g, "off"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r["id"]: r["conclusion"] for r in rules.recursive(df, ["g"], "t", ["on", "off"], conclude, "id", "off").collect()}
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert rules.recursive(df.limit(0), ["g"], "t", ["on", "off"], conclude, "id").count() == 0
+    with pytest.raises(PySparkException, match="none of the states"):
+        rules.recursive(df, ["g"], "t", ["on"], conclude, "id").collect()
+    with pytest.raises(Refusal):
+        rules.recursive(df, ["g"], "t", ["on", "on"], conclude, "id")
+
+
+def test_mean_centres_hulls_hexagons_and_masks(spark):
+    square = [(i, 3.0 + x, 50.0 + y, w, "s") for i, (x, y, w) in enumerate([(-0.01, -0.01, 1.0), (0.01, -0.01, 1.0), (0.01, 0.01, 1.0), (-0.01, 0.01, 1.0), (0.0, 0.0, 4.0)])]
+    far = [(10, 9.0, 10.0, 1.0, "t"), (11, 9.2, 10.0, 3.0, "t"), (12, None, 10.0, 9.0, "t"), (13, 9.1, 10.0, 0.0, "t"), (14, 9.1, 10.0, None, "t")]
+    p = spark.createDataFrame(square + far, "id long, lon double, lat double, weight double, g string")
+    got = {r["g"]: r for r in geo.mean_center(p, F.col("weight"), by=["g"]).collect()}
+    assert (got["s"]["lon"], got["s"]["lat"], got["s"]["n"]) == (pytest.approx(3.0, abs=1e-5), pytest.approx(50.0, abs=1e-5), 5)
+    assert got["t"]["lon"] == pytest.approx(9.15, abs=1e-5) and got["t"]["n"] == 2
+    assert one(geo.mean_center(p.where("g = 's'")))["lon"] == pytest.approx(3.0, abs=1e-6)
+    hull = geo.convex_hull(p, "g").where("g = 's'").orderBy("corner").collect()
+    assert [(round(r["lon"], 6), round(r["lat"], 6)) for r in hull] == [(2.99, 49.99), (3.01, 49.99), (3.01, 50.01), (2.99, 50.01)]
+    grid = geo.hexagons(p.where("g = 's'").unionByName(p.where("id in (0, 1)")), 500.0)
+    cells = grid.df.collect()
+    assert sorted(r["n"] for r in cells) == [2, 2] and one(grid.report["withheld"]) == (3, 3)
+    moved = geo.compare_points(p.where("id < 5"), geo.donut_mask(p.where("id < 5"), 100, 1000, 7))
+    assert one(moved)["n"] == 5 and 100 <= one(moved)["mean_m"] and one(moved)["max_m"] <= 1000.001
