@@ -17,9 +17,11 @@ LINEAR, CYCLIC = ("hour", "day", "week", "week_sunday", "month"), {"weekday": 7,
 
 
 def number(text: Column) -> Column:
-    """A finite double from text; blank, other text, NaN and infinity are null."""
+    """A finite double from text or a number; blank, other text, NaN and infinity are null. A column of numbers isn't read as text: its
+    type is known when the plan is made, which leaves one of the two ways."""
     t = F.trim(text.cast("string"))
-    x = F.when(t.rlike(NUMBER), t.try_cast("double"))
+    kind = F.typeof(text)
+    x = F.when(kind.isin("double", "float", "int", "bigint", "smallint", "tinyint") | kind.startswith("decimal"), text.try_cast("double")).otherwise(F.when(t.rlike(NUMBER), t.try_cast("double")))
     return F.when(F.abs(x) < float("inf"), x)
 
 

@@ -35,6 +35,11 @@ def relate(records: DataFrame, related: DataFrame, on: Sequence[tuple[str, str]]
         raise Refusal("gaps are dropped or kept; several values are refused or each kept")
     name = name or bring
     left_keys, right_keys = _keys([a for a, _ in on], compare), _keys([b for _, b in on], compare)
+    if compare == "exact":  # of one type that is no text: compared as it is
+        of, by = dict(records.dtypes), dict(related.dtypes)
+        alike_types = [of.get(a) == by.get(b) != "string" for a, b in on]
+        left_keys = [F.col(a) if plain else k for (a, _), k, plain in zip(on, left_keys, alike_types, strict=True)]
+        right_keys = [F.col(b) if plain else k for (_, b), k, plain in zip(on, right_keys, alike_types, strict=True)]
     keys = [f"_k{i}" for i in range(len(on))]
     right = related.select(*[k.alias(n) for k, n in zip(right_keys, keys, strict=True)], F.col(bring).alias("_bring")).dropna(subset=keys)
     if several == "each":
@@ -62,16 +67,25 @@ def relate_period(records: DataFrame, periods: DataFrame, date: str, start: str,
     right = periods.select(
         *[F.col(b).alias(k) for (_, b), k in zip(on, keys, strict=True)], F.col(start).cast("date").alias("_s"), F.col(end).cast("date").alias("_e"), F.col(bring).alias("_bring"),
     ).where("_s <= _e").withColumn("_b", F.explode(F.sequence(bucket(F.col("_s")), bucket(F.col("_e")))))
-    left = records.withColumns({"_row": F.monotonically_increasing_id(), "_d": d, "_b": bucket(d)} | {k: F.col(a) for (a, _), k in zip(on, keys, strict=True)})
-    joined = left.join(right, ["_b", *keys], "left" if keep else "inner") if not keep else left.join(right.withColumn("_hit", F.lit(1)), ["_b", *keys], "left")
-    inside = (F.col("_d") >= F.col("_s")) & (F.col("_d") <= F.col("_e"))
-    joined = joined.withColumn("_bring", F.when(inside, F.col("_bring")))
+    days = records.withColumns({"_d": d, "_b": bucket(d)} | {k: F.col(a) for (a, _), k in zip(on, keys, strict=True)})
+    met = (F.col("_b") == F.col("_rb")) & (F.col("_d") >= F.col("_s")) & (F.col("_d") <= F.col("_e"))
+    for k in keys:
+        met &= F.col(k) == F.col(f"_r{k}")
+    right = right.where("_bring is not null")
+    named = right.withColumnsRenamed({"_b": "_rb"} | {k: f"_r{k}" for k in keys})
     names = records.columns
-    first = F.max("_bring")
-    value = refuse_when(F.count("_bring") > 1, "a date lies in several periods", first) if unique else first
-    out = joined.groupBy("_row", *[F.col(f"`{c}`") for c in names]).agg(value.alias("_v"))
+    # periods that never overlap give each record one row at most; only others need records to be told apart
+    turn = Window.partitionBy(*keys, "_b").orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, -1)
+    if right.withColumn("_till", F.max("_e").over(turn)).where("_s <= _till").isEmpty():
+        out = days.join(named, met, "left" if keep else "inner")
+        out = out.select(*[F.col(f"`{c}`") for c in names], F.col("_bring").alias("_v"))
+    else:
+        joined = days.withColumn("_row", F.monotonically_increasing_id()).join(named, met, "left")
+        first = F.max("_bring")
+        value = refuse_when(F.count("_bring") > 1, "a date lies in several periods", first) if unique else first
+        out = joined.groupBy("_row", *[F.col(f"`{c}`") for c in names]).agg(value.alias("_v"))
     out = out if keep else out.where("_v is not null")
-    return out.select(*names, F.col("_v").alias(bring))
+    return out.select(*[F.col(f"`{c}`") for c in names if c != bring], F.col("_v").alias(bring))
 
 
 def relate_shifts(records: DataFrame, periods: DataFrame, key: str, date: str, start: str, end: str, bring: str, shifts: Sequence[int]) -> DataFrame:

@@ -231,16 +231,16 @@ def append_tables(tables: Mapping[str, KeyedTable], source: str | None = None, n
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row a column: rows, absent (null), empty (blank), numbers, quartiles, extremes, and values beyond 1.5 times the
     quartile range. Figures are given where four numbers at least are read."""
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "text")
-    x = number(F.col("text"))
-    first = long.withColumn("x", x).groupBy("column").agg(
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text"), number(F.col(c)).alias("x")) for c in columns]
+    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    first = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("text").isNull()).alias("n_absent"), F.count_if(F.trim("text") == "").alias("n_empty"),
         F.count("x").alias("n_numbers"), F.min("x").alias("low"), F.percentile("x", 0.25).alias("p25"), F.percentile("x", 0.5).alias("p50"), F.percentile("x", 0.75).alias("p75"), F.max("x").alias("high"),
         F.count_distinct("text").alias("n_distinct"),
     )
     first = first.select("column", "n_rows", "n_absent", "n_empty", "n_numbers", "n_distinct", *[F.when(F.col("n_numbers") >= 4, c).alias(n) for n, c in (("low", F.col("low")), ("q1", F.col("p25")), ("median", F.col("p50")), ("q3", F.col("p75")), ("high", F.col("high")))])
     fences = F.broadcast(first.select(F.col("column").alias("c"), (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper")))  # one row a column
-    beyond = long.join(fences, F.col("column") == F.col("c")).groupBy("column").agg(F.count_if((x < F.col("lower")) | (x > F.col("upper"))).alias("n_beyond"))
+    beyond = long.join(fences, F.col("column") == F.col("c")).groupBy("column").agg(F.count_if((F.col("x") < F.col("lower")) | (F.col("x") > F.col("upper"))).alias("n_beyond"))
     return first.join(beyond, "column")
 
 
