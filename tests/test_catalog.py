@@ -12,7 +12,7 @@ def test_query(spark, duck, name):
     if name in catalog.ORACLES:
         assert rows_of(df) == rows_of(duck.execute(catalog.ORACLES[name]).df())
     else:
-        assert df.columns and df.count() >= 0
+        assert df.columns and (df.count() > 0 or name == "hexagon_counts")  # cells of one place are withheld
 
 
 def test_entry(spark):
