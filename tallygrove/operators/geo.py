@@ -19,36 +19,51 @@ from tallygrove.report import OpResult, Refusal, refuse_when, stored
 def nearest(points: DataFrame, candidates: DataFrame, id_: str = "id", lat: str = "lat", lon: str = "lon", first_km: float = 50.0) -> DataFrame:
     """id, nearest_id, distance_km, reason: the nearest candidate of each point (ties: the smaller id); without location null.
 
-    Places are unit vectors in cubes. A point is compared with the candidates of its own and the 26 cubes around; it is settled
-    if the nearest lies within one edge, and the rest try again with edges four times as long. No side is sent whole.
+    Places are unit vectors in cubes. A place is compared with the candidates of its own and the 26 cubes around; it is settled
+    if the nearest lies within one edge, and the rest try again with edges four times as long. Points at one place are looked up once, and
+    of candidates at one place only the smallest id is compared. Where candidates are dense, the first edge is shorter than ``first_km``.
+    No side is sent whole.
     """
+    given = points.select(F.col(id_).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
+    missing = given.where("lat is null or lon is null").select("id", F.lit("location missing").alias("reason"))
+    located = given.where("lat is not null and lon is not null")
     vector = (("x", lambda p, q: F.cos(p) * F.cos(q)), ("y", lambda p, q: F.cos(p) * F.sin(q)), ("z", lambda p, q: F.sin(p)))
-    place = lambda df: df.select(F.col(id_).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"), *[f(F.radians(lat), F.radians(lon)).alias(n) for n, f in vector])
-    open_ = place(points)
-    missing = open_.where("lat is null or lon is null").select("id", F.lit("location missing").alias("reason"))
-    open_ = open_.where("lat is not null and lon is not null")
-    known = place(candidates).where("lat is not null and lon is not null").select(F.col("id").alias("c_id"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), "x", "y", "z")
-    edge, out = first_km / EARTH_KM, None
+    with_vector = lambda df: df.withColumns({n: f(F.radians("lat"), F.radians("lon")) for n, f in vector})
+    open_ = stored(with_vector(located.select("lat", "lon").distinct()), "places")
+    known = candidates.select(F.col(id_).alias("c_id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).where("lat is not null and lon is not null")
+    known = stored(with_vector(known.groupBy("lat", "lon").agg(F.min("c_id").alias("c_id"))).withColumnsRenamed({"lat": "c_lat", "lon": "c_lon"}), "candidates")
+    edge, out = _first_edge(known, first_km / EARTH_KM), None
     shifts = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((i, j, k), "ijk", strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
     while True:
         last = edge >= 2
         cell = lambda n: F.floor(F.col(n) / edge).cast("long")  # noqa: B023, E731
         right = known.select("c_id", "c_lat", "c_lon", *[cell(n).alias(f"c{n}") for n in "xyz"])
-        left = open_.withColumn("_s", F.explode(shifts)).select("id", "lat", "lon", *[(cell(n) + F.col(f"_s.{s}")).alias(f"c{n}") for n, s in zip("xyz", "ijk", strict=True)])
-        near = left.join(right, ["cx", "cy", "cz"]).select("id", "c_id", haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")).alias("km"))
-        best = near.groupBy("id").agg(F.min(F.struct("km", "c_id")).alias("b")).select("id", F.col("b.c_id").alias("nearest_id"), F.col("b.km").alias("distance_km"))
+        left = open_.withColumn("_s", F.explode(shifts)).select("lat", "lon", *[(cell(n) + F.col(f"_s.{s}")).alias(f"c{n}") for n, s in zip("xyz", "ijk", strict=True)])
+        near = left.join(right, ["cx", "cy", "cz"]).select("lat", "lon", "c_id", haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")).alias("km"))
+        best = near.groupBy("lat", "lon").agg(F.min(F.struct("km", "c_id")).alias("b")).select("lat", "lon", F.col("b.c_id").alias("nearest_id"), F.col("b.km").alias("distance_km"))
         chord = 2 * F.sin(F.col("distance_km") / (2 * EARTH_KM))
         settled = stored(best if last else best.where(chord <= edge), "nearest")
         out = settled if out is None else out.unionByName(settled)
         if last:
             break
-        open_ = stored(open_.join(settled.select("id"), "id", "left_anti"), "open")
+        open_ = stored(open_.join(settled.select("lat", "lon"), ["lat", "lon"], "left_anti"), "open")
         if not open_.limit(1).count():
             break
         edge *= 4
-    done = out.withColumn("reason", F.lit(None).cast("string")).unionByName(missing, allowMissingColumns=True)
-    lonely = place(points).select("id").join(done.select("id"), "id", "left_anti").withColumn("reason", F.lit("no candidate"))
-    return done.unionByName(lonely, allowMissingColumns=True)
+    done = located.join(out, ["lat", "lon"], "left").groupBy("id").agg(F.min(F.struct("distance_km", "nearest_id")).alias("b")).select("id", "b.nearest_id", "b.distance_km")
+    return done.withColumn("reason", F.when(F.col("nearest_id").isNull(), "no candidate")).unionByName(missing, allowMissingColumns=True)
+
+
+CROWD = 64  # candidates in the cube of the average candidate beyond which a shorter edge is tried first
+
+
+def _first_edge(known: DataFrame, edge: float) -> float:
+    """The edge, or the longest of its quarters, sixteenths and so on at which cubes aren't crowded."""
+    edges = [edge / 4**i for i in range(8)]
+    cubes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[F.floor(F.col(n) / e).cast("long").alias(n) for n in "xyz"]) for i, e in enumerate(edges)])).alias("c")
+    load = known.select(cubes).groupBy("c").agg(F.count(F.lit(1)).alias("n")).groupBy("c.i").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("crowd"))
+    fit = load.where(F.col("crowd") <= CROWD).agg(F.min("i")).first()[0]
+    return edges[-1 if fit is None and known.limit(1).count() else fit or 0]
 
 
 def project(points: DataFrame, lon: str = "lon", lat: str = "lat", zone: Column | None = None) -> DataFrame:

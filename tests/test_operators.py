@@ -521,3 +521,22 @@ def test_mean_centres_hulls_hexagons_and_masks(spark):
     assert sorted(r["n"] for r in cells) == [2, 2] and one(grid.report["withheld"]) == (3, 3)
     moved = geo.compare_points(p.where("id < 5"), geo.donut_mask(p.where("id < 5"), 100, 1000, 7))
     assert one(moved)["n"] == 5 and 100 <= one(moved)["mean_m"] and one(moved)["max_m"] <= 1000.001
+
+
+def test_nearest_looks_up_a_place_once(spark):
+    """Copies at one place are one search, dense candidates shorten the first edge, and the ties stay with the smaller id."""
+    at = lambda k: (float(k * 37 % 360 - 180), float(k * 53 % 120 - 60))
+    p = spark.createDataFrame([(k, *at(k)) for k in range(900)], "id int, lon double, lat double")
+    c = spark.createDataFrame([(k + 5000, *at(7 * k)) for k in range(4000)], "id int, lon double, lat double")
+    places = {}
+    for k in range(4000):
+        places.setdefault(at(7 * k), k + 5000)
+    near = {}
+    for x, y in {at(k) for k in range(900)}:
+        far = lambda q: math.acos(max(-1.0, min(1.0, sum(a * b for a, b in zip(*[(math.cos(math.radians(v)) * math.cos(math.radians(u)), math.cos(math.radians(v)) * math.sin(math.radians(u)), math.sin(math.radians(v))) for u, v in ((x, y), q)], strict=True)))))  # noqa: B023, E731
+        near[x, y] = min(round(far(q) * 6371.0088, 3) for q in places)
+    got = geo.nearest(p, c, first_km=4000).collect()
+    assert len(got) == 900 and all(round(r["distance_km"], 3) == pytest.approx(near[at(r["id"])], abs=0.01) for r in got)
+    assert all(r["nearest_id"] == places[at(r["id"])] for r in got if r["distance_km"] == 0)
+    known = spark.range(4096).selectExpr("id % 64 / 1000D x", "floor(id / 64) / 1000D y", "0D z")
+    assert geo._first_edge(known, 1.0) == 1 / 4**4 and geo._first_edge(known.limit(50), 1.0) == 1.0 and geo._first_edge(known.limit(0), 1.0) == 1.0
