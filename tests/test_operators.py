@@ -540,3 +540,11 @@ def test_nearest_looks_up_a_place_once(spark):
     assert all(r["nearest_id"] == places[at(r["id"])] for r in got if r["distance_km"] == 0)
     known = spark.range(4096).selectExpr("id % 64 / 1000D x", "floor(id / 64) / 1000D y", "0D z")
     assert geo._first_edge(known, 1.0) == 1 / 4**4 and geo._first_edge(known.limit(50), 1.0) == 1.0 and geo._first_edge(known.limit(0), 1.0) == 1.0
+
+
+def test_sites_of_points_that_share_a_place(spark):
+    p = spark.createDataFrame([(1, 10.0, 50.0), (2, 10.0, 50.0), (3, 30.0, 0.0), (4, None, 0.0)], "id int, lon double, lat double")
+    sites = spark.createDataFrame([(9, 10.0, 50.1), (8, 10.0, 50.1), (7, 10.0, 50.0), (6, 30.0, 1.0)], "site_id int, lon double, lat double")
+    got = {r["id"]: (r["site_id"], r["reason"]) for r in geo.assign_sites(p, sites, spark.createDataFrame([(9,), (8,), (6,)], "site_id int")).collect()}
+    assert got == {1: (8, None), 2: (8, None), 3: (6, None), 4: (None, "location missing")}
+    assert [r["reason"] for r in geo.assign_sites(p.limit(2), sites, spark.createDataFrame([], "site_id int")).collect()] == ["no candidate"] * 2
