@@ -548,3 +548,11 @@ def test_sites_of_points_that_share_a_place(spark):
     got = {r["id"]: (r["site_id"], r["reason"]) for r in geo.assign_sites(p, sites, spark.createDataFrame([(9,), (8,), (6,)], "site_id int")).collect()}
     assert got == {1: (8, None), 2: (8, None), 3: (6, None), 4: (None, "location missing")}
     assert [r["reason"] for r in geo.assign_sites(p.limit(2), sites, spark.createDataFrame([], "site_id int")).collect()] == ["no candidate"] * 2
+
+
+def test_snapped_copies(spark):
+    """Twenty thousand points and as many nodes at two places: 400 million pairs, were copies compared."""
+    p = spark.range(20_000).selectExpr("id", "id % 2 * 90D lon", "0D lat")
+    n = spark.range(20_000).selectExpr("id + 100 id", "id % 2 * 90D + 0.1D lon", "0D lat")
+    got = geo.snap(p, n).groupBy(F.col("id") % 2, "node").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 100, 10_000), (1, 101, 10_000)]
