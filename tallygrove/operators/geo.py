@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.functions.values import EARTH_AREA_M, EARTH_KM, from_utm, haversine_km, to_utm, utm_zone
+from tallygrove.operators.overlay import tasks
 from tallygrove.report import OpResult, Refusal, refuse_when, stored
 
 
@@ -133,34 +134,47 @@ def _edges(ring: Column) -> Column:
 
 def within(polygon: Column, x: Column, y: Column) -> Column:
     """Inside, Boundary or Outside, by the even-odd rule over all rings."""
-    edges = F.flatten(F.transform(polygon, _edges))
+    return _relation(F.flatten(F.transform(polygon, _edges)), x, y)
+
+
+def _relation(edges: Column, x: Column, y: Column) -> Column:
     on = F.exists(edges, lambda e: (F.abs((e.x2 - e.x1) * (y - e.y1) - (e.y2 - e.y1) * (x - e.x1)) <= 1e-12) & (x >= F.least(e.x1, e.x2)) & (x <= F.greatest(e.x1, e.x2)) & (y >= F.least(e.y1, e.y2)) & (y <= F.greatest(e.y1, e.y2)))
     crossings = F.aggregate(edges, F.lit(0), lambda n, e: n + F.when(((e.y1 > y) != (e.y2 > y)) & (x < (e.x2 - e.x1) * F.try_divide(y - e.y1, e.y2 - e.y1) + e.x1), 1).otherwise(0))
     return F.when(on, "Boundary").when(crossings % 2 == 1, "Inside").otherwise("Outside")
 
 
+def _met(points: DataFrame, polygons: DataFrame, cell: float, name: str, polygon: str) -> DataFrame:
+    """points (lon, lat and more) with the name and relation of each polygon that holds them."""
+    xs, ys = F.flatten(F.transform(polygon, lambda r: F.transform(r, lambda p: p.x))), F.flatten(F.transform(polygon, lambda r: F.transform(r, lambda p: p.y)))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+    box = {"_w": F.array_min(xs), "_e": F.array_max(xs), "_s": F.array_min(ys), "_n": F.array_max(ys)}
+    areas = polygons.select(F.col(name).alias("name"), F.flatten(F.transform(polygon, _edges)).alias("_edges"), *[v.alias(k) for k, v in box.items()])
+    areas = areas.repartition(tasks(areas)).withColumn("_cx", span("_w", "_e")).withColumn("_cy", span("_s", "_n"))
+    p = points.where("lon is not null and lat is not null").withColumns({"_cx": F.floor(F.col("lon") / cell), "_cy": F.floor(F.col("lat") / cell)})
+    met = p.join(areas, ["_cx", "_cy"]).where("lon between _w and _e and lat between _s and _n").withColumn("relation", _relation(F.col("_edges"), F.col("lon"), F.col("lat")))
+    return met.where("relation <> 'Outside'").select(*points.columns, "name", "relation")
+
+
 def locate(points: DataFrame, polygons: DataFrame, cell: float = 1.0, id_: str = "id", name: str = "name", polygon: str = "geometry") -> DataFrame:
     """id, name, relation for each point and each polygon that holds it (Inside or Boundary). Both sides meet in grid cells of the
     polygon's box, so a point is only tested against polygons nearby."""
-    xs, ys = F.flatten(F.transform(polygon, lambda r: F.transform(r, lambda p: p.x))), F.flatten(F.transform(polygon, lambda r: F.transform(r, lambda p: p.y)))
-    span = lambda v: F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell))
-    areas = polygons.select(F.col(name).alias("name"), F.col(polygon).alias("_p"), F.explode(span(xs)).alias("_cx"), span(ys).alias("_ys")).withColumn("_cy", F.explode("_ys")).drop("_ys")
-    p = points.where("lon is not null and lat is not null").select(F.col(id_).alias("id"), "lon", "lat", F.floor(F.col("lon") / cell).alias("_cx"), F.floor(F.col("lat") / cell).alias("_cy"))
-    met = p.join(areas, ["_cx", "_cy"]).withColumn("relation", within(F.col("_p"), F.col("lon"), F.col("lat")))
-    return met.where("relation <> 'Outside'").select("id", "name", "relation")
+    return _met(points.select(F.col(id_).alias("id"), "lon", "lat"), polygons, cell, name, polygon).select("id", "name", "relation")
 
 
-def clip_points(points: DataFrame, polygons: DataFrame, boundary: bool = True, **columns) -> DataFrame:
-    held = locate(points, polygons, **columns).where(F.lit(boundary) | (F.col("relation") == "Inside")).select(F.col("id").alias("_i")).distinct()
-    return points.join(held, F.col(columns.get("id_", "id")) == F.col("_i"), "left_semi")
+def clip_points(points: DataFrame, polygons: DataFrame, boundary: bool = True, cell: float = 1.0, id_: str = "id", name: str = "name", polygon: str = "geometry") -> DataFrame:
+    """points that a polygon holds. Points at one place are tested once."""
+    spots = stored(points.select("lon", "lat").distinct(), "places")
+    held = _met(spots, polygons, cell, name, polygon).where(F.lit(boundary) | (F.col("relation") == "Inside")).select("lon", "lat").distinct()
+    return points.join(held, ["lon", "lat"], "left_semi").select(*points.columns)
 
 
-def summarize_points(points: DataFrame, polygons: DataFrame, value: Column | None = None, boundary: bool = True, **columns) -> DataFrame:
-    """name, n, total: points in each polygon and the sum of a value (unknown if one is); polygons without a point have 0."""
-    name = columns.get("name", "name")
-    v = points.select(F.col(columns.get("id_", "id")).alias("_i"), (F.lit(1.0) if value is None else value).alias("_v"))
-    held = locate(points, polygons, **columns).where(F.lit(boundary) | (F.col("relation") == "Inside")).join(v, F.col("id") == F.col("_i"))
-    sums = held.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.when(F.count_if(F.col("_v").isNull()) == 0, F.sum("_v")).alias("total"), F.lit(1).alias("_some"))
+def summarize_points(points: DataFrame, polygons: DataFrame, value: Column | None = None, boundary: bool = True, cell: float = 1.0, id_: str = "id", name: str = "name", polygon: str = "geometry") -> DataFrame:
+    """name, n, total: points in each polygon and the sum of a value (unknown if one is); polygons without a point have 0. Points at one
+    place are counted and added up before they are tested, so a point is no row for each polygon that holds it."""
+    v = points.where("lon is not null and lat is not null").select("lon", "lat", (F.lit(1.0) if value is None else value).alias("_v"))
+    spots = stored(v.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("_k"), F.count_if(F.col("_v").isNull()).alias("_unknown"), F.sum("_v").alias("_v")), "places")
+    held = _met(spots, polygons, cell, name, polygon).where(F.lit(boundary) | (F.col("relation") == "Inside"))
+    sums = held.groupBy("name").agg(F.sum("_k").alias("n"), F.when(F.sum("_unknown") == 0, F.sum("_v")).alias("total"), F.lit(1).alias("_some"))
     return polygons.select(F.col(name).alias("name")).join(sums, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("_some").isNull(), 0.0).otherwise(F.col("total")).alias("total"))
 
 

@@ -556,3 +556,14 @@ def test_snapped_copies(spark):
     n = spark.range(20_000).selectExpr("id + 100 id", "id % 2 * 90D + 0.1D lon", "0D lat")
     got = geo.snap(p, n).groupBy(F.col("id") % 2, "node").count().collect()
     assert sorted(map(tuple, got)) == [(0, 100, 10_000), (1, 101, 10_000)]
+
+
+SQUARES = "SELECT name, array(array(struct(a AS x, a AS y), struct(a + 10D AS x, a AS y), struct(a + 10D AS x, a + 10D AS y), struct(a AS x, a + 10D AS y), struct(a AS x, a AS y))) AS geometry FROM VALUES ('q', 0D), ('r', 5D), ('none', 50D) AS t(name, a)"
+
+
+def test_points_at_one_place_are_summed_first(spark):
+    """A point counts once though its id repeats, and where it has none."""
+    rows = [(1, 6.0, 6.0, 2.0), (1, 2.0, 2.0, 1.0), (2, 6.0, 6.0, 3.0), (None, 6.0, 6.0, 4.0), (3, 12.0, 12.0, None), (4, 40.0, 0.0, 9.0), (5, None, 1.0, 9.0)]
+    p = spark.createDataFrame(rows, "id int, lon double, lat double, v double")
+    got = {r["name"]: (r["n"], r["total"]) for r in geo.summarize_points(p, spark.sql(SQUARES), F.col("v")).collect()}
+    assert got == {"q": (4, 10.0), "r": (4, None), "none": (0, 0.0)}
