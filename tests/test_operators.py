@@ -567,3 +567,10 @@ def test_points_at_one_place_are_summed_first(spark):
     p = spark.createDataFrame(rows, "id int, lon double, lat double, v double")
     got = {r["name"]: (r["n"], r["total"]) for r in geo.summarize_points(p, spark.sql(SQUARES), F.col("v")).collect()}
     assert got == {"q": (4, 10.0), "r": (4, None), "none": (0, 0.0)}
+
+
+def test_clipped_points_by_place(spark):
+    p = spark.createDataFrame([(1, 6.0, 6.0), (1, 40.0, 0.0), (None, 2.0, 2.0), (2, 0.0, 5.0), (3, None, None)], "id int, lon double, lat double")
+    inside = geo.clip_points(p, spark.sql(SQUARES), boundary=False)
+    assert inside.columns == ["id", "lon", "lat"] and {tuple(r) for r in inside.collect()} == {(1, 6.0, 6.0), (None, 2.0, 2.0)}
+    assert geo.clip_points(p, spark.sql(SQUARES)).count() == 3
