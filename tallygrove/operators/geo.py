@@ -204,9 +204,11 @@ def point_grid(polygons: DataFrame, step: float, polygon: str = "geometry", name
     """name, lon, lat: points of a regular grid (multiples of ``step`` degrees) in each polygon."""
     xs, ys = F.flatten(F.transform(polygon, lambda r: F.transform(r, lambda p: p.x))), F.flatten(F.transform(polygon, lambda r: F.transform(r, lambda p: p.y)))
     span = lambda v: F.sequence(F.ceil(F.array_min(v) / step), F.floor(F.array_max(v) / step))
-    g = polygons.select(F.col(name).alias("name"), F.col(polygon).alias("_p"), span(ys).alias("_ys"), F.explode(span(xs)).alias("_i")).withColumn("_j", F.explode("_ys"))
-    g = g.select("name", "_p", (F.col("_i") * step).alias("lon"), (F.col("_j") * step).alias("lat"))
-    return g.where(within(F.col("_p"), F.col("lon"), F.col("lat")) != "Outside").select("name", "lon", "lat")
+    g = polygons.select(F.col(name).alias("name"), F.flatten(F.transform(polygon, _edges)).alias("_edges"), span(ys).alias("_ys"), span(xs).alias("_xs"))
+    # a small file of many polygons is one task, so they are dealt before points are made of them
+    g = g.repartition(tasks(g)).withColumn("_i", F.explode("_xs")).withColumn("_j", F.explode("_ys"))
+    g = g.select("name", "_edges", (F.col("_i") * step).alias("lon"), (F.col("_j") * step).alias("lat"))
+    return g.where(_relation(F.col("_edges"), F.col("lon"), F.col("lat")) != "Outside").select("name", "lon", "lat")
 
 
 def _hull(points: np.ndarray) -> np.ndarray:

@@ -574,3 +574,9 @@ def test_clipped_points_by_place(spark):
     inside = geo.clip_points(p, spark.sql(SQUARES), boundary=False)
     assert inside.columns == ["id", "lon", "lat"] and {tuple(r) for r in inside.collect()} == {(1, 6.0, 6.0), (None, 2.0, 2.0)}
     assert geo.clip_points(p, spark.sql(SQUARES)).count() == 3
+
+
+def test_grid_points_are_made_in_many_tasks(spark):
+    one_task = spark.sql(SQUARES).coalesce(1)
+    grid = geo.point_grid(one_task, 2.5)
+    assert grid.rdd.getNumPartitions() > 1 and {r["name"]: r["count"] for r in grid.groupBy("name").count().collect()} == {"q": 25, "r": 25, "none": 25}
