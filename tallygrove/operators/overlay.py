@@ -297,35 +297,92 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def side_of(df: DataFrame, polygon: str, grid: float) -> float:
-    """A cell for such polygons: four times the mean longer side of their boxes, as a multiple of the grid."""
+def side_of(df: DataFrame, polygon: str, grid: float, times: float = 4) -> float:
+    """A cell for such polygons: four (``times``) times the mean longer side of their boxes, as a multiple of the grid."""
     xs, ys = _coordinates(F.col(polygon), "x"), _coordinates(F.col(polygon), "y")
     side = df.agg(F.avg(F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys)))).first()[0]
-    return max(1, round(4 * (side or 1.0) / grid)) * grid
+    return max(1, round(times * (side or 1.0) / grid)) * grid
+
+
+def shapes_of(df: DataFrame, id_: str, polygon: str) -> tuple[DataFrame, DataFrame]:
+    """shape, rings of the different polygons, and shape, id of each row: equal polygons are laid over others once."""
+    rows = df.select(F.col(id_).alias("id"), _typed(F.col(polygon)).alias("rings")).where("rings is not null").withColumn("code", F.xxhash64("rings"))
+    shapes = stored(rows.select("code", "rings").distinct().withColumn("shape", F.monotonically_increasing_id()), "shapes")
+    return shapes.select("shape", "rings"), rows.join(shapes, ["code", "rings"]).select("shape", "id")
+
+
+def _boxes(column) -> np.ndarray:
+    """West, south, east and north of the rows that are one upright box, of others NaN."""
+    column = _one(column)
+    rings = column.flatten()
+    n_rings = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    n_points = pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.full((len(column), 4), np.nan)
+    row = np.flatnonzero(n_rings == 1)
+    ring = (np.cumsum(n_rings) - n_rings)[row]
+    four = (n_points[ring] == 4) | (n_points[ring] == 5)
+    row, ring = row[four], ring[four]
+    if not len(row):
+        return out
+    xy = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in rings.flatten().flatten()], axis=1)
+    first = (np.cumsum(n_points) - n_points)[ring]
+    p = xy[first[:, None] + np.arange(4)]
+    closed = (n_points[ring] == 4) | (xy[first + n_points[ring] - 1] == xy[first]).all(axis=1)
+    x, y = p[:, :, 0], p[:, :, 1]
+    level = (x[:, 0] == x[:, 3]) & (x[:, 1] == x[:, 2]) & (y[:, 0] == y[:, 1]) & (y[:, 2] == y[:, 3])
+    steep = (x[:, 0] == x[:, 1]) & (x[:, 2] == x[:, 3]) & (y[:, 0] == y[:, 3]) & (y[:, 1] == y[:, 2])
+    good = closed & (level | steep) & (x[:, 0] != x[:, 2]) & (y[:, 0] != y[:, 2]) & np.isfinite(p).all(axis=(1, 2))
+    out[row[good]] = np.concatenate([p[good].min(axis=1), p[good].max(axis=1)], axis=1)
+    return out
+
+
+def _meet(a: np.ndarray, b: np.ndarray, grid: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of boxes: the places of those that overlap, and the closed ring of what they share, as ``overlay`` gives it."""
+    a, b = np.round(a / grid), np.round(b / grid)
+    (w, s), (e, n) = np.maximum(a[:, :2], b[:, :2]).T, np.minimum(a[:, 2:], b[:, 2:]).T
+    some = np.flatnonzero((w < e) & (s < n))
+    w, s, e, n = w[some], s[some], e[some], n[some]
+    return some, np.stack([np.stack([x, y], axis=1) for x, y in ((w, n), (w, s), (e, s), (e, n), (w, n))], axis=1) * grid
 
 
 def clip_polygons(polygons: DataFrame, areas: DataFrame, cell: float | None = None, grid: float = 1e-3, id_: str = "id", area: str = "name", polygon: str = "geometry") -> DataFrame:
     """id, name, geometry (one or more polygons), area of the part of each polygon within each area; empty parts give no row.
 
-    Pairs meet in the cells that both boxes touch, and are laid over each other in the first such cell only.
+    Different polygons meet in the cells that both boxes touch, and are laid over each other in the first such cell only; rows with
+    equal polygons share the part. Upright boxes are compared as such, many at once.
     """
-    cell = cell or side_of(areas, polygon, grid)
-    left = _boxed(polygons.select(F.col(id_).alias("id"), _typed(F.col(polygon)).alias("rings")), "l", cell).withColumnRenamed("rings", "a")
-    right = _boxed(areas.select(F.col(area).alias("name"), _typed(F.col(polygon)).alias("rings")), "r", cell).withColumnRenamed("rings", "b")
+    cell = cell or side_of(areas, polygon, grid, 1)
+    shapes, ids = shapes_of(polygons, id_, polygon)
+    holders, names = shapes_of(areas, area, polygon)
+    left = _boxed(shapes.repartition(tasks(shapes)), "l", cell).withColumnsRenamed({"rings": "a", "shape": "shape_a"})
+    right = _boxed(holders.repartition(tasks(holders)), "r", cell).withColumnsRenamed({"rings": "b", "shape": "shape_b"})
     met = left.join(right, ["cx", "cy"]).where("lw < re AND rw < le AND ls < rn AND rs < ln")
-    met = met.where((F.floor(F.greatest("lw", "rw") / cell) == F.col("cx")) & (F.floor(F.greatest("ls", "rs") / cell) == F.col("cy"))).select("id", "name", "a", "b")
+    met = met.where((F.floor(F.greatest("lw", "rw") / cell) == F.col("cx")) & (F.floor(F.greatest("ls", "rs") / cell) == F.col("cy"))).select("shape_a", "shape_b", "a", "b")
     both = lambda inside: inside[:, 0] & inside[:, 1]
 
     def clip(batches):
+        fields = ["shape_a", "shape_b", "geometry", "area"]
         for batch in batches:
-            parts = [overlay([a, b], both, grid) for a, b in zip(read_rings(batch.column(2)), read_rings(batch.column(3)), strict=True)]
+            a, b = _boxes(batch.column(2)), _boxes(batch.column(3))
+            upright = np.isfinite(a[:, 0]) & np.isfinite(b[:, 0])
+            at = np.flatnonzero(upright)
+            some, rings = _meet(a[at], b[at], grid)
+            if len(some):
+                at, off = pa.array(at[some]), lambda n, step=1: pa.array(np.arange(n + 1, dtype=np.int32) * step)
+                points = pa.StructArray.from_arrays([pa.array(rings[:, :, 0].ravel()), pa.array(rings[:, :, 1].ravel())], names=["x", "y"])
+                one = off(len(some))
+                multi = pa.ListArray.from_arrays(one, pa.ListArray.from_arrays(one, pa.ListArray.from_arrays(off(len(some), 5), points)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), multi, pa.array((rings[:, 2, 0] - rings[:, 0, 0]) * (rings[:, 0, 1] - rings[:, 1, 1]))], names=fields)
+            rest = batch.take(pa.array(np.flatnonzero(~upright)))
+            parts = [overlay([a, b], both, grid) for a, b in zip(read_rings(rest.column(2)), read_rings(rest.column(3)), strict=True)] if len(rest) else []
             full = np.array([i for i, p in enumerate(parts) if p], np.int64)
-            some = [parts[i] for i in full]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), batch.column(1).take(pa.array(full)), write_multi(some), pa.array([_size(p) for p in some], pa.float64())], names=["id", "name", "geometry", "area"])
+            if len(full):
+                shown = [parts[i] for i in full]
+                yield pa.RecordBatch.from_arrays([rest.column(0).take(pa.array(full)), rest.column(1).take(pa.array(full)), write_multi(shown), pa.array([_size(p) for p in shown], pa.float64())], names=fields)
 
-    kinds = dict(met.dtypes)
-    out = met.repartition(tasks(met)).mapInArrow(clip, f"id {kinds['id']}, name {kinds['name']}, geometry {MULTI}, area double")
-    return out.withColumnsRenamed({"id": id_, "name": area})
+    out = met.repartition(tasks(met)).mapInArrow(clip, f"shape_a long, shape_b long, geometry {MULTI}, area double")
+    out = out.join(names.select(F.col("shape").alias("shape_b"), F.col("id").alias("name")), "shape_b").join(ids.withColumnRenamed("shape", "shape_a"), "shape_a")
+    return out.select(F.col("id").alias(id_), F.col("name").alias(area), "geometry", "area")
 
 
 def _union(grid: float):
@@ -364,7 +421,7 @@ def union_cells(polygons: DataFrame, by: str, cell: float, grid: float = 1e-3, p
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(at[:, 0]), pa.array(at[:, 1]), write_rings(rows)], names=["by", "cx", "cy", "rings"])
 
     schema = f"by {kind}, cx long, cy long, rings {RINGS}"
-    some = polygons.select(F.col(by).alias("by"), _typed(F.col(polygon)).alias("rings")).where("rings is not null")
+    some = polygons.select(F.col(by).alias("by"), _typed(F.col(polygon)).alias("rings")).where("rings is not null").distinct()
     pieces = some.mapInArrow(cut, schema).dropDuplicates()
     place = ["by", "cx", "cy"]
     while True:

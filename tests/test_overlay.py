@@ -103,3 +103,21 @@ def test_metres_and_degrees(spark):
 def test_cells_must_fit_the_grid(spark):
     with pytest.raises(Refusal):
         overlay.union_cells(table(spark, []), "g", 1.0005, 1e-3)
+
+
+def test_boxes_meet_as_any_polygons():
+    rng = np.random.default_rng(9)
+    a, b = [np.stack([*(c := rng.integers(0, 12, 2)), *(c + rng.integers(1, 9, 2))]).astype(float) for _ in range(300)], [np.stack([*(c := rng.integers(0, 12, 2)), *(c + rng.integers(1, 9, 2))]).astype(float) for _ in range(300)]
+    corners = lambda q: [np.array([[q[0], q[1]], [q[2], q[1]], [q[2], q[3]], [q[0], q[3]]])]
+    some, rings = overlay._meet(np.array(a), np.array(b), 1e-3)
+    got = dict(zip(some.tolist(), rings, strict=True))
+    for k, (p, q) in enumerate(zip(a, b, strict=True)):
+        want = overlay.overlay([corners(p), corners(q)], lambda inside: inside[:, 0] & inside[:, 1], 1e-3)
+        assert (k in got) == bool(want) and (not want or np.array_equal(want[0][0], got[k]))
+
+
+def test_equal_polygons_share_their_part(spark):
+    p = spark.createDataFrame([(1, [box(0, 0, 10, 10)]), (2, [box(0, 0, 10, 10)]), (None, [box(0, 0, 10, 10)]), (3, [[(0.0, 0.0), (10.0, 0.0), (0.0, 10.0)]])], f"id long, geometry {overlay.RINGS}")
+    a = spark.createDataFrame([("x", [box(5, 5, 10, 10)]), ("y", [box(5, 5, 10, 10)]), ("z", [box(2, 2, 1, 1)])], f"name string, geometry {overlay.RINGS}")
+    got = {(r["id"], r["name"]): r["area"] for r in overlay.clip_polygons(p, a).collect()}
+    assert got == {(i, n): v for i in (1, 2, None) for n, v in (("x", 25), ("y", 25), ("z", 1))} | {(3, "z"): 1}
