@@ -503,19 +503,45 @@ def capsule(x1: Column, y1: Column, x2: Column, y2: Column, radius: Column, segm
     return F.array(F.concat(cap(x2, y2, -np.pi / 2), cap(x1, y1, np.pi / 2)))
 
 
+def _band(rings: list[np.ndarray], distance: float, segments: int) -> list[list[np.ndarray]]:
+    """A polygon and the strips within the distance of its edges (see ``capsule``)."""
+    a, b = np.concatenate(rings), np.concatenate([np.roll(r, -1, axis=0) for r in rings])
+    some = (a != b).any(axis=1)
+    a, b = a[some], b[some]
+    turn = np.arctan2(*(b - a).T[::-1])[:, None] + np.arange(2 * segments + 1) * (np.pi / 2 / segments) - np.pi / 2
+    cap = lambda at, angle: at[:, None] + distance * np.stack([np.cos(angle), np.sin(angle)], axis=2)
+    return [rings, *([strip] for strip in np.concatenate([cap(b, turn), cap(a, turn + np.pi)], axis=1))]
+
+
 def buffer_area(areas: DataFrame, distance: float, segments: int = 8, cell: float | None = None, grid: float = 1e-3, id_: str = "id", polygon: str = "geometry") -> DataFrame:
     """id, geometry, pieces, area: the ground within ``distance`` metres of each area (metres; see ``to_metres``).
 
     Each edge becomes the strip within the distance of it; area and strips are united like any areas of one group, so a long
-    boundary is dealt over cells. A distance of 0 gives the area itself; holes shrink and may close.
+    boundary is dealt over cells; an area of few edges is one small block and is done where it lies. A distance of 0 gives the area
+    itself; holes shrink and may close. Equal areas are done once.
     """
     if not 0 <= distance <= 50_000:
         raise Refusal("a band is 0 to 50,000 metres wide")
-    a = areas.select(F.col(id_).alias("id"), _typed(F.col(polygon)).alias("geometry")).where("geometry is not null")
-    strips = a
-    if distance:
-        edge = F.expr("flatten(transform(geometry, r -> zip_with(r, concat(slice(r, 2, greatest(size(r) - 1, 0)), slice(r, 1, 1)), (p, q) -> struct(p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2))))")
-        edges = a.select("id", F.explode(edge).alias("e")).where("e.x1 <> e.x2 OR e.y1 <> e.y2")
-        strips = a.unionByName(edges.select("id", capsule(F.col("e.x1"), F.col("e.y1"), F.col("e.x2"), F.col("e.y2"), F.lit(float(distance)), segments).alias("geometry")))
-    cell = cell or side_of(a, "geometry", grid)
-    return dissolve(union_cells(strips, "id", cell, grid), "id", grid).withColumnRenamed("id", id_)
+    shapes, ids = shapes_of(areas, id_, polygon)
+    a = shapes.select(F.col("shape").alias("id"), F.col("rings").alias("geometry")).repartition(tasks(shapes))
+    corners = F.coalesce(F.aggregate("geometry", F.lit(0), lambda n, ring: n + F.coalesce(F.size(ring), F.lit(0))), F.lit(0))
+    few, a = a.where(corners < BLOCK_POLYGONS), a.where(corners >= BLOCK_POLYGONS)
+
+    def whole(batches):
+        for batch in batches:
+            parts = read_rings(batch.column(1))
+            done = [overlay(_band(rings, distance, segments) if distance else [rings], lambda inside: inside.any(axis=1), grid) if rings else [] for rings in parts]
+            full = [i for i, out in enumerate(done) if out]
+            some = [done[i] for i in full]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full, pa.int64())), write_multi(some), pa.array([len(p) for p in some], pa.int64()), pa.array([_size(p) for p in some], pa.float64())], names=["shape", "geometry", "pieces", "area"])
+
+    out = few.mapInArrow(whole, f"shape long, geometry {MULTI}, pieces long, area double")
+    if not a.isEmpty():
+        strips = a
+        if distance:
+            edge = F.expr("flatten(transform(geometry, r -> zip_with(r, concat(slice(r, 2, greatest(size(r) - 1, 0)), slice(r, 1, 1)), (p, q) -> struct(p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2))))")
+            edges = a.select("id", F.explode(edge).alias("e")).where("e.x1 <> e.x2 OR e.y1 <> e.y2")
+            strips = a.unionByName(edges.select("id", capsule(F.col("e.x1"), F.col("e.y1"), F.col("e.x2"), F.col("e.y2"), F.lit(float(distance)), segments).alias("geometry")))
+        cell = cell or side_of(a, "geometry", grid)
+        out = out.unionByName(dissolve(union_cells(strips, "id", cell, grid), "id", grid).withColumnRenamed("id", "shape"))
+    return out.join(ids, "shape").select(F.col("id").alias(id_), "geometry", "pieces", "area")

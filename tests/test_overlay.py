@@ -121,3 +121,11 @@ def test_equal_polygons_share_their_part(spark):
     a = spark.createDataFrame([("x", [box(5, 5, 10, 10)]), ("y", [box(5, 5, 10, 10)]), ("z", [box(2, 2, 1, 1)])], f"name string, geometry {overlay.RINGS}")
     got = {(r["id"], r["name"]): r["area"] for r in overlay.clip_polygons(p, a).collect()}
     assert got == {(i, n): v for i in (1, 2, None) for n, v in (("x", 25), ("y", 25), ("z", 1))} | {(3, "z"): 1}
+
+
+def test_equal_areas_have_one_band(spark):
+    rows = [(k, [box(k % 2, 0, 10, 10)]) for k in range(400)]
+    shapes, ids = overlay.shapes_of(spark.createDataFrame(rows, f"id long, geometry {overlay.RINGS}"), "id", "geometry")
+    assert shapes.count() == 2 and ids.count() == 400
+    got = overlay.buffer_area(spark.createDataFrame(rows, f"id long, geometry {overlay.RINGS}"), 1.0, grid=1e-6).collect()
+    assert sorted(r["id"] for r in got) == list(range(400)) and {round(r["area"], 3) for r in got} == {round(140 + 16 * math.sin(math.pi / 16), 3)}
