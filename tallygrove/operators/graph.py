@@ -36,17 +36,65 @@ def chains(cases: DataFrame, case: str, source: str, rounds: int = 40) -> OpResu
     return OpResult(out, {"several": one.where("n_sources > 1").select("case", "n_sources")})
 
 
+FEW = 64  # streets of a node beyond which it is not compared with others
+BLOCK = 1000  # nodes that share their edges, in one row
+
+
+def twins(edges: DataFrame) -> DataFrame:
+    """node, like, other: nodes that have the very same edges (f, t, c) as others, the smallest of them and the next one.
+
+    Costs to and from such nodes agree, so two of them stand for all. Nodes with an edge to themselves or more than ``FEW`` edges are
+    left out, so no list of edges is long.
+    """
+    ends = edges.select(F.col("f").alias("node"), F.lit("out").alias("way"), F.col("t").alias("end"), "c").unionByName(edges.select(F.col("t").alias("node"), F.lit("in").alias("way"), F.col("f").alias("end"), "c"))
+    few = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("node") == F.col("end")).alias("loop")).where((F.col("n") <= FEW) & ~F.col("loop")).select("node")
+    of = stored(ends.join(few, "node").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("way", "end", "c"))).alias("own")), "own")
+    first = of.groupBy("own").agg(F.min("node").alias("like"), F.count(F.lit(1)).alias("n")).where("n > 1").select("own", "like")
+    alike = stored(of.join(first, "own").select("node", "like"), "twins")
+    other = alike.where("node <> like").groupBy("like").agg(F.min("node").alias("other"))
+    return alike.join(other, "like").select("node", "like", "other")
+
+
+def _without(edges: DataFrame, alike: DataFrame) -> DataFrame:
+    """edges (f, t, c) without the nodes that two others stand for."""
+    gone = alike.where("node <> like and node <> other").select("node")
+    return edges.join(gone.withColumnRenamed("node", "f"), "f", "left_anti").join(gone.withColumnRenamed("node", "t"), "t", "left_anti").select("f", "t", "c")
+
+
+def _in_blocks(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key, and the values of each key in arrays of about ``BLOCK``."""
+    n = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_b"))
+    return df.join(n, key).groupBy(key, F.pmod(F.xxhash64(value), F.col("_b")).alias("_k")).agg(F.collect_list(value).alias(f"{value}s")).drop("_k")
+
+
 def reachable(edges: DataFrame, origins: DataFrame, limit: float, both_ways: bool = False, rounds: int = 500) -> DataFrame:
     """origin, node, cost: every node within ``limit`` of an origin (edges: from, to, cost of 0 or more).
 
     Rounds of relaxation: only nodes whose cost fell in the last round are expanded, and costs above the limit never leave the
-    join, so a round handles the frontier of all origins at once.
+    join, so a round handles the frontier of all origins at once. Nodes with the very same edges are searched and found once, as two of
+    them; the rows of all of them are written out at the end, block by block, without a shuffle of such rows.
     """
     e = edges.select(F.col("from").alias("f"), F.col("to").alias("t"), F.col("cost").cast("double").alias("c")).where("c >= 0")
     if both_ways:
         e = e.unionByName(e.select(F.col("t").alias("f"), F.col("f").alias("t"), "c"))
     e = stored(e.groupBy("f", "t").agg(F.min("c").alias("c")), "edges")
-    best = stored(origins.select(F.col("node").alias("origin"), "node").distinct().withColumn("cost", F.lit(0.0)), "reached")
+    starts = origins.select(F.col("node").alias("origin")).distinct()
+    alike = stored(twins(e), "twins")
+    if alike.isEmpty():
+        return _settled(e, starts, limit, rounds)
+    starts = stored(starts.join(alike.select(F.col("node").alias("origin"), "like"), "origin", "left").select("origin", F.coalesce("like", "origin").alias("start")), "starts")
+    found = _settled(stored(_without(e, alike), "edges"), starts.select(F.col("start").alias("origin")).distinct(), limit, rounds).where("origin <> node").withColumnRenamed("origin", "start")
+    # a start that others are like stands for itself; the other one of its kind stands for the rest of them
+    kinds = alike.where("node = like or node = other").select("node", "like")
+    found = found.join(kinds, "node", "left").where("like is null or node = like or start = like").select("start", F.coalesce("like", "node").alias("like"), "node", "cost")
+    nodes = _in_blocks(alike.select("like", "node"), "like", "node")
+    rows = found.join(nodes, "like", "left").select("start", "cost", F.coalesce("nodes", F.array("node")).alias("nodes")).join(_in_blocks(starts, "start", "origin"), "start")
+    rows = rows.repartition(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select(F.explode("origins").alias("origin"), "nodes", "cost").select("origin", F.explode("nodes").alias("node"), "cost").where("origin <> node")
+    return rows.unionByName(starts.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost")))
+
+
+def _settled(e: DataFrame, starts: DataFrame, limit: float, rounds: int) -> DataFrame:
+    best = stored(starts.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost")), "reached")
     front = best
     for _ in range(rounds):
         steps = front.join(e, front.node == e.f).select("origin", F.col("t").alias("node"), (F.col("cost") + F.col("c")).alias("cost")).where(F.col("cost") <= limit)
@@ -58,6 +106,25 @@ def reachable(edges: DataFrame, origins: DataFrame, limit: float, both_ways: boo
     raise RuntimeError("the costs did not settle")
 
 
+def nearest_origin(edges: DataFrame, origins: DataFrame, limit: float, both_ways: bool = False, rounds: int = 500) -> DataFrame:
+    """origin, node, cost: every node within ``limit`` of an origin, with the nearest one (ties: the smaller). Rounds as in
+    ``reachable``, but a node has one row, however many origins reach it."""
+    e = edges.select(F.col("from").alias("f"), F.col("to").alias("t"), F.col("cost").cast("double").alias("c")).where("c >= 0")
+    if both_ways:
+        e = e.unionByName(e.select(F.col("t").alias("f"), F.col("f").alias("t"), "c"))
+    e = stored(e.groupBy("f", "t").agg(F.min("c").alias("c")), "edges")
+    best = stored(origins.select("node", F.struct(F.lit(0.0).alias("cost"), F.col("node").alias("origin")).alias("by")).distinct(), "nearest")
+    front = best
+    for _ in range(rounds):
+        steps = front.join(e, front.node == e.f).select(F.col("t").alias("node"), F.struct((F.col("by.cost") + F.col("c")).alias("cost"), F.col("by.origin").alias("origin")).alias("by")).where(F.col("by.cost") <= limit)
+        steps = steps.groupBy("node").agg(F.min("by").alias("new"))
+        merged = stored(best.join(steps, "node", "full_outer").select("node", F.least("by", "new").alias("by"), (F.col("by").isNull() | (F.col("new") < F.col("by"))).alias("fell")), "nearest")
+        best, front = merged.drop("fell"), merged.where("fell").drop("fell")
+        if front.isEmpty():
+            return best.select("by.origin", "node", "by.cost")
+    raise RuntimeError("the costs did not settle")
+
+
 def travel_bands(reached: DataFrame, cuts: list[float]) -> DataFrame:
     """Nodes with the cost of the nearest origin and the smallest cut that holds it; nodes beyond the last cut go."""
     near = reached.groupBy("node").agg(F.min(F.struct("cost", "origin")).alias("x")).select("node", "x.origin", "x.cost")
