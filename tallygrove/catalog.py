@@ -851,7 +851,7 @@ def snapped(spark: SparkSession, d: str) -> DataFrame:
 def travel_bands(spark: SparkSession, d: str) -> DataFrame:
     s = t(spark, d, "supplier")
     edges = s.select(F.col("s_suppkey").alias("from"), (F.col("s_nationkey") + 1000000).cast("long").alias("to"), (1 + F.col("s_suppkey") % 3).alias("cost"))
-    reached = graph.reachable(edges, s.select(F.col("s_suppkey").alias("node")), 4.0, True)
+    reached = graph.nearest_origin(edges, s.select(F.col("s_suppkey").alias("node")), 4.0, True)
     return graph.travel_bands(reached, [1, 2, 4]).select("node", "cost", "band")
 
 
