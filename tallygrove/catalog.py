@@ -984,8 +984,7 @@ def streets_covered(spark: SparkSession, d: str) -> DataFrame:
     s = t(spark, d, "supplier")
     one = s.select(F.col("s_suppkey").alias("from"), (F.col("s_nationkey") + 1000000).cast("long").alias("to"), (1 + F.col("s_suppkey") % 3).alias("length"))
     both = one.unionByName(one.select(F.col("to").alias("from"), F.col("from").alias("to"), "length"))
-    reached = graph.reachable(both.withColumnRenamed("length", "cost"), s.select(F.col("s_suppkey").alias("node")), 4.0)
-    return network.covered(both, reached, [2.0, 4.0]).groupBy("origin", "limit").agg(F.count(F.lit(1)).alias("streets"), F.sum("covered").alias("covered"))
+    return network.covered_totals(both, s.select(F.col("s_suppkey").alias("node")), [2.0, 4.0])
 
 
 @query()
