@@ -44,12 +44,28 @@ def nearby_pairs(points: DataFrame, within_m: float, id_: str = "id", name: str
 
 
 def dedup_points(points: DataFrame, within_m: float, accept: float = 0.92, review: float = 0.8, **columns: str) -> OpResult:
-    """id, class_id (the smallest id that accepted pairs connect it with). Reports: ``review`` pairs, which wait for a person."""
-    pairs = stored(nearby_pairs(points, within_m, **columns).where(F.col("similarity") >= review), "pairs")
-    links = pairs.where(F.col("similarity") >= accept)
-    id_ = columns.get("id_", "id")
-    state = stored(points.select(F.col(id_).alias("id")).where("id is not null").distinct().withColumn("class_id", F.col("id")), "classes")
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    """id, class_id (the smallest id that accepted pairs connect it with). Reports: ``review`` pairs, which wait for a person.
+
+    Points at one place with one folded name are one record of many copies: only different records are compared, and a pair for review
+    is written out for all copies only when the report is asked for.
+    """
+    source = columns.get("source")
+    c = {k: columns.get(f"{k}_" if k == "id" else k, k) for k in ("id", "name", "lat", "lon")} | ({"source": source} if source else {})
+    given = points.select(*[F.col(v).alias(k) for k, v in c.items()]).where("id is not null")
+    placed = given.where("lat is not null and lon is not null").withColumn("key", folded(F.col("name"))).where("key <> ''")
+    if source:  # only points of different sources are compared, so copies stay apart
+        records = stored(placed.withColumn("first", F.col("id")), "records")
+        of = records.select("id", "first").distinct()
+    else:
+        records = stored(placed.groupBy("lat", "lon", "key").agg(F.min("id").alias("first")), "records")
+        of = stored(placed.join(records, ["lat", "lon", "key"]).select("id", "first").distinct(), "copies")
+    compared = records.select(F.col("first").alias("id"), F.col("key").alias("name"), "lat", "lon", *(["source"] if source else []))
+    pairs = stored(nearby_pairs(compared, within_m, source="source" if source else None).where(F.col("similarity") >= review), "pairs")
+    links = pairs.where(F.col("similarity") >= accept).select("a", "b")
+    least = of.groupBy("id").agg(F.min("first").alias("low"))  # an id at several places links them
+    links = links.unionByName(of.join(least, "id").where("first <> low").select(F.col("first").alias("a"), F.col("low").alias("b"))).where("a <> b").distinct()
+    state = stored(records.select(F.col("first").alias("id")).distinct().withColumn("class_id", F.col("id")), "classes")
+    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     while True:
         offers = both.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class_id").alias("offer"))
         lower = state.join(offers, "id", "left").select("id", F.least("class_id", "offer").alias("low"), "class_id")
@@ -58,7 +74,11 @@ def dedup_points(points: DataFrame, within_m: float, accept: float = 0.92, revie
         state = nxt.drop("fell")
         if not nxt.where("fell").limit(1).count():
             break
-    return OpResult(state, {"review": pairs.where(F.col("similarity") < accept)})
+    joined = least.join(state.withColumnRenamed("id", "low"), "low").select("id", "class_id")
+    out = given.select("id").distinct().join(joined, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+    copies = lambda end, other: of.select(F.col("first").alias(end), F.col("id").alias(other))
+    waiting = pairs.where(F.col("similarity") < accept).join(copies("a", "_a"), "a").join(copies("b", "_b"), "b").where("_a <> _b")
+    return OpResult(out, {"review": waiting.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "distance_m", "similarity")})
 
 
 def one_per_source(records: DataFrame, accepted: DataFrame, source: str = "source", id_: str = "id") -> OpResult:

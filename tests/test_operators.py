@@ -580,3 +580,11 @@ def test_grid_points_are_made_in_many_tasks(spark):
     one_task = spark.sql(SQUARES).coalesce(1)
     grid = geo.point_grid(one_task, 2.5)
     assert grid.rdd.getNumPartitions() > 1 and {r["name"]: r["count"] for r in grid.groupBy("name").count().collect()} == {"q": 25, "r": 25, "none": 25}
+
+
+def test_copies_of_a_point_are_one_record(spark):
+    """Six thousand copies at one place: 18 million pairs, were they compared; a pair for review is still given for all copies."""
+    p = spark.range(1, 6001).selectExpr("id", "'North Clinic' name", "10D lon", "50D lat").unionByName(spark.createDataFrame([(9001, "north clinic.", 10.0001, 50.0), (9002, "North Clonix", 10.0, 50.0)], "id long, name string, lon double, lat double"))
+    out = dedup.dedup_points(p, 50.0, accept=0.99)
+    assert {(r["class_id"], r["count"]) for r in out.df.groupBy("class_id").count().collect()} == {(1, 6001), (9002, 1)}
+    assert out.report["review"].count() == 6001
