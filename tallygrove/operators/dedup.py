@@ -21,6 +21,10 @@ def dedup_table(df: DataFrame, key: Sequence[str], order: str) -> OpResult:
     return OpResult(kept.select(*df.columns), {"groups": first.groupBy("n_rows").agg(F.count(F.lit(1)).alias("n_groups"))})
 
 
+APART = "source_a <> source OR source_a IS NULL OR source IS NULL"  # an unknown source is no source that two points share
+WIDE = 8  # a cell where only points of one name meet, in distances
+
+
 def nearby_pairs(points: DataFrame, within_m: float, id_: str = "id", name: str = "name", lat: str = "lat", lon: str = "lon", source: str | None = None) -> DataFrame:
     """a, b, distance_m, similarity of points within a distance, of different sources if a source column is named.
 
@@ -36,13 +40,49 @@ def nearby_pairs(points: DataFrame, within_m: float, id_: str = "id", name: str
     steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
     moved = p.withColumn("_s", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(t, "ijk", strict=True)]) for t in steps])))
     left = moved.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "name", "lat", "lon", "source")], (F.col("x") + F.col("_s.i")).alias("x"), (F.col("y") + F.col("_s.j")).alias("y"), (F.col("z") + F.col("_s.k")).alias("z"), F.expr("_s.i = 0 AND _s.j = 0 AND _s.k = 0").alias("own"))
-    pairs = left.join(p, ["x", "y", "z"]).where(F.expr("NOT own OR id_a < id")).where("source_a <> source OR source_a IS NULL")
+    pairs = left.join(p, ["x", "y", "z"]).where(F.expr("NOT own OR id_a < id")).where(APART)
     metres = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat"), F.col("lon")) * 1000
     near = pairs.withColumn("distance_m", metres).where(F.col("distance_m") <= within_m)
     out = near.select(F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b"), "distance_m", F.col("name_a"), "name")
     return out.withColumn("similarity", name_similarity(F.col("name_a"), F.col("name"))).drop("name_a", "name")
 
 
+def named_pairs(points: DataFrame, within_m: float, id_: str = "id", name: str = "name", lat: str = "lat", lon: str = "lon", source: str = "source") -> DataFrame:
+    """a, b, distance_m, similarity (1) of those pairs of ``nearby_pairs`` that have one folded name.
+
+    Points meet by cell and name, so a crowded place costs no more than its points; one of a pair stands in every cell that the distance reaches.
+    """
+    s = max(within_m / 6371008.8, 1e-9) * 1.0000001
+    rad = lambda c: F.radians(F.col(c))
+    p = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
+        F.col(id_).alias("id"), folded(F.col(name)).alias("name"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.col(source).alias("source"),
+        *[v.alias(n) for n, v in (("x", F.cos(rad(lat)) * F.cos(rad(lon))), ("y", F.cos(rad(lat)) * F.sin(rad(lon))), ("z", F.sin(rad(lat))))],
+    ).where("name <> ''")
+    cell = lambda v: F.floor(v / (WIDE * s))
+    left = p.withColumnsRenamed({c: f"{c}_a" for c in ("id", "lat", "lon", "source")})
+    for n in "xyz":
+        left = left.withColumn(n, F.explode(F.sequence(cell(F.col(n) - s), cell(F.col(n) + s))))
+    pairs = left.join(p.withColumns({n: cell(F.col(n)) for n in "xyz"}), ["x", "y", "z", "name"]).where("id_a < id").where(APART)
+    metres = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat"), F.col("lon")) * 1000
+    return pairs.select(F.col("id_a").alias("a"), F.col("id").alias("b"), metres.alias("distance_m"), F.lit(1.0).alias("similarity")).where(F.col("distance_m") <= within_m)
+
+
+def alike_pairs(points: DataFrame, within_m: float, least: float, **columns: str) -> DataFrame:
+    """Those pairs of ``nearby_pairs`` whose similarity is ``least`` (above 0) at least.
+
+    Names of which the longer one has n letters and that differ at all are no more alike than 1 - 0.2 / n: Jaro's measure loses 1 / 3n for a letter
+    unmatched or a pair swapped, and the bonus gives back two fifths. So names differ only where the longer one has 0.2 / (1 - least) letters;
+    the shorter one then has 3j - 2 times as many, where j is what Jaro's measure has to reach. Equal names meet by name.
+    """
+    same = named_pairs(points, within_m, **columns).where(F.col("similarity") >= least)
+    if least >= 1:
+        return same
+    j = 1 - (1 - least) / 0.6
+    letters = max(3 * j - 2, 0) * 0.2 / (1 - least) * 0.999
+    long_ = points.where(F.length(folded(F.col(columns.get("name", "name")))) >= letters)
+    return same.unionByName(nearby_pairs(long_, within_m, **columns).where((F.col("similarity") >= least) & (F.col("similarity") < 1)))
+
+
 def dedup_points(points: DataFrame, within_m: float, accept: float = 0.92, review: float = 0.8, **columns: str) -> OpResult:
     """id, class_id (the smallest id that accepted pairs connect it with). Reports: ``review`` pairs, which wait for a person.
 
@@ -117,13 +157,18 @@ def dedup_sources(points: DataFrame, within_m: float, near_m: float, fuzzy: floa
     ``match`` on, for review from ``review`` on. ``decisions`` (a, b, decision, and optionally name_a, name_b) settle pairs for review; one whose
     names are no longer those decided on counts no more. Matches and pairs decided as such join by score, then distance.
     Records without a place are classes of their own. Reports: ``candidates`` (a, b, distance_m, similarity, score, class, decided), ``rejected``.
+
+    Candidates are all pairs at a place, so they are only made when that report is asked for. Where a match needs both points, matches are
+    sought by name (``alike_pairs``), and decided pairs are looked up.
     """
     if not review <= match or not 0 <= near_m <= within_m:
         raise Refusal("review needs less than a match, and near is within the distance that is looked at")
-    id_, name = columns.get("id_", "id"), columns.get("name", "name")
-    pairs = nearby_pairs(points, within_m, source=source, **columns)
+    columns = {k: columns.get(k, k.rstrip("_")) for k in ("id_", "name", "lat", "lon")} | {"source": source}
+    id_, name = columns["id_"], columns["name"]
     score = F.when(F.coalesce(F.col("similarity") >= fuzzy, F.lit(False)), 1).otherwise(0) + F.when(F.col("distance_m") <= near_m, 1).otherwise(0)
-    c = pairs.withColumn("score", score).withColumn("class", F.when(F.col("score") >= match, "match").when(F.col("score") >= review, "review").otherwise("non-match"))
+    kind = F.when(F.col("score") >= match, "match").when(F.col("score") >= review, "review").otherwise("non-match")
+    scored = lambda pairs: pairs.withColumn("score", score).withColumn("class", kind)
+    c, d = scored(nearby_pairs(points, within_m, **columns)), None
     if decisions is None:
         c = c.withColumn("decided", F.lit(None).cast("string"))
     else:
@@ -131,8 +176,25 @@ def dedup_sources(points: DataFrame, within_m: float, near_m: float, fuzzy: floa
         d = decisions.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("decision").alias("decided"), *[(F.when(F.col("a") < F.col("b"), F.col(f"name_{x}")).otherwise(F.col(f"name_{y}")) if f"name_{x}" in decisions.columns else F.lit(None).cast("string")).alias(f"_{x}") for x, y in ("ab", "ba")])
         for end in "ab":
             d = d.join(names.withColumnsRenamed({"_i": end, "_n": f"_now_{end}"}), end).where(f"_{end} is null or _{end} <=> _now_{end}")
-        c = c.join(d.select("a", "b", "decided"), ["a", "b"], "left").withColumn("decided", F.when(F.col("class") == "review", F.col("decided")))
-    c = stored(c, "candidates")
-    accepted = c.where("class = 'match' OR decided = 'match'").select("a", "b", F.struct((-F.col("score")).alias("s"), "distance_m").alias("rank"))
+        d = stored(d.select("a", "b", "decided").distinct(), "decisions")
+        c = c.join(d, ["a", "b"], "left").withColumn("decided", F.when(F.col("class") == "review", F.col("decided")))
+    if match < 2 or fuzzy <= 0:  # lying near is a match by itself, so all pairs at a place are matches
+        c = stored(c, "candidates")
+        accepted = c.where("class = 'match' OR decided = 'match'")
+    else:
+        accepted = scored(alike_pairs(points, near_m, fuzzy, **columns)).where("class = 'match'")
+        if d is not None:
+            accepted = accepted.unionByName(scored(_looked_up(points, d.where("decided = 'match'"), within_m, **columns)).where("class = 'review'"))
+    accepted = accepted.select("a", "b", F.struct((-F.col("score")).alias("s"), "distance_m").alias("rank"))
     out = one_per_source(points, accepted, source, id_)
     return OpResult(out.df, out.report | {"candidates": c})
+
+
+def _looked_up(points: DataFrame, pairs: DataFrame, within_m: float, id_: str, name: str, lat: str, lon: str, source: str) -> DataFrame:
+    """Of given pairs (a, b) those that ``nearby_pairs`` has, as it gives them."""
+    p = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(id_).alias("id"), folded(F.col(name)).alias("name"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.col(source).alias("source"))
+    left = p.withColumnsRenamed({"id": "a"} | {c: f"{c}_a" for c in ("name", "lat", "lon", "source")})
+    both = pairs.where("a < b").join(left, "a").join(p.withColumnRenamed("id", "b"), "b").where(APART)
+    metres = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat"), F.col("lon")) * 1000
+    near = both.withColumn("distance_m", metres).where(F.col("distance_m") <= within_m)
+    return near.select("a", "b", "distance_m", name_similarity(F.col("name_a"), F.col("name")).alias("similarity"))

@@ -125,6 +125,28 @@ def test_points_of_several_sources(spark):
         dedup.dedup_sources(points, 10.0, 50.0)
 
 
+def test_crowded_places_of_several_sources(spark):
+    """Six thousand records of two sources at one place: nine million pairs of names, were they compared."""
+    p = spark.range(6000).selectExpr("id", "concat('Clinic ', id % 3000) name", "10D lon", "50D lat", "if(id < 3000, 'a', 'b') source")
+    out = dedup.dedup_sources(p, 100.0, 50.0, fuzzy=0.999)
+    assert out.df.where("class_id <> id % 3000").count() == 0 and out.df.count() == 6000
+    few = p.where("id % 3000 < 20")
+    assert few.count() == 40 and dedup.dedup_sources(few, 100.0, 50.0, fuzzy=0.999).report["candidates"].count() == 400
+
+
+def test_alike_pairs_are_those_of_all_pairs(spark):
+    """Short and long names, equal, swapped, longer by a letter, over cells and the date line, sources known or not."""
+    base = "".join(chr(97 + i * 7 % 26) for i in range(260))
+    names = ["Hill", "Hlil", "Hill.", "Hills", base, base[:100] + base[101] + base[100] + base[102:], base + "q", base[:-1], "", None]
+    rows = [(i * 100 + j * 10 + k, n, 179.9999 + j * 0.00015 - (360 if j > 0 else 0), 12.0 + k * 0.00021, [None, "a", "b"][(i + j + k) % 3]) for i, n in enumerate(names) for j in range(3) for k in range(3)]
+    p = spark.createDataFrame(rows, "id long, name string, lon double, lat double, source string")
+    got = lambda df: sorted((r["a"], r["b"], round(r["distance_m"], 6), round(r["similarity"], 9)) for r in df.collect())
+    for least in (0.88, 0.995, 0.999, 1.0):
+        every = got(dedup.nearby_pairs(p, 30.0, source="source").where(F.col("similarity") >= least))
+        assert got(dedup.alike_pairs(p, 30.0, least, source="source")) == every and every
+    assert 0 < dedup.alike_pairs(p, 30.0, 0.999, source="source").where("similarity < 1").count()
+
+
 def test_tables_on_areas_say_what_fails(spark):
     areas = spark.createDataFrame([("North", "u1"), ("South", "u2"), ("south", "u3"), ("Isles", "u4"), ("Isles", "u4"), ("Empty", "u5")], "area string, unit string")
     rows = spark.createDataFrame([("north", 1.0, "red"), ("South ", 2.0, "blue"), ("SOUTH", 3.0, "blue"), ("Isles", 4.0, None), ("Isles", 5.0, None), (None, 6.0, None), ("Nowhere", 7.0, "red")], "place string, v double, company string")
