@@ -28,6 +28,7 @@ from tallygrove.report import OpResult, Refusal, stored
 RINGS = "array<array<struct<x: double, y: double>>>"
 MULTI = f"array<{RINGS}>"
 BLOCK_POLYGONS, BLOCK_CORNERS = 64, 4000  # of one cell that meet in one task
+BLOCK_BOXES = 2048  # upright boxes of one cell that meet in one task
 MERGED = 16  # cells of a group that are merged at once; of more, four neighbours at a time
 TURN = 0.7372773  # radians by which edges are turned while sides are told, so that none is upright
 STABS = 1 << 22
@@ -214,6 +215,18 @@ def _cut(rings: list[np.ndarray], axis: int, cell: float) -> Iterator[tuple[int,
             yield k, part
 
 
+def _cut_boxes(boxes: np.ndarray, cell: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of upright boxes in the cells of the grid: the box each comes from, the cell (cx, cy) and four corners."""
+    first = np.floor(boxes[:, :2] / cell).astype(np.int64)
+    size = np.maximum(first, np.ceil(boxes[:, 2:] / cell).astype(np.int64) - 1) - first + 1
+    count = size.prod(axis=1)
+    i = np.repeat(np.arange(len(boxes)), count)
+    k = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    at = first[i] + np.stack([k // size[i, 1], k % size[i, 1]], axis=1)
+    low, high = np.maximum(boxes[i, :2], at * cell), np.minimum(boxes[i, 2:], (at + 1) * cell)
+    return i, at, np.stack([low, np.stack([high[:, 0], low[:, 1]], axis=1), high, np.stack([low[:, 0], high[:, 1]], axis=1)], axis=1)
+
+
 # --- Arrow columns -----------------------------------------------------------------------------------------------------
 
 
@@ -385,12 +398,48 @@ def clip_polygons(polygons: DataFrame, areas: DataFrame, cell: float | None = No
     return out.select(F.col("id").alias(id_), F.col("name").alias(area), "geometry", "area")
 
 
+def _united(boxes: np.ndarray, grid: float) -> list[list[np.ndarray]]:
+    """The union of upright boxes, as ``overlay`` gives it: their sides cut the ground into fields, which are counted, not crossed."""
+    w, s, e, n = np.round(boxes / grid).T
+    some = (w < e) & (s < n)
+    w, s, e, n = w[some], s[some], e[some], n[some]
+    if not len(w):
+        return []
+    xs, ys = np.unique(np.concatenate([w, e])), np.unique(np.concatenate([s, n]))
+    count = np.zeros((len(xs), len(ys)), np.int32)
+    for x, y, sign in ((w, s, 1), (e, s, -1), (w, n, -1), (e, n, 1)):
+        np.add.at(count, (np.searchsorted(xs, x), np.searchsorted(ys, y)), sign)
+    held = np.cumsum(np.cumsum(count, axis=0), axis=1) > 0  # the field east of xs[i] and north of ys[j]
+    start, end = [], []
+
+    def sides(on: np.ndarray, along: int, ahead: bool) -> None:
+        """Runs of sides, each one edge from corner to corner (i, j)."""
+        on = np.pad(on.T if along == 0 else on, ((0, 0), (1, 1)))
+        first, last = np.argwhere(on[:, 1:] & ~on[:, :-1]), np.argwhere(~on[:, 1:] & on[:, :-1])
+        first, last = (first[:, ::-1], last[:, ::-1]) if along == 0 else (first, last)
+        start.append(first if ahead else last)
+        end.append(last if ahead else first)
+
+    south, west = np.pad(held, ((0, 0), (1, 0)))[:, :-1], np.pad(held, ((1, 0), (0, 0)))[:-1]
+    sides(held & ~south, 0, True)  # the area is on the left
+    sides(south & ~held, 0, False)
+    sides(held & ~west, 1, False)
+    sides(west & ~held, 1, True)
+    corners, ids = np.unique(np.concatenate(start + end) @ np.array([len(ys), 1]), return_inverse=True)
+    shift = np.array([xs[0], ys[0]])
+    points = np.stack([xs[corners // len(ys)], ys[corners % len(ys)]], axis=1) - shift
+    return _joined(points, ids[: len(ids) // 2], ids[len(ids) // 2 :], shift, grid)
+
+
 def _union(grid: float):
     """The union of the polygons of a group, as one even-odd set of rings."""
 
     def run(key, table):
-        parts = read_rings(table["rings"])
-        polygons = overlay(parts, lambda inside: inside.any(axis=1), grid)
+        boxes = _boxes(table["rings"])
+        if np.isfinite(boxes).all():
+            polygons = _united(boxes, grid)
+        else:
+            polygons = overlay(read_rings(table["rings"]), lambda inside: inside.any(axis=1), grid)
         rows = [[ring for p in polygons for ring in p]] if polygons else []
         names = [n for n in table.column_names if n not in ("rings", "block")]
         return pa.table({**{n: table[n].slice(0, len(rows)) for n in names}, "rings": write_rings(rows)})
@@ -402,41 +451,56 @@ def union_cells(polygons: DataFrame, by: str, cell: float, grid: float = 1e-3, p
     """by, cx, cy, rings: the union of each group's polygons, cut at the cells of a grid (even-odd rings).
 
     Polygons are cut at the cells where they are read. A cell's pieces are united in blocks of bounded size, their unions again,
-    until one is left, so neither a group nor a full cell meets in one task.
+    until one is left, so neither a group nor a full cell meets in one task. Upright boxes are united many at once.
     """
     if round(cell / grid) * grid != cell and abs(round(cell / grid) * grid - cell) > grid * 1e-6:
         raise Refusal("a cell is a multiple of the grid")
     kind = dict(polygons.dtypes)[by]
 
     def cut(batches):
+        fields = ["by", "cx", "cy", "rings", "box"]
         for batch in batches:
+            boxes = _boxes(batch.column(1))
+            at = np.flatnonzero(np.isfinite(boxes[:, 0]))
+            if len(at):
+                i, cells, corners = _cut_boxes(boxes[at], cell)
+                off = lambda n, step: pa.array(np.arange(n + 1, dtype=np.int32) * step)
+                points = pa.StructArray.from_arrays([pa.array(corners[:, :, 0].ravel()), pa.array(corners[:, :, 1].ravel())], names=["x", "y"])
+                rings = pa.ListArray.from_arrays(off(len(i), 1), pa.ListArray.from_arrays(off(len(i), 4), points))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[i])), pa.array(cells[:, 0]), pa.array(cells[:, 1]), rings, pa.array(np.ones(len(i), bool))], names=fields)
+            batch = batch.take(pa.array(np.flatnonzero(~np.isfinite(boxes[:, 0]))))
             rows, keys, cells = [], [], []
-            for i, rings in enumerate(read_rings(batch.column(1))):
+            for i, rings in enumerate(read_rings(batch.column(1)) if len(batch) else []):
                 for cx, strip in _cut(rings, 0, cell) if rings else ():
                     for cy, part in _cut(strip, 1, cell):
                         rows.append(part)
                         keys.append(i)
                         cells.append((cx, cy))
-            at = np.array(cells, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(at[:, 0]), pa.array(at[:, 1]), write_rings(rows)], names=["by", "cx", "cy", "rings"])
+            if rows:
+                at = np.array(cells, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(at[:, 0]), pa.array(at[:, 1]), write_rings(rows), pa.array(np.zeros(len(rows), bool))], names=fields)
 
     schema = f"by {kind}, cx long, cy long, rings {RINGS}"
     some = polygons.select(F.col(by).alias("by"), _typed(F.col(polygon)).alias("rings")).where("rings is not null").distinct()
-    pieces = some.mapInArrow(cut, schema).dropDuplicates()
+    pieces = some.mapInArrow(cut, f"{schema}, box boolean").dropDuplicates()
     place = ["by", "cx", "cy"]
+    blocks = lambda n, corners: F.greatest(F.ceil(n / BLOCK_POLYGONS), F.least(F.ceil(corners / BLOCK_CORNERS), F.ceil(n / 2)))
     while True:
         pieces = stored(pieces, "pieces")
         corners = F.aggregate("rings", F.lit(0), lambda s, ring: s + F.size(ring))
-        load = pieces.groupBy(*[F.col(c).alias(f"_{c}") for c in place]).agg(F.count(F.lit(1)).alias("n"), F.sum(corners).alias("corners"))
-        load = stored(load.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK_POLYGONS), F.least(F.ceil(F.col("corners") / BLOCK_CORNERS), F.ceil(F.col("n") / 2)))), "load")
-        last = load.where("blocks > 1").isEmpty()
+        load = pieces.groupBy(*[F.col(c).alias(f"_{c}") for c in place]).agg(F.count(F.lit(1)).alias("n"), F.sum(corners).alias("corners"), F.count_if("box").alias("n_box"), F.sum(F.when(F.col("box"), 0).otherwise(corners)).alias("other_corners"))
+        load = load.withColumns({"boxed": F.ceil(F.col("n_box") / BLOCK_BOXES), "others": blocks(F.col("n") - F.col("n_box"), F.col("other_corners"))})
+        load = stored(load.withColumn("one", (blocks(F.col("n"), F.col("corners")) <= 1) | (F.col("boxed") + F.col("others") <= 1)), "load")
+        last = load.where("not one").isEmpty()
         same = F.lit(True)
         for c in place:
             same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-        dealt = pieces.join(load, same).select(*place, "rings", F.pmod(F.xxhash64("rings"), F.col("blocks")).alias("block"))
+        block = F.when(F.col("one"), 0).when(F.col("box"), F.pmod(F.xxhash64("rings"), F.greatest("boxed", F.lit(1)))).otherwise(-1 - F.pmod(F.xxhash64("rings"), F.greatest("others", F.lit(1))))
+        dealt = pieces.join(load, same).select(*place, "rings", block.alias("block"))
         pieces = dealt.repartition(tasks(dealt), *place, "block").groupBy(*place, "block").applyInArrow(_union(grid), schema)
         if last:
             return stored(pieces, "cells").withColumnRenamed("by", by)
+        pieces = pieces.withColumn("box", F.lit(False))
 
 
 def dissolve(cells: DataFrame, by: str, grid: float = 1e-3) -> DataFrame:

@@ -129,3 +129,33 @@ def test_equal_areas_have_one_band(spark):
     assert shapes.count() == 2 and ids.count() == 400
     got = overlay.buffer_area(spark.createDataFrame(rows, f"id long, geometry {overlay.RINGS}"), 1.0, grid=1e-6).collect()
     assert sorted(r["id"] for r in got) == list(range(400)) and {round(r["area"], 3) for r in got} == {round(140 + 16 * math.sin(math.pi / 16), 3)}
+
+
+def test_boxes_are_united_as_other_polygons():
+    """Boxes that overlap, touch along sides and at corners, lie in each other, leave holes, or vanish on the grid."""
+    rng = np.random.default_rng(5)
+    for n, side in ((1, 4), (6, 8), (40, 30), (300, 60), (300, 200)):
+        low = rng.integers(-side, side, (n, 2))
+        boxes = np.concatenate([low, low + rng.integers(1, 12, (n, 2))], axis=1).astype(float)
+        ring = lambda w, s, e, t: np.array([[w, s], [e, s], [e, t], [w, t]])
+        want = overlay.overlay([[ring(*b)] for b in boxes], lambda inside: inside.any(axis=1), 1e-3)
+        got = overlay._united(boxes, 1e-3)
+        shapes = lambda polygons: sorted(sorted(tuple(sorted(map(tuple, r[:-1].round(3).tolist()))) for r in p) for p in polygons)
+        assert overlay._size(got) == pytest.approx(overlay._size(want)) and shapes(got) == shapes(want)
+        i, at, corners = overlay._cut_boxes(boxes, 5.0)
+        assert np.ptp(corners, axis=1).prod(axis=1).sum() == (boxes[:, 2:] - boxes[:, :2]).prod(axis=1).sum() and (np.ptp(corners, axis=1) > 0).all()
+        assert (corners >= at[:, None] * 5.0).all() and (corners <= at[:, None] * 5.0 + 5.0).all() and set(i.tolist()) == set(range(n))
+    assert overlay._united(np.array([[0.1, 0.0, 0.2, 5.0]]), 1.0) == []
+
+
+def test_boxes_of_a_full_cell_meet_in_few_blocks(spark, monkeypatch):
+    """Boxes and other polygons of one cell, more than a block of each: the same area as in one block."""
+    rows = [("a", k % 31 * 1.0, k % 23 * 1.0, 3.0, 2.0, k % 10 == 0) for k in range(700)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, w double, h double, cut boolean")
+    corner = "struct(x + {} AS x, y + {} AS y)"
+    ring = lambda *at: "array(" + ", ".join(corner.format(*p) for p in at) + ")"
+    df = df.selectExpr("g", f"array(if(cut, {ring((0, 0), ('w', 0), (0, 'h'))}, {ring((0, 0), ('w', 0), ('w', 'h'), (0, 'h'))})) AS geometry")
+    one = overlay.combined_area(df, "g", cell=100.0).report["areas"].first()
+    monkeypatch.setattr(overlay, "BLOCK_BOXES", 100)
+    some = overlay.combined_area(df, "g", cell=100.0).report["areas"].first()
+    assert one["parts"] == some["parts"] == 700 and one["combined_area"] == pytest.approx(some["combined_area"], abs=1e-6) and one["overlap"] > 0
