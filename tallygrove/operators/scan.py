@@ -2,15 +2,21 @@
 
 Cases are first counted by place and day. Circles grow around every place over its neighbours within ``radius_km`` by a grid
 join; inside a circle, cases are cumulated over distance and time by windows, so every cylinder is one row of an aggregation.
-Chance is measured by shuffling the days among the cases; replications are rows of one job, each with its own seed.
+Chance is measured by shuffling the days among the cases; replications are rows of one job, each with its own seed. Cases of one place
+and day are alike, so only counts are drawn: places keep their cases and days theirs, and the work doesn't grow with the cases of a place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrove.functions.values import EARTH_KM, haversine_km
+from tallygrove.operators.overlay import tasks
 from tallygrove.report import OpResult, Refusal, stored
 
 
@@ -63,6 +69,52 @@ def _nth(rows: DataFrame, key: Column) -> DataFrame:
     return dealt.withColumn("inside", inside).join(F.broadcast(before), ["rep", "part"]).withColumn("nth", F.col("inside") + F.col("before")).drop("key", "part", "inside", "before")
 
 
+CHUNK = 1024  # places that are dealt their days in one task
+MOST_COUNTED = 10**9  # cases that numpy draws among; more are shuffled one by one
+
+
+def _margins(rng: np.random.Generator, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A table with such sums of rows and columns, drawn as if single cases were shuffled."""
+    if sizes.sum() <= len(sizes) * len(counts):
+        who, what = np.repeat(np.arange(len(sizes)), sizes), rng.permutation(np.repeat(np.arange(len(counts)), counts))
+        return np.bincount(who * len(counts) + what, minlength=len(sizes) * len(counts)).reshape(len(sizes), len(counts))
+    out, left = np.zeros((len(sizes), len(counts)), np.int64), counts.copy()
+    for row, size in zip(out, sizes, strict=True):
+        row[:] = rng.multivariate_hypergeometric(left, size, method="marginals")
+        left -= row
+    return out
+
+
+def _redealt(cells: DataFrame, replications: int, seed: int) -> DataFrame:
+    """place, day, cases, rep: the days of all cases dealt anew to the places, first to chunks of places, then within each chunk."""
+    spark = cells.sparkSession
+    of_place = stored(cells.groupBy("place").agg(F.sum("cases").alias("n")), "places")
+    chunks = max(1, -(-of_place.count() // CHUNK))
+    parts = of_place.groupBy(F.pmod("place", F.lit(chunks)).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("x"))
+    parts = stored(parts.select("chunk", F.col("x.place").alias("places"), F.col("x.n").alias("sizes")), "chunks")
+    of_day = cells.groupBy(F.unix_date("day").alias("day")).agg(F.sum("cases").alias("n")).agg(F.sort_array(F.collect_list(F.struct("day", "n"))).alias("d")).select(F.col("d.day").alias("days"), F.col("d.n").alias("of_days"))
+    of_chunk = parts.select("chunk", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n).alias("n")).agg(F.sort_array(F.collect_list(F.struct("chunk", "n"))).alias("c")).select(F.col("c.chunk").alias("chunks"), F.col("c.n").alias("of_chunks"))
+    reps = spark.range(1, replications + 1, 1, min(replications, tasks(cells))).withColumnRenamed("id", "rep")
+
+    def to_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x in pdf.itertuples(index=False):
+                table = _margins(np.random.default_rng([seed, x.rep]), np.array(x.of_chunks), np.array(x.of_days))
+                yield pd.DataFrame({"rep": x.rep, "chunk": x.chunks, "days": [x.days] * len(table), "counts": list(table)})
+
+    def to_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x in pdf.itertuples(index=False):
+                table = _margins(np.random.default_rng([seed, x.rep, x.chunk + 1]), np.array(x.sizes), np.array(x.counts))
+                i, j = np.nonzero(table)
+                yield pd.DataFrame({"place": np.array(x.places)[i], "day": np.array(x.days)[j], "cases": table[i, j], "rep": x.rep})
+
+    both = reps.crossJoin(F.broadcast(of_chunk)).crossJoin(F.broadcast(of_day))  # one row of sums, a number for a day and for a chunk
+    dealt = both.mapInPandas(to_chunks, "rep long, chunk long, days array<int>, counts array<long>").join(parts, "chunk")
+    drawn = dealt.repartition(tasks(cells), "rep", "chunk").mapInPandas(to_places, "place long, day int, cases long, rep int")
+    return drawn.withColumn("day", F.date_from_unix_date("day"))
+
+
 def _picked(real: DataFrame, circles: DataFrame, most: int) -> DataFrame:
     """The strongest cylinder, then the strongest that shares no place with a picked one, until there are ``most``."""
     spark, picks = real.sparkSession, []
@@ -90,12 +142,16 @@ def space_time_scan(cases: DataFrame, radius_km: float, days: int, replications:
     known = rows.where("lat is not null and lon is not null and day is not null")
     known = stored(known.withColumn("place", F.xxhash64("lat", "lon")), "cases")
     circles = stored(_circles(known.select("place", "lat", "lon").distinct(), radius_km), "circles")
-    cells = known.groupBy("place", "day").agg(F.count(F.lit(1)).alias("cases")).withColumn("rep", F.lit(0))
-    spread = known.select("id", "place", "day", F.explode(F.sequence(F.lit(1), F.lit(replications))).alias("rep"))
-    places = _nth(spread.select("rep", "id", "place"), F.xxhash64("id", "rep", F.lit(seed))).drop("id")
-    drawn = _nth(spread.select("rep", "id", "day"), F.xxhash64("id", "rep", F.lit(seed + 1))).drop("id")
-    shuffled = places.join(drawn, ["rep", "nth"]).groupBy("place", "day", "rep").agg(F.count(F.lit(1)).alias("cases"))
-    found = _cylinders(cells.unionByName(shuffled), circles, ["rep"], days, share).withColumn("llr", llr(F.col("cases"), F.col("expected"), F.col("n")))
+    cells = stored(known.groupBy("place", "day").agg(F.count(F.lit(1)).alias("cases")), "cells")
+    if (cells.agg(F.sum("cases")).first()[0] or 0) < MOST_COUNTED:
+        shuffled = _redealt(cells, replications, seed)
+    else:
+        spread = known.select("id", "place", "day", F.explode(F.sequence(F.lit(1), F.lit(replications))).alias("rep"))
+        places = _nth(spread.select("rep", "id", "place"), F.xxhash64("id", "rep", F.lit(seed))).drop("id")
+        drawn = _nth(spread.select("rep", "id", "day"), F.xxhash64("id", "rep", F.lit(seed + 1))).drop("id")
+        shuffled = places.join(drawn, ["rep", "nth"]).groupBy("place", "day", "rep").agg(F.count(F.lit(1)).alias("cases"))
+    cells = stored(cells.withColumn("rep", F.lit(0)).unionByName(shuffled), "cells")
+    found = _cylinders(cells, circles, ["rep"], days, share).withColumn("llr", llr(F.col("cases"), F.col("expected"), F.col("n")))
     circle = F.when(F.col("rep") == 0, F.col("km")).alias("circle")  # of a shuffle only the top counts
     found = stored(found.groupBy("rep", "centre", circle).agg(F.max(F.struct("llr", -F.col("km"), -F.col("run"), "end", "cases", "expected", "km", "run")).alias("b")).select("rep", "centre", "b.llr", "b.end", "b.cases", "b.expected", "b.km", "b.run"), "cylinders")
     tops = found.where("rep > 0").groupBy("rep").agg(F.max("llr").alias("top"))

@@ -588,3 +588,33 @@ def test_copies_of_a_point_are_one_record(spark):
     out = dedup.dedup_points(p, 50.0, accept=0.99)
     assert {(r["class_id"], r["count"]) for r in out.df.groupBy("class_id").count().collect()} == {(1, 6001), (9002, 1)}
     assert out.report["review"].count() == 6001
+
+
+def test_days_are_dealt_by_counts(spark, monkeypatch):
+    """Each shuffle keeps the cases of places and of days, over several chunks as in one, and cells differ about what is expected."""
+    import numpy as np
+
+    cells = spark.range(60).selectExpr("id % 12 * 7 - 20 place", "date_add(DATE'2024-01-01', cast(id / 12 as int)) day", "id % 7 * 50 + id % 12 + 1 cases")
+    sums = lambda df, key: {(r["rep"], r[key]): r["n"] for r in df.groupBy("rep", key).agg(F.sum("cases").alias("n")).collect()}
+    real = cells.withColumn("rep", F.lit(0))
+    for chunk in (1024, 5):
+        monkeypatch.setattr(scan, "CHUNK", chunk)
+        drawn = scan._redealt(cells, 40, 3).cache()
+        for key in ("place", "day"):
+            want, got = sums(real, key), sums(drawn, key)
+            assert len(got) == 40 * len(want) and all(n == want[0, k] for (_, k), n in got.items())
+        n = sum(sums(real, "day").values())
+        mean = drawn.groupBy("place", "day").agg((F.sum("cases") / 40).alias("m")).collect()
+        for r in mean:
+            e = sums(real, "place")[0, r["place"]] * sums(real, "day")[0, r["day"]] / n
+            assert abs(r["m"] - e) < 5 * (e / 40) ** 0.5
+        assert drawn.groupBy("place", "day").agg(F.count_distinct("cases").alias("k")).agg(F.min("k")).first()[0] > 5
+    few = scan._margins(np.random.default_rng(1), np.array([1, 2, 0]), np.array([2, 0, 1, 0]))
+    assert few.sum(axis=1).tolist() == [1, 2, 0] and few.sum(axis=0).tolist() == [2, 0, 1, 0]
+
+
+def test_many_cases_of_few_places_are_scanned(spark):
+    """Four hundred thousand cases: 40 million rows to sort, were cases shuffled one by one."""
+    df = spark.range(400_000).selectExpr("id", "id % 5 * 0.2D lat", "0D lon", "date_add(DATE'2024-01-01', cast(id % 11 as int)) date").unionByName(spark.range(3000).selectExpr("id + 1000000 id", "0.2D lat", "0D lon", "DATE'2024-01-04' date"))
+    top = scan.space_time_scan(df, 5.0, 2, replications=99).df.orderBy(F.desc("llr")).first()
+    assert top["lat"] == pytest.approx(0.2) and str(top["start"]) == str(top["end"]) == "2024-01-04" and top["p"] == pytest.approx(0.01)
