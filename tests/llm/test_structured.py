@@ -227,3 +227,17 @@ def test_language_columns_replace_those_of_the_same_name(spark):
     out = langid.identify(docs, model)
     assert out.columns == ["text", "lang_id", "told", "lang_pred", "lang_score", "lang_rejected"]
     assert out.first()["lang_id"] == "mine" and out.first()["lang_pred"] == "en"
+
+
+def test_blanks_and_lines_of_page_text(spark):
+    """Runs of blanks and line ends as plain expressions give them, at random and at the ends."""
+    import random
+
+    draw = random.Random(3)
+    texts = ["", " ", "\n", " \n ", "a", "\ta\n"] + ["".join(draw.choice("  \n\n\t\r\f\x0bab\u00a0\u00e9") for _ in range(draw.randrange(1, 24))) for _ in range(600)]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    tidy = lambda x: re.sub(r"^[ \n]+|[ \n]+\Z", "", re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f\x0b]+", " ", x)))
+    assert [r[0] for r in df.select(warc._tidy(F.col("t"))).collect()] == [tidy(x) for x in texts]
+    whole = df.select(warc.untagged(F.col("t")).alias("u")).select(warc._tidy(F.col("u")))
+    assert [r[0] for r in whole.collect()] == [re.sub(r"[ \t\n\x0b\f\r]+", " ", x).strip(" ") for x in texts]
+    assert "regexp_replace(t, ^" not in warc._tidy(F.col("t"))._jc.toString() and warc._tidy(F.col("t"))._jc.toString().count("regexp_replace") == 2
