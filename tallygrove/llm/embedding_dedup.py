@@ -1,22 +1,26 @@
-"""Near-duplicate embeddings through a robust-pruned flat graph.
+"""Near-duplicate embeddings through robust-pruned graphs of the vectors that have a near one.
 
-Build. A bounded sample of the vectors (``SAMPLE``) gives cluster centres; every vector joins the shards of all centres that are
-not much farther than its nearest one, so shards overlap. A shard above ``BLOCK`` members is dealt into blocks by the hash of the id. In each
-block every vector takes its nearest members and some distant ones as candidates, robust pruning (``ALPHA``) keeps at most
-``DEGREE`` of them in spread directions, and each edge is also laid the other way. The adjacency lists that a vector has
-from its shards are united into the flat graph.
-
-Search. Every vector is a query in the shard of its nearest centre: a greedy search over the flat graph starts from the
-block's medoids and the query's own node and follows the best ``BEAM`` nodes (more in high dimensions); after that its range expands, as long as
-nodes within ``least - SLACK`` that have not been followed are left. What lies within ``least`` by cosine in double
-precision is a link. A block returns one row a vector (number of links, and the smallest vector that the block's links
-connect it with), never pairs; links to members of other shards that will not find the query themselves are credited to
-them. Connected components are then joined over the blocks.
+Shards. A bounded sample of the vectors (``SAMPLE``) gives cluster centres; every vector joins the shards of all centres that are
+not much farther than its nearest one, so shards overlap.
 
 No pair is lost between shards: let unit vectors u and v have the nearest centres a and b. If u is not in the shard of b and v not in
 that of a, then u.(a - b) and v.(b - a) are both above reach * |a - b|, so (u - v).(a - b) is above 2 * reach * |a - b|; but
 |u - v| is at most the chord of ``least``, which with reach = chord / 2 is a contradiction. On clustered vectors a vector has few
-such shards, on isotropic ones many; so the number of centres is the one for which, by the sample, the fewest rows move.
+such shards, on isotropic ones many; so the number of centres is the one for which, by the sample, comparing and moving cost least.
+
+Sieve. The vectors whose nearest centre is that of a shard meet its members, in parts of bounded size, by matrix products in single precision; what
+is nearer to ``least`` than their rounding is decided in double precision. A part returns the smallest vector that each is connected with, never
+pairs; connected components are then joined over the parts. Vectors are moved as they came (four bytes a component, where those hold it), and parts are dealt
+in rounds, each of which moves about ``MOVED`` bytes or once the vectors, so disk does not grow with the square of the table.
+
+Build. Links lie within components, so a component is a shard of the graph; small ones share a bundle, one above ``BLOCK`` members is dealt into blocks
+by the hash of the id. In each block every vector takes its nearest members and some distant ones as candidates, robust pruning (``ALPHA``)
+keeps at most ``DEGREE`` of them in spread directions, and each edge is also laid the other way.
+
+Search. Every vector is a query in the blocks of its component: a greedy search starts from the
+block's medoids and the query's own node and follows the best ``BEAM`` nodes (more in high dimensions); after that its range expands, as long as
+nodes within ``least - SLACK`` that have not been followed are left. What lies within ``least`` by cosine in double
+precision is a link. A block returns the number of links of each query. Blocks too are searched in rounds.
 
 Copies of one vector (equal components) are one node with a weight, so no block gathers them. Blocks of a shard that was
 dealt are all searched, by blocks of its queries, so a hot shard becomes many tasks of bounded size.
@@ -37,11 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import components, forget, release_shuffles, stored
-from tallygrove.llm.vectors import by_length, matrix, one_per_id, unit_rows
+from tallygrove.llm.common import components, forget, grouped_chars, mixed, release_shuffles, stored
+from tallygrove.llm.vectors import by_length, matrix, one_per_id, packed, unit_rows, unpacked
 
 LEAST, SLACK = 0.95, 0.05
-SAMPLE, MOST_CENTRES, HOMES, BLOCK, APART = 16384, 2048, 3, 2048, 0.85
+SAMPLE, MOST_CENTRES, BLOCK, APART = 16384, 512, 2048, 0.85
+PART, ASKED, STRIP = 16, 8, 256  # blocks of members and of queries that meet in one task of the sieve, at 64 dimensions; queries at once
+ROW = 3000  # pairs of vectors that are compared in the time in which one is moved
+MOVED = 1 << 27  # bytes of vectors that a round moves, or as many as all vectors have
 NEAR, FAR, DEGREE, ALPHA = 40, 8, 16, 1.2
 BEAM, BEAM_SHARE, MEDOIDS, BATCH = 24, 0.375, 8, 256  # nodes that a search follows, for each dimension above 64
 AUDITED = 2048
@@ -83,20 +90,76 @@ def centres_of(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np
     return out[apart]
 
 
+def parts_of(length: int, block: int) -> tuple[int, int]:
+    """Members and queries that meet in one task of the sieve: fewer of long vectors."""
+    share = min(1.0, 64 / length)
+    return max(block, int(PART * block * share)), max(block, int(ASKED * block * share))
+
+
 def fewest_moved(sample: np.ndarray, n: int, block: int, reach: float) -> np.ndarray:
-    """Centres for n vectors: of several numbers of them, the one for which the fewest rows are to be moved, judged by the sample."""
-    most = max(1, min(MOST_CENTRES, -(-2 * HOMES * n // block), len(sample) // 8)) if n > block // 2 else 1
+    """Centres for n vectors: of several numbers of them, the one for which comparing and moving cost least, judged by the half of the
+    sample that gave no centre (one's own centres lie too near)."""
+    members, queries = parts_of(sample.shape[1], block)
+    most = max(1, min(MOST_CENTRES, 2 * n // block, len(sample) // 16)) if n > block // 2 else 1
     options = []
     while True:
-        centres = centres_of(sample, most)
-        homes = float(homes_of(sample, centres, reach)[1].sum(axis=1).mean())
-        blocks = max(1.0, homes / len(centres) * n / block)  # of the index in a shard
-        options.append((n * homes * max(1.0, n / len(centres) / block) + n * blocks, len(options), centres))
+        centres = centres_of(sample[::2], most)
+        homes, k = float(homes_of(sample[len(sample) > 1 :: 2], centres, reach)[1].sum(axis=1).mean()), len(centres)
+        moved = homes * np.ceil(n / k / queries) + np.ceil(homes * n / k / members)
+        options.append((n * (homes * n / k + ROW * moved), len(options), centres))
         if most == 1:
             return min(options, key=lambda o: o[:2])[2]
         most //= 2
 
 
+def rounds_of(moved: int, whole: int) -> int:
+    """Rounds in which so many bytes are moved; ``whole`` is the bytes of all vectors."""
+    return max(1, -(-moved // max(MOVED, whole)))
+
+
+def united(low: np.ndarray, a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """low (for each number the smallest one known to be connected with it) with what a matrix links: rows are the numbers a, columns b."""
+    none = len(low)
+    while True:
+        of_a, of_b = low[a], low[b]
+        to_a = np.minimum(of_a, np.where(linked, of_b[None, :], none).min(axis=1, initial=none))
+        to_b = np.minimum(of_b, np.where(linked, to_a[:, None], none).min(axis=0, initial=none))
+        if (to_a == of_a).all() and (to_b == of_b).all():
+            return low
+        low = low.copy()
+        np.minimum.at(low, of_a, to_a)
+        np.minimum.at(low, of_b, to_b)
+        while not np.array_equal(low, below := low[low]):
+            low = below
+
+
+def sieved(nodes: np.ndarray, unit: np.ndarray, q_nodes: np.ndarray, q_unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of members and queries of one part: each node that is linked with a smaller one, over others or not, and the smallest such node."""
+    everyone = np.unique(np.concatenate([nodes, q_nodes]))
+    at, q_at, low = np.searchsorted(everyone, nodes), np.searchsorted(everyone, q_nodes), np.arange(len(everyone))
+    place = np.full(len(everyone), -1)
+    place[at] = np.arange(len(nodes))
+    single, rounding = unit.astype(np.float32).T, (unit.shape[1] + 8) * 6e-8
+    for lo in range(0, len(q_nodes), STRIP):
+        score = q_unit[lo : lo + STRIP].astype(np.float32) @ single
+        own = place[q_at[lo : lo + STRIP]]
+        there = np.flatnonzero(own >= 0)
+        score[there, own[there]] = -2.0
+        linked = score >= least - rounding
+        rows = np.flatnonzero(linked.any(axis=1))
+        if not len(rows):
+            continue
+        columns = np.flatnonzero(linked[rows].any(axis=0))
+        linked, score = linked[np.ix_(rows, columns)], score[np.ix_(rows, columns)]
+        i, j = np.nonzero(linked & (score < least + rounding))
+        for some in range(0, len(i), 1 << 16):
+            r, c = i[some : some + (1 << 16)], j[some : some + (1 << 16)]
+            linked[r, c] = np.einsum("ij,ij->i", q_unit[lo + rows[r]], unit[columns[c]]) >= least
+        low = united(low, q_at[lo + rows], at[columns], linked)
+    some = np.flatnonzero(low < np.arange(len(low)))
+    return everyone[some], everyone[low[some]]
+
+
 def robust_pruned(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (from, to) of one block: robust pruning of near and some distant members, and the reverse of each edge."""
     n = len(unit)
@@ -182,38 +245,12 @@ def range_search(unit: np.ndarray, starts: np.ndarray, heads: np.ndarray, entrie
     return q[keep], v[keep]
 
 
-def smallest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For 0..n-1 the smallest number that the links connect it with."""
-    low = np.arange(n)
-    while len(a):
-        before = low.copy()
-        m = np.minimum(low[a], low[b])
-        np.minimum.at(low, a, m)
-        np.minimum.at(low, b, m)
-        low = low[low]
-        if np.array_equal(before, low):
-            break
-    return low
-
-
-def search_block(index: pa.Table, asked: pa.Table, shard: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """node, links, smallest linked node of one block of the index and one block of queries of the same shard."""
-    nodes, unit = index["node"].to_numpy(), matrix(index["vec"])
+def search_block(nodes: np.ndarray, unit: np.ndarray, copies: np.ndarray, q_nodes: np.ndarray, q_unit: np.ndarray, seed: int, least: float) -> np.ndarray:
+    """The links of each query with the members of one block, found over the block's graph."""
     order = np.argsort(nodes)
-    nodes, unit = nodes[order], unit[order]
-    weight, primary = index["copies"].to_numpy()[order], index["primary"].to_numpy()[order]
-    lists = index["neighbours"].combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
-    source, target = np.repeat(np.argsort(order), sizes), lists.flatten().to_numpy()
-    at = np.minimum(np.searchsorted(nodes, target), len(nodes) - 1)
-    inside = nodes[at] == target
-    source, at = source[inside], at[inside]
-    by = np.argsort(source, kind="stable")
-    starts, heads = np.searchsorted(source[by], np.arange(len(nodes) + 1)), at[by]
-
-    q_nodes, q_unit, q_weight = asked["node"].to_numpy(), matrix(asked["vec"]), asked["copies"].to_numpy()
-    q_lists = asked["homes"].combine_chunks()
-    q_homes = np.sort(np.repeat(np.arange(len(q_nodes)), np.diff(q_lists.offsets.to_numpy())) * SHARDS + q_lists.flatten().to_numpy() % SHARDS)
+    nodes, unit, copies = nodes[order], unit[order], copies[order]
+    source, heads = robust_pruned(unit, seed)
+    starts = np.searchsorted(source, np.arange(len(nodes) + 1))
     own = np.minimum(np.searchsorted(nodes, q_nodes), len(nodes) - 1)
     own = np.where(nodes[own] == q_nodes, own, -1)
     qs, vs, entries = [], [], medoids_of(unit)
@@ -229,49 +266,134 @@ def search_block(index: pa.Table, asked: pa.Table, shard: int, least: float) ->
         back = (as_query[v] >= 0) & (own[q] >= 0)
         pairs = np.unique(np.concatenate([q * n + v, as_query[v[back]] * n + own[q[back]]]))
         q, v = pairs // n, pairs % n
-    links = np.bincount(q, weight[v], minlength=len(q_nodes)).astype(np.int64)
-    # a member of another shard, which will not meet this query in its own search
-    home = q * SHARDS + primary[v] % SHARDS
-    foreign = (primary[v] != shard) & (q_homes[np.minimum(np.searchsorted(q_homes, home), len(q_homes) - 1)] != home)
-    credit = np.bincount(v[foreign], q_weight[q[foreign]], minlength=len(nodes)).astype(np.int64)
-    everyone = np.unique(np.concatenate([nodes, q_nodes]))
-    low = smallest_linked(len(everyone), np.searchsorted(everyone, q_nodes[q]), np.searchsorted(everyone, nodes[v]))
-    total = np.zeros(len(everyone), np.int64)
-    np.add.at(total, np.searchsorted(everyone, q_nodes), links)
-    np.add.at(total, np.searchsorted(everyone, nodes), credit)
-    some = (total > 0) | (low < np.arange(len(everyone)))
-    return everyone[some], total[some], everyone[low[some]]
+    return np.bincount(q, copies[v], minlength=len(q_nodes)).astype(np.int64)
+
 
+def _homed(column, centres: dict[int, np.ndarray], reach: float):
+    """Runs of rows of an Arrow column of vectors: length, places, vectors, nearest centre, and a matrix of the shards that they join."""
+    for length, at, x in by_length(column):
+        known, step = centres.get(length, np.zeros((1, length))), max(64, (1 << 18) // length)
+        for lo in range(0, len(x), step):
+            some = x[lo : lo + step]
+            yield length, at[lo : lo + step], some, *homes_of(unit_rows(some), known, reach)
 
-def _assigned(nodes: DataFrame, centres: dict[int, np.ndarray], reach: float) -> DataFrame:
-    sent = nodes.sparkSession.sparkContext.broadcast(centres)  # MOST_CENTRES vectors a length at most
 
-    def assign(batches):
+def _sieved_links(nodes: DataFrame, centres: dict[int, np.ndarray], reach: float, block: int, width: int, least: float) -> list[DataFrame]:
+    """Stored tables of node and low, a smaller node that it is connected with, whose components are those of all links."""
+    spark = nodes.sparkSession
+    known = spark.sparkContext.broadcast(centres)  # MOST_CENTRES vectors a length at most
+
+    def counted(batches):
         for batch in batches:
-            for length, at, x in by_length(batch.column(1)):
-                unit = unit_rows(x)
-                known = sent.value.get(length, np.zeros((1, length)))
-                for lo in range(0, len(unit), 4096):
-                    u, some = unit[lo : lo + 4096], pa.array(at[lo : lo + 4096])
-                    top, joins = homes_of(u, known, reach)
-                    _, shard = np.nonzero(joins)
-                    as_list = lambda x, cuts, t: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, t))
-                    vec = as_list(u.ravel(), np.arange(len(u) + 1) * length, pa.float64())
-                    homes = as_list(length * SHARDS + shard, np.concatenate([[0], np.cumsum(joins.sum(axis=1))]), pa.int64())
-                    yield pa.record_batch([batch.column(0).take(some), vec, batch.column(2).take(some), homes, pa.array(length * SHARDS + top, pa.int64())], names=["node", "vec", "copies", "homes", "primary"])
+            for length, _, _, top, joins in _homed(batch.column(0), known.value, reach):
+                n, asked = joins.sum(axis=0), np.bincount(top, minlength=joins.shape[1])
+                yield pa.record_batch([pa.array(length * SHARDS + np.arange(len(n)), pa.int64()), pa.array(n, pa.int64()), pa.array(asked, pa.int64())], names=["shard", "n", "asked"])
+
+    shards = nodes.select("vec").mapInArrow(counted, "shard long, n long, asked long").groupBy("shard").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")).collect()  # a row a centre and length
+    parts, moved, whole = {}, 0, 0
+    for shard, n, asked in sorted(map(tuple, shards)):
+        length = shard // SHARDS
+        members, queries = parts_of(length, block)
+        cuts = -(-n // members), -(-asked // queries)
+        parts.setdefault(length, {})[shard % SHARDS] = cuts
+        moved, whole = moved + (n * cuts[1] + asked * cuts[0]) * length * width, whole + asked * length * width
+    rounds = rounds_of(moved, whole)
+    cuts = spark.sparkContext.broadcast({length: np.array([of[s] for s in range(len(of))]) for length, of in parts.items()})
+
+    def dealt(now: int):
+        def deal(batches):
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                for length, at, x, top, joins in _homed(batch.column(1), known.value, reach):
+                    members, queries = cuts.value[length].T
+                    node, whole = ids[at], packed(x)
+                    i, j = (mixed(node.view(np.uint64) + np.uint64(k)).astype(np.uint32) for k in (0, 1))
+                    turn = lambda shard, i: mixed((shard * SHARDS + i).astype(np.uint64)) % np.uint64(rounds) == now
+                    row, shard = np.nonzero(joins)
+                    part = i[row] % members[shard]
+                    some = turn(shard, part)
+                    row, shard, part = row[some], shard[some], part[some]
+                    again = queries[shard]
+                    row, shard, part, other = np.repeat(row, again), np.repeat(shard, again), np.repeat(part, again), grouped_chars(again)
+                    again = members[top]
+                    q_row, q_part = np.repeat(np.arange(len(x)), again), grouped_chars(again)
+                    some = turn(top[q_row], q_part)
+                    q_row, q_part = q_row[some], q_part[some]
+                    rows = np.concatenate([row, q_row])
+                    columns = [length * SHARDS + np.concatenate([shard, top[q_row]]), np.concatenate([part, q_part]), np.concatenate([other, j[q_row] % queries[top[q_row]]])]
+                    yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns), pa.array(np.arange(len(rows)) >= len(row)), pa.array(node[rows]), whole.take(pa.array(rows))], names=["shard", "i", "j", "asked", "node", "vec"])
+
+        return nodes.select("node", "vec").mapInArrow(deal, "shard long, i long, j long, asked boolean, node long, vec binary")
+
+    def sieve(key, table):
+        x, node, asked = unpacked(table["vec"], key[0].as_py() // SHARDS), table["node"].to_numpy(), table["asked"].to_numpy().astype(bool)
+        unit = unit_rows(x)
+        found, low = sieved(node[~asked], unit[~asked], node[asked], unit[asked], least)
+        return pa.table({"node": pa.array(found, pa.int64()), "low": pa.array(low, pa.int64())})
+
+    out = []
+    for now in range(rounds):
+        out.append(stored(dealt(now).groupBy("shard", "i", "j").applyInArrow(sieve, "node long, low long"), "sieved"))
+        release_shuffles(spark)
+    return out
+
 
-    return nodes.select("node", "vec", "copies").mapInArrow(assign, "node long, vec array<double>, copies long, homes array<long>, primary long")
+def _found_links(members: DataFrame, block: int, width: int, least: float) -> list[DataFrame]:
+    """Stored tables of node and links, to be added up. members: node, vec, copies, component."""
+    spark = members.sparkSession
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    bundles = max(1, -(-members.count() // max(1, block // 2)))  # of small components
+    large = F.col("n") > block // 2
+    part = lambda salt, count: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count))
+    d = members.join(sizes, "component").select(
+        "node", "vec", "copies", F.size("vec").alias("length"), large.alias("large"), F.when(large, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bundles))).alias("shard"),
+        F.when(large, F.ceil(F.col("n") / block)).otherwise(1).alias("splits"), F.when(large, F.ceil(F.col("n") / block)).otherwise(1).alias("queries"),
+    )
+    moved, whole = d.agg(F.sum((F.col("splits") + F.col("queries")) * F.col("length")), F.sum("length")).first()
+    rounds = rounds_of((moved or 0) * width, (whole or 0) * width)
+    keys = ["length", "large", "shard", "i", "j"]
+    as_row = lambda i, j, asked: d.withColumn("i", i).withColumn("j", j).select(*keys, F.lit(asked).alias("asked"), "node", "vec", "copies")
+    indexed = as_row(part(17, "splits"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("queries") - 1)), False)
+    asked = as_row(F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)), part(19, "queries"), True)
+
+    def thin(batches):
+        for batch in batches:
+            for _, at, x in by_length(batch.column(7)):
+                row = batch.take(pa.array(at))
+                yield pa.record_batch([*row.columns[:7], packed(x), row.column(8)], names=[*keys, "asked", "node", "vec", "copies"])
+
+    def search(key, table):
+        x, node, copies, of = unpacked(table["vec"], key[0].as_py()), table["node"].to_numpy(), table["copies"].to_numpy(), table["asked"].to_numpy().astype(bool)
+        unit, links = unit_rows(x), np.zeros(int(of.sum()), np.int64)
+        if of.any() and not of.all():
+            links = search_block(node[~of], unit[~of], copies[~of], node[of], unit[of], int(key[2].as_py()) % SHARDS, least)
+        return pa.table({"node": pa.array(node[of]), "links": pa.array(links, pa.int64())})
+
+    out = []
+    for now in range(rounds):
+        turn = F.pmod(F.xxhash64("length", "large", "shard", "i"), F.lit(rounds)) == now
+        both = indexed.where(turn).unionByName(asked.where(turn)).mapInArrow(thin, "length int, large boolean, shard long, i long, j long, asked boolean, node long, vec binary, copies long")
+        out.append(stored(both.groupBy(*keys).applyInArrow(search, "node long, links long"), "found"))
+        release_shuffles(spark)
+    return out
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = LEAST, block: int = BLOCK, reach: float | None = None) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept, and audited_recall and audited_links (the same numbers in each row)."""
     spark = vectors.sparkSession
     reach = reach_of(least) if reach is None else reach
+    width = 4 if vectors.schema[embedding].dataType.simpleString() == "array<float>" else 8  # bytes of a component
     every = one_per_id(vectors, vec_id, embedding)
     digest = F.when(F.col("vec").isNotNull(), F.md5(F.concat_ws(",", F.col("vec").cast("array<string>"))))
-    every = stored(every.select("vec_id", "vec", digest.alias("digest")), "vectors")
-    nodes = every.where("vec is not null").groupBy("digest").agg(F.min("vec_id").alias("node"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("copies"))
-    nodes = stored(nodes, "nodes")
+    whole = stored(every.select("vec_id", "vec", digest.alias("digest")), "vectors")
+    release_shuffles(spark)
+    repeated = whole.where("vec is not null").groupBy("digest").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    repeated = stored(repeated, "repeated")  # its size is known from here on: where it is small, vectors stay where they are
+    nodes = whole.where("vec is not null").join(repeated, "digest", "left").where("node is null or node = vec_id")
+    nodes = stored(nodes.select("digest", F.col("vec_id").alias("node"), "vec", F.coalesce("copies", F.lit(1)).cast("long").alias("copies")), "nodes")
+    every = stored(whole.select("vec_id", "digest"), "keys")
+    forget(whole, repeated)
+    release_shuffles(spark)
     lengths = {r["size"]: r["count"] for r in nodes.groupBy(F.size("vec").alias("size")).count().collect()}  # a number a length
     if not lengths:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("double").alias("audited_recall"), F.lit(0).cast("long").alias("audited_links"))
@@ -281,41 +403,11 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
             own = nodes.where(F.size("vec") == length)
             drawn = own.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // SAMPLE))) == 0).limit(SAMPLE).select("vec").collect()
             centres[length] = fewest_moved(unit_rows(np.array([r[0] for r in drawn or own.limit(SAMPLE).select("vec").collect()])), n, block, reach)
-    assigned = stored(_assigned(nodes, centres, reach), "assigned")
-
-    # members and queries of each shard: a row a centre and length, which bounds what is broadcast
-    shards = assigned.select(F.explode("homes").alias("shard"), (F.col("shard") == F.col("primary")).cast("int").alias("own")).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("asked")).collect()
-    splits = F.broadcast(spark.createDataFrame([(r["shard"], -(-r["n"] // block), -(-r["asked"] // block)) for r in shards], "shard long, splits int, queries int"))
-    part = lambda count: F.pmod(F.xxhash64("node", F.lit(17)), F.col(count)).cast("int")
-    members = assigned.select("node", "vec", "copies", "primary", F.explode("homes").alias("shard")).join(splits, "shard").where("queries > 0").withColumn("i", part("splits"))
-
-    def build(key, table):
-        ids, unit = table["node"].to_numpy(), matrix(table["vec"])
-        order = np.argsort(ids)
-        ids, unit = ids[order], unit[order]
-        a, b = robust_pruned(unit, int(key[0].as_py()) % SHARDS)
-        cuts = np.searchsorted(a, np.arange(len(ids) + 1)).astype(np.int32)
-        return pa.table({"node": pa.array(ids), "neighbours": pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids[b], pa.int64()))})
-
-    lists = members.select("shard", "i", "node", "vec").groupBy("shard", "i").applyInArrow(build, "node long, neighbours array<long>")
-    graph = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))  # a list a shard
-    graph = stored(graph, "graph")
-    release_shuffles(spark)
-
-    def search(key, index, asked):
-        node, links, low = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if index.num_rows and asked.num_rows:
-            node, links, low = search_block(index, asked, int(key[0].as_py()), least)
-        return pa.table({"node": pa.array(node, pa.int64()), "links": pa.array(links, pa.int64()), "low": pa.array(low, pa.int64())})
-
-    indexed = members.join(graph, "node").select("node", "vec", "copies", "primary", "neighbours", "shard", "i", F.explode(F.expr("sequence(0, queries - 1)")).alias("j"))
-    asked = assigned.withColumn("shard", F.col("primary")).join(splits, "shard").select("node", "vec", "copies", "homes", "shard", F.explode(F.expr("sequence(0, splits - 1)")).alias("i"), part("queries").alias("j"))
-    asked = asked.toDF(*asked.columns)  # columns of its own, as both sides come from one table
-    keys = ["shard", "i", "j"]
-    found = stored(indexed.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "node long, links long, low long"), "found")
-    release_shuffles(spark)
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(found.where("node <> low"), "node", "low")
+    sieved_links = _sieved_links(nodes, centres, reach, block, width, least)
+    joined = stored(components(_all(sieved_links), "node", "low"), "joined")
+    members = stored(nodes.select("node", "vec", "copies").join(joined, "node"), "members")
+    found = _found_links(members, block, width, least)
+    links = _all(found).groupBy("node").agg(F.sum("links").alias("links"))
     classes = nodes.select("digest", "node", "copies").join(links, "node", "left").join(joined, "node", "left")
     classes = stored(classes.select("digest", "node", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "classes")
     recall, links_there = audit(nodes, classes, least)
@@ -323,7 +415,14 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     told = [F.lit(recall).cast("double").alias("audited_recall"), F.lit(links_there).cast("long").alias("audited_links")]
     out = stored(out.select("*", (F.col("vec_id") == F.col("component_id")).alias("kept"), *told), "embedding-classes")
-    forget(every, nodes, assigned, graph, found, classes)
+    forget(every, nodes, joined, members, classes, *sieved_links, *found)
+    return out
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for df in tables[1:]:
+        out = out.unionByName(df)
     return out
 
 

@@ -147,6 +147,49 @@ def test_no_pair_is_lost_on_isotropic_vectors(spark, d):
     assert got[0]["audited_recall"] == 1.0 and got[0]["audited_links"] > 500
 
 
+def test_pairs_meet_in_rounds_of_bounded_bytes(spark, monkeypatch):
+    """What a round moves stays on disk until it ends: more pairs make more rounds, not larger ones."""
+    x = np.concatenate([isotropic(3000, 700, 64), 1 + 0.02 * np.random.default_rng(1).normal(size=(300, 64))])
+    rounds, store = {"sieved": 0, "found": 0}, embedding_dedup.stored
+
+    def noted(df, label, *more):
+        if label in rounds:
+            rounds[label] += 1
+        return store(df, label, *more)
+
+    monkeypatch.setattr(embedding_dedup, "stored", noted)
+    monkeypatch.setattr(embedding_dedup, "MOVED", 1 << 20)
+    rows = list(enumerate(x))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(table(spark, rows), block=64).collect()}
+    assert got == brute(rows)
+    assert rounds["sieved"] > 4 and rounds["found"] > 1
+    assert embedding_dedup.rounds_of(10**12, 10**10) == 100 and embedding_dedup.rounds_of(10**6, 10**6) == 1
+
+
+def test_moved_vectors_come_back_as_they_were():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(7, 5)) * 10.0 ** rng.integers(-300, 300, (7, 1))
+    for some, size in ((x, 40), (np.float32([[1.1, 2], [3, 4e-44]]).astype(float), 8), (np.zeros((0, 3)), None)):
+        bytes_ = embedding_dedup.packed(some)
+        assert np.array_equal(embedding_dedup.unpacked(bytes_, some.shape[1]), some) and all(len(b.as_py()) == size for b in bytes_)
+
+
+def test_parts_are_joined_whatever_the_order_of_their_links():
+    rng = np.random.default_rng(7)
+    for _ in range(100):
+        low, n = np.arange(40), 40
+        links = []
+        for _ in range(3):
+            a, b, linked = rng.permutation(n)[:12], rng.permutation(n)[:15], rng.random((12, 15)) < 0.04
+            low = embedding_dedup.united(low, a, b, linked)
+            links += [(int(a[i]), int(b[j])) for i, j in np.argwhere(linked)]
+        want = list(range(n))
+        for _ in range(n):
+            for i, j in links:
+                want[i] = want[j] = min(want[i], want[j])
+        assert low.tolist() == want
+
+
 def test_the_audit_drops_when_shards_do_not_overlap(spark, monkeypatch):
     x = isotropic(4000, 1500, 64)
     centres = embedding_dedup.unit_rows(x[:40])
