@@ -957,7 +957,7 @@ def districts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH p AS ({_PLOTS}), q AS ({_DISTRICTS}) SELECT id, name, CAST((least(x + w, x2 + w2) - greatest(x, x2)) * (least(y + h, y2 + h2) - greatest(y, y2)) AS DOUBLE) AS area
     FROM p JOIN q ON x < x2 + w2 AND x2 < x + w AND y < y2 + h2 AND y2 < y + h""")
 def clipped_polygons(spark: SparkSession, d: str) -> DataFrame:
-    return overlay.clip_polygons(plots(spark, d), districts(spark, d)).select("id", "name", r("area", 3).alias("area"))
+    return overlay.clip_polygons(plots(spark, d), districts(spark, d), digits=3).select("id", "name", "area")
 
 
 @query(f"""WITH p AS ({_PLOTS}), xs AS (SELECT nation, v, lead(v) OVER (PARTITION BY nation ORDER BY v) AS v2 FROM (SELECT nation, x AS v FROM p UNION SELECT nation, x + w FROM p)),

@@ -28,6 +28,7 @@ from tallygrove.report import OpResult, Refusal, stored
 RINGS = "array<array<struct<x: double, y: double>>>"
 MULTI = f"array<{RINGS}>"
 BLOCK_POLYGONS, BLOCK_CORNERS = 64, 4000  # of one cell that meet in one task
+LISTED = 1024  # ids of equal polygons in a list
 BLOCK_BOXES = 2048  # upright boxes of one cell that meet in one task
 MERGED = 16  # cells of a group that are merged at once; of more, four neighbours at a time
 TURN = 0.7372773  # radians by which edges are turned while sides are told, so that none is upright
@@ -350,7 +351,8 @@ def _boxes(column) -> np.ndarray:
 
 
 def _meet(a: np.ndarray, b: np.ndarray, grid: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of boxes: the places of those that overlap, and the closed ring of what they share, as ``overlay`` gives it."""
+    """Of pairs of boxes: the places of those that overlap, and the closed ring of what they share, as ``overlay`` gives it and
+    ``clip_polygons`` by expressions."""
     a, b = np.round(a / grid), np.round(b / grid)
     (w, s), (e, n) = np.maximum(a[:, :2], b[:, :2]).T, np.minimum(a[:, 2:], b[:, 2:]).T
     some = np.flatnonzero((w < e) & (s < n))
@@ -358,44 +360,71 @@ def _meet(a: np.ndarray, b: np.ndarray, grid: float) -> tuple[np.ndarray, np.nda
     return some, np.stack([np.stack([x, y], axis=1) for x, y in ((w, n), (w, s), (e, s), (e, n), (w, n))], axis=1) * grid
 
 
-def clip_polygons(polygons: DataFrame, areas: DataFrame, cell: float | None = None, grid: float = 1e-3, id_: str = "id", area: str = "name", polygon: str = "geometry") -> DataFrame:
-    """id, name, geometry (one or more polygons), area of the part of each polygon within each area; empty parts give no row.
+def _marked(shapes: DataFrame) -> DataFrame:
+    """shapes (shape, rings), dealt to tasks, and whether each is one upright box."""
 
-    Different polygons meet in the cells that both boxes touch, and are laid over each other in the first such cell only; rows with
-    equal polygons share the part. Upright boxes are compared as such, many at once.
+    def mark(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.isfinite(_boxes(batch.column(1))[:, 0]))], names=["shape", "rings", "upright"])
+
+    return shapes.repartition(tasks(shapes)).mapInArrow(mark, f"shape long, rings {RINGS}, upright boolean")
+
+
+def _listed(ids: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """shape and the number of its lists, and shape, list and ids of the rows with that polygon: some ``LISTED`` in a list, however many a shape has."""
+    lists = ids.groupBy("shape").agg(F.ceil(F.count(F.lit(1)) / LISTED).alias("lists"))
+    of = ids.join(lists, "shape").groupBy("shape", F.pmod(F.xxhash64("id"), F.col("lists")).alias("list"))
+    return lists, stored(of.agg(F.collect_list(F.struct("id")).alias(name)), "lists")
+
+
+def clip_polygons(
+    polygons: DataFrame, areas: DataFrame, cell: float | None = None, grid: float = 1e-3, id_: str = "id", area: str = "name", polygon: str = "geometry", digits: int | None = None
+) -> DataFrame:
+    """id, name, geometry (one or more polygons), area (rounded to ``digits``) of the part of each polygon within each area; empty parts give no row.
+
+    Different polygons meet in the cells that both boxes touch, and are laid over each other in the first such cell only. Upright boxes are compared as
+    such, in expressions. Rows with equal polygons share the part: their ids are kept in lists, which are written out last, so that no step but
+    the reader of the result sees a row for each.
     """
     cell = cell or side_of(areas, polygon, grid, 1)
     shapes, ids = shapes_of(polygons, id_, polygon)
     holders, names = shapes_of(areas, area, polygon)
-    left = _boxed(shapes.repartition(tasks(shapes)), "l", cell).withColumnsRenamed({"rings": "a", "shape": "shape_a"})
-    right = _boxed(holders.repartition(tasks(holders)), "r", cell).withColumnsRenamed({"rings": "b", "shape": "shape_b"})
-    met = left.join(right, ["cx", "cy"]).where("lw < re AND rw < le AND ls < rn AND rs < ln")
-    met = met.where((F.floor(F.greatest("lw", "rw") / cell) == F.col("cx")) & (F.floor(F.greatest("ls", "rs") / cell) == F.col("cy"))).select("shape_a", "shape_b", "a", "b")
+    (lists_a, ids), (lists_b, names) = _listed(ids, "ids"), _listed(names, "names")
+    left = _boxed(_marked(shapes).join(lists_a, "shape"), "l", cell).withColumnsRenamed({"rings": "a", "shape": "shape_a", "upright": "upright_a", "lists": "lists_a"})
+    right = _boxed(_marked(holders).join(lists_b, "shape"), "r", cell).withColumnsRenamed({"rings": "b", "shape": "shape_b", "upright": "upright_b", "lists": "lists_b"})
+
+    def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+        met = left.join(right, ["cx", "cy"]).where("lw < re AND rw < le AND ls < rn AND rs < ln")
+        return met.where((F.floor(F.greatest("lw", "rw") / cell) == F.col("cx")) & (F.floor(F.greatest("ls", "rs") / cell) == F.col("cy")))
+
+    on = lambda c: F.rint(F.col(c) / grid)
+    boxes = meeting(left.where("upright_a").drop("a"), right.where("upright_b").drop("b"))
+    for side, of, between in (("w", F.greatest, ("lw", "rw")), ("s", F.greatest, ("ls", "rs")), ("e", F.least, ("le", "re")), ("n", F.least, ("ln", "rn"))):
+        boxes = boxes.withColumn(side, of(*map(on, between)))
+    corner = lambda x, y: F.struct((F.col(x) * grid).alias("x"), (F.col(y) * grid).alias("y"))
+    ring = F.array(*[corner(x, y) for x, y in ("wn", "ws", "es", "en", "wn")])
+    kept = ["shape_a", "shape_b", "lists_a", "lists_b"]
+    boxes = boxes.where("w < e AND s < n").select(*kept, F.array(F.array(ring)).alias("geometry"), ((F.col("e") * grid - F.col("w") * grid) * (F.col("n") * grid - F.col("s") * grid)).alias("area"))
     both = lambda inside: inside[:, 0] & inside[:, 1]
 
     def clip(batches):
-        fields = ["shape_a", "shape_b", "geometry", "area"]
         for batch in batches:
-            a, b = _boxes(batch.column(2)), _boxes(batch.column(3))
-            upright = np.isfinite(a[:, 0]) & np.isfinite(b[:, 0])
-            at = np.flatnonzero(upright)
-            some, rings = _meet(a[at], b[at], grid)
-            if len(some):
-                at, off = pa.array(at[some]), lambda n, step=1: pa.array(np.arange(n + 1, dtype=np.int32) * step)
-                points = pa.StructArray.from_arrays([pa.array(rings[:, :, 0].ravel()), pa.array(rings[:, :, 1].ravel())], names=["x", "y"])
-                one = off(len(some))
-                multi = pa.ListArray.from_arrays(one, pa.ListArray.from_arrays(one, pa.ListArray.from_arrays(off(len(some), 5), points)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), multi, pa.array((rings[:, 2, 0] - rings[:, 0, 0]) * (rings[:, 0, 1] - rings[:, 1, 1]))], names=fields)
-            rest = batch.take(pa.array(np.flatnonzero(~upright)))
-            parts = [overlay([a, b], both, grid) for a, b in zip(read_rings(rest.column(2)), read_rings(rest.column(3)), strict=True)] if len(rest) else []
-            full = np.array([i for i, p in enumerate(parts) if p], np.int64)
-            if len(full):
-                shown = [parts[i] for i in full]
-                yield pa.RecordBatch.from_arrays([rest.column(0).take(pa.array(full)), rest.column(1).take(pa.array(full)), write_multi(shown), pa.array([_size(p) for p in shown], pa.float64())], names=fields)
-
-    out = met.repartition(tasks(met)).mapInArrow(clip, f"shape_a long, shape_b long, geometry {MULTI}, area double")
-    out = out.join(names.select(F.col("shape").alias("shape_b"), F.col("id").alias("name")), "shape_b").join(ids.withColumnRenamed("shape", "shape_a"), "shape_a")
-    return out.select(F.col("id").alias(id_), F.col("name").alias(area), "geometry", "area")
+            parts = [overlay([a, b], both, grid) for a, b in zip(read_rings(batch.column(4)), read_rings(batch.column(5)), strict=True)]
+            full = [i for i, p in enumerate(parts) if p]
+            if full:
+                shown, rest = [parts[i] for i in full], batch.take(pa.array(full))
+                yield pa.RecordBatch.from_arrays([*rest.columns[:4], write_multi(shown), pa.array([_size(p) for p in shown], pa.float64())], names=[*kept, "geometry", "area"])
+
+    # pairs that are not of two boxes
+    met = meeting(left.where("NOT upright_a"), right).unionByName(meeting(left.where("upright_a"), right.where("NOT upright_b"))).select(*kept, "a", "b")
+    others = met.repartition(tasks(met)).mapInArrow(clip, f"shape_a long, shape_b long, lists_a long, lists_b long, geometry {MULTI}, area double")
+    out = boxes.unionByName(others).withColumn("area", F.col("area") if digits is None else F.round("area", digits))
+    for of in ("a", "b"):
+        out = out.withColumn(f"list_{of}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"lists_{of}") - 1)))
+    out = out.repartition(tasks(out), "shape_a", "list_a").join(ids.withColumnsRenamed({"shape": "shape_a", "list": "list_a"}), ["shape_a", "list_a"])
+    out = out.join(names.withColumnsRenamed({"shape": "shape_b", "list": "list_b"}), ["shape_b", "list_b"])
+    out = out.select("ids", F.explode("names").alias("name"), "geometry", "area").select(F.explode("ids").alias("id"), "name", "geometry", "area")
+    return out.select(F.col("id.id").alias(id_), F.col("name.id").alias(area), "geometry", "area")
 
 
 def _united(boxes: np.ndarray, grid: float) -> list[list[np.ndarray]]:

@@ -123,6 +123,32 @@ def test_equal_polygons_share_their_part(spark):
     assert got == {(i, n): v for i in (1, 2, None) for n, v in (("x", 25), ("y", 25), ("z", 1))} | {(3, "z"): 1}
 
 
+def test_rows_of_equal_polygons_are_written_out_last(spark, monkeypatch):
+    """A pair of different polygons is laid over each other and rounded once, however many rows have them, in lists of bounded length."""
+    monkeypatch.setattr(overlay, "LISTED", 64)
+    p = spark.createDataFrame([(None if k < 5 else k, [box(k % 2, 0, 10, 10.123)]) for k in range(700)], f"id long, geometry {overlay.RINGS}")
+    a = spark.createDataFrame([(f"{k:03d}", [box(5, 5, 10, 10)] if k % 3 else [[(0.0, 0.0), (10.0, 0.0), (0.0, 10.0)]]) for k in range(300)], f"name string, geometry {overlay.RINGS}")
+    out = overlay.clip_polygons(p, a, digits=1).select("id", "name", "area")
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    first = lambda word: next(i for i, line in enumerate(plan) if word in line)
+    assert first("explode(ids") < first("explode(names") < first("Join") < first("round(")
+    got = sorted((-1 if r["id"] is None else r["id"], r["name"], r["area"]) for r in out.collect())
+    size = {(0, True): 25.6, (1, True): 30.7, (0, False): 50.0, (1, False): 40.5}
+    assert got == sorted((-1 if k < 5 else k, f"{n:03d}", size[k % 2, n % 3 > 0]) for k in range(700) for n in range(300))
+
+
+def test_boxes_are_clipped_as_in_numpy(spark):
+    rng = np.random.default_rng(2)
+    a, b = (np.concatenate([low := rng.uniform(-9, 9, (60, 2)), low + rng.uniform(0.5, 8, (60, 2))], axis=1) for _ in range(2))
+    make = lambda boxes, name: spark.createDataFrame([(k, [box(w, s, e - w, n - s)]) for k, (w, s, e, n) in enumerate(boxes.tolist())], f"{name} long, geometry {overlay.RINGS}")
+    got = {(r["id"], r["name"]): ([(p["x"], p["y"]) for p in r["geometry"][0][0]], r["area"]) for r in overlay.clip_polygons(make(a, "id"), make(b, "name"), cell=4.0, grid=0.5).collect()}
+    i, j = np.repeat(np.arange(60), 60), np.tile(np.arange(60), 60)
+    some, rings = overlay._meet(a[i], b[j], 0.5)
+    assert set(got) == {(int(i[k]), int(j[k])) for k in some} and len(got) > 500
+    for k, ring in zip(some, rings, strict=True):
+        assert got[int(i[k]), int(j[k])] == ([tuple(q) for q in ring.tolist()], (ring[2, 0] - ring[0, 0]) * (ring[0, 1] - ring[1, 1]))
+
+
 def test_equal_areas_have_one_band(spark):
     rows = [(k, [box(k % 2, 0, 10, 10)]) for k in range(400)]
     shapes, ids = overlay.shapes_of(spark.createDataFrame(rows, f"id long, geometry {overlay.RINGS}"), "id", "geometry")
